@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from shelfrank.llm import media, urls
+from shelfrank.llm import media, quality, simhash, urls
 
 
 def queries() -> dict:
     return {
+        "op3_quality": quality.query,
+        "op4_simhash": simhash.query,
         "op8_url_filter": urls.query,
         "op9_flac_media": media.query,
     }
