@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from shelfrank.llm import langid, media, quality, simhash, urls
+from shelfrank.llm import bpe, langid, media, quality, simhash, urls
 
 
 def queries() -> dict:
     return {
         "op1_langid": langid.query,
+        "op2_bpe": bpe.query,
         "op3_quality": quality.query,
         "op4_simhash": simhash.query,
         "op8_url_filter": urls.query,
