@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shelfrank.llm import bpe, langid, media, packing, quality, simhash, token_store, urls
+from shelfrank.llm import bpe, exact_dedup, langid, media, packing, quality, simhash, token_store, urls
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_bpe": bpe.query,
         "op3_quality": quality.query,
         "op4_simhash": simhash.query,
+        "op5_suffix_dedup": exact_dedup.query,
         "op6_token_store": token_store.query,
         "op7_packing": packing.query,
         "op8_url_filter": urls.query,
