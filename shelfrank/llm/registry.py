@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shelfrank.llm import bpe, exact_dedup, langid, media, packing, quality, simhash, token_store, urls
+from shelfrank.llm import bpe, exact_dedup, langid, media, neighbours, packing, quality, simhash, token_store, urls
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op7_packing": packing.query,
         "op8_url_filter": urls.query,
         "op9_flac_media": media.query,
+        "op10_nn_descent": neighbours.query,
     }
 
 
