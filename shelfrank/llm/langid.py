@@ -262,6 +262,25 @@ def identify(docs: DataFrame, train_docs: int = TRAIN_DOCS, penalty: float = SWI
     return detect(docs, train(docs, train_docs), penalty)
 
 
+def keep_identified(docs: DataFrame, least: float = 0.5, train_docs: int = TRAIN_DOCS, penalty: float = SWITCH) -> DataFrame:
+    """``docs`` with the rows of which one language has ``least`` of the letters, all columns kept; ``und`` goes."""
+    model = train(docs, train_docs)
+
+    def shares(text: pd.Series) -> pd.Series:
+        out: list[float] = []
+        texts = text.tolist()
+        for g in _slices(texts):
+            lengths, letters, label = _labelled(texts[g], model, penalty)
+            text_of = np.repeat(np.arange(len(lengths)), lengths)
+            n = max(len(model.langs), 1)
+            per = np.bincount(text_of * n + label, letters, len(lengths) * n).reshape(len(lengths), n)
+            total = per.sum(1)
+            out += (per.max(1) / np.maximum(total, 1)).tolist() if model.langs else [0.0] * len(lengths)
+        return pd.Series(out, dtype="float64")
+
+    return docs.where(F.pandas_udf(shares, "double")(F.col("text").cast("string")) >= least)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op1: the language of every document."""
     found = identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))

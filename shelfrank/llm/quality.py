@@ -207,6 +207,16 @@ def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     return apply(stats, fit(stats, labels, **options))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, cut: float = CUT, **options) -> DataFrame:
+    """``docs`` with the rows whose text scores ``cut`` or more, all columns kept; no text is shuffled."""
+    model = fit(stored(with_statistics(docs), "quality"), labels, **options)
+
+    def scores(text: pd.Series) -> pd.Series:
+        return pd.Series(model.score(_matrix([statistics(t) for t in text])))
+
+    return docs.where(F.pandas_udf(scores, "double")(F.col("text").cast("string")) >= cut)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op3: every document's quality."""
     return classify(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))

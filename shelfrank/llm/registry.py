@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from shelfrank.llm import bpe, exact_dedup, langid, media, neighbours, packing, quality, simhash, token_store, urls
 
 
@@ -17,6 +18,7 @@ def queries() -> dict:
         "op8_url_filter": urls.query,
         "op9_flac_media": media.query,
         "op10_nn_descent": neighbours.query,
+        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -162,6 +162,134 @@ def link(docs: DataFrame, width: int = 3, radius: int = 3, large: int = LARGE_BU
     return rows.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: Near copies by similarity: words in a shingle, least Jaccard similarity, and the SimHash radius that holds such pairs.
+#: At similarity 0.8 two fingerprints differ in 9.7 bits on average, with a deviation of 2.9.
+NEAR_WORDS, SIMILARITY, NEAR_RADIUS = 5, 0.8, 20
+#: Keys of a document and the least hashes that make each; a pair at 0.8 has none in common once in 37,000.
+KEYS, HASHES = 20, 4
+#: Larger buckets compare their members with some of them, other ones for each key.
+PAIRED_BUCKET, REFERENCES = 64, 8
+#: Row numbers up to this number are broadcast (16 MB); more are joined by shuffling.
+BROADCAST_ROWS = 1_000_000
+_TIMES, _PLUS = np.random.default_rng(17).integers(1, 2**63, (2, KEYS * HASHES), dtype=np.uint64)
+
+
+def _distinct(text: str | None, width: int) -> np.ndarray:
+    return np.unique(hashes(words_of(text), width))
+
+
+def _keys(h: np.ndarray) -> np.ndarray:
+    """Keys of a set of hashes: each from the least values of some hash functions."""
+    if not h.size:
+        return np.zeros(KEYS, np.int64)
+    least = np.full(KEYS * HASHES, 2**64 - 1, np.uint64)
+    for i in range(0, h.size, 4096):
+        least = np.minimum(least, (h[i : i + 4096, None] * (_TIMES | np.uint64(1)) + _PLUS).min(0))
+    out = np.zeros(KEYS, np.uint64)
+    for part in least.reshape(KEYS, HASHES).T:
+        out = (out ^ part) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out.view(np.int64)
+
+
+def near_copies(docs: DataFrame, width: int = NEAR_WORDS, similarity: float = SIMILARITY, radius: int = NEAR_RADIUS) -> DataFrame:
+    """``row``, ``doc_id`` and ``kept``: which row of each group of near copies stays (the smallest doc_id, then place).
+
+    Rows link where the Jaccard similarity of their sets of ``width``-word shingles is ``similarity`` or more, and where
+    their words are equal. At this similarity fingerprints differ in too many bits for keys of equal bits, so pairs are
+    formed by keys of least hashes instead; the pivot table discards those that are further apart than ``radius``, and
+    the survivors' sets are compared exactly. Buckets with many members pair each with a few references, other ones for
+    each of the keys, which joins a group without its pairs.
+    """
+
+    def described(batches):
+        for batch in batches:
+            digest, fp, keys = [], [], []
+            for t in batch.column(2).to_pylist():
+                words = words_of(t)
+                digest.append(xxhash.xxh3_128_hexdigest(b" ".join(words)))
+                h = np.unique(hashes(words, width))
+                fp.append(fingerprint(h))
+                keys.append(_keys(h))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(digest), pa.array(fp, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
+                names=["row", "doc_id", "digest", "fp", "keys"],
+            )
+
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    known = stored(rows.mapInArrow(described, "row long, doc_id long, digest string, fp long, keys array<long>"), "near")
+    classes = stored(known.groupBy("digest").agg(F.min("row").alias("id"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "near_classes")
+    pairs = stored(_key_pairs(classes, radius), "near_pairs")
+    links = durable(_similar(rows, pairs, width, similarity))
+    part = connected_components(links)
+    group = classes.join(part, classes["id"] == part["node"], "left").select("digest", F.coalesce("component", "id").alias("group"))
+    grouped = known.select("row", "doc_id", "digest").join(group, "digest")
+    first = grouped.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
+    return grouped.join(first, "group").select("row", "doc_id", (F.col("row") == F.col("first.row")).alias("kept"))
+
+
+def _key_pairs(classes: DataFrame, radius: int) -> DataFrame:
+    """Pairs (u, v) of classes with a key in common that the pivot table and the fingerprints don't rule out."""
+    table = classes.select("id", "fp", pivot_distances(F.col("fp")).alias("pivots"), F.posexplode("keys").alias("which", "key"))
+    order = F.xxhash64("id", "which")
+    buckets = table.groupBy("which", "key").agg(F.count("*").alias("n"), F.min(F.struct(order.alias("o"), "id")).alias("least")).where("n > 1")
+    members = table.join(buckets.select("which", "key", "n"), ["which", "key"])
+    small = members.where(F.col("n") <= PAIRED_BUCKET)
+    large = members.where(F.col("n") > PAIRED_BUCKET)
+    # a large bucket's references: the least ids by hash in each of a few parts
+    parts = F.pmod(F.xxhash64("id", "key"), F.lit(REFERENCES))
+    chosen = large.groupBy("which", "key", parts.alias("p")).agg(F.min(F.struct(order.alias("o"), "id", "fp", "pivots")).alias("r"))
+    chosen = chosen.select("which", "key", "r.id", "r.fp", "r.pivots")
+
+    def paired(left: DataFrame, right: DataFrame, both: bool) -> DataFrame:
+        a, b = left.alias("a"), right.alias("b")
+        on = (F.col("a.which") == F.col("b.which")) & (F.col("a.key") == F.col("b.key"))
+        on = on & ((F.col("a.id") != F.col("b.id")) if both else (F.col("a.id") < F.col("b.id")))
+        gap = F.array_max(F.zip_with("a.pivots", "b.pivots", lambda x, y: F.abs(x - y)))
+        near = a.join(b, on).where(gap <= radius).where(F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= radius)
+        return near.select(F.least("a.id", "b.id").alias("u"), F.greatest("a.id", "b.id").alias("v"))
+
+    return paired(small, small, False).unionByName(paired(large, chosen, True)).distinct()
+
+
+def _similar(rows: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs whose sets of shingles are similar; only their members' texts are read for it."""
+    ids = pairs.select(F.explode(F.array("u", "v")).alias("row")).distinct()
+    ids = durable(ids)
+    mine = rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "row", "left_semi")
+
+    def sets(batches):
+        for batch in batches:
+            own = [_distinct(t, width).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], names=["row", "shingles"])
+
+    sets_ = stored(mine.select("row", "text").mapInArrow(sets, "row long, shingles binary"), "shingles")
+    with_u = pairs.join(sets_.select(F.col("row").alias("u"), F.col("shingles").alias("a")), "u")
+    both = with_u.join(sets_.select(F.col("row").alias("v"), F.col("shingles").alias("b")), "v").select("u", "v", "a", "b")
+
+    def compared(batches):
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(common >= similarity * (len(x) + len(y) - common))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["u", "v"])
+
+    return both.mapInArrow(compared, "u long, v long")
+
+
+def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with one row of each group of near copies, all columns kept.
+
+    Null and empty texts are copies of each other. ``docs`` must give the same rows in the same order each time it is
+    read, as a table in files does.
+    """
+    gone = durable(near_copies(docs, **options).where(~F.col("kept")).select(F.col("row").alias("__row")))
+    rows = docs.withColumn("__row", F.monotonically_increasing_id())
+    return rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "__row", "left_anti").drop("__row")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op4: components of all documents by three-word SimHash at three bits."""
     return link(spark.read.parquet(f"{sf_dir}/documents.parquet"))
