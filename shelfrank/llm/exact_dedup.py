@@ -1,7 +1,7 @@
 """Suffix-array dedup: bytes covered by a long string that also starts earlier in the corpus.
 
 Equal strings of 100 bytes must meet in one shard. Each such window is dealt by its minimizer (the least hash among its
-16-byte strings), so equal windows have equal keys wherever they stand, and consecutive windows with one minimizer travel
+32-byte strings), so equal windows have equal keys wherever they stand, and consecutive windows with one minimizer travel
 as one segment. Three passes over the texts keep what is shuffled small: the first counts keys; the second, for keys
 that occur again, settles segments that repeat whole by their hash; the third takes only the texts of keys under which
 segments differ into shards, where suffix arrays and permuted common prefixes find the windows they share. Sets of keys
@@ -18,11 +18,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfrank.llm import suffixes
-from shelfrank.llm.common import durable, stored
+from shelfrank.llm.common import stored
 
 WINDOW = 100
-GRAM = 16
-SLICE_BYTES = 2_000_000
+GRAM = 32
+SLICE_BYTES = 3_000_000
 SHARD_BYTES = 2_000_000
 #: A key with more different segments than this is dealt further, by where the minimizer lies in the window.
 HOT_SEGMENTS = 1000
@@ -105,7 +105,7 @@ def key_set(keys: DataFrame) -> KeySet | None:
             both = np.concatenate(KeySet.probes(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), n))
             yield pa.RecordBatch.from_arrays([pa.array(both // PAGE), pa.array((both % PAGE).astype(np.int32))], names=["page", "bit"])
 
-    def page(key, group: pd.DataFrame) -> pd.DataFrame:
+    def page(key, group):
         bits = np.zeros(PAGE, np.uint8)
         bits[group["bit"].to_numpy()] = 1
         return pd.DataFrame({"page": [key[0]], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
@@ -159,6 +159,24 @@ def _covered(text: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.n
     return text[first], start[first], (reach - shift)[np.append(first[1:], len(text)) - 1]
 
 
+def _places(batch):
+    """(doc_id, row) of a batch: ids as Arrow and, with their validity, as numbers."""
+    ids = batch.column(0)
+    return ids, batch.column(1).to_numpy(), ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False)
+
+
+def _digests(view: memoryview, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """128-bit hashes of spans, as two longs each."""
+    return np.frombuffer(b"".join([xxhash.xxh3_128_digest(view[a : a + s]) for a, s in zip(at.tolist(), size.tolist(), strict=True)]), np.int64).reshape(-1, 2)
+
+
+def _first_of_each(h: np.ndarray, rank: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Segments that come first among those with their hash, and the others."""
+    order = np.lexsort((start, rank, h[:, 1], h[:, 0]))
+    same = np.concatenate([np.zeros(min(1, len(h)), bool), (h[order][1:] == h[order][:-1]).all(1)])
+    return order[~same], order[same]
+
+
 def _count_keys(docs: DataFrame, window: int) -> DataFrame:
     def run(batches):
         for batch in batches:
@@ -179,8 +197,7 @@ def _whole(docs: DataFrame, again: KeySet, window: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             raws = _raws(batch)
-            ids, rows = batch.column(0), batch.column(1).to_numpy()
-            doc, known = ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False)
+            ids, rows, doc, known = _places(batch)
             for g in _slices(raws):
                 (text, start, n, _, key), data, begin = keyed_segments(raws[g], window)
                 on = sent.value.has(key)
@@ -188,13 +205,8 @@ def _whole(docs: DataFrame, again: KeySet, window: int) -> DataFrame:
                 if not len(text):
                     continue
                 view = memoryview(data)
-                at = (begin[text] + start).tolist()
-                size = (n + window - 1).tolist()
-                h = np.frombuffer(b"".join([xxhash.xxh3_128_digest(view[a : a + s]) for a, s in zip(at, size, strict=True)]), np.int64).reshape(-1, 2)
-                rank = _order(doc[g], known[g], rows[g])[text]
-                order = np.lexsort((start, rank, h[:, 1], h[:, 0]))
-                same = np.concatenate([[False], (h[order][1:] == h[order][:-1]).all(1)])
-                first, later = order[~same], order[same]
+                h = _digests(view, begin[text] + start, n + window - 1)
+                first, later = _first_of_each(h, _order(doc[g], known[g], rows[g])[text], start)
                 covered = _covered(text[later], start[later], start[later] + n[later] + window - 1)
                 t = np.concatenate([text[first], covered[0]])
                 pick = pa.array(t + g.start)
@@ -212,6 +224,53 @@ def _whole(docs: DataFrame, again: KeySet, window: int) -> DataFrame:
     return _rows(docs).mapInArrow(run, "key long, h1 long, h2 long, doc_id long, row long, start long, n long")
 
 
+def _settled(whole: DataFrame, window: int) -> DataFrame:
+    """Intervals settled by whole segments, as (null, doc_id, row, start, end); and (key, ..., kinds) of keys with different segments.
+
+    Each key's segments come in order of content and place, so a task only remembers the first of the last content.
+    """
+    sorted_ = whole.where("key is not null").repartition("key").sortWithinPartitions("key", "h1", "h2", "doc_id", "row", "start")
+
+    def run(batches):
+        last_key, last_h, kinds = None, None, 0
+        for batch in batches:
+            key, h1, h2, n = (batch.column(i).to_numpy() for i in (0, 1, 2, 6))
+            if not len(key):
+                continue
+            h = np.stack([key, h1, h2], 1)
+            again = np.concatenate([[last_h is not None and bool((h[0] == last_h).all())], (h[1:] == h[:-1]).all(1)])
+            new_key = np.concatenate([[last_key is None or key[0] != last_key], key[1:] != key[:-1]])
+            before = np.cumsum(~again)
+            edge = np.flatnonzero(new_key)
+            # kinds of the keys that end within the batch, the one carried over included
+            upto = np.concatenate([before[edge] - (~again[edge]).astype(int), [before[-1]]])
+            counts = np.diff(np.concatenate([[0], upto]))
+            counts[0] += kinds
+            ended = np.concatenate([[last_key if last_key is not None else 0], key[edge]])[:-1] if len(edge) else np.zeros(0, np.int64)
+            done = counts[:-1]
+            many = np.flatnonzero(done > 1)
+            take = pa.array(np.flatnonzero(again))
+            start = batch.column(5).take(take).to_numpy()
+            nulls = pa.nulls(len(many), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.concat_arrays([pa.nulls(len(take), pa.int64()), pa.array(ended[many], pa.int64())]),
+                    pa.concat_arrays([batch.column(3).take(take), nulls]), pa.concat_arrays([batch.column(4).take(take), nulls]),
+                    pa.concat_arrays([pa.array(start, pa.int64()), nulls]),
+                    pa.concat_arrays([pa.array(start + n[again] + window - 1, pa.int64()), pa.array(done[many], pa.int64())]),
+                ],
+                names=["key", "doc_id", "row", "start", "end"],
+            )
+            last_key, last_h, kinds = key[-1], h[-1], int(counts[-1])
+        if last_key is not None and kinds > 1:
+            none = pa.nulls(1, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([last_key], pa.int64()), none, none, none, pa.array([kinds], pa.int64())], names=["key", "doc_id", "row", "start", "end"])
+
+    end = (F.col("start") + F.col("n") + (window - 1)).alias("end")
+    before = whole.where("key is null").select("key", "doc_id", "row", "start", end)
+    return before.unionByName(sorted_.mapInArrow(run, f"key long, {ROW}, start long, end long"))
+
+
 def _texts(docs: DataFrame, differ: KeySet, hot: KeySet | None, window: int) -> DataFrame:
     """Texts of the segments under keys with different segments; those of hot keys are dealt further by offset."""
     sent = docs.sparkSession.sparkContext.broadcast((differ, hot))
@@ -219,7 +278,7 @@ def _texts(docs: DataFrame, differ: KeySet, hot: KeySet | None, window: int) ->
     def run(batches):
         for batch in batches:
             raws = _raws(batch)
-            ids = batch.column(0)
+            ids, rows, doc, known = _places(batch)
             for g in _slices(raws):
                 (text, start, n, offset, key), data, begin = keyed_segments(raws[g], window)
                 many, few = sent.value[0], sent.value[1]
@@ -238,14 +297,28 @@ def _texts(docs: DataFrame, differ: KeySet, hot: KeySet | None, window: int) ->
                 start, n, text = start[at] + from_, to - from_ + 1, text[at]
                 view = memoryview(data)
                 a = begin[text] + start
-                own = [bytes(view[x : x + s]) for x, s in zip(a.tolist(), (n + window - 1).tolist(), strict=True)]
-                pick = pa.array(text + g.start)
+                # parts of one content in the slice: the first goes on, the others are settled (key and end, no text)
+                first, later = _first_of_each(_digests(view, a, n + window - 1), _order(doc[g], known[g], rows[g])[text], start)
+                covered = _covered(text[later], start[later], start[later] + n[later] + window - 1)
+                own = [bytes(view[x : x + s]) for x, s in zip(a[first].tolist(), (n[first] + window - 1).tolist(), strict=True)]
+                at = np.concatenate([text[first], covered[0]])
+                pick = pa.array(at + g.start)
+                spread = _mixed(rows[g][covered[0]] + covered[1])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(own, pa.binary()), ids.take(pick), batch.column(1).take(pick), pa.array(start)],
-                    names=["key", "text", "doc_id", "row", "start"],
-                )
+                    [
+                        pa.array(np.concatenate([key[first].view(np.int64), spread])), pa.array(own + [None] * len(covered[0]), pa.binary()), ids.take(pick),
+                        batch.column(1).take(pick), pa.array(np.concatenate([start[first], covered[1]])),
+                        pa.array(np.concatenate([start[first] + n[first] + window - 1, covered[2]])),
+                    ],
+                    names=["key", "text", "doc_id", "row", "start", "end"],
+                )
+
+    return _rows(docs).mapInArrow(run, f"key long, text binary, {ROW}, start long, end long")
+
 
-    return _rows(docs).mapInArrow(run, "key long, text binary, doc_id long, row long, start long")
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Keys that deal settled intervals evenly."""
+    return (x.astype(np.uint64) * np.uint64(_BASE)).view(np.int64)
 
 
 def _shard(texts: list[bytes], doc: np.ndarray, known: np.ndarray, row: np.ndarray, start: np.ndarray, window: int):
@@ -271,32 +344,35 @@ def _shard(texts: list[bytes], doc: np.ndarray, known: np.ndarray, row: np.ndarr
 
 def _shared_windows(texts: DataFrame, window: int) -> DataFrame:
     """Intervals of windows that stand earlier in another segment of their key."""
-    firsts = texts.groupBy("key", "text").agg(F.min(F.struct("doc_id", "row", "start")).alias("p")).select("key", "text", "p.doc_id", "p.row", "p.start")
-    dealt = firsts.repartition("key").sortWithinPartitions("key")
+    dealt = texts.repartition("key").sortWithinPartitions("key", "text", "doc_id", "row", "start")
 
     def run(batches):
         held: list[tuple] = []
-        size, last = 0, None
+        passed: list[tuple] = []
+        size = 0
+        names = ["doc_id", "row", "start", "end"]
 
         def flush():
-            key, text, doc, row, start = zip(*held, strict=True)
-            known = np.array([d is not None for d in doc])
-            own = [np.array([d or 0 for d in doc], np.int64), known, np.array(row, np.int64), np.array(start, np.int64)]
-            segment, a, b = _shard(list(text), *own, window)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([doc[i] for i in segment], pa.int64()), pa.array(own[2][segment]), pa.array(a), pa.array(b)], names=["doc_id", "row", "start", "end"]
-            )
+            if held:
+                _, text, doc, row, start, _ = zip(*held, strict=True)
+                known = np.array([d is not None for d in doc])
+                own = [np.array([d or 0 for d in doc], np.int64), known, np.array(row, np.int64), np.array(start, np.int64)]
+                segment, a, b = _shard(list(text), *own, window)
+                yield pa.RecordBatch.from_arrays([pa.array([doc[i] for i in segment], pa.int64()), pa.array(own[2][segment]), pa.array(a), pa.array(b)], names=names)
+            if passed:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*passed, strict=True)], names=names)
 
         for batch in batches:
             for record in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if record[0] != last and size > SHARD_BYTES:
-                    yield flush()
-                    held, size = [], 0
+                if record[1] is None or held and record[:2] == held[-1][:2]:
+                    passed.append(record[2:])  # settled before, or the same content as the one kept, which comes first
+                    continue
+                if size > SHARD_BYTES and record[0] != held[-1][0]:
+                    yield from flush()
+                    held, passed, size = [], [], 0
                 held.append(record)
                 size += len(record[1])
-                last = record[0]
-        if held:
-            yield flush()
+        yield from flush()
 
     return dealt.mapInArrow(run, f"{ROW}, start long, end long")
 
@@ -306,20 +382,14 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, hot: int = HOT_SEGMENT
 
     Rows are ordered by doc_id (nulls first), then by place in the table; the spans of a row may overlap.
     """
-    again = key_set(_count_keys(docs, window).where("n > 1"))
+    again = key_set(stored(_count_keys(docs, window).where("n > 1").select("key"), "keys"))
     spark = docs.sparkSession
     if again is None:
         return spark.createDataFrame([], f"{ROW}, starts array<long>, ends array<long>")
     whole = stored(_whole(docs, again, window), "segments")
-    part = ["key", "h1", "h2"]
-    firsts = whole.where("key is not null").groupBy(*part).agg(F.min(F.struct("doc_id", "row", "start")).alias("first"), F.count("*").alias("m"))
-    firsts = durable(firsts)
-    end = (F.col("start") + F.col("n") + (window - 1)).alias("end")
-    settled = whole.where("key is null").select("doc_id", "row", "start", end)
-    here = F.struct("doc_id", "row", "start")
-    copies = whole.join(firsts.where("m > 1"), part).where(~here.eqNullSafe(F.col("first"))).select("doc_id", "row", "start", end)
-    found = settled.unionByName(copies)
-    kinds = durable(firsts.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1"))
+    settled = stored(_settled(whole, window), "settled")
+    found = settled.where("key is null").select("doc_id", "row", "start", "end")
+    kinds = settled.where("key is not null").select("key", F.col("end").alias("kinds"))
     differ = key_set(kinds)
     if differ is not None:
         crowded = key_set(kinds.where(F.col("kinds") > hot))
