@@ -14,6 +14,7 @@ import hashlib
 import os
 import re
 from dataclasses import dataclass
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -22,14 +23,25 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfrank.llm.common import bounded_batches
+
 #: A chunk ends where the low bits of the rolling hash are zero: about every 512 bytes, at 8192 bytes at most.
 CHUNK_BITS = 9
 LONGEST_CHUNK = 8192
 #: Shared chunks that are encoded once for the whole table; it bounds what is sent to executors (about 0.5 kB each).
 DICTIONARY = 20_000
 #: Words and chunks that a task remembers.
-REMEMBERED_WORDS, REMEMBERED_CHUNKS = 400_000, 20_000
+REMEMBERED_WORDS, REMEMBERED_CHUNKS = 700_000, 20_000
+#: Plain words: ASCII without angle brackets (which special tokens have) and the letters of Latin-1, lower-cased. The
+#: library's normalisation changes nothing in them and its cut into parts is the one of ``PART``; other words are
+#: left to the library whole.
+PLAIN = re.compile(r"[!-;=?-~à-öø-ÿ]+")
+PART = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿ]+|[0-9]|[^a-z0-9à-öø-ÿ]+")
 SPACE = re.compile(rb"[ \t\n\r\x0b\x0c]")
+# The letter by which byte-level vocabularies write each byte: its own where that can be seen, else the next after 255.
+_SEEN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_LETTER = {b: chr(b) for b in _SEEN} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_SEEN)))}
+BYTES = {c: "".join(_LETTER[b] for b in chr(c).encode()) for c in range(0xA0, 0x100)}
 _GEAR = np.random.default_rng(5).integers(0, 2**32, 256, dtype=np.uint32)
 
 
@@ -80,12 +92,15 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        self.source = source
         self.model = Tokenizer.from_str(source)
         self.model.no_truncation()
         self.model.no_padding()
         self.shared = shared or {}
+        self.parts: dict[str, tuple[int, ...]] = {}
         self.words: dict[bytes, tuple[int, ...]] = {}
         self.chunks: dict[bytes, tuple[int, ...] | None] = {}
+        self.numbers = list(range(self.model.get_vocab_size(with_added_tokens=True)))  # one object for each id
         self.names = [self.model.id_to_token(i) or "" for i in range(self.model.get_vocab_size(with_added_tokens=True))]
 
     def learn(self, texts: list[bytes]) -> None:
@@ -94,11 +109,26 @@ class Encoder:
         if len(self.words) + len(fresh) > REMEMBERED_WORDS:
             self.words = {}
             fresh = set(chain.from_iterable(t.split() for t in texts))
-        fresh = list(fresh)
-        for i in range(0, len(fresh), 4096):
-            part = fresh[i : i + 4096]
-            done = self.model.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            self.words.update(zip(part, (tuple(e.ids) for e in done), strict=True))
+        add, known, whole = self.words, self.parts, []
+        for w in fresh:
+            text = w.decode().lower()
+            if PLAIN.fullmatch(text) is None:
+                whole.append(w)
+                continue
+            parts = PART.findall(text)
+            ids = known.get(parts[0]) or self.part(parts[0])
+            for p in parts[1:]:
+                ids += known.get(p) or self.part(p)
+            add[w] = ids
+        done = self.model.encode_batch_fast([w.decode() for w in whole], add_special_tokens=False)
+        add.update(zip(whole, (tuple(e.ids) for e in done), strict=True))
+
+    def part(self, text: str) -> tuple[int, ...]:
+        """Ids of one part of a plain word, which are remembered."""
+        if len(self.parts) >= REMEMBERED_WORDS:
+            self.parts.clear()
+        own = self.parts[text] = tuple([self.numbers[t.id] for t in self.model.model.tokenize(text.translate(BYTES))])
+        return own
 
     def plain(self, raw: bytes) -> list[int]:
         """Ids of a text whose words are known."""
@@ -163,8 +193,15 @@ class Shared:
     chunks: object
 
 
+_LAST: list[Encoder] = []  # of this worker: what it has learnt serves its next task
+
+
 def _encoder(kept: Shared) -> Encoder:
-    return Encoder(kept.source.value, kept.chunks.value if kept.chunks is not None else None)
+    source = kept.source.value
+    if not _LAST or _LAST[0].source != source:
+        _LAST[:] = [Encoder(source)]
+    _LAST[0].shared = kept.chunks.value if kept.chunks is not None else {}
+    return _LAST[0]
 
 
 def share(docs: DataFrame, source: str, dictionary: int = DICTIONARY) -> Shared:
@@ -211,7 +248,7 @@ def share(docs: DataFrame, source: str, dictionary: int = DICTIONARY) -> Shared:
     def encoded(batches):
         encoder = None
         for batch in batches:
-            encoder = encoder or Encoder(sent.value)
+            encoder = encoder or _encoder(Shared(sent, None))
             found: dict[bytes, bytes] = {}
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = wanted.value.get(doc)
@@ -286,13 +323,17 @@ def decode(encoded: DataFrame, source: str | None = None) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
+@cache
+def _decimals(n: int) -> list[str]:
+    return [str(i) for i in range(n)]
+
+
 def digests(docs: DataFrame, source: str | None = None, dictionary: int = DICTIONARY) -> DataFrame:
     """Number and digest of each text's ids, and the digest of what they decode to."""
 
     def make(encoder, doc, ids, raw):
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-        numbers = [str(i) for i in range(len(encoder.names))] if not hasattr(encoder, "numbers") else encoder.numbers
-        encoder.numbers = numbers
+        numbers = _decimals(len(encoder.names))
         return [
             doc, pa.array(list(map(len, ids)), pa.int64()),
             pa.array([sha(" ".join(map(numbers.__getitem__, i))) for i in ids]), pa.array([sha(encoder.decode(i)) for i in ids]),
@@ -304,4 +345,5 @@ def digests(docs: DataFrame, source: str | None = None, dictionary: int = DICTIO
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op2: every document encoded and decoded."""
+    bounded_batches(spark)
     return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -18,6 +18,17 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+#: Rows of an Arrow batch where the session leaves Spark's default (10,000 rows, whatever their size).
+BATCH_ROWS = 1000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Makes Arrow batches of texts small enough for a Python worker, unless the session sets their size itself."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def durable(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder: its lineage is cut and a lost executor costs no recomputation."""
     shared_dir(df.sparkSession)

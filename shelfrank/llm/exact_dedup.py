@@ -18,12 +18,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfrank.llm import suffixes
-from shelfrank.llm.common import stored
+from shelfrank.llm.common import bounded_batches, stored
 
 WINDOW = 100
 GRAM = 32
-SLICE_BYTES = 3_000_000
-SHARD_BYTES = 2_000_000
+SLICE_BYTES = 2_000_000
+SHARD_BYTES = 1_500_000
 #: A key with more different segments than this is dealt further, by where the minimizer lies in the window.
 HOT_SEGMENTS = 1000
 OFFSETS = 8
@@ -397,6 +397,14 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, hot: int = HOT_SEGMENT
     return found.groupBy("doc_id", "row").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
 
 
+def _cut_text(text: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.DataFrame:
+    """``_cut`` with what is left as text; characters that lost some of their bytes are left out."""
+    out = _cut(text, starts, ends)
+    out["left"] = [len(k) for k in out["kept"]]
+    out["kept"] = [k.decode("utf-8", "ignore") for k in out["kept"]]
+    return out
+
+
 def _cut(text: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.DataFrame:
     kept, n_bytes, n_spans = [], [], []
     for t, a, b in zip(text, starts, ends, strict=True):
@@ -411,6 +419,13 @@ def _cut(text: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"kept": kept, "n_bytes": n_bytes, "n_spans": n_spans})
 
 
+def _joined(docs: DataFrame, window: int, hot: int, work, schema: str) -> DataFrame:
+    """``docs`` with a column ``__cut`` that ``work`` makes of each text and its spans."""
+    spans = repeated_spans(docs, window, hot).select(F.col("row").alias("__row"), "starts", "ends")
+    rows = docs.withColumn("__row", F.monotonically_increasing_id())
+    return rows.join(spans, "__row", "left").withColumn("__cut", F.pandas_udf(work, schema)(F.col("text").cast("string"), "starts", "ends"))
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW, hot: int = HOT_SEGMENTS) -> DataFrame:
     """All columns of ``docs`` and ``kept_bytes``, ``n_bytes``, ``n_removed`` and ``n_spans``.
 
@@ -419,10 +434,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, hot: int = HOT_SEGMENT
     never cross rows. A null text counts as empty, and texts shorter than the window keep all. Repeated rows are rows of
     their own. ``docs`` must give the same rows in the same order each time it is read, as a table in files does.
     """
-    spans = repeated_spans(docs, window, hot).select(F.col("row").alias("__row"), "starts", "ends")
-    rows = docs.withColumn("__row", F.monotonically_increasing_id())
-    cut = F.pandas_udf(_cut, "kept binary, n_bytes long, n_spans long")
-    joined = rows.join(spans, "__row", "left").withColumn("__cut", cut(F.col("text").cast("string"), "starts", "ends"))
+    joined = _joined(docs, window, hot, _cut, "kept binary, n_bytes long, n_spans long")
     return joined.select(
         *[docs[c] for c in docs.columns if c not in ("kept_bytes", "n_bytes", "n_removed", "n_spans")],
         F.col("__cut.kept").alias("kept_bytes"), F.col("__cut.n_bytes").alias("n_bytes"),
@@ -430,8 +442,24 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, hot: int = HOT_SEGMENT
     )
 
 
+def without_repeats(docs: DataFrame, window: int = WINDOW, hot: int = HOT_SEGMENTS) -> DataFrame:
+    """``docs`` with the repeated bytes of ``text`` left out, all columns kept; rows of which nothing is left go.
+
+    Characters that lose some of their bytes go with them. Where there is a column ``n_chars``, it counts what is left.
+    Null, empty and unaffected texts stay as they are.
+    """
+    joined = _joined(docs, window, hot, _cut_text, "kept string, n_bytes long, n_spans long, left long")
+    changed = F.col("__cut.left") < F.col("__cut.n_bytes")
+    new = {"text": F.when(changed, F.col("__cut.kept")).otherwise(docs["text"])}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(changed, F.length("__cut.kept")).otherwise(docs["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    alive = joined.where((F.col("__cut.n_bytes") == 0) | (F.length("__cut.kept") > 0))
+    return alive.select(*[new[c].alias(c) if c in new else docs[c] for c in docs.columns])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op5: all documents without the bytes that stand earlier."""
+    bounded_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     done = remove_repeats(docs)
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))

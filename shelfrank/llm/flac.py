@@ -36,11 +36,25 @@ def crc8(columns: np.ndarray) -> np.ndarray:
     return crc
 
 
+def _crc16_pairs() -> np.ndarray:
+    """CRC-16 of every pair of bytes."""
+    pair = np.arange(1 << 16, dtype=np.uint16)
+    crc = CRC16[pair >> 8]
+    return CRC16[((crc >> 8) ^ (pair & 255)) & 255] ^ (crc << 8)
+
+
+CRC16_PAIRS = _crc16_pairs()
+#: Zeros before the first one of 16 bits.
+LEADING = np.array([16 - i.bit_length() for i in range(1 << 16)], dtype=np.uint8)
+
+
 def crc16(columns: np.ndarray) -> np.ndarray:
-    """CRC-16 of each column; leading zero bytes change nothing."""
+    """CRC-16 of each column; leading zero bytes change nothing. Two bytes are taken at a time."""
     crc = np.zeros(columns.shape[1], np.uint16)
-    for row in columns:
-        crc = CRC16[(crc >> 8).astype(np.uint8) ^ row] ^ (crc << 8)
+    if columns.shape[0] % 2:
+        columns = np.concatenate([np.zeros((1, columns.shape[1]), np.uint8), columns])
+    for high, low in zip(columns[::2], columns[1::2], strict=True):
+        crc = CRC16_PAIRS[crc ^ (high.astype(np.uint16) << 8 | low)]
     return crc
 
 
@@ -68,11 +82,19 @@ def _residuals(x: np.ndarray, order: int) -> np.ndarray:
     return np.diff(x, n=order, axis=0) if order else x
 
 
-def _rice(res: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Best parameter of each column and the bits it takes."""
-    u = np.where(res < 0, -2 * res - 1, 2 * res)
-    bits = np.stack([(u >> k).sum(0) + (1 + k) * u.shape[0] for k in range(8)])
-    return bits.argmin(0), bits.min(0)
+def _guess(res: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A parameter for each column, from the mean of its residuals, and about the bits that it takes."""
+    total = (2 * np.abs(res)).sum(0)
+    k = np.clip(np.floor(np.log2(np.maximum(total / len(res) * np.log(2), 1))), 0, 7).astype(np.int64)
+    return k, len(res) * (1 + k) + (total >> k)
+
+
+def _rice(u: np.ndarray, guess: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The best parameter of each column among the guess and its neighbours, and the bits that it takes."""
+    tried = np.stack([np.clip(guess + d, 0, 7) for d in (-1, 0, 1)])
+    bits = np.stack([(u >> k).sum(0) + (1 + k) * len(u) for k in tried])
+    best = bits.argmin(0)
+    return np.take_along_axis(tried, best[None], 0)[0], np.take_along_axis(bits, best[None], 0)[0]
 
 
 def _linear(x: np.ndarray, order: int, precision: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -101,23 +123,28 @@ def encode(payloads: list[bytes], lpc_order: int = 4, precision: int = 10) -> li
     number = np.concatenate([np.arange(c) for c in counts])
     x = np.ascontiguousarray(np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, BLOCK).T).astype(np.int32) - 128
     frames = x.shape[1]
-    fixed = [(_residuals(x, o), 8 * o) for o in range(5)]
     coef, shift, res = _linear(x, lpc_order, precision)
-    tried = [*fixed, (res, (8 + precision) * lpc_order + 9)]
-    params, costs = zip(*[(k, bits + extra) for (r, extra) in tried for k, bits in [_rice(r)]], strict=True)
-    choice = np.stack(costs).argmin(0)
+    tried = [*((_residuals(x, o), 8 * o) for o in range(5)), (res, (8 + precision) * lpc_order + 9)]
+    guesses, guessed = zip(*((k, bits + extra) for r, extra in tried for k, bits in [_guess(r)]), strict=True)
+    choice = np.stack(guessed).argmin(0)
     constant = (x == x[0]).all(0)
     choice[constant] = 6
-    verbatim = ~constant & (np.stack(costs).min(0) >= 8 * BLOCK)
-    choice[verbatim] = 7
+    k, body = np.zeros(frames, np.int64), np.where(constant, 16, 0)
+    folded = {}
+    for c in range(6):
+        f = np.flatnonzero(choice == c)
+        r = tried[c][0][:, f]
+        folded[c] = np.where(r < 0, -2 * r - 1, 2 * r)
+        k[f], bits = _rice(folded[c], guesses[c][f])
+        body[f] = 8 + bits + tried[c][1] + 10
+    verbatim = body >= 8 + 8 * BLOCK
+    body[verbatim] = 8 + 8 * BLOCK
 
     heads = [b"\xff\xf8\x24\x02" + _coded_number(int(i)) for i in range(int(number.max()) + 1)]
     head_len = np.array([len(h) for h in heads])[number]
     flat = np.frombuffer(b"".join(heads[i] for i in number), np.uint8)
     head_at = np.concatenate([[0], np.cumsum(head_len)])[:-1]
     head_crc = crc8(_right_aligned(flat, head_at, head_len))
-    k = np.stack([*params, np.zeros(frames, np.int64), np.zeros(frames, np.int64)])[choice, np.arange(frames)]
-    body = 8 + np.stack([*(c + 10 for c in costs), np.full(frames, 8), np.full(frames, 8 * BLOCK)])[choice, np.arange(frames)]
     size = head_len + 1 + (body + 7) // 8 + 2
     start = np.concatenate([[0], np.cumsum(size)])
     bits = np.zeros(int(start[-1]) * 8, np.uint8)
@@ -127,21 +154,21 @@ def encode(payloads: list[bytes], lpc_order: int = 4, precision: int = 10) -> li
             bits[at + b] = (value >> (width - 1 - b)) & 1
 
     at = (start[:-1] + head_len + 1) * 8
-    kind = np.array([8, 9, 10, 11, 12, 32 + lpc_order - 1, 0, 1])[choice]
+    kind = np.where(verbatim, 1, np.array([8, 9, 10, 11, 12, 32 + lpc_order - 1, 0])[choice])
     put(at, kind << 1, 8)
     at = at + 8
-    for c in range(8):
+    for i in range(BLOCK if verbatim.any() else 0):
+        put(at[verbatim] + 8 * i, x[i, verbatim] & 255, 8)
+    for c in range(7):
         f = np.flatnonzero(choice == c)
+        coded = ~verbatim[f]
+        f = f[coded]
         if not f.size:
             continue
         here, own = at[f], x[:, f]
         if c == 6:
             put(here, own[0] & 255, 8)
             continue
-        if c == 7:
-            for i in range(BLOCK):
-                put(here + 8 * i, own[i] & 255, 8)
-            continue
         order = c if c < 5 else lpc_order
         for i in range(order):
             put(here + 8 * i, own[i] & 255, 8)
@@ -155,8 +182,7 @@ def encode(payloads: list[bytes], lpc_order: int = 4, precision: int = 10) -> li
                 here = here + precision
         put(here + 6, k[f], 4)
         here = here + 10
-        r = tried[c][0][:, f]
-        u = np.where(r < 0, -2 * r - 1, 2 * r)
+        u = folded[c][:, coded]
         q = u >> k[f]
         width = q + 1 + k[f]
         ends = np.cumsum(width, axis=0) + here
@@ -248,17 +274,26 @@ def decode_frames(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.nd
     extra = np.where(lead < 0x80, 0, np.where(lead < 0xE0, 1, np.where(lead < 0xF0, 2, np.where(lead < 0xF8, 3, np.where(lead < 0xFC, 4, 5)))))
     if crc8(_right_aligned(data, begin, 6 + extra)).any():
         raise ValueError("a frame header's checksum is wrong")
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    word = np.zeros(data.size + 4, np.int64)
-    for b in range(4):
-        word = (word << 8) | padded[b : b + data.size + 4]
-    bits = np.unpackbits(data)
-    ones = np.append(np.flatnonzero(bits), bits.size)
-    rank = np.cumsum(bits, dtype=np.int32) - bits
+    padded = np.concatenate([data, np.zeros(16, np.uint8)])
+    word = np.zeros(data.size + 8, np.uint64)  # the eight bytes from each byte on
+    for b in range(8):
+        word = (word << np.uint64(8)) | padded[b : b + data.size + 8]
+
+    def window(at: np.ndarray) -> np.ndarray:
+        """57 bits or more from bit ``at``, at the top of a word."""
+        return word[at >> 3] << (at & 7).astype(np.uint64)
 
     def take(at: np.ndarray, width) -> np.ndarray:
         """``width`` bits (25 at most) from bit ``at``."""
-        return (word[at >> 3] >> (32 - (at & 7) - width)) & ((1 << width) - 1)
+        width = np.asarray(width, np.uint64)
+        return ((window(at) >> np.uint64(1)) >> (np.uint64(63) - width)).astype(np.int64)
+
+    ones: list[np.ndarray] = []
+
+    def next_one(at: np.ndarray) -> np.ndarray:
+        if not ones:
+            ones.append(np.append(np.flatnonzero(np.unpackbits(data)), data.size * 8))
+        return ones[0][np.searchsorted(ones[0], at)]
 
     def signed(v: np.ndarray, width) -> np.ndarray:
         return v - ((v >> (width - 1) & 1) << width)
@@ -321,15 +356,21 @@ def decode_frames(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.nd
             pos = pos + np.where(escape, 5, 0)
             boundary = np.where(due, following, boundary)
             following = np.where(due, following + span, following)
-        q = ones[rank[pos]] - pos
-        after = pos + q + 1
-        u = (q << k) | take(after, k)
-        value, nxt = (u >> 1) ^ -(u & 1), after + k
+        w = window(pos)
+        q = LEADING[w >> np.uint64(48)].astype(np.int64)
+        far = q == 16
+        if far.any():
+            q[far] = next_one(pos[far]) - pos[far]
+            low = take(pos + q + 1, k)
+        else:
+            low = ((w << (q + 1).astype(np.uint64) >> np.uint64(1)) >> (63 - k).astype(np.uint64)).astype(np.int64)
+        u = (q << k) | low
+        value, nxt = (u >> 1) ^ -(u & 1), pos + q + 1 + k
         if i < most or (raw >= 0).any():
             live, plain = o <= i, raw < 0
             value = np.where(live, np.where(plain, value, np.where(raw > 0, signed(take(pos, np.maximum(raw, 0)), np.maximum(raw, 1)), 0)), 0)
             nxt = np.where(live, np.where(plain, nxt, pos + raw), pos)
-        res[i], pos = value, np.minimum(nxt, bits.size - 1)
+        res[i], pos = value, np.minimum(nxt, data.size * 8 - 1)
     for i in range(BLOCK):
         on = slice(None) if i >= most else np.flatnonzero(o <= i)
         pred = 0

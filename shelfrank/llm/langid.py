@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfrank.llm.common import bounded_batches
+
 HELD_OUT = 2
 WORD = re.compile(r"[^\W\d_]+")
 #: Documents that training reads at most, in expectation; they are chosen by a hash of their id.
@@ -283,6 +285,7 @@ def keep_identified(docs: DataFrame, least: float = 0.5, train_docs: int = TRAIN
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op1: the language of every document."""
+    bounded_batches(spark)
     found = identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == HELD_OUT, F.lit(False))
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfrank.llm import flac
+from shelfrank.llm.common import bounded_batches
 
 #: Frames that one call of the codec works on side by side; it bounds a task's memory.
 FRAMES = 4096
@@ -119,4 +120,5 @@ def pcm_blocks(media: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op9: every document stored as FLAC, read back and described."""
+    bounded_batches(spark)
     return describe(to_flac(spark.read.parquet(f"{sf_dir}/documents.parquet")))

@@ -3,22 +3,25 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfrank.llm.common import connected_components, durable, stored
 
 THRESHOLD = 0.95
 #: Neighbours kept of each vector at first, and members of a neighbourhood that are compared in a round.
-NEIGHBOURS, MEMBERS = 8, 48
+NEIGHBOURS, MEMBERS = 8, 32
+#: Neighbours that a member takes from one neighbourhood.
+INTRODUCED = 3
 #: First graph: trees of random hyperplanes with leaves of about so many vectors, compared in blocks.
 TREES, LEAF, LEAF_BLOCK = 4, 48, 256
-#: Rounds end when one adds less than this share of links; at most so many.
-GAIN, ROUNDS = 0.001, 12
+#: Rounds before the first audit, and at most.
+LEAST_ROUNDS, ROUNDS = 2, 10
 #: Audit: vectors compared with all others by brute force, and the recall of links that is asked for.
 AUDIT, RECALL = 64, 0.99
+#: Vectors of a block when the links within a component are counted.
+COUNT_BLOCK = 512
 SEED = 3
 
 
@@ -45,12 +48,6 @@ def _matrix(units: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(units), np.float64).reshape(len(units), -1)
 
 
-def _mixed(x: np.ndarray, seed: int) -> np.ndarray:
-    """A hash of ids that is another order in every round."""
-    h = (x.astype(np.uint64) + np.uint64(seed * 0x9E3779B9 + 1)) * np.uint64(0xBF58476D1CE4E5B9)
-    return (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-
-
 def _grouped(df: DataFrame, key: str, work, schema: str) -> DataFrame:
     """``work(key, rows)`` for each run of rows with one ``key``, in sorted partitions; ``work`` returns tuples of arrays.
 
@@ -94,21 +91,19 @@ def _grouped(df: DataFrame, key: str, work, schema: str) -> DataFrame:
     return df.select(*columns).mapInArrow(run, schema)
 
 
-def _best(ids: np.ndarray, sims: np.ndarray, k: int, threshold: float):
-    """For each member its ``k`` most similar others and all that reach the threshold, as (u, v, sim), each pair once a side."""
+def _best(ids: np.ndarray, sims: np.ndarray, k: int):
+    """For each member its ``k`` most similar others, as (u, v, sim)."""
     n = len(ids)
     np.fill_diagonal(sims, -2)
-    keep = sims >= threshold
     if n > k + 1:
-        top = np.argpartition(-sims, k, axis=1)[:, :k]
-        keep[np.arange(n)[:, None], top] = True
+        j = np.argpartition(-sims, k, axis=1)[:, :k].ravel()
+        i = np.repeat(np.arange(n), k)
     else:
-        keep = sims > -2
-    i, j = np.nonzero(keep)
+        i, j = np.nonzero(sims > -2)
     return ids[i], ids[j], sims[i, j]
 
 
-def first_graph(units: DataFrame, dim: int, count: int, k: int, threshold: float, trees: int = TREES, leaf: int = LEAF, seed: int = SEED) -> DataFrame:
+def first_graph(units: DataFrame, dim: int, count: int, k: int, trees: int = TREES, leaf: int = LEAF, seed: int = SEED) -> DataFrame:
     """Edges (u, v, sim) between vectors that share a leaf of a random-hyperplane tree.
 
     Leaves are compared in blocks of bounded size, dealt by a hash of the id, so a leaf that holds many vectors is many
@@ -138,27 +133,20 @@ def first_graph(units: DataFrame, dim: int, count: int, k: int, threshold: float
         parts = []
         for a in range(0, len(ids), 2 * LEAF_BLOCK):  # two blocks of one hash, or an uneven deal
             part = slice(a, a + 2 * LEAF_BLOCK)
-            parts.append(_best(ids[part], x[part] @ x[part].T, k, threshold))
+            parts.append(_best(ids[part], x[part] @ x[part].T, k))
         return tuple(np.concatenate([p[i] for p in parts]) for i in range(3))
 
     return _grouped(dealt, "group", work, "u long, v long, sim double")
 
 
-def _kept(edges: DataFrame, lists: DataFrame | None, k: int) -> DataFrame:
-    """The k nearest of each vector (more where its list was enlarged), each pair once."""
+def _kept(edges: DataFrame, k: int, threshold: float, longest: int) -> DataFrame:
+    """The k nearest of each vector. A list whose k places are all links is saturated and holds up to ``longest`` of them."""
     one = edges.groupBy("u", "v").agg(F.max("sim").alias("sim"))
-    if lists is not None:
-        one = one.join(lists, "u", "left")
-        size = F.coalesce("size", F.lit(k))
-    else:
-        size = F.lit(k)
-    from pyspark.sql import Window
+    ranked = one.withColumn("rank", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("sim"), "v")))
+    return ranked.where((F.col("rank") <= k) | (F.col("rank") <= longest) & (F.col("sim") >= threshold)).select("u", "v", "sim")
 
-    rank = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("sim"), "v"))
-    return one.withColumn("rank", rank).where(F.col("rank") <= size).select("u", "v", "sim")
 
-
-def descend(units: DataFrame, graph: DataFrame, dim: int, k: int, threshold: float, members: int, seed: int) -> DataFrame:
+def descend(units: DataFrame, graph: DataFrame, members: int, seed: int) -> DataFrame:
     """Edges found by one round: every vector introduces its neighbours, in both directions, to each other.
 
     A neighbourhood compares ``members`` of its members, chosen anew by hash in each round; what one round leaves out of
@@ -167,8 +155,6 @@ def descend(units: DataFrame, graph: DataFrame, dim: int, k: int, threshold: flo
     both = graph.select(F.col("u").alias("centre"), F.col("v").alias("id")).unionByName(graph.select(F.col("v").alias("centre"), F.col("u").alias("id"))).distinct()
     own = graph.select(F.col("u").alias("centre"), F.col("u").alias("id")).distinct()
     salt = F.xxhash64("centre", "id", F.lit(seed))
-    from pyspark.sql import Window
-
     chosen = both.unionByName(own).withColumn("r", F.row_number().over(Window.partitionBy("centre").orderBy(salt))).where(F.col("r") <= members)
     carried = chosen.select("centre", "id").join(units.select(F.col("id"), "unit"), "id")
     dealt = carried.repartition("centre").sortWithinPartitions("centre")
@@ -178,7 +164,7 @@ def descend(units: DataFrame, graph: DataFrame, dim: int, k: int, threshold: flo
         if len(ids) < 2:
             return None
         x = _matrix(rows.column("unit").to_pylist())
-        return _best(ids, x @ x.T, min(k, 4), threshold)
+        return _best(ids, x @ x.T, INTRODUCED)
 
     return _grouped(dealt, "centre", work, "u long, v long, sim double")
 
@@ -200,27 +186,25 @@ def _brute(units: DataFrame, queries: list[tuple[int, bytes]], threshold: float)
     return units.select("id", "unit").mapInArrow(run, "u long, v long")
 
 
-def near_links(
+def near_components(
     units: DataFrame, threshold: float = THRESHOLD, k: int = NEIGHBOURS, members: int = MEMBERS, rounds: int = ROUNDS,
     audit: int = AUDIT, recall: float = RECALL, seed: int = SEED,
 ) -> DataFrame:
-    """Links (u, v), both ways, between different vectors with cosine ``threshold`` or more.
+    """(node, component) of the vectors that are linked to another at cosine ``threshold`` or more.
 
     ``units`` has ``id`` and ``unit``, each vector once. NN-descent begins with a graph of random-hyperplane leaves; each
-    round compares the neighbours of every vector. All pairs found at the threshold are links, whatever the length of a
-    list. A list whose last place is held by a link is saturated and is doubled, until no list is. Rounds go on while
-    they add links or the audit, which compares a hashed choice of linked and other vectors with all vectors, finds too
-    few of the true links.
+    round compares the neighbours of every vector, and the edges at the threshold are links. Lists that are full of links
+    double with each round. After two rounds the links' components are audited: vectors chosen by hash, half of them
+    linked, are compared with all vectors, and rounds go on until ``recall`` of their true links lie within components.
     """
     first = units.select("unit").limit(1).collect()
     if not first:
-        return units.sparkSession.createDataFrame([], "u long, v long, sim double")
+        return units.sparkSession.createDataFrame([], "node long, component long")
     dim, count = len(first[0]["unit"]) // 8, units.count()
-    edges = stored(first_graph(units, dim, count, k, threshold, seed=seed), "leaf_edges")
-    graph = durable(_kept(edges, None, k))
-    links = durable(edges.where(F.col("sim") >= threshold).select("u", "v").distinct())
-    linked, lists = links.count(), None
-    # half of the audited vectors have links: others only show links that were missed whole
+    edges = stored(first_graph(units, dim, count, k, seed=seed), "leaf_edges")
+    graph = durable(_kept(edges, k, threshold, k))
+    near = F.col("sim") >= threshold
+    links = stored(edges.where(near & (F.col("u") < F.col("v"))).select("u", "v").distinct(), "links")
     with_links = links.select("u").distinct().orderBy(F.xxhash64("u", F.lit(seed))).limit(audit // 2)
     others = units.select(F.col("id").alias("u")).orderBy(F.xxhash64("id", F.lit(seed + 1))).limit(audit)
     chosen = [r["u"] for r in with_links.union(others).distinct().collect()]
@@ -228,42 +212,73 @@ def near_links(
     truth = durable(_brute(units, queries, threshold))
     true_links = truth.count()
     for r in range(rounds):
-        found = stored(descend(units, graph, dim, k, threshold, members, seed + r), "edges")
-        links = durable(links.unionByName(found.where(F.col("sim") >= threshold).select("u", "v")).distinct())
-        now = links.count()
-        got = truth.join(links, ["u", "v"], "left_semi").count() if true_links else 0
-        if now - linked <= GAIN * max(now, 1) and got >= recall * true_links:
-            break
-        merged = graph.unionByName(found.select("u", "v", "sim"))
-        size = F.coalesce("size", F.lit(k)) if lists is not None else F.lit(k)
-        at = links.groupBy("u").agg(F.count("*").alias("n"))
-        at = at.join(lists, "u", "left") if lists is not None else at
-        lists = durable(at.select("u", F.when(F.col("n") >= size, F.least(2 * size, F.lit(members))).otherwise(size).alias("size")).where(F.col("size") > k))
-        graph = durable(_kept(merged, lists, k))
-        linked = now
-    return links
-
-
-def link(
-    table: DataFrame, threshold: float = THRESHOLD, **options,
-) -> DataFrame:
+        found = stored(descend(units, graph, members, seed + r), "edges")
+        new = found.where(near).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+        links = stored(links.unionByName(new).distinct(), "links")
+        if r + 1 >= LEAST_ROUNDS:
+            part = durable(connected_components(links))
+            at = part.select(F.col("node").alias("u"), F.col("component").alias("cu")), part.select(F.col("node").alias("v"), F.col("component").alias("cv"))
+            got = truth.join(at[0], "u").join(at[1], "v").where("cu = cv").count() if true_links else 0
+            if got >= recall * true_links:
+                break
+        graph = durable(_kept(graph.unionByName(found), k, threshold, min(members, k << (r + 1))))
+    return part if rounds else connected_components(links)
+
+
+def count_links(classes: DataFrame, part: DataFrame, threshold: float = THRESHOLD, block: int = COUNT_BLOCK) -> DataFrame:
+    """(id, beyond): rows in other classes that each class of a component is linked to.
+
+    All vectors of a component are compared, in pairs of blocks; a pair of blocks gives a number for each of its vectors,
+    so the links themselves are never rows, however many there are.
+    """
+    sizes = part.groupBy("component").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    own = part.join(sizes, "component").join(classes.select(F.col("id").alias("node"), "unit", "m"), "node")
+    own = own.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    spread = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pair = F.xxhash64("component", F.least("mine", "other"), F.greatest("mine", "other"))
+    dealt = spread.select(pair.alias("group"), "component", "mine", (F.col("mine") == F.col("other")).alias("within"), F.col("node").alias("id"), "unit", "m")
+    dealt = dealt.repartition("group").sortWithinPartitions("group", "component", "mine")
+
+    def work(_, rows):
+        ids, m, mine = (rows.column(c).to_numpy() for c in ("id", "m", "mine"))
+        x = _matrix(rows.column("unit").to_pylist())
+        one = mine == mine[0]
+        counts = np.zeros(len(ids), np.int64)
+        if rows.column("within")[0].as_py():
+            for a in range(0, len(ids), block):
+                near = x[a : a + block] @ x.T >= threshold
+                near[np.arange(len(near)), np.arange(a, a + len(near))] = False
+                counts[a : a + block] = near @ m
+        else:
+            left, right = np.flatnonzero(one), np.flatnonzero(~one)
+            for a in range(0, len(left), block):
+                part_ = left[a : a + block]
+                near = x[part_] @ x[right].T >= threshold
+                counts[part_] = near @ m[right]
+                counts[right] += near.T @ m[part_]
+        return ids, counts
+
+    return _grouped(dealt, "group", work, "id long, n long").groupBy("id").agg(F.sum("n").alias("beyond"))
+
+
+def link(table: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
     """``vec_id``, ``n_links``, ``component_id`` and ``kept`` of every row, by cosine in double precision.
 
     Equal vectors are one class from the start, so copies form no pairs: a row's links are the other rows of its class
-    and all rows of the classes that its class is linked to. A class of vectors that can't link (null, empty, zero, or
-    with null or non-finite components) has single rows without links. ``component_id`` is the smallest vec_id that can
-    be reached, ``kept`` marks that row. Vectors of another length than most can't be compared and link to their copies
-    only. Repeated rows count as rows; a null vec_id is never the smallest; other columns are left behind.
+    and all rows of the classes that its class is linked to. NN-descent finds the components, and the links within each
+    are then counted exactly. Vectors that can't link (null, empty, zero, or with null or non-finite components) have no
+    links. ``component_id`` is the smallest vec_id that can be reached, ``kept`` marks that row. Vectors of another
+    length than most can't be compared and link to their copies only. Repeated rows count as rows; a null vec_id is
+    never the smallest; other columns are left behind.
     """
     rows = stored(unit_vectors(table), "units")
     able = rows.where("unit is not null")
     classes = stored(able.groupBy("unit").agg(F.min("vec_id").alias("id"), F.count("*").alias("m")).where("id is not null"), "classes")
     usual = classes.groupBy(F.length("unit").alias("n")).agg(F.count("*").alias("m")).orderBy(F.desc("m"), "n").first()
     units = classes.where(F.length("unit") == (usual["n"] if usual else 0)).select("id", "unit")
-    links = near_links(units, threshold, **options)
-    part = connected_components(links.where("u > v").select("u", "v"))
-    beyond = links.join(classes.select(F.col("id").alias("v"), "m"), "v").groupBy("u").agg(F.sum("m").alias("beyond"))
-    known = classes.join(beyond, classes["id"] == beyond["u"], "left").join(part, classes["id"] == part["node"], "left").select(
+    part = durable(near_components(units, threshold, **options))
+    beyond = count_links(classes, part, threshold)
+    known = classes.join(beyond, "id", "left").join(part, classes["id"] == part["node"], "left").select(
         "unit", (F.col("m") - 1 + F.coalesce("beyond", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id")
     )
     joined = rows.join(known, "unit", "left")

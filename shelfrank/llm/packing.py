@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfrank.llm import byte_ids
-from shelfrank.llm.common import stored
+from shelfrank.llm.common import bounded_batches, stored
 
 #: Permitted sequence lengths in tokens.
 LENGTHS = (512, 1024, 2048, 4096)
@@ -105,4 +105,5 @@ def pack_documents(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS, block: i
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op7: all documents packed."""
+    bounded_batches(spark)
     return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfrank.llm.common import stored
+from shelfrank.llm.common import bounded_batches, stored
 
 FEATURES = 256
 RIDGE = 1e-3
@@ -219,4 +219,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, cut: float = CUT, **options) -
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op3: every document's quality."""
+    bounded_batches(spark)
     return classify(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))

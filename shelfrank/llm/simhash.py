@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfrank.llm.common import connected_components, durable, stored
+from shelfrank.llm.common import bounded_batches, connected_components, durable, stored
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 TO_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -292,4 +292,5 @@ def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op4: components of all documents by three-word SimHash at three bits."""
+    bounded_batches(spark)
     return link(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfrank.llm import byte_ids
-from shelfrank.llm.common import stored
+from shelfrank.llm.common import bounded_batches, stored
 
 STRIDE = 512
 PER_SHARD = 1024
@@ -172,4 +172,5 @@ def resume(spark: SparkSession, path: str, slot: int = 0, per_shard: int = PER_S
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op6: the shards of all documents."""
+    bounded_batches(spark)
     return materialise(spark.read.parquet(f"{sf_dir}/documents.parquet"))
