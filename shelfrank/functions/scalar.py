@@ -34,7 +34,7 @@ def binned(col: Column, edges: list[float], names: list[str]) -> Column:
 
 def first_number(col: Column) -> Column:
     """The first run of digits as a double, or null."""
-    return F.expr("try_cast(nullif(x, '') AS double)") if col is None else F.regexp_extract(col, r"(\d+)", 1).try_cast("double")
+    return F.regexp_extract(col, r"(\d+)", 1).try_cast("double")
 
 
 def scaled(value: Column, low: Column, high: Column, to_low: float, to_high: float, constant: float) -> Column:
@@ -52,7 +52,6 @@ def keyed_hash(columns: list[Column], seed: int) -> Column:
     return F.pmod(total, F.lit(1_000_003))
 
 
-def similarity_denominator(a: Column, b: Column) -> Column:
-    """The product of two norms, with zero norms replaced by 1e-10."""
-    tiny = F.lit(1e-10)
-    return F.when(a > 0, a).otherwise(tiny) * F.when(b > 0, b).otherwise(tiny)
+def norm_or_tiny(col: Column) -> Column:
+    """A norm, with 1e-10 for zero or less."""
+    return F.when(col > 0, col).otherwise(F.lit(1e-10))

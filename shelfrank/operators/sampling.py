@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from shelfrank.functions.scalar import keyed_hash
 
 BUCKETS = 4096
-#: A remainder of so many rows is ordered at once.
-SMALL = 20_000
 
 
 def _as_long(df: DataFrame, key: str) -> Column:
@@ -40,7 +38,7 @@ def smallest(df: DataFrame, keys: list[str], n: int) -> Column:
         lo, hi = row["lo"], row["hi"]
         while lo < hi:
             width = max(1, -(-(hi - lo + 1) // BUCKETS))
-            bucket = F.expr("1") * F.floor((value - F.lit(lo)) / F.lit(width))
+            bucket = F.floor((value - F.lit(lo)) / F.lit(width))
             inside = scope & known & (value >= lo) & (value <= hi)
             counts = {int(r["b"]): r["n"] for r in df.where(inside).groupBy(bucket.cast("long").alias("b")).agg(F.count("*").alias("n")).collect()}
             at = None
@@ -58,10 +56,6 @@ def smallest(df: DataFrame, keys: list[str], n: int) -> Column:
     return F.coalesce(cut, F.lit(False))
 
 
-def _numbered(df: DataFrame, by: list[str]) -> Window:
-    return Window.partitionBy(*by)
-
-
 def sample(df: DataFrame, key: str, share: float, seed: int = 42) -> DataFrame:
     """round(share * n) rows without replacement, in the order of a keyed hash; all rows from a share of 1 on."""
     if share >= 1:
@@ -69,3 +63,16 @@ def sample(df: DataFrame, key: str, share: float, seed: int = 42) -> DataFrame:
     hashed = df.withColumn("__h", keyed_hash([F.col(key)], seed))
     n = round(share * df.count())
     return hashed.where(smallest(hashed, ["__h", key], n)).drop("__h")
+
+
+def numbered(df: DataFrame, key: str, name: str = "position") -> DataFrame:
+    """``df`` with a dense number from 0 for each row, in the order of a hash of ``key`` (unique).
+
+    Rows are numbered within hash buckets; only the buckets' counts meet in one place.
+    """
+    dealt = df.withColumn("__b", F.pmod(F.xxhash64(key), F.lit(BUCKETS)))
+    counts = dealt.groupBy("__b").agg(F.count("*").alias("__c"))
+    before = F.sum("__c").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("__b", F.coalesce(before, F.lit(0)).alias("__start"))  # 4096 rows at most
+    within = F.row_number().over(Window.partitionBy("__b").orderBy(key))
+    return dealt.withColumn("__r", within).join(F.broadcast(starts), "__b").withColumn(name, F.col("__start") + F.col("__r") - 1).drop("__b", "__r", "__start")
