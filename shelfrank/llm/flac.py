@@ -326,7 +326,7 @@ def decode_frames(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.nd
     shift = np.zeros(f.size, np.int64)
     for c, own in enumerate(([], [1], [2, -1], [3, -3, 1], [4, -6, 4, -1])):
         on = ~linear & (o == c)
-        for j, v in enumerate(own):
+        for j, v in enumerate(own if on.any() else []):
             coef[j, on] = v
     if linear.any():
         width = np.where(linear, take(pos, 4) + 1, 0)
