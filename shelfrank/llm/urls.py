@@ -78,7 +78,7 @@ def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds:
     into = edges.groupBy("dst").agg(F.sum("n").alias("in_n"))
     forward = edges.join(out, "src").select(F.lit("trust").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), (F.col("n") / F.col("out_n")).alias("w"))
     back = edges.join(into, "dst").select(F.lit("distrust").alias("kind"), F.col("dst").alias("a"), F.col("src").alias("b"), (F.col("n") / F.col("in_n")).alias("w"))
-    links = durable(forward.unionByName(back))
+    links = durable(forward.unionByName(back)).withColumnRenamed("kind", "link_kind")
     total = float(seeds.agg(F.sum(F.col("trusted") + F.col("blocked"))).first()[0] or 1)
     at_seed = seeds.select(
         "host", F.explode(F.array(*[
@@ -91,8 +91,8 @@ def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds:
     if links.isEmpty():
         rounds = 0
     for i in range(rounds):
-        sent = state.join(links, (state["host"] == links["a"]) & (state["kind"] == links["kind"])).select(
-            F.col("b").alias("host"), links["kind"], (F.col("w") * F.col("score") * damping).alias("score")
+        sent = state.join(links, (F.col("host") == F.col("a")) & (F.col("kind") == F.col("link_kind"))).select(
+            F.col("b").alias("host"), "kind", (F.col("w") * F.col("score") * damping).alias("score")
         )
         start = at_seed.select("host", "kind", (F.col("seed") * (1 - damping)).alias("score"))
         state = sent.unionByName(start).groupBy("host", "kind").agg(F.sum("score").alias("score"))
