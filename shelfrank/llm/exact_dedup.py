@@ -21,6 +21,7 @@ from shelfrank.llm import suffixes
 from shelfrank.llm.common import bounded_batches, stored
 
 WINDOW = 100
+#: Bytes of the strings of which the least hash in a window keys it; fewer for windows shorter than this.
 GRAM = 32
 SLICE_BYTES = 2_000_000
 SHARD_BYTES = 1_500_000
@@ -43,15 +44,16 @@ def keyed_segments(raws: list[bytes], window: int = WINDOW):
     if total < window:
         return (*(np.zeros(0, np.int64) for _ in range(4)), np.zeros(0, np.uint64)), data, np.cumsum(size) - size
     h = _BYTE[np.frombuffer(data, np.uint8)]
+    gram = min(GRAM, 1 << (window.bit_length() - 1))
     span = 1
-    while span < GRAM:
+    while span < gram:
         h = h[:-span] * np.uint64(pow(_BASE, span, 1 << 64)) + h[span:]
         span *= 2
     h ^= h >> np.uint64(31)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(29)
     least = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
-    width, span = window - GRAM + 1, 1
+    width, span = window - gram + 1, 1
     while 2 * span <= width:
         least = np.minimum(least[:-span], least[span:])
         span *= 2
