@@ -23,8 +23,8 @@ from shelfrank.llm.common import bounded_batches, stored
 WINDOW = 100
 #: Bytes of the strings of which the least hash in a window keys it; fewer for windows shorter than this.
 GRAM = 32
-SLICE_BYTES = 2_000_000
-SHARD_BYTES = 1_500_000
+SLICE_BYTES = 1_000_000
+SHARD_BYTES = 750_000
 #: A key with more different segments than this is dealt further, by where the minimizer lies in the window.
 HOT_SEGMENTS = 1000
 OFFSETS = 8

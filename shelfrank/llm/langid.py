@@ -25,7 +25,7 @@ SWITCH = 12.0
 #: A language is a candidate for a script if this share of its training words is written in it.
 CANDIDATE_SHARE = 0.001
 LONGEST_WORD = 24
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 1_000_000
 # First and last code point of the letters of each script (Unicode blocks).
 SCRIPTS = [
     ("latin", 0x0041, 0x024F), ("greek", 0x0370, 0x03FF), ("cyrillic", 0x0400, 0x052F), ("armenian", 0x0530, 0x058F),
