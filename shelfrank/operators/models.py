@@ -79,6 +79,15 @@ class Recommender:
         """The n best items of each of ``users``, without the pairs in ``seen``."""
         raise NotImplementedError
 
+    def keep(self, name: str, df: DataFrame) -> DataFrame:
+        """Adds a fitted table; it is worked out once, at its first use, and kept in memory and on disk until ``release``."""
+        self.tables[name] = df.persist()
+        return self.tables[name]
+
+    def release(self) -> None:
+        for df in self.tables.values():
+            df.unpersist()
+
     def save(self, path: str) -> None:
         """Each table as Parquet, options and numbers as one JSON row."""
         spark = SparkSession.active()
@@ -109,7 +118,7 @@ class RandomRecommender(Recommender):
     """Items without replacement and uniform scores, by hash of user, item and seed."""
 
     def fit(self, interactions: DataFrame) -> RandomRecommender:
-        self.tables["items"] = numbered(interactions.select(I).distinct(), I)
+        self.keep("items", numbered(interactions.select(I).distinct(), I))
         row = interactions.agg(F.min(R).alias("lo"), F.max(R).alias("hi"), F.count_distinct(I).alias("n")).first()
         self.numbers = {"low": row["lo"] or 0.0, "high": row["hi"] or 0.0, "items": row["n"]}
         return self
@@ -140,7 +149,7 @@ class PopularityRecommender(Recommender):
 
     def fit(self, interactions: DataFrame) -> PopularityRecommender:
         rated = self.options.get("consider_ratings", True) and R in interactions.columns
-        self.tables["popularity"] = interactions.groupBy(I).agg((F.sum(R) if rated else F.count("*").cast("double")).alias("score"))
+        self.keep("popularity", interactions.groupBy(I).agg((F.sum(R) if rated else F.count("*").cast("double")).alias("score")))
         return self
 
     def predict(self, pairs: DataFrame) -> DataFrame:
@@ -175,11 +184,9 @@ class NeighbourhoodRecommender(Recommender):
         return self.options.get(name, {"user_based": True, "k": 30, "min_k": 1, "similarity": "cosine"}[name])
 
     def fit(self, interactions: DataFrame) -> NeighbourhoodRecommender:
-        cells = interaction_matrix(interactions).where(F.col("value") != 0)
-        self.tables["cells"] = cells
-        self.tables["users"] = cells.groupBy(U).agg(F.sum("value").alias("total"), F.sum(F.col("value") * F.col("value")).alias("squares"))
-        self.numbers["items"] = interactions.agg(F.count_distinct(I)).first()[0]
-        self.numbers["users"] = interactions.agg(F.count_distinct(U)).first()[0]
+        self.keep("cells", interaction_matrix(interactions).where(F.col("value") != 0))
+        row = interactions.agg(F.count_distinct(I).alias("items"), F.count_distinct(U).alias("users")).first()
+        self.numbers = {"items": row["items"], "users": row["users"]}
         return self
 
     def _stats(self, key: str, centre: bool) -> DataFrame:
@@ -276,26 +283,23 @@ class ContentRecommender(Recommender):
 
     def fit(self, interactions: DataFrame, features: DataFrame | None = None) -> ContentRecommender:
         """``features`` has (product_key, feature, value)."""
-        unit = unit_length(features)
-        self.tables["unit"] = unit
-        catalogue = features.select(I).distinct()
-        self.tables["catalogue"] = catalogue
+        features = features.persist()
+        unit = self.keep("unit", unit_length(features))
+        catalogue = self.keep("catalogue", features.select(I).distinct())
         pairs = interactions.groupBy(U, I).agg(F.sum(R).alias("r")).join(catalogue, I, "left_semi")
         totals = pairs.groupBy(U).agg(F.sum("r").alias("t"))
         shares = pairs.join(totals, U).select(U, I, F.when(F.col("t") > 0, F.col("r") / F.col("t")).otherwise(F.col("r")).alias("w"))
-        self.tables["shares"] = shares
+        shares = self.keep("shares", shares)
         other = unit.select(I, F.col("feature").alias("g"), F.col("value").alias("y"))
-        self.tables["gram"] = unit.join(other, I).groupBy("feature", "g").agg(F.sum(F.col("value") * F.col("y")).alias("m"))
-        self.tables["profiles"] = shares.join(unit, I).groupBy(U, "feature").agg(F.sum(F.col("w") * F.col("value")).alias("p"))
-        self.numbers["items"] = features.agg(F.count_distinct(I)).first()[0]
+        gram = unit.join(other, I).groupBy("feature", "g").agg(F.sum(F.col("value") * F.col("y")).alias("m"))
+        p = shares.join(unit, I).groupBy(U, "feature").agg(F.sum(F.col("w") * F.col("value")).alias("p"))
+        turned = p.join(gram, "feature").select(U, F.col("g").alias("feature"), (F.col("p") * F.col("m")).alias("q"))
+        lessened = turned.unionByName(p.select(U, "feature", (-2 * F.col("p")).alias("q")))
+        # (customer_key, feature, q) with q = p·(G − 2I)
+        self.keep("queries", lessened.groupBy(U, "feature").agg(F.sum("q").alias("q")))
+        self.numbers["items"] = catalogue.count()
         return self
 
-    def _queries(self) -> DataFrame:
-        """(customer_key, feature, q) with q = p·(G − 2I)."""
-        p = self.tables["profiles"]
-        turned = p.join(self.tables["gram"], "feature").select(U, F.col("g").alias("feature"), (F.col("p") * F.col("m")).alias("q"))
-        return turned.unionByName(p.select(U, "feature", (-2 * F.col("p")).alias("q"))).groupBy(U, "feature").agg(F.sum("q").alias("q"))
-
     def item_similarities(self, least: float = 1e-12) -> DataFrame:
         """(a, b, sim) of items that share a feature."""
         unit = self.tables["unit"]
@@ -306,7 +310,7 @@ class ContentRecommender(Recommender):
     def predict(self, pairs: DataFrame) -> DataFrame:
         """1 + 4 times the score, at most 5 and from a score of 0; 0 for an unknown user or item."""
         pairs = pairs.select(U, I).distinct()
-        raw = pairs.join(self.tables["unit"], I).join(self._queries(), [U, "feature"]).groupBy(U, I).agg(F.sum(F.col("q") * F.col("value")).alias("s"))
+        raw = pairs.join(self.tables["unit"], I).join(self.tables["queries"], [U, "feature"]).groupBy(U, I).agg(F.sum(F.col("q") * F.col("value")).alias("s"))
         known = pairs.join(self.tables["catalogue"], I, "left_semi").join(self.tables["shares"].select(U).distinct(), U, "left_semi").withColumn("k", F.lit(True))
         placed = pairs.join(raw, [U, I], "left").join(self.tables["shares"], [U, I], "left").join(known, [U, I], "left")
         s = F.coalesce("s", F.lit(0.0)) + F.coalesce("w", F.lit(0.0))
@@ -316,10 +320,12 @@ class ContentRecommender(Recommender):
         """The n best of the catalogue; users without a profile get the items most like all others, seen ones included."""
         unit = self.tables["unit"]
         names = sorted(r[0] for r in unit.select("feature").distinct().collect())  # the vocabulary, which max_features bounds
-        spread = lambda df, key, value: df.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("feature", value))).alias("m")).select(key, F.array(*[F.coalesce(F.element_at("m", F.lit(x)), F.lit(0.0)) for x in names]).alias("vector"))
+        quoted = ", ".join("'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'" for x in names)
+        dense = F.expr(f"transform(array({quoted}), x -> coalesce(try_element_at(m, x), 0D))")
+        spread = lambda df, key, value: df.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("feature", value))).alias("m")).select(key, dense.alias("vector"))
         items = spread(unit, I, "value")
         ids = users.select(U).distinct()
-        asked = spread(self._queries().join(ids, U, "left_semi"), U, "q").join(_seen_counts(users, seen), U)
+        asked = spread(self.tables["queries"].join(ids, U, "left_semi"), U, "q").join(_seen_counts(users, seen), U)
         own = self.tables["shares"].join(ids, U, "left_semi")
         if seen is None:
             # an item's own share adds to its score, so each user's own items are candidates with it
@@ -338,7 +344,7 @@ class ContentRecommender(Recommender):
         return best.unionByName(top_n(strangers.crossJoin(F.broadcast(head)), n))
 
     def _raw(self, pairs: DataFrame) -> DataFrame:
-        joined = pairs.select(U, I).join(self.tables["unit"], I).join(self._queries(), [U, "feature"])
+        joined = pairs.select(U, I).join(self.tables["unit"], I).join(self.tables["queries"], [U, "feature"])
         return joined.groupBy(U, I).agg(F.sum(F.col("q") * F.col("value")).alias("s"))
 
 
@@ -351,7 +357,7 @@ class FactorRecommender(Recommender):
     ITEM_DAMPING, USER_DAMPING = 10.0, 15.0
 
     def fit(self, interactions: DataFrame) -> FactorRecommender:
-        cells = interactions.groupBy(U, I).agg(F.avg(R).alias("r"))
+        cells = interactions.groupBy(U, I).agg(F.avg(R).alias("r")).persist()
         row = cells.agg(F.avg("r").alias("mean"), F.min("r").alias("lo"), F.max("r").alias("hi")).first()
         self.numbers = {"mean": row["mean"] or 0.0, "low": row["lo"] or 0.0, "high": row["hi"] or 0.0}
         off = F.col("r") - self.numbers["mean"]
@@ -363,8 +369,8 @@ class FactorRecommender(Recommender):
         als = ALS(rank=o.get("n_factors", 50), maxIter=o.get("n_epochs", 20), regParam=o.get("reg", 0.02), seed=o.get("seed", 42), userCol=U, itemCol=I, ratingCol="rest")
         model = als.fit(rest)
         vector = F.transform("features", lambda x: x.cast("double"))
-        self.tables["users"] = users.join(model.userFactors.select(F.col("id").cast("long").alias(U), vector.alias("p")), U)
-        self.tables["items"] = items.join(model.itemFactors.select(F.col("id").cast("long").alias(I), vector.alias("q")), I)
+        self.keep("users", users.join(model.userFactors.select(F.col("id").cast("long").alias(U), vector.alias("p")), U))
+        self.keep("items", items.join(model.itemFactors.select(F.col("id").cast("long").alias(I), vector.alias("q")), I))
         return self
 
     def predict(self, pairs: DataFrame) -> DataFrame:
@@ -384,19 +390,23 @@ class FactorRecommender(Recommender):
 
 
 class HybridRecommender(Recommender):
-    """Weighted components. Weights are scaled to a sum of one whenever a component is added."""
+    """Weighted components. ``weights`` (by name) are scaled to a sum of one, and again whenever a weight is added."""
 
     def __init__(self, **options):
         super().__init__(**options)
         self.components: dict[str, Recommender] = {}
         self.weights: dict[str, float] = {}
+        self._scale(options.get("weights", {}))
+
+    def _scale(self, weights: dict[str, float]) -> None:
+        total = sum(weights.values())
+        self.weights = {k: w / total for k, w in weights.items()} if total > 0 else dict(weights)
 
-    def add(self, name: str, model: Recommender, weight: float = 1.0) -> HybridRecommender:
+    def add(self, name: str, model: Recommender, weight: float | None = None) -> HybridRecommender:
+        """Adds a component; one that ``weights`` names needs no weight, any other counts one."""
         self.components[name] = model
-        self.weights[name] = weight
-        total = sum(self.weights.values())
-        if total > 0:
-            self.weights = {k: w / total for k, w in self.weights.items()}
+        if weight is not None or name not in self.weights:
+            self._scale(self.weights | {name: 1.0 if weight is None else weight})
         return self
 
     def fit(self, interactions: DataFrame) -> HybridRecommender:
@@ -499,7 +509,7 @@ class ColdStartRecommender(Recommender):
         self.content = ContentRecommender().fit(interactions, features)
         self.popular = PopularityRecommender().fit(interactions)
         self.demographics = Demographics(customers, self.options.get("fields", ["age_group", "country", "gender"]))
-        self.by_segment = segment_popularity(interactions, self.segment_of)
+        self.by_segment = segment_popularity(interactions, self.segment_of).persist()
         return self
 
     def _warm(self) -> DataFrame:

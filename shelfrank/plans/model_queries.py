@@ -116,9 +116,8 @@ def cold_lists(spark, sf) -> DataFrame:
 
 
 def hybrid_model(spark, sf, df) -> m.HybridRecommender:
-    out = m.HybridRecommender()
-    out.add("popularity", m.PopularityRecommender().fit(df), HYBRID["popularity"])
-    return out.add("content", content(spark, sf, df), HYBRID["content"])
+    out = m.HybridRecommender(weights=HYBRID)
+    return out.add("popularity", m.PopularityRecommender().fit(df)).add("content", content(spark, sf, df))
 
 
 def hybrid(spark, sf) -> DataFrame:
@@ -326,8 +325,8 @@ SELECT customer_key, product_key, round(coalesce(score, 0), 6) AS score FROM tes
 segpop AS (SELECT c_mktsegment AS segment, product_key, sum(rating) AS score FROM inter JOIN customer ON customer_key = c_custkey GROUP BY 1, 2),
 seg AS (SELECT customer_key, x.product_key, x.score FROM people JOIN (SELECT DISTINCT customer_key FROM inter) USING (customer_key) JOIN segpop x USING (segment)),
 {top('seg x', 2 * N, 's', f'WHERE {SEEN}')}, {content_scores('inter')}, {top('scores x', 2 * N, 'c', f'WHERE {SEEN}')},
-both AS (SELECT customer_key, product_key, score, 0.4 AS w, 'd' AS part FROM d UNION ALL SELECT customer_key, product_key, score, 0.4, 's' FROM s UNION ALL SELECT customer_key, product_key, score, 0.2, 'c' FROM c),
-scaled AS (SELECT *, max(score) OVER (PARTITION BY customer_key, part) AS most FROM both),
+mixed AS (SELECT customer_key, product_key, score, 0.4 AS w, 'd' AS part FROM d UNION ALL SELECT customer_key, product_key, score, 0.4, 's' FROM s UNION ALL SELECT customer_key, product_key, score, 0.2, 'c' FROM c),
+scaled AS (SELECT *, max(score) OVER (PARTITION BY customer_key, part) AS most FROM mixed),
 total AS (SELECT customer_key, product_key, sum(CASE WHEN most > 0 THEN score / most * w ELSE 0 END) AS score FROM scaled GROUP BY 1, 2), {top('total', N)} {lists()}""",
     "hybrid_fusion": _hybrid(_W.format(**HYBRID)),
     "hybrid_segment_fusion": _hybrid(_BY_SEGMENT, "JOIN customer ON customer_key = c_custkey"),
