@@ -63,20 +63,14 @@ def averaged(users: DataFrame, ks: tuple[int, ...] = K_VALUES, metrics: tuple[st
     keys = [by] if by else []
     relevant = F.col("n_relevant") > 0
     at_k = {"precision": F.avg("precision"), "recall": F.avg("recall"), "ndcg": F.avg("ndcg"), "hit_rate": F.avg("hit"), "map": F.coalesce(F.avg(F.when(relevant, F.col("ap"))), F.lit(0.0))}
+    if "hit_rate" in metrics or "cumulative_hit_rate" in metrics:
+        at_k["cumulative_hit_rate"] = F.avg("hit")
+        metrics = (*metrics, "cumulative_hit_rate")
+    at_k["mrr"] = F.coalesce(F.avg(F.when(relevant, F.col("rr"))), F.lit(0.0))
     names = [m for m in at_k if m in metrics]
-    wide = users.groupBy(*keys, "k").agg(*[at_k[m].alias(m) for m in names], F.coalesce(F.avg(F.when(relevant, F.col("rr"))), F.lit(0.0)).alias("mrr"))
-    parts = []
-    if names:
-        parts.append(wide.unpivot([*keys, "k"], names, "metric", "value").select(*keys, "metric", "k", "value"))
-    if "mrr" in metrics:
-        parts.append(wide.where(F.col("k") == max(ks)).select(*keys, F.lit("mrr").alias("metric"), F.lit(None).cast("int").alias("k"), F.col("mrr").alias("value")))
-    if "cumulative_hit_rate" in metrics or "hit_rate" in metrics:
-        hits = users.groupBy(*keys, "k").agg(F.avg("hit").alias("value"))
-        parts.append(hits.select(*keys, F.lit("cumulative_hit_rate").alias("metric"), "k", "value"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    wide = users.groupBy(*keys, "k").agg(*[at_k[m].alias(m) for m in names])
+    tall = wide.unpivot([*keys, "k"], names, "metric", "value").where((F.col("metric") != "mrr") | (F.col("k") == max(ks)))
+    return tall.select(*keys, "metric", F.when(F.col("metric") != "mrr", F.col("k")).alias("k"), "value")
 
 
 def diversity(recs: DataFrame, sets: DataFrame, ks: tuple[int, ...] = K_VALUES) -> DataFrame:
@@ -127,8 +121,9 @@ def evaluate(
     Lists of users without test rows don't count. Unknown metric names are ignored.
     """
     rel = relevance(test, threshold)
-    recs = recs.join(rel.select(U).distinct(), U, "left_semi")
+    recs = recs.join(rel.select(U).distinct(), U, "left_semi").where(F.col("rank") <= max(ks)).persist()  # each metric reads the lists
     users = per_user(recs, rel, ks)
+    users = users if segment_of is None else users.persist()
     parts = [averaged(users, ks, metrics)]
     tall = lambda df, name: df.select(F.lit(name).alias("metric"), "k", "value")
     if "diversity" in metrics and sets is not None:

@@ -120,3 +120,12 @@ def active(inter: DataFrame, min_ratings: int = 5, user: str = "customer_key") -
         return inter
     enough = inter.groupBy(user).agg(F.count("*").alias("n")).where(F.col("n") >= min_ratings).select(user)
     return inter.join(enough, user, "left_semi")
+
+
+def feature_columns(df: DataFrame, key: str = "product_key") -> tuple[list[str], list[str], list[str]]:
+    """(texts, categories, numbers) of a prepared product table: what item features are made of."""
+    texts = [c for c in ("product_description",) if c in df.columns]
+    categorical = [c for c in ("category", "sub_category", "maintenance") if c in df.columns]
+    spread = tuple(f"{c}_" for c in categorical)
+    numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType) and f.name != key and not (spread and f.name.startswith(spread))]
+    return texts, categorical, numeric
