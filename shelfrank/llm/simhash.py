@@ -169,8 +169,8 @@ NEAR_WORDS, SIMILARITY, NEAR_RADIUS = 5, 0.8, 20
 KEYS, HASHES = 20, 4
 #: Larger buckets compare their members with some of them, other ones for each key.
 PAIRED_BUCKET, REFERENCES = 64, 8
-#: Row numbers up to this number are broadcast (16 MB); more are joined by shuffling.
-BROADCAST_ROWS = 1_000_000
+#: Row numbers up to this number are broadcast (31 MB at 77 bytes a row); more are joined by shuffling.
+BROADCAST_ROWS = 400_000
 _TIMES, _PLUS = np.random.default_rng(17).integers(1, 2**63, (2, KEYS * HASHES), dtype=np.uint64)
 
 

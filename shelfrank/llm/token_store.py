@@ -15,8 +15,8 @@ STRIDE = 512
 PER_SHARD = 1024
 KEY = 20240229
 ROUNDS = 6
-#: Tables of first ordinals with fewer documents than this are broadcast (32 MB); larger ones are joined by shuffling.
-BROADCAST_DOCS = 2_000_000
+#: Tables of first ordinals with fewer documents than this are broadcast (33 MB at 66 bytes a row); larger ones are joined by shuffling.
+BROADCAST_DOCS = 500_000
 
 
 def _mix(x: np.ndarray, key: int) -> np.ndarray:
