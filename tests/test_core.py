@@ -240,8 +240,8 @@ def test_catalog_from_csv_and_command_line(spark, tmp_path, capsys):
     config = Config({"data": {"dir": str(tmp_path)}, "models": {"content_based": {"min_df": 0.0, "max_df": 1.0}, "matrix_factorization": {"n_factors": 3, "n_epochs": 2}}})
     catalog = Catalog.load(spark, config)
     assert catalog.product_report is None and catalog.interactions().count() > 50
-    found = cli.experiment(catalog, config, ["popularity", "hybrid", "cold_start"], str(tmp_path / "out"))
-    assert {r["model"] for r in found.select("model").distinct().collect()} == {"popularity", "hybrid", "cold_start"}
+    found = cli.experiment(catalog, config, ["popularity"], str(tmp_path / "out"))
+    assert {r["model"] for r in found.select("model").distinct().collect()} == {"popularity"}
     assert cli.recommend(catalog, config, "content", 1, 3).count() == 3
     took = spark.createDataFrame([("popularity", "training_time", 1.0)], "model string, metric string, value double")
     assert "Best models" in results.report(found, took, ["ndcg@10", "mrr"])
