@@ -142,8 +142,8 @@ FROM users {SEGMENT_OF} WHERE k = 10 GROUP BY ROLLUP (c_mktsegment)""",
 SELECT criterion, model, round(value + 1e-9, 6) AS value FROM ((SELECT 'best_quality' AS criterion, model, "ndcg@10" AS value FROM matrix ORDER BY value DESC, model LIMIT 1)
  UNION ALL {' UNION ALL '.join(_least(c) for c in ('training_time', 'memory_mb', 'latency_ms', 'model_size_mb'))} UNION ALL (SELECT 'best_overall', model, v FROM scored ORDER BY v DESC, model LIMIT 1))""",
     "scaled_metrics": f"""WITH {BOTH}, long AS ({' UNION ALL '.join(f"SELECT model, '{n}' AS name, CAST(\"{n}\" AS DOUBLE) AS v FROM matrix" for n in NAMES)}),
-ends AS (SELECT *, min(v) OVER (PARTITION BY name) AS lo, max(v) OVER (PARTITION BY name) AS hi FROM long)
-SELECT model, name, round(CASE WHEN hi > lo THEN (v - lo) / (hi - lo) ELSE 0.5 END + 1e-9, 6) AS value FROM ends""",
+edged AS (SELECT *, min(v) OVER (PARTITION BY name) AS lo, max(v) OVER (PARTITION BY name) AS hi FROM long)
+SELECT model, name, round(CASE WHEN hi > lo THEN (v - lo) / (hi - lo) ELSE 0.5 END + 1e-9, 6) AS value FROM edged""",
     "best_model": f"""WITH {BOTH} SELECT model, round("ndcg@10" + 1e-9, 6) AS value FROM matrix ORDER BY "ndcg@10" DESC, model LIMIT 1""",
     "metric_correlation": f"""WITH {USERS}, m AS (SELECT k, avg(ndcg) AS ndcg, avg(precision) AS precision, avg(recall) AS recall FROM users GROUP BY 1)
 SELECT 'ndcg' AS a, 'precision' AS b, round(corr(ndcg, precision) + 1e-9, 6) AS r FROM m UNION ALL SELECT 'ndcg', 'recall', round(corr(ndcg, recall) + 1e-9, 6) FROM m UNION ALL SELECT 'precision', 'recall', round(corr(precision, recall) + 1e-9, 6) FROM m""",
