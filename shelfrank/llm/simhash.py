@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfrank.llm.common import bounded_batches, connected_components, durable, stored
+from shelfrank.llm.neighbours import _grouped
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 TO_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -167,8 +168,10 @@ def link(docs: DataFrame, width: int = 3, radius: int = 3, large: int = LARGE_BU
 NEAR_WORDS, SIMILARITY, NEAR_RADIUS = 5, 0.8, 20
 #: Keys of a document and the least hashes that make each; a pair at 0.8 has none in common once in 37,000.
 KEYS, HASHES = 20, 4
-#: Larger buckets compare their members with some of them, other ones for each key.
+#: Larger buckets first compare their members with some of them, other ones for each key; members that this leaves in
+#: different components are then compared exactly, in pairs of blocks of about so many members and bytes of shingles.
 PAIRED_BUCKET, REFERENCES = 64, 8
+BLOCK_MEMBERS, BLOCK_BYTES, BLOCK_COLUMNS = 256, 2_000_000, 4096
 #: Row numbers up to this number are broadcast (31 MB at 77 bytes a row); more are joined by shuffling.
 BROADCAST_ROWS = 400_000
 _TIMES, _PLUS = np.random.default_rng(17).integers(1, 2**63, (2, KEYS * HASHES), dtype=np.uint64)
@@ -199,7 +202,8 @@ def near_copies(docs: DataFrame, width: int = NEAR_WORDS, similarity: float = SI
     their words are equal. At this similarity fingerprints differ in too many bits for keys of equal bits, so pairs are
     formed by keys of least hashes instead; the pivot table discards those that are further apart than ``radius``, and
     the survivors' sets are compared exactly. Buckets with many members pair each with a few references, other ones for
-    each of the keys, which joins a group without its pairs.
+    each of the keys, which joins a group of copies of one text without its pairs. Members of such a bucket that are in
+    different components after that are all compared with each other, in pairs of blocks.
     """
 
     def described(batches):
@@ -222,6 +226,11 @@ def near_copies(docs: DataFrame, width: int = NEAR_WORDS, similarity: float = SI
     pairs = stored(_key_pairs(classes, radius), "near_pairs")
     links = durable(_similar(rows, pairs, width, similarity))
     part = connected_components(links)
+    crowded = stored(_crowded(classes, part), "crowded")
+    if not crowded.isEmpty():
+        sets = _sets(rows, crowded.select(F.col("id").alias("row")).distinct(), width)
+        more = _block_links(crowded, sets, similarity)
+        part = connected_components(part.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
     group = classes.join(part, classes["id"] == part["node"], "left").select("digest", F.coalesce("component", "id").alias("group"))
     grouped = known.select("row", "doc_id", "digest").join(group, "digest")
     first = grouped.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
@@ -252,9 +261,93 @@ def _key_pairs(classes: DataFrame, radius: int) -> DataFrame:
     return paired(small, small, False).unionByName(paired(large, chosen, True)).distinct()
 
 
-def _similar(rows: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The pairs whose sets of shingles are similar; only their members' texts are read for it."""
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("row")).distinct()
+def _crowded(classes: DataFrame, part: DataFrame) -> DataFrame:
+    """(which, key, id, component, main) of the members of large buckets that lie in several components.
+
+    ``main`` tells whether the member is in the bucket's largest component, whose members need no comparison among them.
+    """
+    table = classes.select("id", F.posexplode("keys").alias("which", "key"))
+    large = table.groupBy("which", "key").agg(F.count("*").alias("n")).where(F.col("n") > PAIRED_BUCKET).select("which", "key")
+    members = table.join(large, ["which", "key"]).join(part.withColumnRenamed("node", "id"), "id", "left")
+    members = members.select("which", "key", "id", F.coalesce("component", "id").alias("component"))
+    held = members.groupBy("which", "key", "component").agg(F.count("*").alias("m"))
+    held = held.groupBy("which", "key").agg(F.count("*").alias("parts"), F.max(F.struct("m", "component")).alias("most")).where("parts > 1")
+    return members.join(held, ["which", "key"]).select("which", "key", "id", "component", (F.col("component") == F.col("most.component")).alias("main"))
+
+
+def _block_links(crowded: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (u, v) between members of a bucket in different components: all pairs, in pairs of blocks.
+
+    A pair of blocks gives a spanning forest of its links, fewer than it has members.
+    """
+    own = crowded.join(sets.select(F.col("row").alias("id"), F.octet_length("shingles").alias("bytes")), "id")
+    need = lambda main: F.ceil(F.greatest(
+        F.sum(F.when(F.col("main") == main, 1).otherwise(0)) / BLOCK_MEMBERS, F.sum(F.when(F.col("main") == main, F.col("bytes")).otherwise(0)) / BLOCK_BYTES
+    ))
+    blocks = own.groupBy("which", "key").agg(F.greatest(need(False), F.lit(1)).alias("others"), F.greatest(need(True), F.lit(1)).alias("mains"))
+    own = own.join(blocks, ["which", "key"])
+    # the blocks of the largest component come after the others and are not paired with each other
+    place = F.xxhash64("id")
+    own = own.withColumn("mine", F.when(F.col("main"), F.col("others") + F.pmod(place, F.col("mains"))).otherwise(F.pmod(place, F.col("others"))))
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("others") + F.when(F.col("main"), 0).otherwise(F.col("mains")) - 1)))
+    pair = F.xxhash64("which", "key", F.least("mine", "other"), F.greatest("mine", "other"))
+    dealt = own.select(pair.alias("group"), "mine", (F.col("mine") == F.col("other")).alias("within"), "id", "component")
+    dealt = dealt.join(sets.select(F.col("row").alias("id"), "shingles"), "id").repartition("group").sortWithinPartitions("group", "mine")
+
+    def work(_, rows):
+        ids, component, mine = (rows.column(c).to_numpy() for c in ("id", "component", "mine"))
+        one = mine == mine[0]
+        left, right = (np.arange(len(ids)),) * 2 if rows.column("within")[0].as_py() else (np.flatnonzero(one), np.flatnonzero(~one))
+        if not len(right):
+            return None
+        held = [np.frombuffer(x, np.uint64) for x in rows.column("shingles").to_pylist()]
+        size = np.array([len(x) for x in held], np.int64)
+        common = _common(held, left, right)
+        alike = common >= similarity * (size[left][:, None] + size[right] - common)
+        i, j = np.nonzero(alike & (component[left][:, None] != component[right]))
+        return _forest(ids[left[i]], ids[right[j]])
+
+    return _grouped(dealt, "group", work, "u long, v long")
+
+
+def _common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets ``left`` with the sets ``right``, by products of their incidence matrices."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times > 1
+    number = np.cumsum(shared) - 1
+    owner, column = owner[shared[column]], number[column[shared[column]]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(left), len(right)), np.int64)
+    for first in range(0, int(shared.sum()), BLOCK_COLUMNS):
+        a, b = np.searchsorted(column, (first, first + BLOCK_COLUMNS))
+        x = np.zeros((len(sets), int(column[b - 1]) - first + 1), np.float32)
+        x[owner[a:b], column[a:b] - first] = 1
+        out += (x[left] @ x[right].T).astype(np.int64)
+    return out
+
+
+def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join the same ids as all links do, without circles."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
+
+    keep = []
+    for n, (x, y) in enumerate(zip(u.tolist(), v.tolist(), strict=True)):
+        a, b = find(x), find(y)
+        if a != b:
+            root[a] = b
+            keep.append(n)
+    return u[keep], v[keep]
+
+
+def _sets(rows: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """``row`` and ``shingles`` (their distinct hashes, sorted, as bytes) of the rows in ``ids``; only their texts are read."""
     ids = durable(ids)
     mine = rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "row", "left_semi")
 
@@ -263,7 +356,12 @@ def _similar(rows: DataFrame, pairs: DataFrame, width: int, similarity: float) -
             own = [_distinct(t, width).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], names=["row", "shingles"])
 
-    sets_ = stored(mine.select("row", "text").mapInArrow(sets, "row long, shingles binary"), "shingles")
+    return stored(mine.select("row", "text").mapInArrow(sets, "row long, shingles binary"), "shingles")
+
+
+def _similar(rows: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs whose sets of shingles are similar; only their members' texts are read for it."""
+    sets_ = _sets(rows, pairs.select(F.explode(F.array("u", "v")).alias("row")).distinct(), width)
     with_u = pairs.join(sets_.select(F.col("row").alias("u"), F.col("shingles").alias("a")), "u")
     both = with_u.join(sets_.select(F.col("row").alias("v"), F.col("shingles").alias("b")), "v").select("u", "v", "a", "b")
 

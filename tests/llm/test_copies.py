@@ -93,6 +93,17 @@ def test_near_copies_of_a_large_group(spark, tmp_path):
     assert sorted(r["doc_id"] for r in left.collect()) == [0, *range(1000, 1020)]
 
 
+def test_near_copies_inside_a_template_family(spark, tmp_path):
+    """Many separate pairs share a long passage, so that all meet in large buckets: each pair loses one, and no pair joins another."""
+    shared = words(30, 200)
+    rows = [(2 * i + j, f"{shared} {words(1000 + i, 8)} {words(2000 + 2 * i + j, 22)}") for i in range(120) for j in range(2)]
+    sets = [set(simhash.shingles(simhash.words_of(t), 5)) for _, t in rows]
+    alike = {(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert alike == {(2 * i + 1, 2 * i) for i in range(120)}
+    left = simhash.drop_near_copies(documents(spark, tmp_path / "d", rows))
+    assert sorted(r["doc_id"] for r in left.collect()) == list(range(0, 240, 2))
+
+
 def plain_repeats(rows, window):
     """(doc_id, removed, spans, digest of what stays) by a dictionary of all strings, rows by id (nulls first)."""
     order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0, i))
