@@ -18,8 +18,12 @@ INTRODUCED = 3
 TREES, LEAF, LEAF_BLOCK = 4, 48, 256
 #: Rounds before the first audit, and at most.
 LEAST_ROUNDS, ROUNDS = 2, 10
-#: Audit: vectors compared with all others by brute force, and the recall of links that is asked for.
-AUDIT, RECALL = 64, 0.99
+#: Audit: vectors compared with all others by brute force at first, and the mean recall of a vector's links that is asked for.
+AUDIT, RECALL = 1024, 0.99
+#: More vectors are drawn until so many have a true link, or their components would exceed so many bytes.
+AUDITED, AUDIT_BYTES = 200, 1 << 25
+#: Similarities of a tile in the audit.
+TILE = 1 << 21
 #: Vectors of a block when the links within a component are counted.
 COUNT_BLOCK = 512
 SEED = 3
@@ -103,13 +107,17 @@ def _best(ids: np.ndarray, sims: np.ndarray, k: int):
     return ids[i], ids[j], sims[i, j]
 
 
+def _depth(count: int, leaf: int = LEAF) -> int:
+    return max(1, min(24, int(np.ceil(np.log2(max(count / leaf, 2))))))
+
+
 def first_graph(units: DataFrame, dim: int, count: int, k: int, trees: int = TREES, leaf: int = LEAF, seed: int = SEED) -> DataFrame:
     """Edges (u, v, sim) between vectors that share a leaf of a random-hyperplane tree.
 
-    Leaves are compared in blocks of bounded size, dealt by a hash of the id, so a leaf that holds many vectors is many
+    Leaves are compared in blocks of bounded size, dealt by a hash of the id and the leaf, so a leaf that holds many vectors is many
     blocks and gives a number of edges in proportion to its vectors.
     """
-    depth = max(1, min(24, int(np.ceil(np.log2(max(count / leaf, 2))))))
+    depth = _depth(count, leaf)
     planes = np.random.default_rng(seed).normal(size=(trees, depth, dim))
 
     def leaves(batches):
@@ -123,7 +131,7 @@ def first_graph(units: DataFrame, dim: int, count: int, k: int, trees: int = TRE
 
     placed = stored(units.mapInArrow(leaves, "leaf long, id long, unit binary"), "leaves")
     sizes = placed.groupBy("leaf").agg(F.count("*").alias("n"))
-    blocks = placed.join(sizes, "leaf").withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / LEAF_BLOCK)))
+    blocks = placed.join(sizes, "leaf").withColumn("block", F.pmod(F.xxhash64("id", "leaf", F.lit(seed)), F.ceil(F.col("n") / LEAF_BLOCK)))
     blocks = blocks.select(F.xxhash64("leaf", "block").alias("group"), "id", "unit")
     dealt = blocks.repartition("group").sortWithinPartitions("group")
 
@@ -169,21 +177,54 @@ def descend(units: DataFrame, graph: DataFrame, members: int, seed: int) -> Data
     return _grouped(dealt, "centre", work, "u long, v long, sim double")
 
 
-def _brute(units: DataFrame, queries: list[tuple[int, bytes]], threshold: float) -> DataFrame:
-    """Links (u, v) of a few query vectors to all vectors, block by block."""
-    ids = np.array([q[0] for q in queries], np.int64)
-    sent = units.sparkSession.sparkContext.broadcast((ids, _matrix([q[1] for q in queries])))
+def _brute(placed: DataFrame, queries: list[tuple[int, bytes, int]], threshold: float) -> DataFrame:
+    """(u, n, within): true links of each query vector that has any, and those to vectors of its component.
+
+    ``placed`` has ``id``, ``unit`` and ``component``, as each query has. Every task gives one row for a query.
+    """
+    ids, component = (np.array([q[i] for q in queries], np.int64) for i in (0, 2))
+    sent = placed.sparkSession.sparkContext.broadcast((ids, _matrix([q[1] for q in queries]), component))
 
     def run(batches):
+        q, x, of = sent.value
+        n, within = np.zeros(len(q), np.int64), np.zeros(len(q), np.int64)
+        step = max(1, TILE // len(q))
         for batch in batches:
-            if batch.num_rows:
-                own = batch.column(0).to_numpy()
-                q, x = sent.value
-                sims = _matrix(batch.column(1).to_pylist()) @ x.T
-                i, j = np.nonzero((sims >= threshold) & (own[:, None] != q[None, :]))
-                yield pa.RecordBatch.from_arrays([pa.array(q[j]), pa.array(own[i])], names=["u", "v"])
-
-    return units.select("id", "unit").mapInArrow(run, "u long, v long")
+            own, at = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            for a in range(0, len(own), step):
+                near = _matrix(batch.column(1)[a : a + step].to_pylist()) @ x.T >= threshold
+                near &= own[a : a + step, None] != q
+                n += near.sum(0)
+                within += (near & (at[a : a + step, None] == of)).sum(0)
+        has = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(q[has]), pa.array(n[has]), pa.array(within[has])], names=["u", "n", "within"])
+
+    rows = placed.select("id", "unit", "component").mapInArrow(run, "u long, n long, within long")
+    return rows.groupBy("u").agg(F.sum("n").alias("n"), F.sum("within").alias("within"))
+
+
+def _drawn(units: DataFrame, count: int, dim: int, threshold: float, audit: int, seed: int) -> tuple[list[int], bool]:
+    """Vectors with a true link among those drawn by hash, whatever is found; and whether they are enough or all there are."""
+    most = min(count, max(audit, AUDIT_BYTES // (8 * dim)))
+    size = min(audit, most)
+    alone = units.select("id", "unit", F.col("id").alias("component"))
+    while True:
+        queries = [(r["id"], bytes(r["unit"]), r["id"]) for r in alone.orderBy(F.xxhash64("id", F.lit(seed + 1)), "id").limit(size).collect()]
+        linked = [r["u"] for r in _brute(alone, queries, threshold).select("u").collect()]
+        if len(linked) >= AUDITED or size == most:
+            return linked, len(linked) >= AUDITED or size == count
+        size = min(4 * size, most)
+
+
+def measured_recall(units: DataFrame, part: DataFrame, linked: list[int], threshold: float = THRESHOLD) -> float:
+    """Mean over the vectors ``linked`` of the share of their true links that lie within their component; 1 without any."""
+    if not linked:
+        return 1.0
+    placed = units.join(part.withColumnRenamed("node", "id"), "id", "left").select("id", "unit", F.coalesce("component", "id").alias("component"))
+    placed = stored(placed, "audit")
+    chosen = placed.sparkSession.createDataFrame([(i,) for i in linked], "id long")
+    queries = [(r["id"], bytes(r["unit"]), r["component"]) for r in placed.join(F.broadcast(chosen), "id").collect()]
+    return _brute(placed, queries, threshold).agg(F.avg(F.col("within") / F.col("n"))).first()[0]
 
 
 def near_components(
@@ -194,8 +235,11 @@ def near_components(
 
     ``units`` has ``id`` and ``unit``, each vector once. NN-descent begins with a graph of random-hyperplane leaves; each
     round compares the neighbours of every vector, and the edges at the threshold are links. Lists that are full of links
-    double with each round. After two rounds the links' components are audited: vectors chosen by hash, half of them
-    linked, are compared with all vectors, and rounds go on until ``recall`` of their true links lie within components.
+    double with each round. After two rounds the links' components are audited: vectors drawn by hash, whatever has been
+    found for them, are compared with all vectors. Rounds go on, each with fresh trees, until the mean over those with a
+    true link of the share of their links within their component is ``recall``; if it isn't after ``rounds``, that is an
+    error. Where too few vectors with a link can be drawn, a pair at the threshold must also have met in a leaf with chance
+    ``recall``.
     """
     first = units.select("unit").limit(1).collect()
     if not first:
@@ -205,24 +249,26 @@ def near_components(
     graph = durable(_kept(edges, k, threshold, k))
     near = F.col("sim") >= threshold
     links = stored(edges.where(near & (F.col("u") < F.col("v"))).select("u", "v").distinct(), "links")
-    with_links = links.select("u").distinct().orderBy(F.xxhash64("u", F.lit(seed))).limit(audit // 2)
-    others = units.select(F.col("id").alias("u")).orderBy(F.xxhash64("id", F.lit(seed + 1))).limit(audit)
-    chosen = [r["u"] for r in with_links.union(others).distinct().collect()]
-    queries = [(r["id"], bytes(r["unit"])) for r in units.where(F.col("id").isin(chosen)).select("id", "unit").collect()]
-    truth = durable(_brute(units, queries, threshold))
-    true_links = truth.count()
+    if not rounds:
+        return connected_components(links)
+    linked, enough = _drawn(units, count, dim, threshold, audit, seed)
+    apart = 1 - (1 - np.arccos(min(threshold, 1.0)) / np.pi) ** _depth(count)  # chance that no leaf of a tree has a pair
+    trees, got = TREES, 0.0
     for r in range(rounds):
-        found = stored(descend(units, graph, members, seed + r), "edges")
+        found = descend(units, graph, members, seed + r)
+        if r >= LEAST_ROUNDS:
+            found = found.unionByName(first_graph(units, dim, count, k, seed=seed + 1000 * r))
+            trees += TREES
+        found = stored(found, "edges")
         new = found.where(near).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
         links = stored(links.unionByName(new).distinct(), "links")
         if r + 1 >= LEAST_ROUNDS:
             part = durable(connected_components(links))
-            at = part.select(F.col("node").alias("u"), F.col("component").alias("cu")), part.select(F.col("node").alias("v"), F.col("component").alias("cv"))
-            got = truth.join(at[0], "u").join(at[1], "v").where("cu = cv").count() if true_links else 0
-            if got >= recall * true_links:
-                break
+            got = measured_recall(units, part, linked, threshold)
+            if got >= recall and (enough or apart**trees <= 1 - recall):
+                return part
         graph = durable(_kept(graph.unionByName(found), k, threshold, min(members, k << (r + 1))))
-    return part if rounds else connected_components(links)
+    raise RuntimeError(f"recall of links is {got:.4f} over {len(linked)} vectors after {rounds} rounds and {trees} trees; {recall} is asked for")
 
 
 def count_links(classes: DataFrame, part: DataFrame, threshold: float = THRESHOLD, block: int = COUNT_BLOCK) -> DataFrame:

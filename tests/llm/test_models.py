@@ -212,3 +212,19 @@ def test_embeddings(spark):
     assert len(wrong) <= 0.02 * len(rows)
     assert all(got[i][2] == (i == got[i][1]) for i in got)
     assert neighbours.link(table.limit(0)).count() == 0
+
+
+def test_audit_sees_lost_pairs(spark, monkeypatch):
+    """A large group supplies most links; a search that loses the separate pairs beside it is an error, not a result."""
+    rng = np.random.default_rng(8)
+    group = rng.normal(size=16) + rng.normal(size=(120, 16)) * 0.05
+    one = rng.normal(size=(40, 16))
+    x = np.concatenate([group, one, one + rng.normal(size=(40, 16)) * 0.05])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    units = spark.createDataFrame([(i, v.tobytes()) for i, v in enumerate(x)], "id long, unit binary")
+    part = {r["node"]: r["component"] for r in neighbours.near_components(units).collect()}
+    assert all(part.get(120 + i) == part.get(160 + i, -1) for i in range(40))
+    whole = neighbours.first_graph
+    monkeypatch.setattr(neighbours, "first_graph", lambda *a, **b: whole(*a, **b).where("u < 120 and v < 120"))
+    with pytest.raises(RuntimeError):
+        neighbours.near_components(units, rounds=2)
