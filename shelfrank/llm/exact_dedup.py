@@ -25,7 +25,8 @@ WINDOW = 100
 GRAM = 32
 SLICE_BYTES = 1_000_000
 SHARD_BYTES = 750_000
-#: A key with more different segments than this is dealt further, by where the minimizer lies in the window.
+#: A key with more different segments than this is dealt further, by where the minimizer lies in the window (in groups of
+#: so many offsets) and by the bytes that all windows of such a group hold.
 HOT_SEGMENTS = 1000
 OFFSETS = 8
 #: Bits of a Bloom filter for each key, and its most bits in all (32 MB).
@@ -172,6 +173,11 @@ def _digests(view: memoryview, at: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.frombuffer(b"".join([xxhash.xxh3_128_digest(view[a : a + s]) for a, s in zip(at.tolist(), size.tolist(), strict=True)]), np.int64).reshape(-1, 2)
 
 
+def _window_digests(text: bytes, window: int) -> list[tuple[int, int]]:
+    view, count = memoryview(text), len(text) - window + 1
+    return list(map(tuple, _digests(view, np.arange(count), np.full(count, window)).tolist()))
+
+
 def _first_of_each(h: np.ndarray, rank: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Segments that come first among those with their hash, and the others."""
     order = np.lexsort((start, rank, h[:, 1], h[:, 0]))
@@ -274,7 +280,8 @@ def _settled(whole: DataFrame, window: int) -> DataFrame:
 
 
 def _texts(docs: DataFrame, differ: KeySet, hot: KeySet | None, window: int) -> DataFrame:
-    """Texts of the segments under keys with different segments; those of hot keys are dealt further by offset."""
+    """Texts of the segments under keys with different segments; those of hot keys are dealt further by offset and shared bytes."""
+    core = max(window - OFFSETS + 1, 0)
     sent = docs.sparkSession.sparkContext.broadcast((differ, hot))
 
     def run(batches):
@@ -295,9 +302,13 @@ def _texts(docs: DataFrame, differ: KeySet, hot: KeySet | None, window: int) ->
                 cut = split[at]
                 from_ = np.where(cut, np.maximum(offset[at] - (group + 1) * OFFSETS + 1, 0), 0)
                 to = np.where(cut, np.minimum(offset[at] - group * OFFSETS, n[at] - 1), n[at] - 1)
-                key = np.where(cut, (key[at] ^ (group + 1).astype(np.uint64)) * np.uint64(_BASE), key[at])
-                start, n, text = start[at] + from_, to - from_ + 1, text[at]
                 view = memoryview(data)
+                # every window of a group holds the ``core`` bytes from the group's least offset on before the minimizer
+                holds = np.zeros(len(at), np.uint64)
+                c = at[cut]
+                holds[cut] = _digests(view, begin[text[c]] + start[c] + offset[c] - group[cut] * OFFSETS, np.full(len(c), core))[:, 0].view(np.uint64)
+                key = np.where(cut, (key[at] ^ (group + 1).astype(np.uint64)) * np.uint64(_BASE) ^ holds, key[at])
+                start, n, text = start[at] + from_, to - from_ + 1, text[at]
                 a = begin[text] + start
                 # parts of one content in the slice: the first goes on, the others are settled (key and end, no text)
                 first, later = _first_of_each(_digests(view, a, n + window - 1), _order(doc[g], known[g], rows[g])[text], start)
@@ -345,38 +356,62 @@ def _shard(texts: list[bytes], doc: np.ndarray, known: np.ndarray, row: np.ndarr
 
 
 def _shared_windows(texts: DataFrame, window: int) -> DataFrame:
-    """Intervals of windows that stand earlier in another segment of their key."""
+    """Intervals of windows that stand earlier in another segment of their key.
+
+    A key whose segments exceed a shard by themselves isn't held: its windows are settled one by one, by their hashes.
+    """
     dealt = texts.repartition("key").sortWithinPartitions("key", "text", "doc_id", "row", "start")
+    limit = SHARD_BYTES
 
     def run(batches):
         held: list[tuple] = []
         passed: list[tuple] = []
-        size = 0
-        names = ["doc_id", "row", "start", "end"]
+        loose: list[tuple] = []
+        size = own = mark = 0  # bytes held, those of the last key, and where it begins
+        last, over = (None, None), False
+
+        def rows(found: list[tuple]):
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["doc_id", "row", "start", "end", "h1", "h2"])
 
         def flush():
             if held:
                 _, text, doc, row, start, _ = zip(*held, strict=True)
                 known = np.array([d is not None for d in doc])
-                own = [np.array([d or 0 for d in doc], np.int64), known, np.array(row, np.int64), np.array(start, np.int64)]
-                segment, a, b = _shard(list(text), *own, window)
-                yield pa.RecordBatch.from_arrays([pa.array([doc[i] for i in segment], pa.int64()), pa.array(own[2][segment]), pa.array(a), pa.array(b)], names=names)
-            if passed:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*passed, strict=True)], names=names)
+                places = [np.array([d or 0 for d in doc], np.int64), known, np.array(row, np.int64), np.array(start, np.int64)]
+                segment, a, b = _shard(list(text), *places, window)
+                yield rows([(doc[i], row[i], x, y, None, None) for i, x, y in zip(segment.tolist(), a.tolist(), b.tolist(), strict=True)] or [(None,) * 6])
 
         for batch in batches:
             for record in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if record[1] is None or held and record[:2] == held[-1][:2]:
-                    passed.append(record[2:])  # settled before, or the same content as the one kept, which comes first
+                if len(passed) + len(loose) > 50_000:
+                    yield rows(passed + loose)
+                    passed, loose = [], []
+                if record[1] is None or record[:2] == last:
+                    passed.append((*record[2:], None, None))  # settled before, or the same content as the one before, which comes first
                     continue
-                if size > SHARD_BYTES and record[0] != held[-1][0]:
-                    yield from flush()
-                    held, passed, size = [], [], 0
+                if record[0] != last[0]:
+                    if size > limit:
+                        yield from flush()
+                        held, size = [], 0
+                    own, mark, over = 0, len(held), False
+                last = record[:2]
                 held.append(record)
                 size += len(record[1])
+                own += len(record[1])
+                over = over or own > limit
+                if over:
+                    for _, text, doc, row, start, _ in held[mark:]:
+                        loose += [(doc, row, start + i, start + i + window, *h) for i, h in enumerate(_window_digests(text, window))]
+                        size -= len(text)
+                    del held[mark:]
         yield from flush()
+        if passed or loose:
+            yield rows(passed + loose)
 
-    return dealt.mapInArrow(run, f"{ROW}, start long, end long")
+    found = stored(dealt.mapInArrow(run, f"{ROW}, start long, end long, h1 long, h2 long").where("row is not null"), "shared")
+    loose = found.where("h1 is not null").select(F.col("h1").alias("key"), "h1", "h2", "doc_id", "row", "start", F.lit(1).cast("long").alias("n"))
+    one_by_one = _settled(loose, window).where("key is null")
+    return found.where("h1 is null").select("doc_id", "row", "start", "end").unionByName(one_by_one.select("doc_id", "row", "start", "end"))
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, hot: int = HOT_SEGMENTS) -> DataFrame:

@@ -140,6 +140,24 @@ def test_suffix_dedup_hot_segments(spark, tmp_path):
     assert got == plain_repeats(rows, 50)
 
 
+def test_suffix_dedup_bounds_shards(spark, tmp_path, monkeypatch):
+    """Common lines between different neighbours, shorter than a window and nearly as long, make no shard beyond the bound."""
+    lines = words(95, 40)[:60], words(96, 40)[:97]
+    rows = [(i, f"{words(5000 + i, 12)}{lines[i % 2]}{words(7000 + i % 150, 12)}") for i in range(300)] + [(900 + i, words(5000 + i, 12) + lines[i % 2]) for i in range(40)]
+    docs = documents(spark, tmp_path / "d", rows)
+    bound, whole = 4000, exact_dedup._shard
+
+    def checked(texts, *places):
+        assert sum(map(len, texts)) <= 3 * bound
+        return whole(texts, *places)
+
+    monkeypatch.setattr(exact_dedup, "SHARD_BYTES", bound)
+    monkeypatch.setattr(exact_dedup, "_shard", checked)
+    done = exact_dedup.remove_repeats(docs, hot=10).collect()
+    got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept_bytes"]).hexdigest()) for r in done)
+    assert got == plain_repeats(rows, 100)
+
+
 def test_without_repeats_keeps_clean_texts(spark, tmp_path):
     docs = documents(spark, tmp_path / "d", [(1, words(1, 60)), (2, words(1, 60)), (3, words(2, 60)), (4, None), (5, "")])
     left = exact_dedup.without_repeats(docs)
