@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from shelfrank.llm.common import bounded_batches
 
 HELD_OUT = 2
-WORD = re.compile(r"[^\W\d_]+")
 #: Documents that training reads at most, in expectation; they are chosen by a hash of their id.
 TRAIN_DOCS = 20_000
 BUCKETS = 1 << 16
@@ -24,6 +23,7 @@ BUCKETS = 1 << 16
 SWITCH = 12.0
 #: A language is a candidate for a script if this share of its training words is written in it.
 CANDIDATE_SHARE = 0.001
+#: Longer runs of letters are cut into consecutive words of so many.
 LONGEST_WORD = 24
 SLICE_CHARS = 1_000_000
 # First and last code point of the letters of each script (Unicode blocks).
@@ -39,6 +39,22 @@ _ENDS = np.array([s[2] for s in SCRIPTS])
 _WHICH = np.array([NAMES.index(s[0]) for s in SCRIPTS])
 
 
+def _word_pattern() -> re.Pattern:
+    """Up to ``LONGEST_WORD`` letters of one script."""
+    letter = re.compile(r"[^\W\d_]")
+    classes = []
+    for name in NAMES[:-1]:
+        points = [c for n, a, b in SCRIPTS if n == name for c in range(a, b + 1) if letter.match(chr(c))]
+        edge = [i for i, c in enumerate(points) if not i or c != points[i - 1] + 1] + [len(points)]
+        classes.append("".join(f"{chr(points[i])}-{chr(points[j - 1])}" for i, j in zip(edge, edge[1:], strict=False)))
+    classes.sort(key=lambda c: "a-z" not in c)
+    rest = "".join(f"{chr(a)}-{chr(b)}" for _, a, b in SCRIPTS)
+    return re.compile("|".join(f"[{c}]{{1,{LONGEST_WORD}}}" for c in [*classes, rf"^\W\d_{rest}"]))
+
+
+WORD = _word_pattern()
+
+
 @dataclass
 class Model:
     """Scores of hashed character n-grams for each language; its size depends on the number of languages alone."""
@@ -49,14 +65,15 @@ class Model:
 
 
 def _codes(words: list[str]) -> np.ndarray:
-    """A row of code points for each word, ended by 1 and padded by 0, after a leading 1; long words show their ends."""
-    short = [w if len(w) <= LONGEST_WORD else w[: LONGEST_WORD // 2] + w[-LONGEST_WORD // 2 :] for w in words]
-    fixed = np.array(short, dtype=f"U{LONGEST_WORD}")
-    raw = fixed.view(np.uint32).reshape(len(words), LONGEST_WORD)
-    out = np.zeros((len(words), LONGEST_WORD + 2), np.uint32)
+    """A row of code points for each word, ended by 1 and padded by 0, after a leading 1."""
+    size = np.array([len(w) for w in words], np.int64)
+    width = max(LONGEST_WORD, int(size.max(initial=0)))  # some letters are two in lower case
+    fixed = np.array(words, dtype=f"U{width}")
+    raw = fixed.view(np.uint32).reshape(len(words), width)
+    out = np.zeros((len(words), width + 2), np.uint32)
     out[:, 0] = 1
     out[:, 1:-1] = raw
-    out[np.arange(len(words)), 1 + np.array([len(w) for w in short], np.int64)] = 1
+    out[np.arange(len(words)), 1 + size] = 1
     return out
 
 
@@ -218,7 +235,8 @@ def _runs(label: np.ndarray) -> np.ndarray:
 def detect(docs: DataFrame, model: Model, penalty: float = SWITCH) -> DataFrame:
     """``doc_id``, ``lang_pred``, ``score`` and ``spans`` of every row.
 
-    ``spans`` lists (start, end, lang) in characters: the runs of words that the best path gives one language.
+    ``spans`` lists (start, end, lang) in characters: the runs of words that the best path gives one language. Long runs
+    of letters, and runs in which the script changes, are several words, so that every letter counts.
     ``lang_pred`` is the language with most letters (the first by name among equals) and ``score`` its share of the
     letters. A text that is null or has no letters, or any text under a model without languages, is ``und`` with score 0
     and no spans. Rows are kept as they are; other columns are left behind.

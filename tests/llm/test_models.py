@@ -38,6 +38,18 @@ def test_langid(spark, tmp_path):
     assert left.columns == docs.columns and {1000, 1001, 1002}.isdisjoint(r["doc_id"] for r in left.collect()) and left.count() == len(rows) - 3
 
 
+def test_langid_counts_every_letter(spark, tmp_path):
+    """Texts without spaces are labelled by all their letters, and their language can change inside."""
+    docs, _ = labelled(spark, tmp_path / "d")
+    model = langid.train(docs)
+    run = lambda seed, n, lang: words(seed, n, LETTERS[lang]).replace(" ", "")
+    rows = [(1, run(1, 3, "aa")[:12] + run(2, 60, "bb") + run(3, 3, "aa")[:12]), (2, run(4, 40, "aa") + run(5, 20, "cc")), (3, "İ" * 30)]
+    got = {r["doc_id"]: r for r in langid.detect(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert got[1]["lang_pred"] == "bb" and len(got) == 3
+    assert [s["lang"] for s in got[2]["spans"]] == ["aa", "cc"]
+    assert got[2]["spans"][1]["start"] == len(run(4, 40, "aa")) and got[2]["score"] < 1
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(0)
     lengths = np.array([5, 0, 1, 6])
