@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfrank.llm import suffixes
-from shelfrank.llm.common import bounded_batches, stored
+from shelfrank.llm.common import bounded_batches, fresh, numbered_texts, stored, with_row
 
 WINDOW = 100
 #: Bytes of the strings of which the least hash in a window keys it; fewer for windows shorter than this.
@@ -32,6 +32,9 @@ OFFSETS = 8
 #: Bits of a Bloom filter for each key, and its most bits in all (32 MB).
 BITS_PER_KEY, MOST_BITS = 16, 1 << 28
 PAGE = 1 << 15
+#: Keys with more segments than these rows, and than this share of all segments, are busy: at most so many as the share's
+#: inverse. Their segments are dealt by content, and contents with as many rows are settled without a shuffle.
+BUSY_ROWS, BUSY_SHARE = 1000, 1 / 2000
 _BYTE = np.random.default_rng(7).integers(0, 2**64, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
 ROW = "doc_id long, row long"
@@ -131,11 +134,6 @@ def _slices(raws: list[bytes]):
         yield slice(first, len(raws))
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    """Texts with their place in the table, which tells apart rows with one doc_id."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col("text").cast("string").alias("text"))
-
-
 def _raws(batch) -> list[bytes]:
     return [(t or "").encode() for t in batch.column(2).to_pylist()]
 
@@ -185,7 +183,7 @@ def _first_of_each(h: np.ndarray, rank: np.ndarray, start: np.ndarray) -> tuple[
     return order[~same], order[same]
 
 
-def _count_keys(docs: DataFrame, window: int) -> DataFrame:
+def _count_keys(rows: DataFrame, window: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             raws = _raws(batch)
@@ -194,18 +192,18 @@ def _count_keys(docs: DataFrame, window: int) -> DataFrame:
                 unique, times = np.unique(key, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(unique.view(np.int64)), pa.array(times.astype(np.int32))], names=["key", "n"])
 
-    return _rows(docs).mapInArrow(run, "key long, n int").groupBy("key").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(run, "key long, n int").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def _whole(docs: DataFrame, again: KeySet, window: int) -> DataFrame:
+def _whole(rows: DataFrame, again: KeySet, window: int) -> DataFrame:
     """Segments under keys that occur again, one for each content in a slice; ``key`` is null for intervals settled there."""
-    sent = docs.sparkSession.sparkContext.broadcast(again)
+    sent = rows.sparkSession.sparkContext.broadcast(again)
     names = ["key", "h1", "h2", "doc_id", "row", "start", "n"]
 
     def run(batches):
         for batch in batches:
             raws = _raws(batch)
-            ids, rows, doc, known = _places(batch)
+            ids, row, doc, known = _places(batch)
             for g in _slices(raws):
                 (text, start, n, _, key), data, begin = keyed_segments(raws[g], window)
                 on = sent.value.has(key)
@@ -214,7 +212,7 @@ def _whole(docs: DataFrame, again: KeySet, window: int) -> DataFrame:
                     continue
                 view = memoryview(data)
                 h = _digests(view, begin[text] + start, n + window - 1)
-                first, later = _first_of_each(h, _order(doc[g], known[g], rows[g])[text], start)
+                first, later = _first_of_each(h, _order(doc[g], known[g], row[g])[text], start)
                 covered = _covered(text[later], start[later], start[later] + n[later] + window - 1)
                 t = np.concatenate([text[first], covered[0]])
                 pick = pa.array(t + g.start)
@@ -229,15 +227,25 @@ def _whole(docs: DataFrame, again: KeySet, window: int) -> DataFrame:
                     names=names,
                 )
 
-    return _rows(docs).mapInArrow(run, "key long, h1 long, h2 long, doc_id long, row long, start long, n long")
+    return rows.mapInArrow(run, "key long, h1 long, h2 long, doc_id long, row long, start long, n long")
+
 
+def _busy(keys: DataFrame) -> list[int]:
+    """Keys of ``keys`` (key, n) that many rows have; ``BUSY_SHARE`` bounds their number."""
+    total = keys.agg(F.sum("n")).first()[0] or 0
+    return [r["key"] for r in keys.where(F.col("n") > max(BUSY_ROWS, int(total * BUSY_SHARE))).select("key").collect()]
 
-def _settled(whole: DataFrame, window: int) -> DataFrame:
+
+def _settled(whole: DataFrame, window: int, busy: list[int]) -> DataFrame:
     """Intervals settled by whole segments, as (null, doc_id, row, start, end); and (key, ..., kinds) of keys with different segments.
 
     Each key's segments come in order of content and place, so a task only remembers the first of the last content.
+    Segments of ``busy`` keys are dealt by content instead; those of a content with very many rows stay where they are and
+    are held against its first place, which is sent to them.
     """
-    sorted_ = whole.where("key is not null").repartition("key").sortWithinPartitions("key", "h1", "h2", "doc_id", "row", "start")
+    segments = whole.where("key is not null")
+    usual = segments.where(~F.col("key").isin(busy)) if busy else segments
+    sorted_ = usual.repartition("key").sortWithinPartitions("key", "h1", "h2", "doc_id", "row", "start")
 
     def run(batches):
         last_key, last_h, kinds = None, None, 0
@@ -274,20 +282,35 @@ def _settled(whole: DataFrame, window: int) -> DataFrame:
             none = pa.nulls(1, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([last_key], pa.int64()), none, none, none, pa.array([kinds], pa.int64())], names=["key", "doc_id", "row", "start", "end"])
 
+    schema = f"key long, {ROW}, start long, end long"
     end = (F.col("start") + F.col("n") + (window - 1)).alias("end")
     before = whole.where("key is null").select("key", "doc_id", "row", "start", end)
-    return before.unionByName(sorted_.mapInArrow(run, f"key long, {ROW}, start long, end long"))
-
-
-def _texts(docs: DataFrame, differ: KeySet, hot: KeySet | None, window: int) -> DataFrame:
+    out = before.unionByName(sorted_.mapInArrow(run, schema))
+    if not busy:
+        return out
+    hot = segments.where(F.col("key").isin(busy))
+    place = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "row", "start")
+    contents = stored(hot.groupBy("key", "h1", "h2").agg(F.count("*").alias("m"), F.min(place).alias("first")), "contents")
+    total = contents.agg(F.sum("m")).first()[0] or 0
+    many = F.broadcast(contents.where(F.col("m") > max(BUSY_ROWS, int(total * BUSY_SHARE))).drop("m"))  # fewer than 1 / BUSY_SHARE rows
+    content = ["key", "h1", "h2"]
+    later = hot.join(many, content).where(place != F.col("first")).select(F.lit(None).cast("long").alias("key"), "doc_id", "row", "start", end)
+    rest = hot.join(many, content, "left_anti").repartition(*content).sortWithinPartitions(*content, "doc_id", "row", "start")
+    none = F.lit(None).cast("long")
+    kinds = contents.groupBy("key").agg(F.count("*").alias("end")).where("end > 1")
+    kinds = kinds.select("key", none.alias("doc_id"), none.alias("row"), none.alias("start"), "end")
+    return out.unionByName(later).unionByName(rest.select(whole.columns).mapInArrow(run, schema).where("key is null")).unionByName(kinds)
+
+
+def _texts(rows: DataFrame, differ: KeySet, hot: KeySet | None, window: int) -> DataFrame:
     """Texts of the segments under keys with different segments; those of hot keys are dealt further by offset and shared bytes."""
     core = max(window - OFFSETS + 1, 0)
-    sent = docs.sparkSession.sparkContext.broadcast((differ, hot))
+    sent = rows.sparkSession.sparkContext.broadcast((differ, hot))
 
     def run(batches):
         for batch in batches:
             raws = _raws(batch)
-            ids, rows, doc, known = _places(batch)
+            ids, row, doc, known = _places(batch)
             for g in _slices(raws):
                 (text, start, n, offset, key), data, begin = keyed_segments(raws[g], window)
                 many, few = sent.value[0], sent.value[1]
@@ -311,12 +334,12 @@ def _texts(docs: DataFrame, differ: KeySet, hot: KeySet | None, window: int) ->
                 start, n, text = start[at] + from_, to - from_ + 1, text[at]
                 a = begin[text] + start
                 # parts of one content in the slice: the first goes on, the others are settled (key and end, no text)
-                first, later = _first_of_each(_digests(view, a, n + window - 1), _order(doc[g], known[g], rows[g])[text], start)
+                first, later = _first_of_each(_digests(view, a, n + window - 1), _order(doc[g], known[g], row[g])[text], start)
                 covered = _covered(text[later], start[later], start[later] + n[later] + window - 1)
                 own = [bytes(view[x : x + s]) for x, s in zip(a[first].tolist(), (n[first] + window - 1).tolist(), strict=True)]
                 at = np.concatenate([text[first], covered[0]])
                 pick = pa.array(at + g.start)
-                spread = _mixed(rows[g][covered[0]] + covered[1])
+                spread = _mixed(row[g][covered[0]] + covered[1])
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.concatenate([key[first].view(np.int64), spread])), pa.array(own + [None] * len(covered[0]), pa.binary()), ids.take(pick),
@@ -326,7 +349,7 @@ def _texts(docs: DataFrame, differ: KeySet, hot: KeySet | None, window: int) ->
                     names=["key", "text", "doc_id", "row", "start", "end"],
                 )
 
-    return _rows(docs).mapInArrow(run, f"key long, text binary, {ROW}, start long, end long")
+    return rows.mapInArrow(run, f"key long, text binary, {ROW}, start long, end long")
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -410,7 +433,8 @@ def _shared_windows(texts: DataFrame, window: int) -> DataFrame:
 
     found = stored(dealt.mapInArrow(run, f"{ROW}, start long, end long, h1 long, h2 long").where("row is not null"), "shared")
     loose = found.where("h1 is not null").select(F.col("h1").alias("key"), "h1", "h2", "doc_id", "row", "start", F.lit(1).cast("long").alias("n"))
-    one_by_one = _settled(loose, window).where("key is null")
+    busy = _busy(loose.groupBy("key").agg(F.sum("n").alias("n")))
+    one_by_one = _settled(loose, window, busy).where("key is null")
     return found.where("h1 is null").select("doc_id", "row", "start", "end").unionByName(one_by_one.select("doc_id", "row", "start", "end"))
 
 
@@ -419,18 +443,24 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, hot: int = HOT_SEGMENT
 
     Rows are ordered by doc_id (nulls first), then by place in the table; the spans of a row may overlap.
     """
-    again = key_set(stored(_count_keys(docs, window).where("n > 1").select("key"), "keys"))
-    spark = docs.sparkSession
+    return _spans(numbered_texts(*with_row(docs.select("doc_id", "text"))), window, hot)
+
+
+def _spans(rows: DataFrame, window: int, hot: int) -> DataFrame:
+    """``repeated_spans`` of numbered texts."""
+    keys = stored(_count_keys(rows, window).where("n > 1"), "keys")
+    again = key_set(keys.select("key"))
+    spark = rows.sparkSession
     if again is None:
         return spark.createDataFrame([], f"{ROW}, starts array<long>, ends array<long>")
-    whole = stored(_whole(docs, again, window), "segments")
-    settled = stored(_settled(whole, window), "settled")
+    whole = stored(_whole(rows, again, window), "segments")
+    settled = stored(_settled(whole, window, _busy(keys)), "settled")
     found = settled.where("key is null").select("doc_id", "row", "start", "end")
     kinds = settled.where("key is not null").select("key", F.col("end").alias("kinds"))
     differ = key_set(kinds)
     if differ is not None:
         crowded = key_set(kinds.where(F.col("kinds") > hot))
-        found = found.unionByName(_shared_windows(_texts(docs, differ, crowded, window), window))
+        found = found.unionByName(_shared_windows(_texts(rows, differ, crowded, window), window))
     return found.groupBy("doc_id", "row").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
 
 
@@ -456,11 +486,13 @@ def _cut(text: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"kept": kept, "n_bytes": n_bytes, "n_spans": n_spans})
 
 
-def _joined(docs: DataFrame, window: int, hot: int, work, schema: str) -> DataFrame:
-    """``docs`` with a column ``__cut`` that ``work`` makes of each text and its spans."""
-    spans = repeated_spans(docs, window, hot).select(F.col("row").alias("__row"), "starts", "ends")
-    rows = docs.withColumn("__row", F.monotonically_increasing_id())
-    return rows.join(spans, "__row", "left").withColumn("__cut", F.pandas_udf(work, schema)(F.col("text").cast("string"), "starts", "ends"))
+def _joined(docs: DataFrame, window: int, hot: int, work, schema: str) -> tuple[DataFrame, str]:
+    """``docs`` with a column that ``work`` makes of each text and its spans, and that column's name."""
+    table, row = with_row(docs)
+    found, cut = fresh(table.columns, "found"), fresh(table.columns, "cut")
+    spans = _spans(numbered_texts(table, row), window, hot).select(F.col("row").alias(row), F.struct("starts", "ends").alias(found))
+    work = F.pandas_udf(work, schema)(F.col("text").cast("string"), F.col(found)["starts"], F.col(found)["ends"])
+    return table.join(spans, row, "left").withColumn(cut, work), cut
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, hot: int = HOT_SEGMENTS) -> DataFrame:
@@ -469,13 +501,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, hot: int = HOT_SEGMENT
     A byte goes if a string of ``window`` bytes covers it that also starts earlier: in a row with a smaller doc_id (null
     ids come first; rows with one id by their place), or earlier in the same row. Strings are judged on the input and
     never cross rows. A null text counts as empty, and texts shorter than the window keep all. Repeated rows are rows of
-    their own. ``docs`` must give the same rows in the same order each time it is read, as a table in files does.
+    their own. Columns of ``docs`` with the names of the new ones give way to them; all others stay, whatever their names.
     """
-    joined = _joined(docs, window, hot, _cut, "kept binary, n_bytes long, n_spans long")
+    joined, cut = _joined(docs, window, hot, _cut, "kept binary, n_bytes long, n_spans long")
     return joined.select(
-        *[docs[c] for c in docs.columns if c not in ("kept_bytes", "n_bytes", "n_removed", "n_spans")],
-        F.col("__cut.kept").alias("kept_bytes"), F.col("__cut.n_bytes").alias("n_bytes"),
-        (F.col("__cut.n_bytes") - F.octet_length("__cut.kept")).alias("n_removed"), F.col("__cut.n_spans").alias("n_spans"),
+        *[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("kept_bytes", "n_bytes", "n_removed", "n_spans")],
+        F.col(cut)["kept"].alias("kept_bytes"), F.col(cut)["n_bytes"].alias("n_bytes"),
+        (F.col(cut)["n_bytes"] - F.octet_length(F.col(cut)["kept"])).alias("n_removed"), F.col(cut)["n_spans"].alias("n_spans"),
     )
 
 
@@ -485,13 +517,14 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, hot: int = HOT_SEGMEN
     Characters that lose some of their bytes go with them. Where there is a column ``n_chars``, it counts what is left.
     Null, empty and unaffected texts stay as they are.
     """
-    joined = _joined(docs, window, hot, _cut_text, "kept string, n_bytes long, n_spans long, left long")
-    changed = F.col("__cut.left") < F.col("__cut.n_bytes")
-    new = {"text": F.when(changed, F.col("__cut.kept")).otherwise(docs["text"])}
+    joined, cut = _joined(docs, window, hot, _cut_text, "kept string, n_bytes long, n_spans long, left long")
+    own = F.col(cut)
+    changed = own["left"] < own["n_bytes"]
+    new = {"text": F.when(changed, own["kept"]).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(changed, F.length("__cut.kept")).otherwise(docs["n_chars"]).cast(docs.schema["n_chars"].dataType)
-    alive = joined.where((F.col("__cut.n_bytes") == 0) | (F.length("__cut.kept") > 0))
-    return alive.select(*[new[c].alias(c) if c in new else docs[c] for c in docs.columns])
+        new["n_chars"] = F.when(changed, F.length(own["kept"])).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    alive = joined.where((own["n_bytes"] == 0) | (F.length(own["kept"]) > 0))
+    return alive.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfrank.llm.common import connected_components, durable, stored
+from shelfrank.llm.common import connected_components, durable, forest, grouped_rows, stored
 
 THRESHOLD = 0.95
 #: Neighbours kept of each vector at first, and members of a neighbourhood that are compared in a round.
@@ -24,13 +25,15 @@ AUDIT, RECALL = 1024, 0.99
 AUDITED, AUDIT_BYTES = 200, 1 << 25
 #: Similarities of a tile in the audit.
 TILE = 1 << 21
-#: Vectors of a block when the links within a component are counted.
-COUNT_BLOCK = 512
+#: Vectors of a block when all vectors of a group are compared: an eighth of the group, within these numbers and bytes.
+LEAST_BLOCK, MOST_BLOCK, BLOCK_BYTES = 512, 8192, 1 << 23
+#: Lengths that no more different vectors have are compared whole, without a neighbour graph.
+FEW = 2048
 SEED = 3
 
 
 def unit_vectors(table: DataFrame) -> DataFrame:
-    """``vec_id`` and ``unit`` (doubles of length one, as bytes) of every row; null where a vector can't link.
+    """``vec_id``, ``unit`` (doubles of length one, as bytes) and its ``digest`` of every row; null where a vector can't link.
 
     Null, empty and zero vectors and those with null or non-finite components can't.
     """
@@ -42,59 +45,17 @@ def unit_vectors(table: DataFrame) -> DataFrame:
                 x = np.array(v, np.float64) if v and None not in v else np.zeros(0)
                 norm = np.linalg.norm(x / (m := np.abs(x).max())) * m if x.size and np.isfinite(x).all() and x.any() else 0.0
                 out.append((x / norm).tobytes() if norm > 0 and np.isfinite(norm) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["vec_id", "unit"])
+            digest = [None if x is None else xxhash.xxh3_128_digest(x) for x in out]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), pa.array(digest, pa.binary())], names=["vec_id", "unit", "digest"])
 
     rows = table.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
-    return rows.mapInArrow(run, "vec_id long, unit binary")
+    return rows.mapInArrow(run, "vec_id long, unit binary, digest binary")
 
 
 def _matrix(units: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(units), np.float64).reshape(len(units), -1)
 
 
-def _grouped(df: DataFrame, key: str, work, schema: str) -> DataFrame:
-    """``work(key, rows)`` for each run of rows with one ``key``, in sorted partitions; ``work`` returns tuples of arrays.
-
-    Groups are read from a stream, so a task holds one group at a time.
-    """
-    names = [x.strip().split(" ")[0] for x in schema.split(",")]
-    columns = df.columns
-
-    def run(batches):
-        rest: pa.Table | None = None
-        out: list[tuple] = []
-        size = 0
-
-        def emit():
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out])) for i in range(len(names))], names=names)
-
-        def groups():
-            nonlocal rest
-            for batch in batches:
-                own = pa.Table.from_batches([batch])
-                rest = own if rest is None else pa.concat_tables([rest, own])
-                k = rest.column(key).to_numpy()
-                edges = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist()]
-                for a, b in zip(edges, edges[1:], strict=False):
-                    yield k[a], rest.slice(a, b - a)
-                rest = rest.slice(edges[-1])
-            if rest is not None and rest.num_rows:
-                yield rest.column(key)[0].as_py(), rest
-
-        for k, rows in groups():
-            got = work(k, rows)
-            if got is not None and len(got[0]):
-                out.append(got)
-                size += len(got[0])
-            if size > 50_000:
-                yield emit()
-                out, size = [], 0
-        if out:
-            yield emit()
-
-    return df.select(*columns).mapInArrow(run, schema)
-
-
 def _best(ids: np.ndarray, sims: np.ndarray, k: int):
     """For each member its ``k`` most similar others, as (u, v, sim)."""
     n = len(ids)
@@ -144,7 +105,7 @@ def first_graph(units: DataFrame, dim: int, count: int, k: int, trees: int = TRE
             parts.append(_best(ids[part], x[part] @ x[part].T, k))
         return tuple(np.concatenate([p[i] for p in parts]) for i in range(3))
 
-    return _grouped(dealt, "group", work, "u long, v long, sim double")
+    return grouped_rows(dealt, "group", work, "u long, v long, sim double")
 
 
 def _kept(edges: DataFrame, k: int, threshold: float, longest: int) -> DataFrame:
@@ -174,7 +135,7 @@ def descend(units: DataFrame, graph: DataFrame, members: int, seed: int) -> Data
         x = _matrix(rows.column("unit").to_pylist())
         return _best(ids, x @ x.T, INTRODUCED)
 
-    return _grouped(dealt, "centre", work, "u long, v long, sim double")
+    return grouped_rows(dealt, "centre", work, "u long, v long, sim double")
 
 
 def _brute(placed: DataFrame, queries: list[tuple[int, bytes, int]], threshold: float) -> DataFrame:
@@ -231,7 +192,7 @@ def near_components(
     units: DataFrame, threshold: float = THRESHOLD, k: int = NEIGHBOURS, members: int = MEMBERS, rounds: int = ROUNDS,
     audit: int = AUDIT, recall: float = RECALL, seed: int = SEED,
 ) -> DataFrame:
-    """(node, component) of the vectors that are linked to another at cosine ``threshold`` or more.
+    """(node, component, recall) of the vectors that are linked to another at cosine ``threshold`` or more.
 
     ``units`` has ``id`` and ``unit``, each vector once. NN-descent begins with a graph of random-hyperplane leaves; each
     round compares the neighbours of every vector, and the edges at the threshold are links. Lists that are full of links
@@ -239,18 +200,18 @@ def near_components(
     found for them, are compared with all vectors. Rounds go on, each with fresh trees, until the mean over those with a
     true link of the share of their links within their component is ``recall``; if it isn't after ``rounds``, that is an
     error. Where too few vectors with a link can be drawn, a pair at the threshold must also have met in a leaf with chance
-    ``recall``.
+    ``recall``. The result tells the measured recall in each row.
     """
     first = units.select("unit").limit(1).collect()
     if not first:
-        return units.sparkSession.createDataFrame([], "node long, component long")
+        return units.sparkSession.createDataFrame([], "node long, component long, recall double")
     dim, count = len(first[0]["unit"]) // 8, units.count()
     edges = stored(first_graph(units, dim, count, k, seed=seed), "leaf_edges")
     graph = durable(_kept(edges, k, threshold, k))
     near = F.col("sim") >= threshold
     links = stored(edges.where(near & (F.col("u") < F.col("v"))).select("u", "v").distinct(), "links")
     if not rounds:
-        return connected_components(links)
+        return connected_components(links).withColumn("recall", F.lit(None).cast("double"))
     linked, enough = _drawn(units, count, dim, threshold, audit, seed)
     apart = 1 - (1 - np.arccos(min(threshold, 1.0)) / np.pi) ** _depth(count)  # chance that no leaf of a tree has a pair
     trees, got = TREES, 0.0
@@ -266,70 +227,108 @@ def near_components(
             part = durable(connected_components(links))
             got = measured_recall(units, part, linked, threshold)
             if got >= recall and (enough or apart**trees <= 1 - recall):
-                return part
+                return part.withColumn("recall", F.lit(got))
         graph = durable(_kept(graph.unionByName(found), k, threshold, min(members, k << (r + 1))))
     raise RuntimeError(f"recall of links is {got:.4f} over {len(linked)} vectors after {rounds} rounds and {trees} trees; {recall} is asked for")
 
 
-def count_links(classes: DataFrame, part: DataFrame, threshold: float = THRESHOLD, block: int = COUNT_BLOCK) -> DataFrame:
+def _block_pairs(vectors: DataFrame) -> DataFrame:
+    """``vectors`` (component, id, unit, m) dealt so that any two of a component meet once: (group, mine, within, ...).
+
+    Each vector goes to as many groups as its component has blocks: eight until they have their largest size.
+    """
+    most = F.least(F.lit(MOST_BLOCK), F.floor(BLOCK_BYTES / F.max(F.octet_length("unit"))))
+    sizes = vectors.groupBy("component").agg(F.ceil(F.count("*") / F.greatest(F.lit(LEAST_BLOCK), F.least(F.ceil(F.count("*") / 8), most))).alias("blocks"))
+    own = vectors.join(sizes, "component").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    spread = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    pair = F.xxhash64("component", F.least("mine", "other"), F.greatest("mine", "other"))
+    dealt = spread.select(pair.alias("group"), "component", "mine", (F.col("mine") == F.col("other")).alias("within"), "id", "unit", "m")
+    return dealt.repartition("group").sortWithinPartitions("group", "component", "mine")
+
+
+def _near_tiles(rows: pa.Table, threshold: float):
+    """(left, right, near) of the parts of a group of ``_block_pairs``: places, and which of them are linked."""
+    mine = rows.column("mine").to_numpy()
+    x = _matrix(rows.column("unit").to_pylist())
+    within = rows.column("within")[0].as_py()
+    one = mine == mine[0]
+    left, right = (np.arange(len(x)),) * 2 if within else (np.flatnonzero(one), np.flatnonzero(~one))
+    for a in range(0, len(left) if len(right) else 0, step := max(1, TILE // max(len(right), 1))):
+        part = left[a : a + step]
+        near = x[part] @ x[right].T >= threshold
+        if within:
+            near[np.arange(len(part)), np.arange(a, a + len(part))] = False
+        yield part, right, near, within
+
+
+def whole_components(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(node, component, recall) of linked vectors among those of one ``component`` (here: length), all of them compared."""
+
+    def work(_, rows):
+        ids, found = rows.column("id").to_numpy(), []
+        for left, right, near, _ in _near_tiles(rows, threshold):
+            i, j = np.nonzero(near)
+            found.append(forest(ids[left[i]], ids[right[j]]))
+        return tuple(np.concatenate([f[i] for f in found]) for i in (0, 1)) if found else None
+
+    links = grouped_rows(_block_pairs(vectors), "group", work, "u long, v long")
+    return connected_components(links).withColumn("recall", F.lit(1.0))
+
+
+def count_links(classes: DataFrame, part: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(id, beyond): rows in other classes that each class of a component is linked to.
 
     All vectors of a component are compared, in pairs of blocks; a pair of blocks gives a number for each of its vectors,
     so the links themselves are never rows, however many there are.
     """
-    sizes = part.groupBy("component").agg(F.ceil(F.count("*") / block).alias("blocks"))
-    own = part.join(sizes, "component").join(classes.select(F.col("id").alias("node"), "unit", "m"), "node")
-    own = own.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    spread = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pair = F.xxhash64("component", F.least("mine", "other"), F.greatest("mine", "other"))
-    dealt = spread.select(pair.alias("group"), "component", "mine", (F.col("mine") == F.col("other")).alias("within"), F.col("node").alias("id"), "unit", "m")
-    dealt = dealt.repartition("group").sortWithinPartitions("group", "component", "mine")
 
     def work(_, rows):
-        ids, m, mine = (rows.column(c).to_numpy() for c in ("id", "m", "mine"))
-        x = _matrix(rows.column("unit").to_pylist())
-        one = mine == mine[0]
-        counts = np.zeros(len(ids), np.int64)
-        if rows.column("within")[0].as_py():
-            for a in range(0, len(ids), block):
-                near = x[a : a + block] @ x.T >= threshold
-                near[np.arange(len(near)), np.arange(a, a + len(near))] = False
-                counts[a : a + block] = near @ m
-        else:
-            left, right = np.flatnonzero(one), np.flatnonzero(~one)
-            for a in range(0, len(left), block):
-                part_ = left[a : a + block]
-                near = x[part_] @ x[right].T >= threshold
-                counts[part_] = near @ m[right]
-                counts[right] += near.T @ m[part_]
-        return ids, counts
-
-    return _grouped(dealt, "group", work, "id long, n long").groupBy("id").agg(F.sum("n").alias("beyond"))
-
-
-def link(table: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
-    """``vec_id``, ``n_links``, ``component_id`` and ``kept`` of every row, by cosine in double precision.
+        ids, m = rows.column("id").to_numpy(), rows.column("m").to_numpy().astype(np.float64)
+        counts = np.zeros(len(ids))
+        for left, right, near, within in _near_tiles(rows, threshold):
+            counts[left] += near @ m[right]
+            if not within:
+                counts[right] += near.T @ m[left]
+        return ids, counts.astype(np.int64)
+
+    own = part.select(F.col("node").alias("id"), "component").join(classes.select("id", "unit", "m"), "id")
+    return grouped_rows(_block_pairs(own), "group", work, "id long, n long").groupBy("id").agg(F.sum("n").alias("beyond"))
+
+
+def link(table: DataFrame, threshold: float = THRESHOLD, few: int = FEW, **options) -> DataFrame:
+    """``vec_id``, ``n_links``, ``component_id``, ``kept`` and ``recall`` of every row, by cosine in double precision.
 
     Equal vectors are one class from the start, so copies form no pairs: a row's links are the other rows of its class
-    and all rows of the classes that its class is linked to. NN-descent finds the components, and the links within each
-    are then counted exactly. Vectors that can't link (null, empty, zero, or with null or non-finite components) have no
-    links. ``component_id`` is the smallest vec_id that can be reached, ``kept`` marks that row. Vectors of another
-    length than most can't be compared and link to their copies only. Repeated rows count as rows; a null vec_id is
-    never the smallest; other columns are left behind.
+    and all rows of the classes that its class is linked to. Vectors of one length are compared with each other: by
+    NN-descent, with the recall that its audit measured, or whole where there are no more than ``few``. The links within
+    each component are then counted exactly. Vectors that can't link (null, empty, zero, or with null or non-finite
+    components) have no links and no recall. ``component_id`` is the smallest vec_id that can be reached, ``kept`` marks
+    that row. Repeated rows count as rows. A row with a null vec_id counts as a link of others and has links itself, but is
+    never the smallest or kept; a component of such rows alone has a null id. Other columns are left behind.
     """
-    rows = stored(unit_vectors(table), "units")
+    rows = stored(unit_vectors(table).withColumn("row", F.monotonically_increasing_id()), "units")
     able = rows.where("unit is not null")
-    classes = stored(able.groupBy("unit").agg(F.min("vec_id").alias("id"), F.count("*").alias("m")).where("id is not null"), "classes")
-    usual = classes.groupBy(F.length("unit").alias("n")).agg(F.count("*").alias("m")).orderBy(F.desc("m"), "n").first()
-    units = classes.where(F.length("unit") == (usual["n"] if usual else 0)).select("id", "unit")
-    part = durable(near_components(units, threshold, **options))
+    classes = able.groupBy("digest").agg(F.min("row").alias("id"), F.min("vec_id").alias("least"), F.count("*").alias("m"), F.first("unit").alias("unit"))
+    classes = stored(classes.withColumn("length", F.octet_length("unit").cast("long")), "classes")
+    lengths = classes.groupBy("length").agg(F.count("*").alias("n"))
+    large = [r["length"] for r in lengths.where(F.col("n") > few).orderBy("length").collect()]
+    small = classes.where(~F.col("length").isin(large)) if large else classes
+    parts = [whole_components(small.select(F.col("length").alias("component"), "id", "unit", "m"), threshold)]
+    parts += [near_components(classes.where(F.col("length") == n).select("id", "unit"), threshold, **options) for n in large]
+    part = parts[0]
+    for p in parts[1:]:
+        part = part.unionByName(p)
+    part = durable(part)
     beyond = count_links(classes, part, threshold)
-    known = classes.join(beyond, "id", "left").join(part, classes["id"] == part["node"], "left").select(
-        "unit", (F.col("m") - 1 + F.coalesce("beyond", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id")
-    )
-    joined = rows.join(known, "unit", "left")
-    root = F.coalesce("component_id", "vec_id")
-    return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), root.alias("component_id"), (F.col("vec_id") == root).alias("kept"))
+    placed = classes.select("digest", "id", "least", "m").join(beyond, "id", "left").join(part.withColumnRenamed("node", "id"), "id", "left")
+    first = placed.where("component is not null").groupBy("component").agg(F.min("least").alias("first"))
+    known = placed.join(first, "component", "left").select(
+        "digest", (F.col("m") - 1 + F.coalesce("beyond", F.lit(0))).alias("n_links"), F.coalesce("first", "least").alias("component_id"), "recall",
+    )
+    joined = able.select("vec_id", "digest").join(known, "digest").select("vec_id", "n_links", "component_id", "recall")
+    none = rows.where("unit is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(None).cast("double").alias("recall"))
+    kept = F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False))
+    return joined.unionByName(none).select("vec_id", "n_links", "component_id", kept.alias("kept"), "recall")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

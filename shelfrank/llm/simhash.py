@@ -11,8 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfrank.llm.common import bounded_batches, connected_components, durable, stored
-from shelfrank.llm.neighbours import _grouped
+from shelfrank.llm.common import bounded_batches, connected_components, durable, forest, grouped_rows, numbered_texts, stored, with_row
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 TO_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -24,6 +23,8 @@ BITS = 64
 PIVOTS = range(1, 64, 4)
 #: Buckets with more fingerprints than this are linked by shared variants instead of pairs.
 LARGE_BUCKET = 256
+#: Variants in a batch of rows.
+VARIANTS = 1 << 17
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -133,14 +134,17 @@ def _stars(keyed: DataFrame, radius: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for i in range(batch.num_rows):
-                own, fp, which = (batch.column(c)[i].as_py() for c in range(3))
-                mine = flips[which]
-                v = np.array([f for f, _ in mine], np.uint64) ^ np.int64(fp).view(np.uint64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([own] * len(mine), pa.int64()), pa.array([fp] * len(mine), pa.int64()), pa.array(v.view(np.int64)), pa.array([d for _, d in mine], pa.int32())],
-                    names=["id", "fp", "variant", "d"],
-                )
+            own, fp, which = (batch.column(c).to_numpy() for c in range(3))
+            for w in np.unique(which).tolist():
+                at = np.flatnonzero(which == w)
+                flip, d = np.array([f for f, _ in flips[w]], np.uint64), np.array([d for _, d in flips[w]], np.int32)
+                for i in range(0, len(at), step := max(1, VARIANTS // len(d))):
+                    some = at[i : i + step]
+                    v = fp[some].view(np.uint64)[:, None] ^ flip
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.repeat(own[some], len(d))), pa.array(np.repeat(fp[some], len(d))), pa.array(v.view(np.int64).ravel()), pa.array(np.tile(d, len(some)))],
+                        names=["id", "fp", "variant", "d"],
+                    )
 
     named = keyed.select("id", "fp", "which").mapInArrow(run, "id long, fp long, variant long, d int")
     hub = named.where(F.col("d") <= low).groupBy("variant").agg(F.min(F.struct("id", "fp")).alias("hub"))
@@ -164,8 +168,9 @@ def link(docs: DataFrame, width: int = 3, radius: int = 3, large: int = LARGE_BU
 
 
 #: Near copies by similarity: words in a shingle, least Jaccard similarity, and the SimHash radius that holds such pairs.
-#: At similarity 0.8 two fingerprints differ in 9.7 bits on average, with a deviation of 2.9.
-NEAR_WORDS, SIMILARITY, NEAR_RADIUS = 5, 0.8, 20
+#: At similarity 0.8 two fingerprints differ in 9.7 bits on average, with a deviation of 2.9; texts of 4 and 5 shingles in
+#: 12 with one of 3.1. The radius lies 4.5 deviations or more above, so it loses fewer pairs than the keys do.
+NEAR_WORDS, SIMILARITY, NEAR_RADIUS = 5, 0.8, 26
 #: Keys of a document and the least hashes that make each; a pair at 0.8 has none in common once in 37,000.
 KEYS, HASHES = 20, 4
 #: Larger buckets first compare their members with some of them, other ones for each key; members that this leaves in
@@ -196,15 +201,23 @@ def _keys(h: np.ndarray) -> np.ndarray:
 
 
 def near_copies(docs: DataFrame, width: int = NEAR_WORDS, similarity: float = SIMILARITY, radius: int = NEAR_RADIUS) -> DataFrame:
-    """``row``, ``doc_id`` and ``kept``: which row of each group of near copies stays (the smallest doc_id, then place).
-
-    Rows link where the Jaccard similarity of their sets of ``width``-word shingles is ``similarity`` or more, and where
-    their words are equal. At this similarity fingerprints differ in too many bits for keys of equal bits, so pairs are
-    formed by keys of least hashes instead; the pivot table discards those that are further apart than ``radius``, and
-    the survivors' sets are compared exactly. Buckets with many members pair each with a few references, other ones for
-    each of the keys, which joins a group of copies of one text without its pairs. Members of such a bucket that are in
-    different components after that are all compared with each other, in pairs of blocks.
+    """``row`` (the row's place), ``doc_id`` and ``kept``: which row of each group of near copies stays.
+
+    That is the one with the smallest doc_id (null ids come last), then the first place. Rows link where the Jaccard
+    similarity of their sets of ``width``-word shingles is ``similarity`` or more, and where their words are equal. At this
+    similarity fingerprints differ in too many bits for keys of equal bits, so pairs are formed by keys of least hashes
+    instead; the pivot table discards those that are further apart than ``radius``, and the survivors' sets are compared
+    exactly. Buckets with many members pair each with a few references, other ones for each of the keys, which joins a
+    group of copies of one text without its pairs. Members of such a bucket that are in different components after that
+    are all compared with each other, in pairs of blocks.
     """
+    rows = numbered_texts(*with_row(docs.select("doc_id", "text")))
+    first = _first_rows(rows, width, similarity, radius).withColumn("kept", F.lit(True))
+    return rows.select("row", "doc_id").join(first, "row", "left").select("row", "doc_id", F.coalesce("kept", F.lit(False)).alias("kept"))
+
+
+def _first_rows(rows: DataFrame, width: int, similarity: float, radius: int) -> DataFrame:
+    """``row`` of the rows that stay."""
 
     def described(batches):
         for batch in batches:
@@ -220,9 +233,10 @@ def near_copies(docs: DataFrame, width: int = NEAR_WORDS, similarity: float = SI
                 names=["row", "doc_id", "digest", "fp", "keys"],
             )
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    known = stored(rows.mapInArrow(described, "row long, doc_id long, digest string, fp long, keys array<long>"), "near")
-    classes = stored(known.groupBy("digest").agg(F.min("row").alias("id"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "near_classes")
+    known = stored(rows.select("row", "doc_id", "text").mapInArrow(described, "row long, doc_id long, digest string, fp long, keys array<long>"), "near")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
+    classes = known.groupBy("digest").agg(F.min("row").alias("id"), F.min(place).alias("first"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    classes = stored(classes.drop("digest"), "near_classes")
     pairs = stored(_key_pairs(classes, radius), "near_pairs")
     links = durable(_similar(rows, pairs, width, similarity))
     part = connected_components(links)
@@ -231,10 +245,8 @@ def near_copies(docs: DataFrame, width: int = NEAR_WORDS, similarity: float = SI
         sets = _sets(rows, crowded.select(F.col("id").alias("row")).distinct(), width)
         more = _block_links(crowded, sets, similarity)
         part = connected_components(part.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
-    group = classes.join(part, classes["id"] == part["node"], "left").select("digest", F.coalesce("component", "id").alias("group"))
-    grouped = known.select("row", "doc_id", "digest").join(group, "digest")
-    first = grouped.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
-    return grouped.join(first, "group").select("row", "doc_id", (F.col("row") == F.col("first.row")).alias("kept"))
+    grouped = classes.join(part, classes["id"] == part["node"], "left").select(F.coalesce("component", "id").alias("group"), "first")
+    return grouped.groupBy("group").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
 
 
 def _key_pairs(classes: DataFrame, radius: int) -> DataFrame:
@@ -305,9 +317,9 @@ def _block_links(crowded: DataFrame, sets: DataFrame, similarity: float) -> Data
         common = _common(held, left, right)
         alike = common >= similarity * (size[left][:, None] + size[right] - common)
         i, j = np.nonzero(alike & (component[left][:, None] != component[right]))
-        return _forest(ids[left[i]], ids[right[j]])
+        return forest(ids[left[i]], ids[right[j]])
 
-    return _grouped(dealt, "group", work, "u long, v long")
+    return grouped_rows(dealt, "group", work, "u long, v long")
 
 
 def _common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -328,24 +340,6 @@ def _common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.n
     return out
 
 
-def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join the same ids as all links do, without circles."""
-    root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while (up := root.setdefault(x, x)) != x:
-            root[x] = x = root[up]
-        return x
-
-    keep = []
-    for n, (x, y) in enumerate(zip(u.tolist(), v.tolist(), strict=True)):
-        a, b = find(x), find(y)
-        if a != b:
-            root[a] = b
-            keep.append(n)
-    return u[keep], v[keep]
-
-
 def _sets(rows: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """``row`` and ``shingles`` (their distinct hashes, sorted, as bytes) of the rows in ``ids``; only their texts are read."""
     ids = durable(ids)
@@ -377,15 +371,16 @@ def _similar(rows: DataFrame, pairs: DataFrame, width: int, similarity: float) -
     return both.mapInArrow(compared, "u long, v long")
 
 
-def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one row of each group of near copies, all columns kept.
+def drop_near_copies(docs: DataFrame, width: int = NEAR_WORDS, similarity: float = SIMILARITY, radius: int = NEAR_RADIUS) -> DataFrame:
+    """``docs`` with one row of each group of near copies (see ``near_copies``), all columns kept.
 
-    Null and empty texts are copies of each other. ``docs`` must give the same rows in the same order each time it is
-    read, as a table in files does.
+    Null, empty and wordless texts are copies of each other, so one of them stays; repeated rows are copies too.
     """
-    gone = durable(near_copies(docs, **options).where(~F.col("kept")).select(F.col("row").alias("__row")))
-    rows = docs.withColumn("__row", F.monotonically_increasing_id())
-    return rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "__row", "left_anti").drop("__row")
+    table, row = with_row(docs)
+    first = _first_rows(numbered_texts(table, row), width, similarity, radius).select(F.col("row").alias(row))
+    gone = durable(table.select(row).join(first, row, "left_anti"))
+    kept = table.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, row, "left_anti")
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

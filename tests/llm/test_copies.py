@@ -124,7 +124,7 @@ def plain_repeats(rows, window):
 
 @pytest.mark.parametrize("window", [20, 100])
 def test_suffix_dedup(spark, tmp_path, window):
-    rows = [(i, t) for i, t in texts() if i != 11] + [(50 + i, words(77, 30) + words(400 + i, 20) + words(78, 30)) for i in range(30)]
+    rows = texts() + [(50 + i, words(77, 30) + words(400 + i, 20) + words(78, 30)) for i in range(30)]
     docs = documents(spark, tmp_path / "d", rows)
     done = exact_dedup.remove_repeats(docs, window).collect()
     got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept_bytes"]).hexdigest()) for r in done)
@@ -132,6 +132,44 @@ def test_suffix_dedup(spark, tmp_path, window):
     assert set(docs.columns) < set(done[0].__fields__)
 
 
+def test_suffix_dedup_busy_keys(spark, tmp_path, monkeypatch):
+    """A passage that most documents hold, whole and between different neighbours, is settled without a task for itself."""
+    monkeypatch.setattr(exact_dedup, "BUSY_ROWS", 5)
+    monkeypatch.setattr(exact_dedup, "SLICE_BYTES", 300)
+    common = words(61, 30)
+    rows = [(i, common if i % 3 else f"{words(800 + i, 9)} {common} {words(900 + i % 4, 9)}") for i in range(40)] + [(None, common), (3, common)]
+    docs = documents(spark, tmp_path / "d", rows)
+    done = exact_dedup.remove_repeats(docs, 50).collect()
+    got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept_bytes"]).hexdigest()) for r in done)
+    assert got == plain_repeats(in_order(docs), 50)
+
+
+def test_rows_stay_themselves_while_splits_change(spark, tmp_path, monkeypatch):
+    """Every pass sees other splits of the files, as when executors come and go; columns have names that are used inside."""
+    rows = [(i, words(i % 20, 30) + f" {i}") for i in range(120)]
+    table = spark.createDataFrame([(i, t, t, 1, 2, "f", "c", 3) for i, t in rows], "doc_id long, text string, kept string, starts int, ends int, found string, cut string, `__row` int").repartition(7)
+    table.write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    name, sizes = "spark.sql.files.maxPartitionBytes", iter(["4k", "1m", "2k", "64m"] * 20)
+    before = spark.conf.get(name)
+    for module, work in ((exact_dedup, "_count_keys"), (exact_dedup, "_whole"), (exact_dedup, "_texts"), (simhash, "_sets"), (simhash, "_key_pairs")):
+        monkeypatch.setattr(module, work, lambda *a, f=getattr(module, work): (spark.conf.set(name, next(sizes)), f(*a))[1])
+    try:
+        done = exact_dedup.remove_repeats(docs, 40)
+        assert set(docs.columns) < set(done.columns)
+        got = Counter((r["doc_id"], r["n_removed"], bytes(r["kept_bytes"])) for r in done.collect())
+        spark.conf.set(name, "64m")
+        want = plain_repeats(in_order(docs), 40)
+        assert Counter((i, n, hashlib.sha256(k).hexdigest()) for i, n, k in got.elements()) == Counter((i, n, h) for i, _, n, _, h in want.elements())
+        left = exact_dedup.without_repeats(docs, 40)
+        assert left.columns == docs.columns
+        assert {(r["doc_id"], r["text"].encode()) for r in left.collect()} == {(i, k) for i, _, k in got if k}
+        one = simhash.drop_near_copies(docs)
+        assert one.columns == docs.columns and all(r["text"] == r["kept"] for r in one.collect())
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_suffix_dedup_hot_segments(spark, tmp_path):
     rows = [(i, words(90, 40) + f" {i} " + words(91, 40)) for i in range(60)]
     docs = documents(spark, tmp_path / "d", rows)
@@ -165,12 +203,27 @@ def test_without_repeats_keeps_clean_texts(spark, tmp_path):
     assert {r["doc_id"]: r["text"] for r in left.collect()} == {1: words(1, 60), 3: words(2, 60), 4: None, 5: ""}
 
 
-@pytest.mark.parametrize("text", [b"", b"a", b"banana", b"mississippi", b"aaaaaaaaaa", b"abababab" * 9, bytes(range(256)) * 2, words(3, 200).encode()])
+@pytest.mark.parametrize("text", [b"", b"a", b"banana", b"mississippi", b"aaaaaaaaaa", b"abababab" * 9, b"abcab" * 300 + b"zyx" * 40, bytes(range(255, -1, -1)) * 3, bytes(range(256)) * 2, words(3, 200).encode()])
 def test_suffix_array(text):
     data = np.frombuffer(text, np.uint8)
     assert suffixes.suffix_array(data).tolist() == sorted(range(len(text)), key=lambda i: text[i:])
 
 
+@pytest.mark.parametrize("rounds", [0, 2, 24])
+def test_suffix_arrays_and_prefixes_by_brute_force(monkeypatch, rounds):
+    monkeypatch.setattr(suffixes, "ROUNDS", rounds)
+    rng = np.random.default_rng(rounds)
+    for _ in range(150):
+        text = bytes(rng.integers(97, 97 + int(rng.integers(1, 5)), int(rng.integers(0, 70))).astype(np.uint8)) * int(rng.integers(1, 4))
+        data, limit = np.frombuffer(text, np.uint8), int(rng.integers(1, 40))
+        sa = suffixes.suffix_array(data)
+        assert sa.tolist() == sorted(range(len(text)), key=lambda i: text[i:])
+        common = suffixes.permuted_prefixes(data, sa, limit)
+        for a, b in zip(sa.tolist(), sa[1:].tolist(), strict=False):
+            x, y = text[a:], text[b:]
+            assert common[b] == min(limit, next((k for k in range(min(len(x), len(y))) if x[k] != y[k]), min(len(x), len(y))))
+
+
 def test_empty_tables(spark, tmp_path):
     docs = documents(spark, tmp_path / "d", [])
     assert simhash.link(docs).count() == 0
