@@ -1,11 +1,11 @@
 """BPE encoding and decoding with reuse of content-defined chunks.
 
 A rolling hash cuts every text where its content says so, hence a passage that many documents share gives the same
-chunks in each. The most valuable shared chunks are encoded once for the whole table; other repeated chunks once in a
-task. Chunks cut words, so their joins are repaired: the tail of one and the head of the next are encoded anew, out to
-the first point on either side where the joined and the separate encodings agree for certain. Such a point is ASCII white
-space: the tokenizer drops it, and neither its normalisation nor its merges cross it. A chunk without such a point goes
-into the repair of its neighbours whole, and so on until one is found or the text ends.
+chunks in each. The most valuable shared chunks are encoded once for the whole table, all others once in a task; words are
+only looked at in chunks that aren't known. Chunks cut words, so their joins are repaired: the text from the last whole
+word of one chunk to the first whole word of the next is encoded anew, by the library, and the new ids must begin and end
+with the ids that those words have in their chunks. Where they don't, more words on either side are encoded anew, until
+both ends agree or the text ends. A chunk without a whole word goes into the repair of its neighbours.
 """
 
 from __future__ import annotations
@@ -28,8 +28,9 @@ from shelfrank.llm.common import bounded_batches
 #: A chunk ends where the low bits of the rolling hash are zero: about every 512 bytes, at 8192 bytes at most.
 CHUNK_BITS = 9
 LONGEST_CHUNK = 8192
-#: Shared chunks that are encoded once for the whole table; it bounds what is sent to executors (about 0.5 kB each).
-DICTIONARY = 20_000
+#: Shared chunks that are encoded once for the whole table: their number, and their bytes of text, which bound what is
+#: sent to executors (an id of four bytes stands for some four bytes of text).
+DICTIONARY, DICTIONARY_BYTES = 20_000, 4_000_000
 #: Words and chunks that a task remembers.
 REMEMBERED_WORDS, REMEMBERED_CHUNKS = 700_000, 20_000
 #: Plain words: ASCII without angle brackets (which special tokens have) and the letters of Latin-1, lower-cased. The
@@ -37,7 +38,7 @@ REMEMBERED_WORDS, REMEMBERED_CHUNKS = 700_000, 20_000
 #: left to the library whole.
 PLAIN = re.compile(r"[!-;=?-~à-öø-ÿ]+")
 PART = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿ]+|[0-9]|[^a-z0-9à-öø-ÿ]+")
-SPACE = re.compile(rb"[ \t\n\r\x0b\x0c]")
+SPACE, WORDS = re.compile(rb"[ \t\n\r\x0b\x0c]"), re.compile(rb"[^ \t\n\r\x0b\x0c]+")
 # The letter by which byte-level vocabularies write each byte: its own where that can be seen, else the next after 255.
 _SEEN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _LETTER = {b: chr(b) for b in _SEEN} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_SEEN)))}
@@ -88,7 +89,7 @@ def chunk_key(chunk: bytes) -> bytes:
 class Encoder:
     """Encodes texts; remembers words and chunks, within bounds."""
 
-    def __init__(self, source: str, shared: dict[bytes, bytes] | None = None):
+    def __init__(self, source: str, shared: dict[bytes, tuple] | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -99,7 +100,7 @@ class Encoder:
         self.shared = shared or {}
         self.parts: dict[str, tuple[int, ...]] = {}
         self.words: dict[bytes, tuple[int, ...]] = {}
-        self.chunks: dict[bytes, tuple[int, ...] | None] = {}
+        self.chunks: dict[bytes, tuple] = {}
         self.numbers = list(range(self.model.get_vocab_size(with_added_tokens=True)))  # one object for each id
         self.names = [self.model.id_to_token(i) or "" for i in range(self.model.get_vocab_size(with_added_tokens=True))]
 
@@ -130,61 +131,115 @@ class Encoder:
         own = self.parts[text] = tuple([self.numbers[t.id] for t in self.model.model.tokenize(text.translate(BYTES))])
         return own
 
-    def plain(self, raw: bytes) -> list[int]:
-        """Ids of a text whose words are known."""
-        return list(chain.from_iterable(map(self.words.__getitem__, raw.split())))
+    def record(self, chunk: bytes) -> tuple:
+        """What is known of a chunk, whose words must have been learnt; () where it has no whole word.
 
-    def body(self, chunk: bytes) -> tuple[int, int] | None:
-        """Where the part of a chunk begins and ends that no neighbour can change: its first and last white space."""
+        The ids of its whole words, the end of the first and the beginning of the last of them, and their numbers of ids.
+        """
         first = SPACE.search(chunk)
         if first is None:
-            return None
-        last = max(chunk.rfind(c) for c in (b" ", b"\t", b"\n", b"\r", b"\x0b", b"\x0c"))
-        return first.start(), last + 1
-
-    def encode(self, raw: bytes) -> list[int]:
-        """Ids of a text, whose words must have been learnt, from its chunks and repaired joins."""
-        ids: list[int] = []
-        begin, open_at = 0, 0  # open_at: where the piece that awaits repair begins
-        for end in cuts(raw):
-            chunk = raw[begin:end]
-            span = self.body(chunk)
-            if span is not None:
-                head, tail = span
-                ids += self.repaired(raw[open_at : begin + head])
-                ids += self.reused(chunk, head, tail)
-                open_at = begin + tail
-            begin = end
-        return ids + self.repaired(raw[open_at:])
-
-    def reused(self, chunk: bytes, head: int, tail: int):
-        key = chunk_key(chunk)
+            return ()
+        head, tail = first.start(), max(chunk.rfind(c) for c in (b" ", b"\t", b"\n", b"\r", b"\x0b", b"\x0c")) + 1
+        body = chunk[head:tail]
+        words = body.split()
+        if not words:
+            return ()
+        begin, end = head + len(body) - len(body.lstrip()), tail - len(body) + len(body.rstrip())
+        ids = tuple(chain.from_iterable(map(self.words.__getitem__, words)))
+        return ids, begin + len(words[0]), end - len(words[-1]), len(self.words[words[0]]), len(self.words[words[-1]])
+
+    def add(self, fresh: dict[bytes, bytes]) -> None:
+        """Encodes chunks, by their keys, that aren't known yet."""
+        if len(self.chunks) + len(fresh) > REMEMBERED_CHUNKS:
+            self.chunks = {}
+        self.learn(list(fresh.values()))
+        self.chunks |= {k: self.record(c) for k, c in fresh.items()}
+
+    def known(self, key: bytes) -> tuple | None:
         found = self.shared.get(key)
         if found is not None:
-            return np.frombuffer(found, np.uint32).tolist()
-        if key in self.chunks:
-            if self.chunks[key] is None:  # seen once so far: from now on it is kept
-                self.chunks[key] = tuple(self.plain(chunk[head:tail]))
-            return self.chunks[key]
-        if len(self.chunks) >= REMEMBERED_CHUNKS:
-            self.chunks = {}
-        self.chunks[key] = None
-        return self.plain(chunk[head:tail])
-
-    def repaired(self, piece: bytes) -> list[int]:
-        """Ids of what lies between two certain points; it holds no white space, or only some at its ends."""
-        if not piece:
-            return []
-        known = self.words.get(piece)
-        if known is not None:
-            return list(known)
-        return list(chain.from_iterable(self.words.get(w) or self.model.encode(w.decode(), add_special_tokens=False).ids for w in piece.split()))
+            return (np.frombuffer(found[0], np.uint32).tolist(), *found[1:])
+        return self.chunks.get(key)
+
+    def encode_all(self, raws: list[bytes]) -> list[list[int]]:
+        """Ids of each text, from its chunks and repaired joins."""
+        keyed, fresh = [], {}
+        for raw in raws:
+            own, begin = [], 0
+            for end in cuts(raw):
+                key = chunk_key(chunk := raw[begin:end])
+                own.append((key, begin))
+                if key not in self.shared and key not in self.chunks:
+                    fresh[key] = chunk
+                begin = end
+            keyed.append(own)
+        # what is forgotten for the sake of new chunks is needed here all the same
+        held = self.chunks
+        self.add(fresh)
+        held = held if held is not self.chunks else {}
+        placed, windows = [], set()
+        for raw, own in zip(raws, keyed, strict=True):
+            bodies = [(r, at) for k, at in own if (r := self.known(k) or held.get(k))]
+            edges = [0, *(at + r[2] for r, at in bodies)], [*(at + r[1] for r, at in bodies), len(raw)]
+            joins = [raw[a:b] for a, b in zip(*edges, strict=True)]
+            placed.append((bodies, joins))
+            windows.update(joins)
+        texts = list(windows)
+        done = self.model.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
+        anew = dict(zip(texts, (e.ids for e in done), strict=True))
+        out = []
+        for raw, (bodies, joins) in zip(raws, placed, strict=True):
+            ids: list[int] | None = []
+            for i, join in enumerate(joins):
+                left = bodies[i - 1][0] if i else None
+                right = bodies[i][0] if i < len(bodies) else None
+                between = agreed(anew[join], left[0][len(left[0]) - left[4] :] if left else (), right[0][: right[3]] if right else ())
+                if between is None:
+                    ids = None
+                    break
+                ids += between
+                if right:
+                    ids += right[0]
+            out.append(self.widened(raw, bodies) if ids is None else ids)
+        return out
+
+    def widened(self, raw: bytes, bodies: list[tuple]) -> list[int]:
+        """Ids of a text of which some join needs more than a word on either side: twice as many each time, or all of it."""
+        spans = []
+        for r, at in bodies:
+            begin = max(raw.rfind(c, 0, at + r[1]) for c in (b" ", b"\t", b"\n", b"\r", b"\x0b", b"\x0c")) + 1
+            spans.append([m.span() for m in WORDS.finditer(raw, begin, SPACE.search(raw, at + r[2]).start())])
+        n = 2
+        while n < 2 * max(map(len, spans), default=0):
+            ids: list[int] = []
+            for i in range(len(bodies) + 1):
+                left, right = spans[i - 1][-n:] if i else [], spans[i][:n] if i < len(bodies) else []
+                self.learn([raw[a:b] for a, b in left + right])
+                known = [tuple(chain.from_iterable(self.words[raw[a:b]] for a, b in side)) for side in (left, right)]
+                text = raw[left[0][0] if left else 0 : right[-1][1] if right else len(raw)]
+                between = agreed(self.model.encode(text.decode(), add_special_tokens=False).ids, *known)
+                if between is None:
+                    break
+                ids += between
+                ids += bodies[i][0][0] if right else []
+            else:
+                return ids
+            n *= 2
+        return self.model.encode(raw.decode(), add_special_tokens=False).ids
 
     def decode(self, ids: list[int]) -> str:
         """The library's decoding without a decoder: the tokens, joined by spaces."""
         return " ".join(map(self.names.__getitem__, ids))
 
 
+def agreed(ids: list[int], left: tuple, right: tuple) -> list[int] | None:
+    """What lies between the ids of the words at both ends, or None where they aren't what ``ids`` begins and ends with."""
+    to = len(ids) - len(right)
+    if to < len(left) or ids[: len(left)] != list(left) or ids[to:] != list(right):
+        return None
+    return ids[len(left) : to]
+
+
 @dataclass
 class Shared:
     """A tokenizer and the table's dictionary of shared chunks, sent to executors once."""
@@ -207,8 +262,9 @@ def _encoder(kept: Shared) -> Encoder:
 def share(docs: DataFrame, source: str, dictionary: int = DICTIONARY) -> Shared:
     """Finds the chunks that save most work over the whole table, and encodes each once.
 
-    A first pass counts the chunks by their hash (24 bytes for each half kilobyte of text) and notes one place of each; a
-    second takes the chosen ones from that place and encodes them. Their number is bounded by ``dictionary``.
+    A first pass counts the chunks by their hash (24 bytes for each half kilobyte of text) and notes one place of each; the
+    texts at the places of the chosen ones are read again and those chunks encoded. Their number is bounded by
+    ``dictionary``, their text by ``DICTIONARY_BYTES``.
     """
     sc = docs.sparkSession.sparkContext
     sent = sc.broadcast(source)
@@ -237,9 +293,13 @@ def share(docs: DataFrame, source: str, dictionary: int = DICTIONARY) -> Shared:
 
     counted = rows.where("doc_id is not null").mapInArrow(hashed, "key binary, doc_id long, size int, n long")
     counted = counted.groupBy("key").agg(F.sum("n").alias("n"), F.min("doc_id").alias("doc_id"), F.first("size").alias("size")).where("n > 1")
-    chosen = counted.orderBy(F.desc(F.expr("(n - 1) * size")), "key").limit(dictionary).select("key", "doc_id").collect()
+    chosen = counted.orderBy(F.desc(F.expr("(n - 1) * size")), "key").limit(dictionary).select("key", "doc_id", "size").collect()
     places: dict[int, set[bytes]] = {}
+    total = 0
     for r in chosen:
+        total += r["size"]
+        if total > DICTIONARY_BYTES:
+            break
         places.setdefault(r["doc_id"], set()).add(bytes(r["key"]))
     if not places:
         return Shared(sent, None)
@@ -249,25 +309,25 @@ def share(docs: DataFrame, source: str, dictionary: int = DICTIONARY) -> Shared:
         encoder = None
         for batch in batches:
             encoder = encoder or _encoder(Shared(sent, None))
-            found: dict[bytes, bytes] = {}
+            fresh: dict[bytes, bytes] = {}
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = wanted.value.get(doc)
-                if own:
-                    raw, begin = (text or "").encode(), 0
-                    for end in cuts(raw):
-                        chunk = raw[begin:end]
-                        begin = end
-                        k = chunk_key(chunk)
-                        span = encoder.body(chunk) if k in own and k not in found else None
-                        if span:
-                            part = chunk[span[0] : span[1]]
-                            encoder.learn([part])
-                            found[k] = np.array(encoder.plain(part), np.uint32).tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.binary())], names=["key", "ids"])
-
-    done = rows.where("doc_id is not null").mapInArrow(encoded, "key binary, ids binary").collect()  # bounded by ``dictionary``
+                own, raw, begin = wanted.value[doc], (text or "").encode(), 0
+                for end in cuts(raw):
+                    chunk = raw[begin:end]
+                    begin = end
+                    if (k := chunk_key(chunk)) in own:
+                        fresh[k] = chunk
+            encoder.learn(list(fresh.values()))
+            found = [(k, r) for k, c in fresh.items() if (r := encoder.record(c))]
+            columns = [pa.array([k for k, _ in found], pa.binary()), pa.array([np.array(r[0], np.uint32).tobytes() for _, r in found], pa.binary())]
+            columns += [pa.array([r[i] for _, r in found], pa.int32()) for i in (1, 2, 3, 4)]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "ids", "first_end", "last_begin", "n_first", "n_last"])
+
+    few = docs.sparkSession.createDataFrame([(d,) for d in places], "doc_id long")  # ``dictionary`` at most
+    mine = rows.join(F.broadcast(few), "doc_id", "left_semi").mapInArrow(encoded, "key binary, ids binary, first_end int, last_begin int, n_first int, n_last int")
+    done = {bytes(r[0]): (bytes(r[1]), *r[2:]) for r in mine.collect()}  # bounded as the dictionary is
     wanted.unpersist()
-    return Shared(sent, sc.broadcast({bytes(r["key"]): bytes(r["ids"]) for r in done}))
+    return Shared(sent, sc.broadcast(done))
 
 
 def _batches(texts: list[bytes], most: int = 2_000_000):
@@ -291,8 +351,7 @@ def mapped(docs: DataFrame, kept: Shared, make, schema: str) -> DataFrame:
             encoder = encoder or _encoder(kept)
             raws = [(t or "").encode() for t in batch.column(1).to_pylist()]
             for g in _batches(raws):
-                encoder.learn(raws[g])
-                ids = [encoder.encode(r) for r in raws[g]]
+                ids = encoder.encode_all(raws[g])
                 yield pa.RecordBatch.from_arrays(make(encoder, batch.column(0)[g.start : g.stop], ids, raws[g]), names=names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
