@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 
 import numpy as np
 import pandas as pd
@@ -26,37 +26,61 @@ def cost(length: int) -> float:
     return OVERHEAD + length * (1 + length / ATTENTION)
 
 
-def pack(sizes: np.ndarray, lengths: tuple[int, ...] = LENGTHS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bin, offset) of each piece and the length of each bin.
+def _taken(sizes: list[int], left: dict[int, int], room: int) -> int:
+    """How much of ``room`` the pieces that are left fill if the largest that fits goes in each time."""
+    filled, at = 0, bisect_right(sizes, room) - 1
+    while at >= 0:
+        size = sizes[at]
+        filled += size * min(left[size], (room - filled) // size)
+        at = min(at, bisect_right(sizes, room - filled)) - 1
+    return filled
 
-    Pieces go in decreasing order into the open bin that they fill best. A piece that fits none opens a bin, of the length
-    with the least cost for each token among those that hold it; finally every bin shrinks to the least permitted
-    length that holds its contents. No piece may be longer than the greatest length.
-    """
-    lengths = tuple(sorted(lengths))
+
+def _packed(sizes: np.ndarray, lengths: tuple[int, ...], least: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``pack`` where a new bin has the cheapest length for what is left, or the least one from ``least`` on that holds the piece."""
     bins, offset = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
-    opened: list[int] = []
     filled: list[int] = []
     room: list[tuple[int, int]] = []  # free tokens and bin, in order
-    best = {}
-    for i, allowed in enumerate(lengths):
-        best[allowed] = min(lengths[i:], key=lambda c: (cost(c) / c, c))
+    distinct, times = np.unique(sizes, return_counts=True)
+    kinds, left = distinct.tolist(), dict(zip(distinct.tolist(), times.tolist(), strict=True))
+
+    def per_token(length: int, need: int) -> tuple[float, int]:
+        used = need + _taken(kinds, left, length - need)
+        return cost(next(c for c in lengths if c >= used)) / used, length
+
     for i in np.lexsort((np.arange(len(sizes)), -sizes)):
         need = int(sizes[i])
+        left[need] -= 1
+        if not left[need]:
+            del left[need]
+            kinds.pop()  # pieces come in decreasing order
         at = bisect_left(room, (need, -1))
         if at < len(room):
             free, b = room.pop(at)
         else:
-            b = len(opened)
-            free = best[next(c for c in lengths if c >= need)]
-            opened.append(free)
+            b = len(filled)
+            fitting = [c for c in lengths if c >= max(need, least or 0)]
+            free = fitting[0] if least else min(per_token(c, need) for c in fitting)[1]
             filled.append(0)
         bins[i], offset[i] = b, filled[b]
         filled[b] += need
         if free > need:
             insort(room, (free - need, b))
-    final = np.array([next(c for c in lengths if c >= f) for f in filled], np.int64)
-    return bins, offset, final
+    return bins, offset, np.array([next(c for c in lengths if c >= f) for f in filled], np.int64)
+
+
+def pack(sizes: np.ndarray, lengths: tuple[int, ...] = LENGTHS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bin, offset) of each piece and the length of each bin.
+
+    Pieces go in decreasing order into the open bin that they fill best (the first of equal ones). A piece that fits none
+    opens a bin, of the length that costs least for each token that it and the pieces still left would fill in it. Finally
+    every bin shrinks to the least permitted length that holds its contents. The lengths are chosen jointly: the same is
+    done with each single length for new bins, and the packing of least total cost counts. Equal pieces keep their order.
+    No piece may be longer than the greatest length.
+    """
+    lengths = tuple(sorted(lengths))
+    plans = [_packed(sizes, lengths, least) for least in (None, *lengths)]
+    return min(plans, key=lambda p: sum(map(cost, p[2].tolist())))
 
 
 def pieces(docs: DataFrame, longest: int, source: tuple[bytes, str] | None = None) -> DataFrame:

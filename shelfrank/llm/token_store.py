@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfrank.llm import byte_ids
-from shelfrank.llm.common import bounded_batches, stored
+from shelfrank.llm.common import bounded_batches, shared_dir, stored
 
 STRIDE = 512
 PER_SHARD = 1024
 KEY = 20240229
 ROUNDS = 6
+#: A row for each shard.
+SCHEMA = "shard long, first_slot long, n_sequences int, stride int, payload binary, doc_ids array<long>, pieces array<int>, n_tokens array<int>"
 #: Tables of first ordinals with fewer documents than this are broadcast (33 MB at 66 bytes a row); larger ones are joined by shuffling.
 BROADCAST_DOCS = 500_000
 
@@ -78,7 +82,8 @@ def sequences(docs: DataFrame, stride: int = STRIDE, source: tuple[bytes, str] |
 def first_ordinals(seqs: DataFrame) -> tuple[DataFrame, int]:
     """The ordinal of each document's first sequence, in the order of (doc_id, row), and the number of sequences.
 
-    Documents are dealt by range; each range sorts and sums its own, and only the ranges' totals come to the driver.
+    Documents are dealt by range; each range sorts and sums its own, by a window that can spill, and only the ranges'
+    totals come to the driver.
     """
     spark = seqs.sparkSession
     sizes = seqs.groupBy("doc_id", "row").agg(F.count("*").alias("n"))
@@ -90,15 +95,10 @@ def first_ordinals(seqs: DataFrame) -> tuple[DataFrame, int]:
         offsets.append((p, before))
         before += totals[p]
     starts = spark.createDataFrame(offsets or [(0, 0)], "part int, base long")
-
-    def run(key, group):
-        group = group.sort_values(["doc_id", "row"], na_position="first")
-        group["first"] = group["base"] + group["n"].cumsum() - group["n"]
-        return group[["doc_id", "row", "first"]]
-
     # a range holds about its share of the documents, whatever the ids are: rows of one id are told apart by their place
-    cumulated = ranged.join(F.broadcast(starts), "part").groupBy("part").applyInPandas(run, "doc_id long, row long, first long")
-    return cumulated, before
+    earlier = Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_first(), "row").rowsBetween(Window.unboundedPreceding, -1)
+    within = ranged.withColumn("earlier", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    return within.join(F.broadcast(starts), "part").select("doc_id", "row", (F.col("base") + F.col("earlier")).alias("first")), before
 
 
 def materialise(
@@ -112,7 +112,7 @@ def materialise(
     slot t lies at byte 2 * stride * (t - first_slot). An empty table has no shards. Columns besides doc_id and text are
     left behind.
     """
-    seqs = stored(sequences(docs, stride, source), "sequences")
+    seqs = stored(sequences(docs, stride, source), "sequences", "zstd")
     firsts, total = first_ordinals(seqs)
     # the row's place tells documents apart, null ids included
     firsts = stored(firsts.select("row", "first"), "firsts")
@@ -124,8 +124,10 @@ def materialise(
 
     placed = seqs.join(side, "row").withColumn("slot", slot_of(F.col("first") + F.col("piece")))
     shards = placed.withColumn("shard", F.expr(f"slot div {per_shard}")).select("shard", "slot", "doc_id", "piece", "n_tokens", "ids")
-    parts = max(1, min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // per_shard)))
-    ordered = shards.repartition(parts, "shard").sortWithinPartitions("slot")
+    # the permutation fills all slots, so equal ranges of shards hold equally many sequences and need no sample
+    count = max(1, -(-total // per_shard))
+    parts = max(1, min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), count))
+    ordered = shards.repartitionById(parts, F.expr(f"cast(shard * {parts} div {count} as int)")).sortWithinPartitions("slot")
     pad = np.uint16(byte_ids.END).astype("<u2").tobytes()
 
     def run(batches):
@@ -151,18 +153,25 @@ def materialise(
         if held:
             yield flush()
 
-    schema = "shard long, first_slot long, n_sequences int, stride int, payload binary, doc_ids array<long>, pieces array<int>, n_tokens array<int>"
-    return ordered.mapInArrow(run, schema)
+    return ordered.mapInArrow(run, SCHEMA)
 
 
 def write(shards: DataFrame, path: str) -> None:
-    """Writes the shards in slot order; the statistics of ``shard`` let a reader skip what it has seen."""
-    shards.repartitionByRange("shard").sortWithinPartitions("shard").write.parquet(path)
+    """Writes the shards of ``materialise``: each task writes its range of shards, in slot order.
+
+    The statistics of ``shard`` let a reader skip what it has seen; every record has the same stride in its shard.
+    """
+    shards.write.option("compression", "zstd").parquet(path)
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """The shards that ``write`` wrote."""
+    return spark.read.schema(SCHEMA).parquet(path)
 
 
 def resume(spark: SparkSession, path: str, slot: int = 0, per_shard: int = PER_SHARD) -> DataFrame:
     """Sequences from ``slot`` on, in training order: slot, doc_id, piece, n_tokens, ids (the padded record)."""
-    shards = spark.read.parquet(path).where(F.col("shard") >= slot // per_shard)
+    shards = read(spark, path).where(F.col("shard") >= slot // per_shard)
     at = F.posexplode(F.arrays_zip("doc_ids", "pieces", F.col("n_tokens").alias("tokens"))).alias("i", "s")
     rows = shards.select("first_slot", "stride", "payload", at)
     record = F.substring(F.col("payload"), F.col("i") * F.col("stride") * 2 + 1, F.col("stride") * 2)
@@ -171,6 +180,8 @@ def resume(spark: SparkSession, path: str, slot: int = 0, per_shard: int = PER_S
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op6: the shards of all documents."""
+    """op6: the shards of all documents, written in training order and read back, with the digest of each payload."""
     bounded_batches(spark)
-    return materialise(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    path = f"{shared_dir(spark).rstrip('/')}/tables/shards-{uuid.uuid4().hex}"
+    write(materialise(spark.read.parquet(f"{sf_dir}/documents.parquet")), path)
+    return read(spark, path).withColumn("payload_sha256", F.sha2("payload", 256))
