@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from dataclasses import dataclass
 from itertools import chain
@@ -23,9 +24,11 @@ BUCKETS = 1 << 16
 SWITCH = 12.0
 #: A language is a candidate for a script if this share of its training words is written in it.
 CANDIDATE_SHARE = 0.001
-#: Longer runs of letters are cut into consecutive words of so many.
+#: Longer runs of letters and marks are cut into consecutive words of so many.
 LONGEST_WORD = 24
-SLICE_CHARS = 1_000_000
+#: Sums of the tasks' counts are added in so many branches first.
+BRANCHES = 32
+SLICE_CHARS = 500_000
 # First and last code point of the letters of each script (Unicode blocks).
 SCRIPTS = [
     ("latin", 0x0041, 0x024F), ("greek", 0x0370, 0x03FF), ("cyrillic", 0x0400, 0x052F), ("armenian", 0x0530, 0x058F),
@@ -39,17 +42,32 @@ _ENDS = np.array([s[2] for s in SCRIPTS])
 _WHICH = np.array([NAMES.index(s[0]) for s in SCRIPTS])
 
 
+def _class(points: list[int]) -> str:
+    edge = [i for i, c in enumerate(points) if not i or c != points[i - 1] + 1] + [len(points)]
+    return "".join(f"{chr(points[i])}-{chr(points[j - 1])}" for i, j in zip(edge, edge[1:], strict=False))
+
+
 def _word_pattern() -> re.Pattern:
-    """Up to ``LONGEST_WORD`` letters of one script."""
-    letter = re.compile(r"[^\W\d_]")
-    classes = []
-    for name in NAMES[:-1]:
-        points = [c for n, a, b in SCRIPTS if n == name for c in range(a, b + 1) if letter.match(chr(c))]
-        edge = [i for i, c in enumerate(points) if not i or c != points[i - 1] + 1] + [len(points)]
-        classes.append("".join(f"{chr(points[i])}-{chr(points[j - 1])}" for i, j in zip(edge, edge[1:], strict=False)))
-    classes.sort(key=lambda c: "a-z" not in c)
-    rest = "".join(f"{chr(a)}-{chr(b)}" for _, a, b in SCRIPTS)
-    return re.compile("|".join(f"[{c}]{{1,{LONGEST_WORD}}}" for c in [*classes, rf"^\W\d_{rest}"]))
+    """A letter of a script, and up to ``LONGEST_WORD`` in all of its letters and of combining marks.
+
+    Letters and marks are those of the Unicode categories L and M; number forms are neither. Marks within a script's
+    ranges are its own, those outside them go with any letter (beyond the basic plane, with letters of no listed script).
+    """
+    kind = [unicodedata.category(chr(c))[0] for c in range(0x110000)]
+    of = {c: n for n, a, b in SCRIPTS for c in range(a, b + 1)}
+    letters: dict[str, list[int]] = {n: [] for n in NAMES}
+    marks: dict[str, list[int]] = {n: [] for n in NAMES}
+    for c, k in enumerate(kind):
+        if k in "LM":
+            (letters if k == "L" else marks)[of.get(c, "other")].append(c)
+
+    def word(name: str) -> str:
+        more = sorted({*letters[name], *marks[name], *(c for c in marks["other"] if c < 0x10000 or name == "other")})
+        return f"[{_class(letters[name])}][{_class(more)}]{{0,{LONGEST_WORD - 1}}}"
+
+    rest = [n for n in NAMES if n != "latin"]
+    # ASCII needs no trial with each script: its letters are all Latin
+    return re.compile(f"{word('latin')}|(?![\\x00-\\x7f])(?:{'|'.join(map(word, rest))})")
 
 
 WORD = _word_pattern()
@@ -95,7 +113,7 @@ def scripts(words: list[str]) -> np.ndarray:
 
 
 def _slices(texts: list[str | None]):
-    """Consecutive rows of some million characters together."""
+    """Consecutive rows of some hundred thousand characters together."""
     first = total = 0
     for i, t in enumerate(texts):
         if total and total + len(t or "") > SLICE_CHARS:
@@ -151,7 +169,8 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
         total = sum(np.frombuffer(zlib.decompress(c), np.int64) for c in group["counts"])
         return pd.DataFrame({"lang": [key[0]], "counts": [zlib.compress(total.tobytes(), 1)]})
 
-    summed = rows.select("lang", "text").mapInArrow(run, "lang string, counts binary").groupBy("lang").applyInPandas(add, "lang string, counts binary")
+    counted = rows.select("lang", "text").mapInArrow(run, "lang string, counts binary").withColumn("branch", F.pmod(F.spark_partition_id(), F.lit(BRANCHES)))
+    summed = counted.groupBy("lang", "branch").applyInPandas(add, "lang string, counts binary").groupBy("lang").applyInPandas(add, "lang string, counts binary")
     found = sorted(summed.collect())  # one row for each language
     langs = [r["lang"] for r in found]
     if not langs:

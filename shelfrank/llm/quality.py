@@ -12,13 +12,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfrank.llm.common import bounded_batches, stored
+from shelfrank.llm.common import bounded_batches, fresh, stored
 
 FEATURES = 256
 RIDGE = 1e-3
 BANDWIDTH = 4.0
 SEED = 11
 BINS = 512
+#: The tasks' sums are added in so many branches first.
+BRANCHES = 32
 #: A document is kept, and predicted 1, from this score on.
 CUT = 0.7
 HELD_OUT = 2
@@ -122,6 +124,7 @@ def _summed(labelled: DataFrame, parts, width: int) -> np.ndarray:
         return pd.DataFrame({"i": [key[0]], "row": [np.sum(np.stack(group["row"].to_list()), axis=0).tolist()]})
 
     rows = labelled.select("stats", "label").mapInArrow(run, "i int, row array<double>")
+    rows = rows.withColumn("branch", F.pmod(F.spark_partition_id(), F.lit(BRANCHES))).groupBy("i", "branch").applyInPandas(add, "i int, row array<double>")
     rows = rows.groupBy("i").applyInPandas(add, "i int, row array<double>").collect()  # one for each feature
     if not rows:
         return np.zeros((0, width))
@@ -208,13 +211,17 @@ def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, cut: float = CUT, **options) -> DataFrame:
-    """``docs`` with the rows whose text scores ``cut`` or more, all columns kept; no text is shuffled."""
-    model = fit(stored(with_statistics(docs), "quality"), labels, **options)
+    """``docs`` with the rows whose text scores ``cut`` or more, all columns kept; no text is shuffled.
 
-    def scores(text: pd.Series) -> pd.Series:
-        return pd.Series(model.score(_matrix([statistics(t) for t in text])))
-
-    return docs.where(F.pandas_udf(scores, "double")(F.col("text").cast("string")) >= cut)
+    The table is written once with the statistics of each text, from which the model is fitted and the scores are worked
+    out. Null and empty texts are scored like others; repeated rows are rows of their own.
+    """
+    own = fresh(docs.columns, "stats")
+    measured = F.pandas_udf(lambda text: pd.Series([statistics(t) for t in text]), "array<double>")
+    table = stored(docs.withColumn(own, measured(F.col("text").cast("string"))), "measured", "zstd")
+    model = fit(table.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(own).alias("stats")), labels, **options)
+    scores = F.pandas_udf(lambda stats: pd.Series(model.score(_matrix(stats))), "double")
+    return table.where(scores(F.col(own)) >= cut).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
