@@ -12,6 +12,8 @@ import hashlib
 import numpy as np
 
 BLOCK = 576
+#: Seek points of a metadata block, and the name of the blocks that hold further ones.
+SEEK_POINTS, MORE_POINTS = 900_000, b"skpt"
 RATE = 8000
 
 
@@ -213,12 +215,20 @@ def encode(payloads: list[bytes], lpc_order: int = 4, precision: int = 10) -> li
         info[18:] = np.frombuffer(hashlib.md5(pcm).digest(), np.uint8)
         seek = np.zeros(n, [("sample", ">u8"), ("offset", ">u8"), ("n", ">u2")])
         seek["sample"], seek["offset"], seek["n"] = np.arange(n) * BLOCK, start[first : first + n] - lo, BLOCK
-        table = seek.tobytes()
-        out.append(b"fLaC\x00\x00\x00\x22" + info.tobytes() + b"\x83" + len(table).to_bytes(3, "big") + table + data[lo:hi].tobytes())
+        out.append(b"fLaC\x00\x00\x00\x22" + info.tobytes() + _seek_blocks(seek) + data[lo:hi].tobytes())
         first += n
     return out
 
 
+def _seek_blocks(seek: np.ndarray) -> bytes:
+    """Metadata blocks of the seek points: a block's length has three bytes, so long streams go on in application blocks."""
+    parts = [seek[i : i + SEEK_POINTS].tobytes() for i in range(0, len(seek), SEEK_POINTS)]
+    parts[1:] = [MORE_POINTS + p for p in parts[1:]]
+    kinds = [3] + [2] * (len(parts) - 1)
+    kinds[-1] |= 128  # the last block of metadata
+    return b"".join(bytes([k]) + len(p).to_bytes(3, "big") + p for k, p in zip(kinds, parts, strict=True))
+
+
 def layout(stream: bytes) -> tuple[int, int, np.ndarray]:
     """Where the audio begins, the number of samples and the seek table's byte offsets.
 
@@ -226,18 +236,21 @@ def layout(stream: bytes) -> tuple[int, int, np.ndarray]:
     """
     if stream[:4] != b"fLaC":
         raise ValueError("no FLAC stream")
-    at, total, points = 4, 0, None
+    at, total, parts = 4, 0, []
     while True:
         kind, length = stream[at], int.from_bytes(stream[at + 1 : at + 4], "big")
         block = stream[at + 4 : at + 4 + length]
         if kind & 127 == 0:
             total = int.from_bytes(block[10:18], "big") & ((1 << 36) - 1)
         if kind & 127 == 3:
-            points = np.frombuffer(block, [("sample", ">u8"), ("offset", ">u8"), ("n", ">u2")])
+            parts.append(block)
+        if kind & 127 == 2 and block[:4] == MORE_POINTS:
+            parts.append(block[4:])
         at += 4 + length
         if kind & 128:
             break
-    if points is None or int(points["n"].sum()) != total:
+    points = np.frombuffer(b"".join(parts), [("sample", ">u8"), ("offset", ">u8"), ("n", ">u2")])
+    if not parts or int(points["n"].sum()) != total:
         raise ValueError("the seek table does not cover the stream")
     return at, total, points["offset"].astype(np.int64)
 
@@ -262,6 +275,18 @@ def decode(streams: list[bytes]) -> list[bytes]:
     return out
 
 
+def blocks_at(streams: list[bytes], samples: list[int]) -> list[tuple[int, bytes]]:
+    """Of each stream the block that holds a sample, found by the seek table and decoded alone: its first sample and its bytes."""
+    frames = []
+    for s, sample in zip(streams, samples, strict=True):
+        at, _, offsets = layout(s)
+        i = sample // BLOCK
+        frames.append(s[at + int(offsets[i]) : at + int(offsets[i + 1]) if i + 1 < len(offsets) else len(s)])
+    end = np.cumsum([len(f) for f in frames])
+    whole = np.ascontiguousarray(decode_frames(np.frombuffer(b"".join(frames), np.uint8), end - [len(f) for f in frames], end).T)
+    return [(sample // BLOCK * BLOCK, (x + 128).astype(np.uint8).tobytes()) for sample, x in zip(samples, whole, strict=True)]
+
+
 def decode_frames(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Samples of the frames at ``begin`` to ``end`` of ``data``, a column for each frame."""
     if not begin.size:

@@ -63,7 +63,11 @@ def to_flac(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
 
 
 def describe(media: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Digests and features of stored streams, from the samples that decoding gives back."""
+    """Digests and features of stored streams, from the samples that decoding gives back.
+
+    All frames are decoded and their checksums verified; ``tail_crc32`` comes from the last PCM block alone, which the
+    stream's seek table finds. ``n_blocks`` counts the blocks.
+    """
 
     def run(batches):
         for batch in batches:
@@ -71,22 +75,24 @@ def describe(media: DataFrame, key: str = "doc_id") -> DataFrame:
             for g in _groups([max(1, len(s) // 400) for s in streams], FRAMES):
                 own = streams[g]
                 back = flac.decode(own)
+                tails = flac.blocks_at(own, [len(p) - 1 for p in back])
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0)[g.start : g.stop],
                         batch.column(1)[g.start : g.stop],
                         pa.array([len(p) for p in back], pa.int64()),
                         pa.array([hashlib.sha256(p).hexdigest() for p in back]),
-                        pa.array([zlib.crc32(p[-32:]) for p in back], pa.int64()),
+                        pa.array([zlib.crc32(t[-32:]) for _, t in tails], pa.int64()),
                         pa.array([len(s) for s in own], pa.int64()),
                         pa.array([hashlib.sha256(s).hexdigest() for s in own]),
                         pa.array([feature(p) for p in back]),
+                        pa.array([len(p) // flac.BLOCK for p in back], pa.int64()),
                     ],
-                    names=[key, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
+                    names=[key, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_blocks"],
                 )
 
     kind = media.schema[key].dataType.simpleString()
-    schema = f"{key} {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    schema = f"{key} {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_blocks long"
     return media.select(key, "n_bytes", "media").mapInArrow(run, schema)
 
 

@@ -1,7 +1,7 @@
 """URL filters: host and path rules, and trust that spreads over the graph of hosts.
 
 Everything is a DataFrame expression. Where no rule fits a page, its host's standing decides: personalised PageRank from
-trusted hosts along links, against distrust from blocked hosts along reversed links.
+the hosts that allow rules name along links, against distrust from blocked hosts along reversed links.
 """
 
 from __future__ import annotations
@@ -20,7 +20,10 @@ RULES = [
     ("org", "/es/", "block"),
 ]
 DAMPING = 0.85
-ROUNDS = 12
+#: Rounds go on until what is still to be spread is at most this share of all.
+TOLERANCE = 1e-4
+#: Rounds whose results are summed together.
+GATHERED = 8
 #: A host is blocked where its share of distrust is above this.
 THRESHOLD = 0.5
 #: Hosts below this number are broadcast to the pages (under 32 MB); above it the join is shuffled and salted.
@@ -67,38 +70,38 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return found.where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """Trust and distrust of each host: (host, trust, distrust).
+def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """Trust and distrust of each host that any reaches: (host, trust, distrust).
 
-    ``seeds`` has (host, trusted, blocked) weights, made shares of their common sum. Trust follows links; distrust follows them backwards (a host that
-    links to a blocked one is suspect). Both are propagated in the same jobs as two kinds of state, and every few rounds
-    the state is written out, which bounds the lineage.
+    ``seeds`` has (host, trusted, blocked) weights. Trust is personalised PageRank from the trusted weights along links,
+    distrust the same from the blocked ones along reversed links (a host that links to a blocked one is suspect). Each
+    sums to its seeds' weights. What reaches a host without further links goes back to the seeds in proportion; the result
+    is then the series of what the links pass on, scaled to the seeds' sum, so a round only has to pass on the last
+    round's. Both kinds are propagated in the same jobs; each round is written out, which bounds the lineage.
     """
     out = edges.groupBy("src").agg(F.sum("n").alias("out_n"))
     into = edges.groupBy("dst").agg(F.sum("n").alias("in_n"))
-    forward = edges.join(out, "src").select(F.lit("trust").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), (F.col("n") / F.col("out_n")).alias("w"))
-    back = edges.join(into, "dst").select(F.lit("distrust").alias("kind"), F.col("dst").alias("a"), F.col("src").alias("b"), (F.col("n") / F.col("in_n")).alias("w"))
-    links = durable(forward.unionByName(back)).withColumnRenamed("kind", "link_kind")
-    total = float(seeds.agg(F.sum(F.col("trusted") + F.col("blocked"))).first()[0] or 1)
+    forward = edges.join(out, "src").select(F.lit("trust").alias("link_kind"), F.col("src").alias("a"), F.col("dst").alias("b"), (F.col("n") / F.col("out_n")).alias("w"))
+    back = edges.join(into, "dst").select(F.lit("distrust").alias("link_kind"), F.col("dst").alias("a"), F.col("src").alias("b"), (F.col("n") / F.col("in_n")).alias("w"))
+    links = durable(forward.unionByName(back))
     at_seed = seeds.select(
-        "host", F.explode(F.array(*[
-            F.struct(F.lit(kind).alias("kind"), (F.col(name) / F.lit(total)).alias("seed"))
-            for kind, name in (("trust", "trusted"), ("distrust", "blocked"))
-        ])).alias("s"),
-    ).select("host", "s.kind", "s.seed").where("seed > 0")
-    at_seed = durable(at_seed)
-    state = at_seed.withColumnRenamed("seed", "score")
-    if links.isEmpty():
-        rounds = 0
-    for i in range(rounds):
-        sent = state.join(links, (F.col("host") == F.col("a")) & (F.col("kind") == F.col("link_kind"))).select(
-            F.col("b").alias("host"), "kind", (F.col("w") * F.col("score") * damping).alias("score")
-        )
-        start = at_seed.select("host", "kind", (F.col("seed") * (1 - damping)).alias("score"))
-        state = sent.unionByName(start).groupBy("host", "kind").agg(F.sum("score").alias("score"))
-        if i % 4 == 3:
-            state = durable(state)
-    return state.groupBy("host").agg(
+        "host", F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(name).cast("double").alias("score")) for kind, name in (("trust", "trusted"), ("distrust", "blocked"))])).alias("s"),
+    ).select("host", "s.kind", "s.score").where("score > 0")
+    state = total = at_seed = durable(at_seed)
+    mass = {r["kind"]: r["m"] for r in at_seed.groupBy("kind").agg(F.sum("score").alias("m")).collect()}  # two rows
+    to_spread, gathered = (dict(mass), 0) if mass and not links.isEmpty() else ({}, 0)
+    while any(m > tolerance * (1 - damping) * mass[k] for k, m in to_spread.items()):
+        sent = state.join(links, (F.col("host") == F.col("a")) & (F.col("kind") == F.col("link_kind")))
+        sent = sent.select(F.col("b").alias("host"), "kind", (F.col("w") * F.col("score") * damping).alias("score"))
+        state = durable(sent.groupBy("host", "kind").agg(F.sum("score").alias("score")))
+        to_spread = {r["kind"]: r["m"] for r in state.groupBy("kind").agg(F.sum("score").alias("m")).collect()}
+        total, gathered = total.unionByName(state), gathered + 1
+        if gathered % GATHERED == 0:
+            total = durable(total.groupBy("host", "kind").agg(F.sum("score").alias("score")))
+    reached = total.groupBy("kind").agg(F.sum("score").alias("all"))
+    given = at_seed.groupBy("kind").agg(F.sum("score").alias("given"))
+    scaled = total.join(F.broadcast(reached), "kind").join(F.broadcast(given), "kind").withColumn("score", F.col("score") * F.col("given") / F.col("all"))
+    return scaled.groupBy("host").agg(
         F.sum(F.when(F.col("kind") == "trust", F.col("score")).otherwise(0.0)).alias("trust"),
         F.sum(F.when(F.col("kind") == "distrust", F.col("score")).otherwise(0.0)).alias("distrust"),
     )
@@ -106,25 +109,25 @@ def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds:
 
 def filter_urls(
     pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, threshold: float = THRESHOLD,
-    damping: float = DAMPING, rounds: int = ROUNDS, broadcast_hosts: int = BROADCAST_HOSTS,
+    damping: float = DAMPING, tolerance: float = TOLERANCE, broadcast_hosts: int = BROADCAST_HOSTS,
 ) -> DataFrame:
     """``page_id``, ``host``, ``path``, ``rule``, ``verdict`` and ``distrust`` of every page.
 
-    The longest rule that fits decides. Else the host's share of distrust does: a host is a blocked seed by the pages
-    that a rule blocks and a trusted seed by its other ones, both spread over the links of ``html``, and a
-    page is blocked where its host's distrust / (trust + distrust) is above ``threshold``. Hosts that neither reaches
-    are allowed. A null url, or one without ``://``, has an empty host and path, fits no rule and is allowed. Repeated
-    rows stay; other columns are left behind; a table without ``html`` has no links.
+    The longest rule that fits decides. Else the host's share of distrust does. A host is a trusted seed by the share of
+    its pages that an allow rule names, and a blocked one by the share that a block rule names, so that large hosts weigh
+    no more than small ones; other hosts start with neither. Both are spread over the links of ``html``, and a page is
+    blocked where distrust / (distrust + trust + share of the host's pages without a rule) is above ``threshold``: without
+    links that is the share of its blocked pages, and a host without a rule has to receive as much distrust as one wholly
+    blocked host holds, over and above its trust. A null url, or one without ``://``, has an empty host and path, fits no
+    rule and is allowed. Repeated rows stay; other columns are left behind; a table without ``html`` has no links.
     """
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), column_or_null(pages, "html", "string"))
     rows = rows.withColumns({"host": F.coalesce(host_of(F.col("url")), F.lit("")), "path": F.coalesce(path_of(F.col("url")), F.lit(""))})
     rows = rows.withColumn("fit", _fitting(F.col("host"), F.col("path"), rules))
-    seeds = rows.where("host <> ''").groupBy("host").agg(
-        F.count_if(F.coalesce("fit.verdict", F.lit("allow")) == "allow").alias("trusted"), F.count_if(F.col("fit.verdict") == "block").alias("blocked")
-    )
-    seeds = durable(seeds)
-    scores = spread(host_edges(rows), seeds, damping, rounds)
-    share = scores.select("host", F.try_divide("distrust", F.col("trust") + F.col("distrust")).alias("distrust"))
+    given = lambda verdict: F.count_if(F.col("fit.verdict") == verdict) / F.count("*")
+    seeds = durable(rows.where("host <> ''").groupBy("host").agg(given("allow").alias("trusted"), given("block").alias("blocked")))
+    scores = spread(host_edges(rows), seeds, damping, tolerance)
+    share = seeds.join(scores, "host").select("host", F.try_divide("distrust", F.col("distrust") + F.col("trust") + 1 - F.col("trusted") - F.col("blocked")).alias("distrust"))
     share = durable(share)
     judged = rows.select("page_id", "host", "path", "fit")
     if share.count() <= broadcast_hosts:
