@@ -175,7 +175,7 @@ NEAR_WORDS, SIMILARITY, NEAR_RADIUS = 5, 0.8, 26
 KEYS, HASHES = 20, 4
 #: Larger buckets first compare their members with some of them, other ones for each key; members that this leaves in
 #: different components are then compared exactly, in pairs of blocks of about so many members and bytes of shingles.
-PAIRED_BUCKET, REFERENCES = 64, 8
+PAIRED_BUCKET, REFERENCES = 64, 4
 BLOCK_MEMBERS, BLOCK_BYTES, BLOCK_COLUMNS = 256, 2_000_000, 4096
 #: Row numbers up to this number are broadcast (31 MB at 77 bytes a row); more are joined by shuffling.
 BROADCAST_ROWS = 400_000
