@@ -61,20 +61,30 @@ def recommend(catalog: Catalog, config: Config, name: str, user: int, n: int) ->
     return out.withColumn("product_name", F.coalesce("product_name", F.lit("Unknown"))) if "product_name" in out.columns else out
 
 
+def _written(df: DataFrame, path: str) -> DataFrame:
+    """The table in a folder of its own: later plans begin there instead of holding all that made it."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def experiment(catalog: Catalog, config: Config, names: list[str], out: str) -> DataFrame:
     """Trains on the training half alone, evaluates each model, writes results under ``out`` and returns them."""
-    train, test = (h.persist() for h in splits.split(catalog.interactions(), SplitOptions.of(config)))
+    path = f"{out}/{results.experiment_id()}"
+    halves = splits.split(catalog.interactions(), SplitOptions.of(config))
+    train, test = (_written(h, f"{path}/{name}") for h, name in zip(halves, ("train", "test"), strict=True))
     ks = tuple(config.get("evaluation.k_values"))
     lists, took = {}, None
     for name in names:
         model = fitted(name, catalog, config, train)
-        lists[name], own = results.measured(name, lambda model=model: model.recommend(test.select(U), max(ks)))
+        made, own = results.measured(name, lambda model=model: model.recommend(test.select(U), max(ks)))
+        lists[name] = _written(made, f"{path}/lists/{name}")
+        made.unpersist()
+        model.release()
         took = own if took is None else took.unionByName(own)
     sets = features.feature_sets(catalog.products, [c for c in ("category", "sub_category") if c in catalog.products.columns])
     options = {"ks": ks, "metrics": tuple(config.get("evaluation.metrics")), "threshold": config.get("evaluation.relevance_threshold")}
     segment_of = catalog.customer_segments() if catalog.customer_report is not None else None
     found = metrics.compare(lists, test, sets=sets, segment_of=segment_of, **options)
-    path = f"{out}/{results.experiment_id()}"
     results.save_json(found, f"{path}/results")
     found = results.load_json(found.sparkSession, f"{path}/results")
     results.save_csv(found, took, path)

@@ -31,31 +31,32 @@ def relevance(test: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def per_user(recs: DataFrame, rel: DataFrame, ks: tuple[int, ...] = K_VALUES) -> DataFrame:
     """(customer_key, k, precision, recall, ndcg, hit, ap, rr, n_relevant) of every user of ``rel``."""
-    spark = rel.sparkSession
-    steps = F.broadcast(spark.createDataFrame([(k,) for k in ks], "k int"))
     by = Window.partitionBy(U).orderBy("rank")
     placed = recs.where(F.col("rank") <= max(ks)).select(U, I, "rank").join(rel, [U, I], "left")
     hit = F.coalesce(F.col("relevant"), F.lit(False)).cast("int")
     placed = placed.withColumn("hit", hit).withColumn("hits", F.sum("hit").over(by.rowsBetween(Window.unboundedPreceding, 0)))
     placed = placed.withColumn("dcg", F.coalesce("gain", F.lit(0.0)) / F.log2(F.col("rank") + 1.0)).withColumn("prec", F.col("hit") * F.col("hits") / F.col("rank"))
-    first = F.min(F.when(F.col("hit") == 1, F.col("rank")))
-    lists = placed.crossJoin(steps).groupBy(U, "k").agg(  # a few ks
-        F.sum(F.when(F.col("rank") <= F.col("k"), F.col("hit"))).alias("hits"), F.count("*").alias("length"),
-        F.sum(F.when(F.col("rank") <= F.col("k"), F.col("dcg"))).alias("dcg"), F.sum(F.when(F.col("rank") <= F.col("k"), F.col("prec"))).alias("prec"), first.alias("first"),
+    upto = lambda k, name: F.sum(F.when(F.col("rank") <= k, F.col(name))).alias(f"{name}_{k}")
+    lists = placed.groupBy(U).agg(
+        F.count("*").alias("length"), F.min(F.when(F.col("hit") == 1, F.col("rank"))).alias("first"),
+        *[upto(k, name) for k in ks for name in ("hit", "dcg", "prec")],
     )
     ideal = rel.withColumn("place", F.row_number().over(Window.partitionBy(U).orderBy(F.desc("gain"), I)))
     users = ideal.groupBy(U).agg(
         F.count_if("relevant").alias("n_relevant"),
         *[F.sum(F.when(F.col("place") <= k, F.col("gain") / F.log2(F.col("place") + 1.0))).alias(f"ideal_{k}") for k in ks],
     )
-    wide = users.crossJoin(steps).withColumn("ideal", F.coalesce(*[F.when(F.col("k") == k, F.col(f"ideal_{k}")) for k in ks]))
-    both = wide.join(lists, [U, "k"], "left")
     some = F.col("n_relevant") > 0
-    return both.select(
-        U, "k", F.when(some, _ratio(F.col("hits"), F.least("k", "length"))).otherwise(0.0).alias("precision"), _ratio(F.col("hits"), F.col("n_relevant")).alias("recall"),
-        _ratio(F.col("dcg"), F.col("ideal")).alias("ndcg"), F.coalesce((F.col("hits") > 0).cast("int"), F.lit(0)).cast("double").alias("hit"),
-        _ratio(F.col("prec"), F.col("n_relevant")).alias("ap"), F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("rr"), "n_relevant",
-    )
+
+    def at(k: int) -> Column:
+        hits = F.col(f"hit_{k}")
+        return F.struct(
+            F.lit(k).alias("k"), F.when(some, _ratio(hits, F.least(F.lit(k), "length"))).otherwise(0.0).alias("precision"), _ratio(hits, F.col("n_relevant")).alias("recall"),
+            _ratio(F.col(f"dcg_{k}"), F.col(f"ideal_{k}")).alias("ndcg"), F.coalesce((hits > 0).cast("int"), F.lit(0)).cast("double").alias("hit"),
+            _ratio(F.col(f"prec_{k}"), F.col("n_relevant")).alias("ap"), F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("rr"), "n_relevant",
+        )
+
+    return users.join(lists, U, "left").select(U, F.explode(F.array(*[at(k) for k in ks])).alias("m")).select(U, "m.*")
 
 
 def averaged(users: DataFrame, ks: tuple[int, ...] = K_VALUES, metrics: tuple[str, ...] = METRICS, by: str | None = None) -> DataFrame:

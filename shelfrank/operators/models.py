@@ -21,6 +21,8 @@ U, I, R = "customer_key", "product_key", "rating"
 TOP_K = 10
 #: Users or items in a block of dense vectors.
 BLOCK = 2048
+#: Bytes of a matrix of all items, or of features by features, that is sent to tasks; products that a task holds.
+BROADCAST_BYTES, PRODUCTS = 1 << 28, 1 << 23
 
 
 def _hashed(*columns, seed: int):
@@ -28,38 +30,63 @@ def _hashed(*columns, seed: int):
     return F.pmod(F.xxhash64(*columns, F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
 
 
-def blocked_top(users: DataFrame, items: DataFrame, n: int) -> DataFrame:
-    """(customer_key, product_key, score): the largest inner products of each user with all items.
+def _dense(at, values, dim: int) -> np.ndarray:
+    """A row for each list of places and values."""
+    out = np.zeros((len(at), dim))
+    rows = np.repeat(np.arange(len(at)), [len(x) for x in at])
+    if len(rows):
+        out[rows, np.concatenate(list(at)).astype(np.int64)] = np.concatenate(list(values))
+    return out
 
-    ``users`` has (customer_key, vector array<double>, extra int), ``items`` (product_key, vector). Both are dealt into
-    blocks of bounded size; every pair of blocks is one matrix product, of which n + extra scores per user go on.
+
+def _best_of(keys, extras, products: np.ndarray, ids: np.ndarray, n: int) -> pd.DataFrame:
+    """n + extra items of each user; ties at the cut all go on, the final ranking settles them."""
+    user, item, score = [], [], []
+    for u, extra, scores in zip(keys, extras, products, strict=True):
+        k = n + int(extra)
+        best = np.flatnonzero(scores >= np.partition(scores, len(ids) - k)[len(ids) - k] - 1e-9) if k < len(ids) else np.arange(len(ids))
+        user.append(np.full(len(best), u)), item.append(ids[best]), score.append(scores[best])
+    return pd.DataFrame({U: np.concatenate(user), I: np.concatenate(item), "score": np.concatenate(score)})
+
+
+def blocked_top(users: DataFrame, items: DataFrame, n: int, dim: int) -> DataFrame:
+    """(customer_key, product_key, score): the largest inner products of each user with all items, n + extra for each.
+
+    ``users`` has (customer_key, at array<int>, vector array<double>, extra), ``items`` (product_key, at, vector): places
+    and values of vectors of length ``dim``. A catalogue whose dense matrix has up to ``BROADCAST_BYTES`` is sent to the
+    tasks once, and the users pass by it where they are. A larger one is dealt into blocks, as are the users then, and
+    every pair of blocks is one matrix product.
     """
+    kept = F.col("vector").isNotNull()
+    users, items = users.where(kept).select(U, "at", "vector", "extra"), items.where(kept).select(I, "at", "vector")
+    schema = f"{U} long, {I} long, score double"
+    if items.count() * dim * 8 <= BROADCAST_BYTES:
+        found = items.toPandas()
+        ids = found[I].to_numpy()
+        sent = users.sparkSession.sparkContext.broadcast((ids, _dense(found["at"], found["vector"], dim)))
+
+        def past(frames):
+            ids, matrix = sent.value
+            step = max(1, PRODUCTS // max(len(ids), 1))
+            for frame in frames:
+                for i in range(0, len(frame) if len(ids) else 0, step):
+                    part = frame.iloc[i : i + step]
+                    yield _best_of(part[U], part["extra"], _dense(part["at"], part["vector"], dim) @ matrix.T, ids, n)
+
+        return users.mapInPandas(past, schema)
+
     def blocks(df: DataFrame, key: str, rest: list[str], name: str) -> DataFrame:
         count = df.agg(F.count("*").alias("__n"))
         dealt = df.join(F.broadcast(count)).withColumn(name, F.pmod(F.xxhash64(key), F.ceil(F.col("__n") / BLOCK)))
-        return dealt.groupBy(name).agg(*[F.collect_list(c).alias(f"{c}s") for c in [key, *rest]])
-
-    a = blocks(users.select(U, F.col("vector").alias("query"), "extra"), U, ["query", "extra"], "ub")
-    b = blocks(items.select(I, "vector"), I, ["vector"], "ib")
+        return dealt.groupBy(name).agg(*[F.collect_list(c).alias(f"{name}_{c}") for c in [key, *rest]])
 
     def run(frames):
         for frame in frames:
             for row in frame.itertuples(index=False):
-                ids = np.asarray(row.product_keys)
-                products = np.vstack(row.querys) @ np.vstack(row.vectors).T
-                out = []
-                for u, extra, scores in zip(row.customer_keys, row.extras, products, strict=True):
-                    k = n + int(extra)
-                    if k < len(ids):
-                        cut = np.partition(scores, len(ids) - k)[len(ids) - k] - 1e-9
-                        best = np.flatnonzero(scores >= cut)  # ties at the cut all go on; the final ranking settles them
-                    else:
-                        best = np.arange(len(ids))
-                    out.append(pd.DataFrame({U: u, I: ids[best], "score": scores[best]}))
-                if out:
-                    yield pd.concat(out)
-
-    return a.crossJoin(b).mapInPandas(run, f"{U} long, {I} long, score double")
+                products = _dense(row.a_at, row.a_vector, dim) @ _dense(row.b_at, row.b_vector, dim).T
+                yield _best_of(getattr(row, f"a_{U}"), row.a_extra, products, np.asarray(getattr(row, f"b_{I}")), n)
+
+    return blocks(users, U, ["at", "vector", "extra"], "a").crossJoin(blocks(items, I, ["at", "vector"], "b")).mapInPandas(run, schema)
 
 
 class Recommender:
@@ -67,6 +94,7 @@ class Recommender:
 
     def __init__(self, **options):
         self.options, self.tables, self.numbers = options, {}, {}
+        self._scratch: list[DataFrame] = []
 
     def fit(self, interactions: DataFrame) -> Recommender:
         raise NotImplementedError
@@ -84,9 +112,15 @@ class Recommender:
         self.tables[name] = df.persist()
         return self.tables[name]
 
+    def scratch(self, df: DataFrame) -> DataFrame:
+        """A table that is read more than once and kept until ``release``, but isn't part of the model."""
+        self._scratch.append(df.persist())
+        return df
+
     def release(self) -> None:
-        for df in self.tables.values():
+        for df in [*self.tables.values(), *self._scratch]:
             df.unpersist()
+        self._scratch = []
 
     def save(self, path: str) -> None:
         """Each table as Parquet, options and numbers as one JSON row."""
@@ -102,8 +136,12 @@ class Recommender:
         out = KINDS[meta["kind"]](**meta["options"])
         out.numbers = meta["numbers"]
         out.tables = {t: spark.read.parquet(f"{path}/tables/{t}") for t in meta["tables"]}
+        out.loaded(spark, path)
         return out
 
+    def loaded(self, spark: SparkSession, path: str) -> None:
+        """What a model with parts reads beside its own tables."""
+
 
 def _seen_counts(users: DataFrame, seen: DataFrame | None) -> DataFrame:
     """``users`` with ``extra``: how many items each has seen."""
@@ -171,6 +209,10 @@ def segment_popularity(interactions: DataFrame, segment_of: DataFrame, rated: bo
     return placed.groupBy("segment", I).agg((F.sum(R) if rated else F.count("*").cast("double")).alias("score"))
 
 
+def _both_ways(sims: DataFrame) -> DataFrame:
+    return sims.select(F.explode(F.array(F.struct("a", "b", "sim"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))).alias("s")).select("s.*")
+
+
 class NeighbourhoodRecommender(Recommender):
     """k nearest users or items by cosine, Pearson or Jaccard similarity of the mean-rating matrix.
 
@@ -197,7 +239,10 @@ class NeighbourhoodRecommender(Recommender):
         return sums.select(F.col(key).alias("id"), mean.alias("mean"), F.sqrt(F.greatest(F.col("q") - n * mean * mean, F.lit(0.0))).alias("norm"))
 
     def similarities(self, wanted: DataFrame | None = None) -> DataFrame:
-        """(a, b, sim) of the ``wanted`` pairs (a, b), or of all pairs that share a rated cell."""
+        """(a, b, sim) of the ``wanted`` pairs (a, b), in both orders, or of all pairs that share a rated cell.
+
+        Few wanted pairs are joined to their cells; many are picked from all pairs that share one, which are then fewer rows.
+        """
         users = self._option("user_based")
         key, other = (U, I) if users else (I, U)
         kind = self._option("similarity")
@@ -209,24 +254,37 @@ class NeighbourhoodRecommender(Recommender):
             cells = cells.select(U, I, F.lit(1.0).alias("value"))
         left = cells.select(F.col(key).alias("a"), F.col(other).alias("o"), F.col("value").alias("x"))
         right = cells.select(F.col(key).alias("b"), F.col(other).alias("o"), F.col("value").alias("y"))
-        if wanted is None:
-            both = left.join(right, "o").where("a <> b")
+        # similarity is symmetric: each pair is worked out once, with a < b
+        ordered = None
+        if wanted is not None:
+            ordered = self.scratch(wanted.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        if ordered is None or self._pairs_by_cell(other) < ordered.count() * self._mean_cells(key):
+            both = left.join(right, "o").where("a < b")
         else:
-            both = wanted.select("a", "b").distinct().where("a <> b").join(left, "a").join(right, ["b", "o"])
+            both = ordered.join(left, "a").join(right, ["b", "o"])
         dots = both.groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
-        if wanted is not None:
-            dots = wanted.select("a", "b").distinct().where("a <> b").join(dots, ["a", "b"], "left").select("a", "b", F.coalesce("dot", F.lit(0.0)).alias("dot"))
+        if ordered is not None:
+            dots = ordered.join(dots, ["a", "b"], "left").select("a", "b", F.coalesce("dot", F.lit(0.0)).alias("dot"))
         if kind == "jaccard":
             sizes = cells.groupBy(F.col(key).alias("id")).agg(F.count("*").cast("double").alias("n"))
             placed = dots.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
-            return placed.select("a", "b", (F.col("dot") / (F.col("na") + F.col("nb") - F.col("dot"))).alias("sim"))
+            return _both_ways(placed.select("a", "b", (F.col("dot") / (F.col("na") + F.col("nb") - F.col("dot"))).alias("sim")))
         centre = users or kind == "pearson"
         n = float(self.numbers["items"] if users else self.numbers["users"])
         stats = self._stats(key, centre)
         placed = dots.join(stats.select(F.col("id").alias("a"), F.col("mean").alias("ma"), F.col("norm").alias("na")), "a")
         placed = placed.join(stats.select(F.col("id").alias("b"), F.col("mean").alias("mb"), F.col("norm").alias("nb")), "b")
         sim = (F.col("dot") - n * F.col("ma") * F.col("mb")) / (norm_or_tiny(F.col("na")) * norm_or_tiny(F.col("nb")))
-        return placed.select("a", "b", sim.alias("sim"))
+        return _both_ways(placed.select("a", "b", sim.alias("sim")))
+
+    def _pairs_by_cell(self, other: str) -> float:
+        """Pairs that share a cell, once for each cell they share."""
+        counts = self.tables["cells"].groupBy(other).agg(F.count("*").cast("double").alias("c"))
+        return counts.agg(F.sum(F.col("c") * (F.col("c") - 1) / 2)).first()[0] or 0.0
+
+    def _mean_cells(self, key: str) -> float:
+        row = self.tables["cells"].agg(F.count("*").alias("n"), F.count_distinct(key).alias("k")).first()
+        return row["n"] / max(row["k"], 1)
 
     def predict(self, pairs: DataFrame) -> DataFrame:
         """A rating that is known; else the weighted mean of the k nearest.
@@ -290,16 +348,43 @@ class ContentRecommender(Recommender):
         totals = pairs.groupBy(U).agg(F.sum("r").alias("t"))
         shares = pairs.join(totals, U).select(U, I, F.when(F.col("t") > 0, F.col("r") / F.col("t")).otherwise(F.col("r")).alias("w"))
         shares = self.keep("shares", shares)
-        other = unit.select(I, F.col("feature").alias("g"), F.col("value").alias("y"))
-        gram = unit.join(other, I).groupBy("feature", "g").agg(F.sum(F.col("value") * F.col("y")).alias("m"))
-        p = shares.join(unit, I).groupBy(U, "feature").agg(F.sum(F.col("w") * F.col("value")).alias("p"))
-        turned = p.join(gram, "feature").select(U, F.col("g").alias("feature"), (F.col("p") * F.col("m")).alias("q"))
-        lessened = turned.unionByName(p.select(U, "feature", (-2 * F.col("p")).alias("q")))
-        # (customer_key, feature, q) with q = p·(G − 2I)
-        self.keep("queries", lessened.groupBy(U, "feature").agg(F.sum("q").alias("q")))
+        p = shares.join(unit, I).groupBy(U, "feature").agg(F.sum(F.col("w") * F.col("value")).alias("value"))
         self.numbers["items"] = catalogue.count()
+        names = sorted(r[0] for r in unit.select("feature").distinct().collect())  # the vocabulary, which max_features bounds
+        self.numbers["features"] = names
+        self.keep("cells", self._cells(unit, I))
+        self.keep("queries", self._turned(self._cells(p, U), self._gram(unit)))
         return self
 
+    def _cells(self, long: DataFrame, key: str) -> DataFrame:
+        """(key, at, vector): places and values of each row's features."""
+        names = self.numbers["features"]
+        places = long.sparkSession.createDataFrame([(f, i) for i, f in enumerate(names)], "feature string, place int")
+        placed = long.join(F.broadcast(places), "feature").groupBy(key).agg(F.collect_list(F.struct("place", "value")).alias("c"))
+        return placed.select(key, F.col("c.place").alias("at"), F.col("c.value").alias("vector"))
+
+    def _gram(self, unit: DataFrame) -> np.ndarray:
+        """G − 2I, from the items' features; it has the size of the vocabulary squared, which is checked."""
+        names = self.numbers["features"]
+        if len(names) ** 2 * 8 > BROADCAST_BYTES:
+            raise ValueError(f"{len(names)} features; give a smaller max_features")
+        other = unit.select(I, F.col("feature").alias("g"), F.col("value").alias("y"))
+        found = unit.join(other, I).groupBy("feature", "g").agg(F.sum(F.col("value") * F.col("y")).alias("m")).toPandas()
+        at = {f: i for i, f in enumerate(names)}
+        out = -2 * np.eye(len(names))
+        out[found["feature"].map(at).to_numpy(int), found["g"].map(at).to_numpy(int)] += found["m"].to_numpy(float)
+        return out
+
+    def _turned(self, profiles: DataFrame, gram: np.ndarray) -> DataFrame:
+        """(customer_key, vector): q = p·(G − 2I) of each user, all places of it."""
+        dim, sent = len(gram), profiles.sparkSession.sparkContext.broadcast(gram)
+
+        def run(frames):
+            for frame in frames:
+                yield pd.DataFrame({U: frame[U], "vector": list(_dense(frame["at"], frame["vector"], dim) @ sent.value)})
+
+        return profiles.mapInPandas(run, f"{U} long, vector array<double>")
+
     def item_similarities(self, least: float = 1e-12) -> DataFrame:
         """(a, b, sim) of items that share a feature."""
         unit = self.tables["unit"]
@@ -310,32 +395,27 @@ class ContentRecommender(Recommender):
     def predict(self, pairs: DataFrame) -> DataFrame:
         """1 + 4 times the score, at most 5 and from a score of 0; 0 for an unknown user or item."""
         pairs = pairs.select(U, I).distinct()
-        raw = pairs.join(self.tables["unit"], I).join(self.tables["queries"], [U, "feature"]).groupBy(U, I).agg(F.sum(F.col("q") * F.col("value")).alias("s"))
         known = pairs.join(self.tables["catalogue"], I, "left_semi").join(self.tables["shares"].select(U).distinct(), U, "left_semi").withColumn("k", F.lit(True))
-        placed = pairs.join(raw, [U, I], "left").join(self.tables["shares"], [U, I], "left").join(known, [U, I], "left")
+        placed = pairs.join(self._raw(pairs), [U, I], "left").join(self.tables["shares"], [U, I], "left").join(known, [U, I], "left")
         s = F.coalesce("s", F.lit(0.0)) + F.coalesce("w", F.lit(0.0))
         return placed.select(U, I, F.when(F.col("k"), F.least(F.lit(5.0), 1 + 4 * F.greatest(s, F.lit(0.0)))).otherwise(0.0).alias("score"))
 
     def recommend(self, users: DataFrame, n: int = TOP_K, seen: DataFrame | None = None) -> DataFrame:
         """The n best of the catalogue; users without a profile get the items most like all others, seen ones included."""
         unit = self.tables["unit"]
-        names = sorted(r[0] for r in unit.select("feature").distinct().collect())  # the vocabulary, which max_features bounds
-        quoted = ", ".join("'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'" for x in names)
-        dense = F.expr(f"transform(array({quoted}), x -> coalesce(try_element_at(m, x), 0D))")
-        spread = lambda df, key, value: df.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("feature", value))).alias("m")).select(key, dense.alias("vector"))
-        items = spread(unit, I, "value")
+        items, dim = self.tables["cells"], len(self.numbers["features"])
         ids = users.select(U).distinct()
-        asked = spread(self.tables["queries"].join(ids, U, "left_semi"), U, "q").join(_seen_counts(users, seen), U)
+        asked = self.tables["queries"].join(ids, U, "left_semi").withColumn("at", F.sequence(F.lit(0), F.lit(max(dim - 1, 0)))).join(_seen_counts(users, seen), U)
         own = self.tables["shares"].join(ids, U, "left_semi")
         if seen is None:
             # an item's own share adds to its score, so each user's own items are candidates with it
-            found = unseen(blocked_top(asked.withColumn("extra", F.lit(0)), items, n), None)
+            found = unseen(blocked_top(asked.withColumn("extra", F.lit(0)), items, n, dim), None)
             scored = own.join(self._raw(own), [U, I], "left").select(U, I, (F.col("w") + F.coalesce("s", F.lit(0.0))).alias("score"))
             best = top_n(unseen(found, own).unionByName(scored), n)
         else:
             left = own.join(seen.select(U, I).distinct(), [U, I], "left_anti")
             scored = left.join(self._raw(left), [U, I], "left").select(U, I, (F.col("w") + F.coalesce("s", F.lit(0.0))).alias("score"))
-            found = unseen(blocked_top(asked, items, n), seen)
+            found = unseen(blocked_top(asked, items, n, dim), seen)
             best = top_n(unseen(found, left).unionByName(scored), n)
         strangers = ids.join(self.tables["shares"].select(U).distinct(), U, "left_anti")
         total = unit.groupBy("feature").agg(F.sum("value").alias("t"))
@@ -344,14 +424,17 @@ class ContentRecommender(Recommender):
         return best.unionByName(top_n(strangers.crossJoin(F.broadcast(head)), n))
 
     def _raw(self, pairs: DataFrame) -> DataFrame:
-        joined = pairs.select(U, I).join(self.tables["unit"], I).join(self.tables["queries"], [U, "feature"])
-        return joined.groupBy(U, I).agg(F.sum(F.col("q") * F.col("value")).alias("s"))
+        """(customer_key, product_key, s): the inner product of a user's query and an item's features."""
+        joined = pairs.select(U, I).join(self.tables["cells"], I).join(self.tables["queries"].select(U, F.col("vector").alias("query")), U)
+        products = F.zip_with("at", "vector", lambda i, x: x * F.get("query", i))
+        return joined.select(U, I, F.aggregate(products, F.lit(0.0), lambda s, x: s + x).alias("s"))
 
 
 class FactorRecommender(Recommender):
     """Mean, user and item biases, and factors of what is left, by alternating least squares.
 
-    Biases are sums of deviations over counts plus a damping (10 for items, 15 for users). Keys have to be integers.
+    Biases are sums of deviations over counts plus a damping (10 for items, 15 for users). Keys of any size are numbered for
+    the factorisation, which takes numbers of 32 bits.
     """
 
     ITEM_DAMPING, USER_DAMPING = 10.0, 15.0
@@ -365,12 +448,14 @@ class FactorRecommender(Recommender):
         placed = cells.join(items, I)
         users = placed.groupBy(U).agg((F.sum(off - F.col("bi")) / (F.count("*") + self.USER_DAMPING)).alias("bu"))
         rest = placed.join(users, U).select(U, I, (off - F.col("bi") - F.col("bu")).alias("rest"))
+        user_no, item_no = self.scratch(numbered(users.select(U), U, "u")), self.scratch(numbered(items.select(I), I, "i"))
+        rest = rest.join(user_no, U).join(item_no, I).select(F.col("u").cast("int"), F.col("i").cast("int"), "rest")
         o = self.options
-        als = ALS(rank=o.get("n_factors", 50), maxIter=o.get("n_epochs", 20), regParam=o.get("reg", 0.02), seed=o.get("seed", 42), userCol=U, itemCol=I, ratingCol="rest")
+        als = ALS(rank=o.get("n_factors", 50), maxIter=o.get("n_epochs", 20), regParam=o.get("reg", 0.02), seed=o.get("seed", 42), userCol="u", itemCol="i", ratingCol="rest")
         model = als.fit(rest)
         vector = F.transform("features", lambda x: x.cast("double"))
-        self.keep("users", users.join(model.userFactors.select(F.col("id").cast("long").alias(U), vector.alias("p")), U))
-        self.keep("items", items.join(model.itemFactors.select(F.col("id").cast("long").alias(I), vector.alias("q")), I))
+        self.keep("users", users.join(user_no, U).join(model.userFactors.select(F.col("id").alias("u"), vector.alias("p")), "u").drop("u"))
+        self.keep("items", items.join(item_no, I).join(model.itemFactors.select(F.col("id").alias("i"), vector.alias("q")), "i").drop("i"))
         return self
 
     def predict(self, pairs: DataFrame) -> DataFrame:
@@ -384,7 +469,9 @@ class FactorRecommender(Recommender):
         """Users who weren't in the training rows get no list."""
         asked = self.tables["users"].join(_seen_counts(users, seen), U).select(U, F.concat("p", F.array(F.lit(1.0))).alias("vector"), "extra")
         items = self.tables["items"].select(I, F.concat("q", F.array("bi")).alias("vector"))
-        best = top_n(unseen(blocked_top(asked, items, n), seen), n)
+        at = F.sequence(F.lit(0), F.size("vector") - 1)
+        dim = self.options.get("n_factors", 50) + 1
+        best = top_n(unseen(blocked_top(asked.withColumn("at", at), items.withColumn("at", at), n, dim), seen), n)
         score = clipped(self.numbers["mean"] + F.col("bu") + F.col("score"), self.numbers["low"], self.numbers["high"])
         return best.join(self.tables["users"].select(U, "bu"), U).select(U, "rank", I, score.alias("score"))
 
@@ -435,12 +522,13 @@ class HybridRecommender(Recommender):
         self.numbers = {"weights": self.weights}
         super().save(path)
 
+    def loaded(self, spark: SparkSession, path: str) -> None:
+        self.weights = self.numbers["weights"]
+        self.components = {k: Recommender.load(spark, f"{path}/components/{k}") for k in self.weights}
+
     @staticmethod
     def restore(spark: SparkSession, path: str) -> HybridRecommender:
-        out = Recommender.load(spark, path)
-        out.weights = out.numbers["weights"]
-        out.components = {k: Recommender.load(spark, f"{path}/components/{k}") for k in out.weights}
-        return out
+        return Recommender.load(spark, path)
 
 
 class Demographics:
@@ -459,6 +547,13 @@ class Demographics:
         self.fields = fields
         self.profile_of = customers.select(U, F.to_json(F.struct(*[F.col(f).cast("string").alias(f) for f in fields])).alias("profile"))
 
+    @classmethod
+    def of_profiles(cls, profile_of: DataFrame) -> Demographics:
+        """From a saved (customer_key, profile)."""
+        out = cls.__new__(cls)
+        out.profile_of = profile_of
+        return out
+
     def similarities(self) -> DataFrame:
         """(profile, other, sim), a profile's own similarity included; zero vectors are like nothing."""
         kinds = self.profile_of.select("profile").distinct()
@@ -512,6 +607,24 @@ class ColdStartRecommender(Recommender):
         self.by_segment = segment_popularity(interactions, self.segment_of).persist()
         return self
 
+    def save(self, path: str) -> None:
+        """The content and popularity models go to folders of their own."""
+        self.content.save(f"{path}/components/content")
+        self.popular.save(f"{path}/components/popular")
+        self.tables = {"interactions": self.interactions, "segment_of": self.segment_of, "by_segment": self.by_segment, "profile_of": self.demographics.profile_of}
+        super().save(path)
+
+    def loaded(self, spark: SparkSession, path: str) -> None:
+        self.interactions, self.segment_of, self.by_segment = (self.tables[t] for t in ("interactions", "segment_of", "by_segment"))
+        self.demographics = Demographics.of_profiles(self.tables["profile_of"])
+        self.content, self.popular = (Recommender.load(spark, f"{path}/components/{k}") for k in ("content", "popular"))
+
+    def release(self) -> None:
+        super().release()
+        self.content.release()
+        self.popular.release()
+        self.by_segment.unpersist()
+
     def _warm(self) -> DataFrame:
         least = self.options.get("min_interactions", 5)
         return self.interactions.groupBy(U).agg(F.count("*").alias("n")).where(F.col("n") >= least).select(U)
@@ -560,7 +673,7 @@ class ColdStartRecommender(Recommender):
         return self.content.recommend(ids.join(self._warm(), U, "left_semi"), n, seen).unionByName(cold.where(F.col("rank") <= n))
 
 
-KINDS = {c.__name__: c for c in (RandomRecommender, PopularityRecommender, NeighbourhoodRecommender, ContentRecommender, FactorRecommender, HybridRecommender)}
+KINDS = {c.__name__: c for c in (RandomRecommender, PopularityRecommender, NeighbourhoodRecommender, ContentRecommender, FactorRecommender, HybridRecommender, ColdStartRecommender)}
 
 
 def all_lists(models: dict[str, Recommender], users: DataFrame, n: int, seen: DataFrame | None = None) -> DataFrame:

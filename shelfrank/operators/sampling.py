@@ -23,6 +23,14 @@ def smallest(df: DataFrame, keys: list[str], n: int) -> Column:
     Counts in 4096 buckets narrow the place of the cut, key by key, so nothing is sorted or shuffled but the counts.
     Rows that are equal in all keys fall on one side together; make the keys unique for an exact number.
     """
+    slim = df.select(*keys).persist()  # the keys alone, worked out once for all counts
+    try:
+        return F.coalesce(_cut(slim, keys, n), F.lit(False))
+    finally:
+        slim.unpersist()
+
+
+def _cut(df: DataFrame, keys: list[str], n: int) -> Column:
     cut, scope = F.lit(False), F.lit(True)
     for key in keys:
         value = _as_long(df, key)
@@ -33,7 +41,7 @@ def smallest(df: DataFrame, keys: list[str], n: int) -> Column:
             n -= row["n"]
             scope = scope & value.isNull()
             if not n:
-                return F.coalesce(cut, F.lit(False))
+                return cut
             continue
         lo, hi = row["lo"], row["hi"]
         while lo < hi:
@@ -50,10 +58,10 @@ def smallest(df: DataFrame, keys: list[str], n: int) -> Column:
             start = lo + at * width if at is not None else hi + 1
             cut = cut | (scope & known & (value >= lo) & (value < start))
             if at is None or not n:
-                return F.coalesce(cut, F.lit(False))
+                return cut
             lo, hi = start, min(hi, start + width - 1)
         scope = scope & known & (value == lo)
-    return F.coalesce(cut, F.lit(False))
+    return cut
 
 
 def sample(df: DataFrame, key: str, share: float, seed: int = 42) -> DataFrame:

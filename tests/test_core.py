@@ -220,6 +220,21 @@ def test_save_and_load(spark, tmp_path):
     assert back.weights == {"popularity": 0.75, "random": 0.25}
 
 
+def test_save_and_load_cold_start(spark, tmp_path):
+    df = ratings(spark, some_ratings())
+    items, users = df.select(I).distinct(), df.select(U).distinct()
+    features = items.select(I, F.concat(F.lit("k"), (F.col(I) % 3).cast("string")).alias("feature"), F.lit(1.0).alias("value"))
+    customers = users.withColumn("country", (F.col(U) % 2).cast("string"))
+    segments = users.withColumn("segment", (F.col(U) % 2).cast("string"))
+    model = m.ColdStartRecommender(fields=["country"], min_interactions=100).fit(df, features, customers, segments)
+    want = sorted(map(tuple, model.recommend(users, 3).collect())), sorted(map(tuple, model.predict(df).collect()))
+    model.save(str(tmp_path / "c"))
+    back = m.Recommender.load(spark, str(tmp_path / "c"))
+    assert isinstance(back, m.ColdStartRecommender)
+    got = sorted(map(tuple, back.recommend(users, 3).collect())), sorted(map(tuple, back.predict(df).collect()))
+    assert [r[:3] for r in got[0]] == [r[:3] for r in want[0]] and got[1] == [pytest.approx(r) for r in want[1]]
+
+
 def test_config(tmp_path):
     config = Config()
     config.set("a.b.c", 3)
@@ -240,8 +255,8 @@ def test_catalog_from_csv_and_command_line(spark, tmp_path, capsys):
     config = Config({"data": {"dir": str(tmp_path)}, "models": {"content_based": {"min_df": 0.0, "max_df": 1.0}, "matrix_factorization": {"n_factors": 3, "n_epochs": 2}}})
     catalog = Catalog.load(spark, config)
     assert catalog.product_report is None and catalog.interactions().count() > 50
-    found = cli.experiment(catalog, config, ["popularity"], str(tmp_path / "out"))
-    assert {r["model"] for r in found.select("model").distinct().collect()} == {"popularity"}
+    found = cli.experiment(catalog, config, ["popularity", "hybrid", "cold_start"], str(tmp_path / "out"))
+    assert {r["model"] for r in found.select("model").distinct().collect()} == {"popularity", "hybrid", "cold_start"}
     assert cli.recommend(catalog, config, "content", 1, 3).count() == 3
     took = spark.createDataFrame([("popularity", "training_time", 1.0)], "model string, metric string, value double")
     assert "Best models" in results.report(found, took, ["ndcg@10", "mrr"])
