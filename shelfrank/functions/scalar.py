@@ -43,13 +43,9 @@ def scaled(value: Column, low: Column, high: Column, to_low: float, to_high: flo
 
 
 def keyed_hash(columns: list[Column], seed: int) -> Column:
-    """A number below 1,000,003 that any SQL engine computes alike from integer keys."""
-    # Odd multipliers (the first is 2^32 divided by the golden ratio).
-    factors = [2654435761, 40503, 69069, 1013]
-    total = F.lit(seed * 97).cast("long")
-    for c, f in zip(columns, factors, strict=False):
-        total = total + F.coalesce(c.cast("long"), F.lit(0)) * f
-    return F.pmod(total, F.lit(1_000_003))
+    """A number below 2^52, from an md5 of the seed and the keys as text, that any SQL engine computes alike; null is empty text."""
+    text = F.concat_ws(",", F.lit(str(seed)), *[F.coalesce(c.cast("string"), F.lit("")) for c in columns])
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")
 
 
 def norm_or_tiny(col: Column) -> Column:

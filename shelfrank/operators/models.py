@@ -11,7 +11,7 @@ from pyspark.ml.recommendation import ALS
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfrank.functions.scalar import clipped, norm_or_tiny
+from shelfrank.functions.scalar import clipped, keyed_hash, norm_or_tiny
 from shelfrank.operators.analytics import interaction_matrix
 from shelfrank.operators.features import unit_length
 from shelfrank.operators.ranking import by_maximum, diversified, fused, fused_by_segment, summed, top_n, unseen
@@ -25,11 +25,6 @@ BLOCK = 2048
 BROADCAST_BYTES, PRODUCTS = 1 << 28, 1 << 23
 
 
-def _hashed(*columns, seed: int):
-    """A number in [0, 1) from a hash."""
-    return F.pmod(F.xxhash64(*columns, F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
-
-
 def _dense(at, values, dim: int) -> np.ndarray:
     """A row for each list of places and values."""
     out = np.zeros((len(at), dim))
@@ -163,7 +158,7 @@ class RandomRecommender(Recommender):
 
     def _score(self):
         low, high = self.numbers["low"], self.numbers["high"]
-        return F.lit(low) + F.lit(high - low) * _hashed(F.col(U), F.col(I), seed=self.options.get("seed", 42))
+        return F.lit(low) + F.lit(high - low) * (keyed_hash([F.col(U), F.col(I)], self.options.get("seed", 42)) / F.lit(float(1 << 52)))
 
     def predict(self, pairs: DataFrame) -> DataFrame:
         return pairs.select(U, I).withColumn("score", self._score())
@@ -175,7 +170,7 @@ class RandomRecommender(Recommender):
         seed = self.options.get("seed", 42)
         steps = F.least(F.col("extra") + n + (prime - count), F.lit(prime))
         walk = _seen_counts(users, seen).select(U, F.explode(F.sequence(F.lit(0).cast("long"), steps - 1)).alias("step"))
-        start, stride = F.pmod(F.xxhash64(U, F.lit(seed)), F.lit(prime)), 1 + F.pmod(F.xxhash64(U, F.lit(seed + 1)), F.lit(prime - 1))
+        start, stride = keyed_hash([F.col(U)], seed) % prime, 1 + keyed_hash([F.col(U)], seed + 1) % (prime - 1)
         at = walk.withColumn("position", F.pmod(start + F.col("step") * stride, F.lit(prime)))
         drawn = unseen(at.join(self.tables["items"], "position"), seen)
         first = drawn.withColumn("r", F.row_number().over(Window.partitionBy(U).orderBy("step"))).where(F.col("r") <= n)

@@ -81,7 +81,7 @@ def _mmr(n: int, direct: int, trade: float):
             return len(sets[a] & sets[b]) / len(both) if both else 0.0
 
         while left and len(chosen) < n:
-            best = max(left, key=lambda x: (trade * scores[x] - (1 - trade) * max((alike(x, c) for c in chosen), default=0.0), -x))
+            best = max(left, key=lambda x: (round(trade * scores[x] - (1 - trade) * max((alike(x, c) for c in chosen), default=0.0), DIGITS), -x))
             chosen.append(best)
             left.remove(best)
         out = rows.iloc[chosen].copy()
@@ -95,7 +95,7 @@ def diversified(lists: DataFrame, features: DataFrame, n: int, weight: float = 0
     """The first int(n * (1 - weight)) of each list as they are, the rest by maximal marginal relevance.
 
     ``features`` has (product_key, features array); likeness is the Jaccard share of features, and the items taken
-    directly count as selected. Lists of n items or fewer, and all for a weight of 0 or less, keep their order; from a
+    directly count as selected; ties (to nine digits) go to the better rank. Lists of n items or fewer, and all for a weight of 0 or less, keep their order; from a
     weight of 1 on, all places are chosen for marginal relevance. Lists are short (2n), so a group is one user's list.
     """
     if weight <= 0:

@@ -44,9 +44,9 @@ def best_model(results: DataFrame, name: str) -> DataFrame:
 
 
 def performance_summary(results: DataFrame, resources: DataFrame, names: list[str]) -> DataFrame:
-    """Resources (model, metric, value) and metrics of each model side by side, 'N/A' for missing."""
+    """Resources (model, metric, value) and metrics of each model side by side, with four decimals; 'N/A' for missing."""
     wide = model_matrix(results, names).join(resources.groupBy("model").pivot("metric", list(RESOURCES)).agg(F.first("value")), "model", "full")
-    return wide.select("model", *[F.coalesce(F.round(F.col(f"`{c}`"), 4).cast("string"), F.lit("N/A")).alias(c) for c in (*RESOURCES, *names)])
+    return wide.select("model", *[F.coalesce(F.round(F.col(f"`{c}`"), 4).cast("decimal(38,4)").cast("string"), F.lit("N/A")).alias(c) for c in (*RESOURCES, *names)])
 
 
 def optimal_models(results: DataFrame, resources: DataFrame, quality: str = "ndcg@10", performance_weight: float = 0.7, efficiency_weight: float = 0.3) -> DataFrame:

@@ -74,13 +74,13 @@ def sample(df: DataFrame, key: str, share: float, seed: int = 42) -> DataFrame:
 
 
 def numbered(df: DataFrame, key: str, name: str = "position") -> DataFrame:
-    """``df`` with a dense number from 0 for each row, in the order of a hash of ``key`` (unique).
+    """``df`` with a dense number from 0 for each row, in the order of ``keyed_hash`` of ``key`` (unique) and the seed 0.
 
-    Rows are numbered within hash buckets; only the buckets' counts meet in one place.
+    Rows are numbered within buckets of the hash's leading bits; only the buckets' counts meet in one place.
     """
-    dealt = df.withColumn("__b", F.pmod(F.xxhash64(key), F.lit(BUCKETS)))
+    dealt = df.withColumn("__h", keyed_hash([F.col(key)], 0)).withColumn("__b", F.shiftright("__h", 40))
     counts = dealt.groupBy("__b").agg(F.count("*").alias("__c"))
     before = F.sum("__c").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
     starts = counts.select("__b", F.coalesce(before, F.lit(0)).alias("__start"))  # 4096 rows at most
-    within = F.row_number().over(Window.partitionBy("__b").orderBy(key))
-    return dealt.withColumn("__r", within).join(F.broadcast(starts), "__b").withColumn(name, F.col("__start") + F.col("__r") - 1).drop("__b", "__r", "__start")
+    within = F.row_number().over(Window.partitionBy("__b").orderBy("__h", key))
+    return dealt.withColumn("__r", within).join(F.broadcast(starts), "__b").withColumn(name, F.col("__start") + F.col("__r") - 1).drop("__h", "__b", "__r", "__start")

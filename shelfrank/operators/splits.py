@@ -75,7 +75,7 @@ def stratified_split(df: DataFrame, test_size: float = 0.2, strata: str | None =
     """
     if not strata or strata not in df.columns:
         return random_split(df, test_size, seed)
-    hashed = df.withColumn("__h", keyed_hash([F.col(U), F.col(I)], seed)).withColumn("__b", F.floor(F.col("__h") / 245))
+    hashed = df.withColumn("__h", keyed_hash([F.col(U), F.col(I)], seed)).withColumn("__b", F.shiftright("__h", 40))
     counts = hashed.groupBy(strata, "__b").agg(F.count("*").alias("c"))
     by = Window.partitionBy(strata)
     before = F.sum("c").over(by.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))

@@ -13,12 +13,14 @@ U, I = "customer_key", "product_key"
 DIGITS = 6
 
 
-def rounded(df: DataFrame, nudge: float = 0.0) -> DataFrame:
-    """Doubles rounded to six digits, so that sums in another order compare equal.
+def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
+    """Doubles rounded, so that sums in another order compare equal."""
+    return df.select(*[F.round(F.col(f"`{c}`"), digits).alias(c) if kind == "double" else F.col(f"`{c}`") for c, kind in df.dtypes])
 
-    ``nudge`` is added first: means over few users often lie halfway between two roundings.
-    """
-    return df.select(*[F.round(F.col(f"`{c}`") + F.lit(nudge) if nudge else F.col(f"`{c}`"), DIGITS).alias(c) if kind == "double" else F.col(f"`{c}`") for c, kind in df.dtypes])
+
+def sql_hash(seed: int, *keys: str) -> str:
+    """``scalar.keyed_hash`` in SQL."""
+    return f"CAST('0x' || substr(md5(concat_ws(',', '{seed}', {', '.join(keys)})), 1, 13) AS BIGINT)"
 
 
 def inter(spark: SparkSession, sf: str) -> DataFrame:

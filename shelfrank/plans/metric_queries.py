@@ -18,8 +18,9 @@ ALL = (*e.METRICS, "diversity", "novelty", "coverage")
 TOOK = [("by_count", "training_time", 2.0), ("by_count", "memory_mb", 90.0), ("by_count", "latency_ms", 4.0), ("by_rating", "training_time", 3.0), ("by_rating", "memory_mb", 80.0), ("by_rating", "model_size_mb", 1.5)]
 
 
-def nudged(df):
-    return rounded(df, 1e-9)
+def nine(df):
+    """Nine digits: means over few users often lie halfway between two roundings to six."""
+    return rounded(df, 9)
 
 
 def _sets(spark, sf):
@@ -45,13 +46,13 @@ def _took(spark):
 def _content(spark, sf):
     train, test = halves(spark, sf)
     recs = content(spark, sf, train).recommend(test, max(KS))
-    return nudged(e.evaluate(recs, test, KS, e.METRICS).drop("segment"))
+    return nine(e.evaluate(recs, test, KS, e.METRICS).drop("segment"))
 
 
 def _single(run):
     def query(spark, sf):
         recs, test = _recs(spark, sf)
-        return nudged(run(spark, sf, recs, test))
+        return nine(run(spark, sf, recs, test))
 
     return query
 
@@ -64,14 +65,14 @@ QUERIES = {
     "diversity_at_k": _single(lambda s, d, recs, test: e.diversity(recs, _sets(s, d), KS)),
     "novelty_at_k": _single(lambda s, d, recs, test: e.novelty(recs, test.groupBy(I).agg(F.count("*").alias("n")), KS)),
     "coverage_at_k": _single(lambda s, d, recs, test: e.coverage(recs, test, KS)),
-    "compare_models": lambda s, d: nudged(r.model_matrix(_results(s, d), NAMES)),
-    "segment_analysis": lambda s, d: nudged(r.segment_matrix(_results(s, d), "by_rating", ["ndcg@10", "precision@10"])),
+    "compare_models": lambda s, d: nine(r.model_matrix(_results(s, d), NAMES)),
+    "segment_analysis": lambda s, d: nine(r.segment_matrix(_results(s, d), "by_rating", ["ndcg@10", "precision@10"])),
     "performance_summary": lambda s, d: r.performance_summary(_results(s, d), _took(s), NAMES),
-    "optimal_models": lambda s, d: nudged(r.optimal_models(_results(s, d), _took(s))),
-    "scaled_metrics": lambda s, d: nudged(r.scaled_over_models(_results(s, d)).where(F.col("name").isin(NAMES))),
+    "optimal_models": lambda s, d: nine(r.optimal_models(_results(s, d), _took(s))),
+    "scaled_metrics": lambda s, d: nine(r.scaled_over_models(_results(s, d)).where(F.col("name").isin(NAMES))),
     "common_metrics": lambda s, d: r.common_metrics(_results(s, d)),
-    "best_model": lambda s, d: nudged(r.best_model(_results(s, d), "ndcg@10")),
-    "metric_correlation": lambda s, d: nudged(r.metric_correlation(_by_depth(s, d), ["ndcg", "precision", "recall"])),
+    "best_model": lambda s, d: nine(r.best_model(_results(s, d), "ndcg@10")),
+    "metric_correlation": lambda s, d: nine(r.metric_correlation(_by_depth(s, d), ["ndcg", "precision", "recall"])),
 }
 
 
@@ -124,27 +125,41 @@ def _least(name: str) -> str:
     return f"(SELECT 'least_{name}' AS criterion, model, CAST(value AS DOUBLE) AS value FROM took WHERE metric = '{name}' AND value > 0 ORDER BY value, model LIMIT 1)"
 
 
+def _four(name: str) -> str:
+    return f"coalesce(CAST(CAST(round(CAST(\"{name}\" AS DOUBLE), 4) AS DECIMAL(38, 4)) AS VARCHAR), 'N/A') AS \"{name}\""
+
+
+def _kinds(recs: str) -> str:
+    """(metric, k) of the metrics on lists and items."""
+    return f"""SELECT 'diversity' AS metric, k FROM {recs} JOIN ks ON rank BETWEEN 2 AND k GROUP BY k UNION ALL SELECT 'coverage', k FROM {recs} CROSS JOIN ks GROUP BY k
+ UNION ALL SELECT 'novelty', k FROM {recs} JOIN ks ON rank <= k WHERE product_key IN (SELECT product_key FROM test) GROUP BY k"""
+
+
 _INVERSE = " + ".join(f"1 / (1 + CAST(coalesce((SELECT value FROM took t WHERE t.model = matrix.model AND metric = '{c}'), {d}) AS DOUBLE))" for c, d in (("training_time", 1), ("memory_mb", 100), ("latency_ms", 1)))
 
 ORACLES = {
-    "metrics_per_user": f"""WITH {USERS} SELECT customer_key, k, round(precision + 1e-9, 6) AS precision, round(recall + 1e-9, 6) AS recall, round(ndcg + 1e-9, 6) AS ndcg, CAST(hit AS DOUBLE) AS hit, round(ap + 1e-9, 6) AS ap, round(CAST(rr AS DOUBLE) + 1e-9, 6) AS rr, n_relevant FROM users""",
-    "metrics_at_k": f"WITH {USERS}, {tall('users')} SELECT metric, k, round(CAST(value AS DOUBLE) + 1e-9, 6) AS value FROM tall",
-    "metrics_by_segment": f"WITH {USERS}, {tall('users', 'c_mktsegment AS segment', SEGMENT_OF, metrics=('precision', 'recall', 'ndcg', 'hit_rate'))} SELECT segment, metric, k, round(CAST(value AS DOUBLE) + 1e-9, 6) AS value FROM tall",
-    "metrics_of_content": f"WITH {HALVES}, {LEVELS}, {content_scores('train')}, {top('scores x', 20, where='WHERE customer_key IN (SELECT customer_key FROM test)')}, {per_user('best')}, {tall('users')} SELECT metric, k, round(CAST(value AS DOUBLE) + 1e-9, 6) AS value FROM tall",
-    "diversity_at_k": f"WITH {RECS}, {DIVERSE} SELECT k, round(avg(d) + 1e-9, 6) AS value FROM (SELECT customer_key, k, avg(d) AS d FROM dist JOIN ks ON last <= k GROUP BY 1, 2) GROUP BY 1",
+    "metrics_per_user": f"""WITH {USERS} SELECT customer_key, k, round(precision, 9) AS precision, round(recall, 9) AS recall, round(ndcg, 9) AS ndcg, CAST(hit AS DOUBLE) AS hit, round(ap, 9) AS ap, round(CAST(rr AS DOUBLE), 9) AS rr, n_relevant FROM users""",
+    "metrics_at_k": f"WITH {USERS}, {tall('users')} SELECT metric, k, round(CAST(value AS DOUBLE), 9) AS value FROM tall",
+    "metrics_by_segment": f"WITH {USERS}, {tall('users', 'c_mktsegment AS segment', SEGMENT_OF, metrics=('precision', 'recall', 'ndcg', 'hit_rate'))} SELECT segment, metric, k, round(CAST(value AS DOUBLE), 9) AS value FROM tall",
+    "metrics_of_content": f"WITH {HALVES}, {LEVELS}, {content_scores('train')}, {top('scores x', 20, where='WHERE customer_key IN (SELECT customer_key FROM test)')}, {per_user('best')}, {tall('users')} SELECT metric, k, round(CAST(value AS DOUBLE), 9) AS value FROM tall",
+    "diversity_at_k": f"WITH {RECS}, {DIVERSE} SELECT k, round(avg(d), 9) AS value FROM (SELECT customer_key, k, avg(d) AS d FROM dist JOIN ks ON last <= k GROUP BY 1, 2) GROUP BY 1",
     "novelty_at_k": f"""WITH {RECS}, c AS (SELECT product_key, -log2(count(*) / CAST(sum(count(*)) OVER () AS DOUBLE)) AS s FROM test GROUP BY 1)
-SELECT k, round(avg(s) + 1e-9, 6) AS value FROM (SELECT customer_key, k, avg(s) AS s FROM best JOIN c USING (product_key) JOIN ks ON rank <= k GROUP BY 1, 2) GROUP BY 1""",
-    "coverage_at_k": f"WITH {RECS} SELECT k, round(CAST(count(DISTINCT product_key) FILTER (rank <= k) AS DOUBLE) / (SELECT count(DISTINCT product_key) FROM test) + 1e-9, 6) AS value FROM best CROSS JOIN ks GROUP BY 1",
-    "compare_models": f"WITH {BOTH} SELECT model, {', '.join(f'round(CAST(\"{n}\" AS DOUBLE) + 1e-9, 6) AS \"{n}\"' for n in NAMES)} FROM matrix",
-    "segment_analysis": f"""WITH {USERS} SELECT coalesce(c_mktsegment, 'Overall') AS segment, round(avg(ndcg) + 1e-9, 6) AS "ndcg@10", round(avg(precision) + 1e-9, 6) AS "precision@10"
+SELECT k, round(avg(s), 9) AS value FROM (SELECT customer_key, k, avg(s) AS s FROM best JOIN c USING (product_key) JOIN ks ON rank <= k GROUP BY 1, 2) GROUP BY 1""",
+    "coverage_at_k": f"WITH {RECS} SELECT k, round(CAST(count(DISTINCT product_key) FILTER (rank <= k) AS DOUBLE) / (SELECT count(DISTINCT product_key) FROM test), 9) AS value FROM best CROSS JOIN ks GROUP BY 1",
+    "compare_models": f"WITH {BOTH} SELECT model, {', '.join(f'round(CAST(\"{n}\" AS DOUBLE), 9) AS \"{n}\"' for n in NAMES)} FROM matrix",
+    "segment_analysis": f"""WITH {USERS} SELECT coalesce(c_mktsegment, 'Overall') AS segment, round(avg(ndcg), 9) AS "ndcg@10", round(avg(precision), 9) AS "precision@10"
 FROM users {SEGMENT_OF} WHERE k = 10 GROUP BY ROLLUP (c_mktsegment)""",
     "optimal_models": f"""WITH {BOTH}, {WIDE}, scored AS (SELECT model, 0.3 * (({_INVERSE}) / 3) + 0.7 * "ndcg@10" AS v FROM matrix)
-SELECT criterion, model, round(value + 1e-9, 6) AS value FROM ((SELECT 'best_quality' AS criterion, model, "ndcg@10" AS value FROM matrix ORDER BY value DESC, model LIMIT 1)
+SELECT criterion, model, round(value, 9) AS value FROM ((SELECT 'best_quality' AS criterion, model, "ndcg@10" AS value FROM matrix ORDER BY value DESC, model LIMIT 1)
  UNION ALL {' UNION ALL '.join(_least(c) for c in ('training_time', 'memory_mb', 'latency_ms', 'model_size_mb'))} UNION ALL (SELECT 'best_overall', model, v FROM scored ORDER BY v DESC, model LIMIT 1))""",
+    "performance_summary": f"""WITH {BOTH}, {WIDE}, used AS (SELECT model, {', '.join(f"max(value) FILTER (metric = '{c}') AS {c}" for c in r.RESOURCES)} FROM took GROUP BY 1)
+SELECT model, {', '.join(_four(c) for c in (*r.RESOURCES, *NAMES))} FROM matrix FULL JOIN used USING (model)""",
+    "common_metrics": f"""WITH {BOTH}, named AS ((SELECT metric, k FROM tall UNION ALL {_kinds('best')}) INTERSECT (SELECT metric, k FROM ctall UNION ALL {_kinds('cbest')}))
+SELECT metric || CASE WHEN k IS NULL THEN '' ELSE '@' || k END AS name FROM named""",
     "scaled_metrics": f"""WITH {BOTH}, long AS ({' UNION ALL '.join(f"SELECT model, '{n}' AS name, CAST(\"{n}\" AS DOUBLE) AS v FROM matrix" for n in NAMES)}),
 edged AS (SELECT *, min(v) OVER (PARTITION BY name) AS lo, max(v) OVER (PARTITION BY name) AS hi FROM long)
-SELECT model, name, round(CASE WHEN hi > lo THEN (v - lo) / (hi - lo) ELSE 0.5 END + 1e-9, 6) AS value FROM edged""",
-    "best_model": f"""WITH {BOTH} SELECT model, round("ndcg@10" + 1e-9, 6) AS value FROM matrix ORDER BY "ndcg@10" DESC, model LIMIT 1""",
+SELECT model, name, round(CASE WHEN hi > lo THEN (v - lo) / (hi - lo) ELSE 0.5 END, 9) AS value FROM edged""",
+    "best_model": f"""WITH {BOTH} SELECT model, round("ndcg@10", 9) AS value FROM matrix ORDER BY "ndcg@10" DESC, model LIMIT 1""",
     "metric_correlation": f"""WITH {USERS}, m AS (SELECT k, avg(ndcg) AS ndcg, avg(precision) AS precision, avg(recall) AS recall FROM users GROUP BY 1)
-SELECT 'ndcg' AS a, 'precision' AS b, round(corr(ndcg, precision) + 1e-9, 6) AS r FROM m UNION ALL SELECT 'ndcg', 'recall', round(corr(ndcg, recall) + 1e-9, 6) FROM m UNION ALL SELECT 'precision', 'recall', round(corr(precision, recall) + 1e-9, 6) FROM m""",
+SELECT 'ndcg' AS a, 'precision' AS b, round(corr(ndcg, precision), 9) AS r FROM m UNION ALL SELECT 'ndcg', 'recall', round(corr(ndcg, recall), 9) FROM m UNION ALL SELECT 'precision', 'recall', round(corr(precision, recall), 9) FROM m""",
 }

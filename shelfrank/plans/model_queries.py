@@ -10,7 +10,7 @@ from shelfrank.operators import models as m
 from shelfrank.operators import prepare
 from shelfrank.operators.features import STOP_WORDS
 from shelfrank.operators.ranking import diversified, top_n
-from shelfrank.plans.base import HALVES, INTER, I, U, halves, inter, region_customers, rounded, segments_of
+from shelfrank.plans.base import HALVES, INTER, I, U, halves, inter, region_customers, rounded, segments_of, sql_hash
 from shelfrank.sources.catalog import Orders
 
 N, K = 10, 30
@@ -115,6 +115,22 @@ def cold_lists(spark, sf) -> DataFrame:
     return rounded(cold(spark, sf, df, 40).recommend(df.select(U), N, df, sets))
 
 
+def cold_predicted(spark, sf) -> DataFrame:
+    """Every pair of the test half; users with under 40 training rows are cold here."""
+    train, test = halves(spark, sf)
+    return rounded(cold(spark, sf, train, 40).predict(test))
+
+
+def segment_predicted(spark, sf) -> DataFrame:
+    train, test = halves(spark, sf)
+    return rounded(cold(spark, sf, train, 5).predict_segment(test))
+
+
+def hybrid_predicted(spark, sf) -> DataFrame:
+    train, test = halves(spark, sf)
+    return rounded(hybrid_model(spark, sf, train).predict(test))
+
+
 def hybrid_model(spark, sf, df) -> m.HybridRecommender:
     out = m.HybridRecommender(weights=HYBRID)
     return out.add("popularity", m.PopularityRecommender().fit(df)).add("content", content(spark, sf, df))
@@ -168,6 +184,9 @@ QUERIES = {
     "demographic_predict": demographic_predicted,
     "coldstart_combine": cold_combined,
     "coldstart_topn": cold_lists,
+    "coldstart_predict": cold_predicted,
+    "segment_predict": segment_predicted,
+    "hybrid_predict": hybrid_predicted,
     "hybrid_fusion": hybrid,
     "hybrid_segment_fusion": hybrid_by_segment,
     "als_topn": factors,
@@ -294,6 +313,52 @@ total AS (SELECT customer_key, product_key, sum(v * {weights}) AS score FROM sca
 _W = "CASE part WHEN 'popularity' THEN {popularity} ELSE {content} END"
 _BY_SEGMENT = "CASE c_mktsegment " + " ".join(f"WHEN '{k}' THEN {_W.format(**w)}" for k, w in SEGMENT_WEIGHTS.items()) + f" ELSE {_W.format(**HYBRID)} END"
 
+CONTENT_GUESS = """cguess AS (SELECT t.customer_key, t.product_key,
+ CASE WHEN t.customer_key IN (SELECT customer_key FROM shares) AND t.product_key IN (SELECT product_key FROM unit) THEN least(5, 1 + 4 * greatest(0, coalesce(score, 0))) ELSE 0 END AS score
+ FROM test t LEFT JOIN scores USING (customer_key, product_key))"""
+DEMOGRAPHIC_MEAN = """dmean AS (SELECT t.customer_key, t.product_key, avg(sim) AS score FROM test t JOIN (SELECT DISTINCT customer_key, product_key FROM train) b ON b.product_key = t.product_key
+ JOIN people x ON x.customer_key = t.customer_key JOIN people y ON y.customer_key = b.customer_key JOIN alike a ON a.country = x.country AND a.segment = x.segment AND a.country2 = y.country AND a.segment2 = y.segment GROUP BY 1, 2)"""
+SEGMENT_GUESS = """spop AS (SELECT c_mktsegment AS segment, product_key, sum(rating) AS score FROM train JOIN customer ON customer_key = c_custkey WHERE c_mktsegment <> '' GROUP BY 1, 2),
+sshare AS (SELECT segment, product_key, CASE WHEN max(score) OVER (PARTITION BY segment) > 0 THEN score / max(score) OVER (PARTITION BY segment) ELSE 0 END AS share FROM spop),
+apop AS (SELECT product_key, sum(rating) AS score FROM train GROUP BY 1),
+sguess AS (SELECT t.customer_key, t.product_key, coalesce(CASE WHEN c_mktsegment <> '' THEN coalesce(share, 0) ELSE a.score END, 0) AS score
+ FROM test t LEFT JOIN customer ON c_custkey = t.customer_key LEFT JOIN sshare s ON s.segment = c_mktsegment AND s.product_key = t.product_key LEFT JOIN apop a ON a.product_key = t.product_key)"""
+COMBINED = f"""{INTER}, {DEMOGRAPHIC}, {top('demo', 2 * N, 'd')},
+segpop AS (SELECT c_mktsegment AS segment, product_key, sum(rating) AS score FROM inter JOIN customer ON customer_key = c_custkey GROUP BY 1, 2),
+seg AS (SELECT customer_key, x.product_key, x.score FROM people JOIN (SELECT DISTINCT customer_key FROM inter) USING (customer_key) JOIN segpop x USING (segment)),
+{top('seg x', 2 * N, 's', f'WHERE {SEEN}')}, {content_scores('inter')}, {top('scores x', 2 * N, 'c', f'WHERE {SEEN}')},
+mixed AS (SELECT customer_key, product_key, score, 0.4 AS w, 'd' AS part FROM d UNION ALL SELECT customer_key, product_key, score, 0.4, 's' FROM s UNION ALL SELECT customer_key, product_key, score, 0.2, 'c' FROM c),
+scaled AS (SELECT *, max(score) OVER (PARTITION BY customer_key, part) AS most FROM mixed),
+total AS (SELECT customer_key, product_key, sum(CASE WHEN most > 0 THEN score / most * w ELSE 0 END) AS score FROM scaled GROUP BY 1, 2)"""
+
+
+def marginal(source: str, n: int, weight: float = 0.3) -> str:
+    """``varied``: the first items of each list of ``source``, then step by step the one of the greatest marginal relevance."""
+    first = int(n * (1 - weight))
+    same = "(CAST(coalesce(x.t = y.t, false) AS INT) + CAST(coalesce(x.b = y.b, false) AS INT))"
+    alike = f"{same} / (4.0 - {same})::DOUBLE"
+    steps = [
+        f"facts AS (SELECT x.*, p_type AS t, p_brand AS b, count(*) OVER (PARTITION BY customer_key) AS size FROM {source} x LEFT JOIN part ON p_partkey = product_key)",
+        f"left{first} AS (SELECT x.*, coalesce(max({alike}), 0) AS m FROM facts x LEFT JOIN facts y ON y.customer_key = x.customer_key AND y.rank <= {first} WHERE x.rank > {first} AND x.size > {n} GROUP BY ALL)",
+    ]
+    for k in range(first + 1, n + 1):
+        best = "row_number() OVER (PARTITION BY customer_key ORDER BY round(0.5::DOUBLE * score - 0.5::DOUBLE * m, 9) DESC, rank)"
+        steps.append(f"next{k} AS (SELECT * FROM (SELECT *, {best} AS pick FROM left{k - 1}) WHERE pick = 1)")
+        steps.append(f"left{k} AS (SELECT x.* REPLACE (greatest(x.m, {alike}) AS m) FROM left{k - 1} x JOIN next{k} y USING (customer_key) WHERE x.product_key <> y.product_key)")
+    parts = [f"SELECT customer_key, rank, product_key, score FROM facts WHERE rank <= CASE WHEN size > {n} THEN {first} ELSE {n} END"]
+    parts += [f"SELECT customer_key, {k}, product_key, score FROM next{k}" for k in range(first + 1, n + 1)]
+    return ", ".join([*steps, f"varied AS ({' UNION ALL '.join(parts)})"])
+
+
+#: ``drawn``: each user's walk over the item numbers, by a step of its own modulo a prime.
+WALK = f"""items AS (SELECT product_key, row_number() OVER (ORDER BY {sql_hash(0, I)}, product_key) - 1 AS position FROM (SELECT DISTINCT product_key FROM inter)),
+bounds AS (SELECT min(rating) AS lo, max(rating) AS hi, count(DISTINCT product_key) AS c FROM inter),
+prime AS (SELECT min(p) AS p FROM (SELECT unnest(range(greatest(c, 2), greatest(c, 2) + 1000)) AS p FROM bounds) WHERE NOT EXISTS (SELECT 1 FROM range(2, 2000) AS r(d) WHERE d * d <= p AND p % d = 0)),
+walk AS (SELECT customer_key, p, unnest(range(0, least(extra + {N} + p - c, p))) AS step FROM (SELECT customer_key, count(*) AS extra FROM inter GROUP BY 1) CROSS JOIN bounds CROSS JOIN prime),
+met AS (SELECT customer_key, step, ({sql_hash(42, U)} % p + step * (1 + {sql_hash(43, U)} % (p - 1))) % p AS position FROM walk),
+fresh AS (SELECT x.*, row_number() OVER (PARTITION BY customer_key ORDER BY step) AS r FROM (SELECT * FROM met JOIN items USING (position)) x WHERE {SEEN}),
+drawn AS (SELECT customer_key, product_key, lo + (hi - lo) * ({sql_hash(42, U, I)} / 4503599627370496.0::DOUBLE) AS score FROM fresh CROSS JOIN bounds WHERE r <= {N})"""
+
 ORACLES = {
     "popularity_scores": f"WITH {INTER} SELECT product_key, round(sum(rating), 6) AS score FROM inter GROUP BY 1",
     "popularity_topn": f"WITH {INTER}, {popular('inter', N, False)} {lists('popular')}",
@@ -313,21 +378,22 @@ FROM (SELECT *, CAST(row_number() OVER (PARTITION BY segment ORDER BY round(scor
     "content_similarity": f"""WITH {UNIT}, sims AS (SELECT a.product_key AS a, b.product_key AS b, sum(a.value * b.value) AS sim FROM unit a JOIN unit b USING (feature) WHERE a.product_key <> b.product_key GROUP BY 1, 2 HAVING abs(sum(a.value * b.value)) > 1e-12)
 SELECT a, rank, b, round(sim, 6) AS sim FROM (SELECT *, CAST(row_number() OVER (PARTITION BY a ORDER BY round(sim, 9) DESC, b) AS INT) AS rank FROM sims) WHERE rank <= {N}""",
     "content_topn": f"WITH {INTER}, {content_scores('inter')}, {top('scores x', N, where=f'WHERE {SEEN}')} {lists()}",
-    "content_predict": f"""WITH {HALVES}, {content_scores('train')} SELECT t.customer_key, t.product_key,
- round(CASE WHEN t.customer_key IN (SELECT customer_key FROM shares) AND t.product_key IN (SELECT product_key FROM unit) THEN least(5, 1 + 4 * greatest(0, coalesce(score, 0))) ELSE 0 END, 6) AS score
-FROM test t LEFT JOIN scores USING (customer_key, product_key)""",
+    "content_predict": f"WITH {HALVES}, {content_scores('train')}, {CONTENT_GUESS} SELECT customer_key, product_key, round(score, 6) AS score FROM cguess",
     "demographic_similarity": f"WITH {PROFILES} SELECT {_profile('country', 'segment')} AS profile, {_profile('country2', 'segment2')} AS other, round(sim, 6) AS sim FROM alike",
     "demographic_topn": f"WITH {INTER}, {DEMOGRAPHIC}, {top('demo', N)} {lists()}",
-    "demographic_predict": f"""WITH {HALVES}, {PROFILES}, mean AS (SELECT t.customer_key, t.product_key, avg(sim) AS score FROM test t JOIN (SELECT DISTINCT customer_key, product_key FROM train) b ON b.product_key = t.product_key
- JOIN people x ON x.customer_key = t.customer_key JOIN people y ON y.customer_key = b.customer_key JOIN alike a ON a.country = x.country AND a.segment = x.segment AND a.country2 = y.country AND a.segment2 = y.segment GROUP BY 1, 2)
-SELECT customer_key, product_key, round(coalesce(score, 0), 6) AS score FROM test LEFT JOIN mean USING (customer_key, product_key)""",
-    "coldstart_combine": f"""WITH {INTER}, {DEMOGRAPHIC}, {top('demo', 2 * N, 'd')},
-segpop AS (SELECT c_mktsegment AS segment, product_key, sum(rating) AS score FROM inter JOIN customer ON customer_key = c_custkey GROUP BY 1, 2),
-seg AS (SELECT customer_key, x.product_key, x.score FROM people JOIN (SELECT DISTINCT customer_key FROM inter) USING (customer_key) JOIN segpop x USING (segment)),
-{top('seg x', 2 * N, 's', f'WHERE {SEEN}')}, {content_scores('inter')}, {top('scores x', 2 * N, 'c', f'WHERE {SEEN}')},
-mixed AS (SELECT customer_key, product_key, score, 0.4 AS w, 'd' AS part FROM d UNION ALL SELECT customer_key, product_key, score, 0.4, 's' FROM s UNION ALL SELECT customer_key, product_key, score, 0.2, 'c' FROM c),
-scaled AS (SELECT *, max(score) OVER (PARTITION BY customer_key, part) AS most FROM mixed),
-total AS (SELECT customer_key, product_key, sum(CASE WHEN most > 0 THEN score / most * w ELSE 0 END) AS score FROM scaled GROUP BY 1, 2), {top('total', N)} {lists()}""",
+    "demographic_predict": f"WITH {HALVES}, {PROFILES}, {DEMOGRAPHIC_MEAN} SELECT customer_key, product_key, round(coalesce(score, 0), 6) AS score FROM test LEFT JOIN dmean USING (customer_key, product_key)",
+    "segment_predict": f"WITH {HALVES}, {SEGMENT_GUESS} SELECT customer_key, product_key, round(score, 6) AS score FROM sguess",
+    "coldstart_predict": f"""WITH {HALVES}, {PROFILES}, {DEMOGRAPHIC_MEAN}, {SEGMENT_GUESS}, {content_scores('train')}, {CONTENT_GUESS}, warm AS (SELECT customer_key FROM train GROUP BY 1 HAVING count(*) >= 40)
+SELECT customer_key, product_key, round(CASE WHEN customer_key IN (SELECT customer_key FROM warm) THEN c.score ELSE (coalesce(d.score, 0) + s.score + c.score) / 3 END, 6) AS score
+FROM cguess c JOIN sguess s USING (customer_key, product_key) LEFT JOIN dmean d USING (customer_key, product_key)""",
+    "hybrid_predict": f"""WITH {HALVES}, {content_scores('train')}, {CONTENT_GUESS}, pop AS (SELECT product_key, sum(rating) AS score FROM train GROUP BY 1)
+SELECT customer_key, product_key, round({HYBRID['popularity']}::DOUBLE * coalesce(p.score, 0) + {HYBRID['content']}::DOUBLE * c.score, 6) AS score FROM cguess c LEFT JOIN pop p USING (product_key)""",
+    "coldstart_combine": f"WITH {COMBINED}, {top('total', N)} {lists()}",
+    "coldstart_topn": f"""WITH {COMBINED}, cold AS (SELECT customer_key FROM inter GROUP BY 1 HAVING count(*) < 40),
+{top('total x', 6 * N, 'long', 'WHERE customer_key IN (SELECT customer_key FROM cold)')}, {marginal('long', N)}
+{lists('varied')} UNION ALL SELECT customer_key, rank, product_key, round(score, 6) FROM c WHERE rank <= {N} AND customer_key NOT IN (SELECT customer_key FROM cold)""",
+    "mmr_rerank": f"WITH {INTER}, {popular('inter', 2 * N, True)}, {marginal('popular', N)} {lists('varied')}",
+    "random_topn": f"WITH {INTER}, {WALK}, {top('drawn', N)} {lists()}",
     "hybrid_fusion": _hybrid(_W.format(**HYBRID)),
     "hybrid_segment_fusion": _hybrid(_BY_SEGMENT, "JOIN customer ON customer_key = c_custkey"),
 }

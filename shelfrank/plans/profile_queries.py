@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from shelfrank.operators import analytics as a
 from shelfrank.operators import prepare, sampling
-from shelfrank.plans.base import INTER, I, U, inter, region_customers, rounded, segments_of
+from shelfrank.plans.base import INTER, I, U, inter, region_customers, rounded, segments_of, sql_hash
 from shelfrank.sources.catalog import Orders
 
 # Category values of the test tables' products.
@@ -50,6 +50,13 @@ def sampled_sales(s, d):
     return rounded(o.interactions().join(keys, U, "left_semi"))
 
 
+def id_map(s, d):
+    """The dense number of each customer and product that has a sale."""
+    rows = inter(s, d)
+    own = [sampling.numbered(rows.select(F.col(k).alias("id")).distinct(), "id").select(F.lit(kind).alias("kind"), "id", "position") for k, kind in ((U, "user"), (I, "item"))]
+    return own[0].unionByName(own[1])
+
+
 def pivot(s, d):
     o = Orders(s, d)
     placed = o.interactions().join(o.raw_products().select(I, "category"), I)
@@ -64,6 +71,7 @@ QUERIES = {
     "item_features_join": lambda s, d: prepare.features(Orders(s, d).raw_products(), Orders(s, d).product_report(), I),
     "null_counts": lambda s, d: prepare.null_counts(Orders(s, d).table("documents").select(*DOCUMENT_COLUMNS)),
     "sampled_interactions": sampled_sales,
+    "id_map": id_map,
     "interaction_matrix": lambda s, d: rounded(a.interaction_matrix(inter(s, d))),
     "interaction_counts": lambda s, d: a.interaction_matrix(Orders(s, d).raw_sales(), value=None),
     "matrix_centered": lambda s, d: rounded(a.centred(a.interaction_matrix(inter(s, d)))),
@@ -122,8 +130,11 @@ ORACLES = {
  FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey""",
     "item_features_join": "SELECT p_partkey AS product_key, p_name AS product_name, p_type AS category, p_brand AS sub_category, p_retailprice AS cost, p_size AS size FROM part",
     "null_counts": " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) FILTER ({c} IS NULL) AS nulls FROM documents" for c in DOCUMENT_COLUMNS),
-    "sampled_interactions": f"""WITH {INTER}, hashed AS (SELECT c_custkey, row_number() OVER (ORDER BY (42 * 97 + c_custkey * 2654435761) % 1000003, c_custkey) AS r, count(*) OVER () AS n FROM customer)
+    "sampled_interactions": f"""WITH {INTER}, hashed AS (SELECT c_custkey, row_number() OVER (ORDER BY {sql_hash(42, 'c_custkey')}, c_custkey) AS r, count(*) OVER () AS n FROM customer)
 SELECT customer_key, product_key, round(rating, 6) AS rating, timestamp FROM inter WHERE customer_key IN (SELECT c_custkey FROM hashed WHERE r <= round_even(n * 0.25, 0))""",
+    "id_map": f"WITH {INTER} " + " UNION ALL ".join(
+        f"SELECT '{kind}' AS kind, {k} AS id, row_number() OVER (ORDER BY {sql_hash(0, k)}, {k}) - 1 AS position FROM (SELECT DISTINCT {k} FROM inter)" for k, kind in ((U, "user"), (I, "item"))
+    ),
     "interaction_matrix": f"WITH {MATRIX} SELECT customer_key, product_key, round(value, 6) AS value FROM cells",
     "interaction_counts": f"WITH {RAW_SALES} SELECT customer_key, product_key, CAST(count(*) AS DOUBLE) AS value FROM sold GROUP BY 1, 2",
     "matrix_centered": f"""WITH {MATRIX}, means AS (SELECT customer_key, sum(value) / (SELECT count(DISTINCT product_key) FROM cells) AS m FROM cells GROUP BY 1)

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfrank.operators import prepare, splits
-from shelfrank.plans.base import HALVES, INTER, I, U, inter, rounded, segments_of
+from shelfrank.plans.base import HALVES, INTER, I, U, inter, rounded, segments_of, sql_hash
 
 HOLDOUT = "2000-01-01"
-HASH = "(42 * 97 + customer_key * 2654435761 + product_key * 40503) % 1000003"
+HASH = sql_hash(42, U, I)
 
 
 def _rows(of) -> DataFrame:
@@ -41,16 +41,16 @@ def _sql(test: str, more: str = "", columns: str = "", source: str = "kept") ->
     return f"WITH {HALVES}{more} SELECT customer_key, product_key, round(rating, 6) AS rating, timestamp{columns}, CASE WHEN {test} THEN 'test' ELSE 'train' END AS half FROM {source}"
 
 
-def _keys(key: str, factor: int) -> str:
-    return f""", keys AS (SELECT {key}, row_number() OVER (ORDER BY (42 * 97 + {key} * 2654435761) % 1000003, {key}) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT {key} FROM kept))"""
+def _keys(key: str) -> str:
+    return f""", keys AS (SELECT {key}, row_number() OVER (ORDER BY {sql_hash(42, key)}, {key}) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT {key} FROM kept))"""
 
 
 ORACLES = {
     "split_random": _sql("r <= ceil(n * 0.2)", f", h AS (SELECT *, row_number() OVER (ORDER BY {HASH}, customer_key, product_key) AS r, count(*) OVER () AS n FROM kept)", source="h"),
     "split_temporal": _sql("rn > floor(n * 0.8)", source="placed"),
     "split_holdout": _sql(f"timestamp >= TIMESTAMP '{HOLDOUT}'"),
-    "split_user": _sql("customer_key IN (SELECT customer_key FROM keys WHERE r <= floor(n * 0.2))", _keys(U, 0)),
-    "split_item": _sql("product_key IN (SELECT product_key FROM keys WHERE r <= floor(n * 0.2))", _keys(I, 0)),
+    "split_user": _sql("customer_key IN (SELECT customer_key FROM keys WHERE r <= floor(n * 0.2))", _keys(U)),
+    "split_item": _sql("product_key IN (SELECT product_key FROM keys WHERE r <= floor(n * 0.2))", _keys(I)),
     "split_leave_one_out": _sql(
         "n > 1 AND r = 1", ", l AS (SELECT *, count(*) OVER (PARTITION BY customer_key) AS n, row_number() OVER (PARTITION BY customer_key ORDER BY timestamp DESC, product_key) AS r FROM kept)", source="l"
     ),
