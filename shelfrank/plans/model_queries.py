@@ -198,7 +198,7 @@ RANK = "row_number() OVER (PARTITION BY customer_key ORDER BY round(score, 9) DE
 
 
 def top(source: str, n: int, name: str = "best", where: str = "") -> str:
-    return f"{name} AS (SELECT * FROM (SELECT *, CAST({RANK} AS INT) AS rank FROM {source} {where}) WHERE rank <= {n})"
+    return f"{name} AS MATERIALIZED (SELECT * FROM (SELECT *, CAST({RANK} AS INT) AS rank FROM {source} {where}) WHERE rank <= {n})"
 
 
 def lists(name: str = "best") -> str:
@@ -316,7 +316,7 @@ _BY_SEGMENT = "CASE c_mktsegment " + " ".join(f"WHEN '{k}' THEN {_W.format(**w)}
 CONTENT_GUESS = """cguess AS (SELECT t.customer_key, t.product_key,
  CASE WHEN t.customer_key IN (SELECT customer_key FROM shares) AND t.product_key IN (SELECT product_key FROM unit) THEN least(5, 1 + 4 * greatest(0, coalesce(score, 0))) ELSE 0 END AS score
  FROM test t LEFT JOIN scores USING (customer_key, product_key))"""
-DEMOGRAPHIC_MEAN = """dmean AS (SELECT t.customer_key, t.product_key, avg(sim) AS score FROM test t JOIN (SELECT DISTINCT customer_key, product_key FROM train) b ON b.product_key = t.product_key
+DEMOGRAPHIC_MEAN = """dmean AS MATERIALIZED (SELECT t.customer_key, t.product_key, avg(sim) AS score FROM test t JOIN (SELECT DISTINCT customer_key, product_key FROM train) b ON b.product_key = t.product_key
  JOIN people x ON x.customer_key = t.customer_key JOIN people y ON y.customer_key = b.customer_key JOIN alike a ON a.country = x.country AND a.segment = x.segment AND a.country2 = y.country AND a.segment2 = y.segment GROUP BY 1, 2)"""
 SEGMENT_GUESS = """spop AS (SELECT c_mktsegment AS segment, product_key, sum(rating) AS score FROM train JOIN customer ON customer_key = c_custkey WHERE c_mktsegment <> '' GROUP BY 1, 2),
 sshare AS (SELECT segment, product_key, CASE WHEN max(score) OVER (PARTITION BY segment) > 0 THEN score / max(score) OVER (PARTITION BY segment) ELSE 0 END AS share FROM spop),
@@ -329,7 +329,7 @@ seg AS (SELECT customer_key, x.product_key, x.score FROM people JOIN (SELECT DIS
 {top('seg x', 2 * N, 's', f'WHERE {SEEN}')}, {content_scores('inter')}, {top('scores x', 2 * N, 'c', f'WHERE {SEEN}')},
 mixed AS (SELECT customer_key, product_key, score, 0.4 AS w, 'd' AS part FROM d UNION ALL SELECT customer_key, product_key, score, 0.4, 's' FROM s UNION ALL SELECT customer_key, product_key, score, 0.2, 'c' FROM c),
 scaled AS (SELECT *, max(score) OVER (PARTITION BY customer_key, part) AS most FROM mixed),
-total AS (SELECT customer_key, product_key, sum(CASE WHEN most > 0 THEN score / most * w ELSE 0 END) AS score FROM scaled GROUP BY 1, 2)"""
+total AS MATERIALIZED (SELECT customer_key, product_key, sum(CASE WHEN most > 0 THEN score / most * w ELSE 0 END) AS score FROM scaled GROUP BY 1, 2)"""
 
 
 def marginal(source: str, n: int, weight: float = 0.3) -> str:
@@ -338,13 +338,13 @@ def marginal(source: str, n: int, weight: float = 0.3) -> str:
     same = "(CAST(coalesce(x.t = y.t, false) AS INT) + CAST(coalesce(x.b = y.b, false) AS INT))"
     alike = f"{same} / (4.0 - {same})::DOUBLE"
     steps = [
-        f"facts AS (SELECT x.*, p_type AS t, p_brand AS b, count(*) OVER (PARTITION BY customer_key) AS size FROM {source} x LEFT JOIN part ON p_partkey = product_key)",
-        f"left{first} AS (SELECT x.*, coalesce(max({alike}), 0) AS m FROM facts x LEFT JOIN facts y ON y.customer_key = x.customer_key AND y.rank <= {first} WHERE x.rank > {first} AND x.size > {n} GROUP BY ALL)",
+        f"facts AS MATERIALIZED (SELECT x.*, p_type AS t, p_brand AS b, count(*) OVER (PARTITION BY customer_key) AS size FROM {source} x LEFT JOIN part ON p_partkey = product_key)",
+        f"left{first} AS MATERIALIZED (SELECT x.*, coalesce(max({alike}), 0) AS m FROM facts x LEFT JOIN facts y ON y.customer_key = x.customer_key AND y.rank <= {first} WHERE x.rank > {first} AND x.size > {n} GROUP BY ALL)",
     ]
     for k in range(first + 1, n + 1):
         best = "row_number() OVER (PARTITION BY customer_key ORDER BY round(0.5::DOUBLE * score - 0.5::DOUBLE * m, 9) DESC, rank)"
-        steps.append(f"next{k} AS (SELECT * FROM (SELECT *, {best} AS pick FROM left{k - 1}) WHERE pick = 1)")
-        steps.append(f"left{k} AS (SELECT x.* REPLACE (greatest(x.m, {alike}) AS m) FROM left{k - 1} x JOIN next{k} y USING (customer_key) WHERE x.product_key <> y.product_key)")
+        steps.append(f"next{k} AS MATERIALIZED (SELECT * FROM (SELECT *, {best} AS pick FROM left{k - 1}) WHERE pick = 1)")
+        steps.append(f"left{k} AS MATERIALIZED (SELECT x.* REPLACE (greatest(x.m, {alike}) AS m) FROM left{k - 1} x JOIN next{k} y USING (customer_key) WHERE x.product_key <> y.product_key)")
     parts = [f"SELECT customer_key, rank, product_key, score FROM facts WHERE rank <= CASE WHEN size > {n} THEN {first} ELSE {n} END"]
     parts += [f"SELECT customer_key, {k}, product_key, score FROM next{k}" for k in range(first + 1, n + 1)]
     return ", ".join([*steps, f"varied AS ({' UNION ALL '.join(parts)})"])
