@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from shelfrank.llm import bpe, exact_dedup, langid, media, neighbours, packing, quality, simhash, token_store, urls
+from shelfrank.llm import bpe, exact_dedup, filter_audit, langid, media, neighbours, packing, pieces, quality, simhash, token_store, urls, vector_codes
 
 
 def queries() -> dict:
@@ -18,9 +18,12 @@ def queries() -> dict:
         "op8_url_filter": urls.query,
         "op9_flac_media": media.query,
         "op10_nn_descent": neighbours.query,
+        "op11_filter_audit": filter_audit.query,
+        "op12_pieces": pieces.query,
+        "op13_vector_codes": vector_codes.query,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_filter_audit": filter_audit.ORACLE, "op13_vector_codes": vector_codes.ORACLE}
