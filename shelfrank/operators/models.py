@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from functools import reduce
 
 import numpy as np
@@ -11,14 +10,14 @@ from pyspark.ml.recommendation import ALS
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfrank.functions.scalar import clipped, keyed_hash, norm_or_tiny
-from shelfrank.operators.analytics import interaction_matrix
+from shelfrank.functions.scalar import clipped, keyed_hash
 from shelfrank.operators.features import unit_length
+from shelfrank.operators.neighbourhood import NeighbourhoodRecommender
 from shelfrank.operators.ranking import by_maximum, diversified, fused, fused_by_segment, summed, top_n, unseen
+from shelfrank.operators.recommender import TOP_K, I, R, Recommender, U, seen_counts
 from shelfrank.operators.sampling import numbered
 
-U, I, R = "customer_key", "product_key", "rating"
-TOP_K = 10
+__all__ = ["NeighbourhoodRecommender", "Recommender"]  # and what is defined here
 #: Users or items in a block of dense vectors.
 BLOCK = 2048
 #: Bytes of a matrix of all items, or of features by features, that is sent to tasks; products that a task holds.
@@ -84,69 +83,6 @@ def blocked_top(users: DataFrame, items: DataFrame, n: int, dim: int) -> DataFra
     return blocks(users, U, ["at", "vector", "extra"], "a").crossJoin(blocks(items, I, ["at", "vector"], "b")).mapInPandas(run, schema)
 
 
-class Recommender:
-    """Fitted tables (``tables``) and numbers (``numbers``); subclasses add ``fit``, ``predict`` and ``recommend``."""
-
-    def __init__(self, **options):
-        self.options, self.tables, self.numbers = options, {}, {}
-        self._scratch: list[DataFrame] = []
-
-    def fit(self, interactions: DataFrame) -> Recommender:
-        raise NotImplementedError
-
-    def predict(self, pairs: DataFrame) -> DataFrame:
-        """``pairs`` (customer_key, product_key) with a score."""
-        raise NotImplementedError
-
-    def recommend(self, users: DataFrame, n: int = TOP_K, seen: DataFrame | None = None) -> DataFrame:
-        """The n best items of each of ``users``, without the pairs in ``seen``."""
-        raise NotImplementedError
-
-    def keep(self, name: str, df: DataFrame) -> DataFrame:
-        """Adds a fitted table; it is worked out once, at its first use, and kept in memory and on disk until ``release``."""
-        self.tables[name] = df.persist()
-        return self.tables[name]
-
-    def scratch(self, df: DataFrame) -> DataFrame:
-        """A table that is read more than once and kept until ``release``, but isn't part of the model."""
-        self._scratch.append(df.persist())
-        return df
-
-    def release(self) -> None:
-        for df in [*self.tables.values(), *self._scratch]:
-            df.unpersist()
-        self._scratch = []
-
-    def save(self, path: str) -> None:
-        """Each table as Parquet, options and numbers as one JSON row."""
-        spark = SparkSession.active()
-        for name, df in self.tables.items():
-            df.write.mode("overwrite").parquet(f"{path}/tables/{name}")
-        meta = json.dumps({"kind": type(self).__name__, "options": self.options, "numbers": self.numbers, "tables": sorted(self.tables)})
-        spark.createDataFrame([(meta,)], "meta string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
-
-    @staticmethod
-    def load(spark: SparkSession, path: str) -> Recommender:
-        meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
-        out = KINDS[meta["kind"]](**meta["options"])
-        out.numbers = meta["numbers"]
-        out.tables = {t: spark.read.parquet(f"{path}/tables/{t}") for t in meta["tables"]}
-        out.loaded(spark, path)
-        return out
-
-    def loaded(self, spark: SparkSession, path: str) -> None:
-        """What a model with parts reads beside its own tables."""
-
-
-def _seen_counts(users: DataFrame, seen: DataFrame | None) -> DataFrame:
-    """``users`` with ``extra``: how many items each has seen."""
-    ids = users.select(U).distinct()
-    if seen is None:
-        return ids.withColumn("extra", F.lit(0).cast("long"))
-    counts = seen.groupBy(U).agg(F.count_distinct(I).alias("extra"))
-    return ids.join(counts, U, "left").withColumn("extra", F.coalesce("extra", F.lit(0)))
-
-
 class RandomRecommender(Recommender):
     """Items without replacement and uniform scores, by hash of user, item and seed."""
 
@@ -169,7 +105,7 @@ class RandomRecommender(Recommender):
         prime = next(p for p in range(max(count, 2), 2 * max(count, 2) + 1) if all(p % d for d in range(2, int(p**0.5) + 1)))
         seed = self.options.get("seed", 42)
         steps = F.least(F.col("extra") + n + (prime - count), F.lit(prime))
-        walk = _seen_counts(users, seen).select(U, F.explode(F.sequence(F.lit(0).cast("long"), steps - 1)).alias("step"))
+        walk = seen_counts(users, seen).select(U, F.explode(F.sequence(F.lit(0).cast("long"), steps - 1)).alias("step"))
         start, stride = keyed_hash([F.col(U)], seed) % prime, 1 + keyed_hash([F.col(U)], seed + 1) % (prime - 1)
         at = walk.withColumn("position", F.pmod(start + F.col("step") * stride, F.lit(prime)))
         drawn = unseen(at.join(self.tables["items"], "position"), seen)
@@ -190,7 +126,7 @@ class PopularityRecommender(Recommender):
 
     def recommend(self, users: DataFrame, n: int = TOP_K, seen: DataFrame | None = None) -> DataFrame:
         """A user's candidates are the first n plus as many as it has seen, so rows grow with interactions, not with users times items."""
-        wanted = _seen_counts(users, seen)
+        wanted = seen_counts(users, seen)
         most = wanted.agg(F.max("extra")).first()[0] or 0
         head = self.tables["popularity"].orderBy(F.desc(F.round("score", 9)), I).limit(n + most)
         head = head.withColumn("place", F.row_number().over(Window.orderBy(F.desc(F.round("score", 9)), I)))
@@ -204,129 +140,6 @@ def segment_popularity(interactions: DataFrame, segment_of: DataFrame, rated: bo
     return placed.groupBy("segment", I).agg((F.sum(R) if rated else F.count("*").cast("double")).alias("score"))
 
 
-def _both_ways(sims: DataFrame) -> DataFrame:
-    return sims.select(F.explode(F.array(F.struct("a", "b", "sim"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))).alias("s")).select("s.*")
-
-
-class NeighbourhoodRecommender(Recommender):
-    """k nearest users or items by cosine, Pearson or Jaccard similarity of the mean-rating matrix.
-
-    Users are centred on their mean over all items, absent cells counting as zero; for them cosine and Pearson agree.
-    Similarities are worked out from sums over co-rated cells: Σab − N·μa·μb over the product of norms.
-    Work grows with the raters of each predicted item (users) or with the history of each user (items); for whole
-    catalogues the item-based form scales better.
-    """
-
-    def _option(self, name: str):
-        return self.options.get(name, {"user_based": True, "k": 30, "min_k": 1, "similarity": "cosine"}[name])
-
-    def fit(self, interactions: DataFrame) -> NeighbourhoodRecommender:
-        self.keep("cells", interaction_matrix(interactions).where(F.col("value") != 0))
-        row = interactions.agg(F.count_distinct(I).alias("items"), F.count_distinct(U).alias("users")).first()
-        self.numbers = {"items": row["items"], "users": row["users"]}
-        return self
-
-    def _stats(self, key: str, centre: bool) -> DataFrame:
-        """(id, mean, norm) of each row of the matrix; the mean is zero where rows aren't centred."""
-        n = float(self.numbers["items"] if key == U else self.numbers["users"])
-        sums = self.tables["cells"].groupBy(key).agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"))
-        mean = F.col("s") / n if centre else F.lit(0.0)
-        return sums.select(F.col(key).alias("id"), mean.alias("mean"), F.sqrt(F.greatest(F.col("q") - n * mean * mean, F.lit(0.0))).alias("norm"))
-
-    def similarities(self, wanted: DataFrame | None = None) -> DataFrame:
-        """(a, b, sim) of the ``wanted`` pairs (a, b), in both orders, or of all pairs that share a rated cell.
-
-        Few wanted pairs are joined to their cells; many are picked from all pairs that share one, which are then fewer rows.
-        """
-        users = self._option("user_based")
-        key, other = (U, I) if users else (I, U)
-        kind = self._option("similarity")
-        cells = self.tables["cells"]
-        if kind == "jaccard":
-            if users:  # cells above the user's mean, as the centred matrix is positive there
-                stats = self._stats(U, True).select(F.col("id").alias(U), "mean")
-                cells = cells.join(stats, U).where(F.col("value") > F.col("mean"))
-            cells = cells.select(U, I, F.lit(1.0).alias("value"))
-        left = cells.select(F.col(key).alias("a"), F.col(other).alias("o"), F.col("value").alias("x"))
-        right = cells.select(F.col(key).alias("b"), F.col(other).alias("o"), F.col("value").alias("y"))
-        # similarity is symmetric: each pair is worked out once, with a < b
-        ordered = None
-        if wanted is not None:
-            ordered = self.scratch(wanted.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        if ordered is None or self._pairs_by_cell(other) < ordered.count() * self._mean_cells(key):
-            both = left.join(right, "o").where("a < b")
-        else:
-            both = ordered.join(left, "a").join(right, ["b", "o"])
-        dots = both.groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
-        if ordered is not None:
-            dots = ordered.join(dots, ["a", "b"], "left").select("a", "b", F.coalesce("dot", F.lit(0.0)).alias("dot"))
-        if kind == "jaccard":
-            sizes = cells.groupBy(F.col(key).alias("id")).agg(F.count("*").cast("double").alias("n"))
-            placed = dots.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
-            return _both_ways(placed.select("a", "b", (F.col("dot") / (F.col("na") + F.col("nb") - F.col("dot"))).alias("sim")))
-        centre = users or kind == "pearson"
-        n = float(self.numbers["items"] if users else self.numbers["users"])
-        stats = self._stats(key, centre)
-        placed = dots.join(stats.select(F.col("id").alias("a"), F.col("mean").alias("ma"), F.col("norm").alias("na")), "a")
-        placed = placed.join(stats.select(F.col("id").alias("b"), F.col("mean").alias("mb"), F.col("norm").alias("nb")), "b")
-        sim = (F.col("dot") - n * F.col("ma") * F.col("mb")) / (norm_or_tiny(F.col("na")) * norm_or_tiny(F.col("nb")))
-        return _both_ways(placed.select("a", "b", sim.alias("sim")))
-
-    def _pairs_by_cell(self, other: str) -> float:
-        """Pairs that share a cell, once for each cell they share."""
-        counts = self.tables["cells"].groupBy(other).agg(F.count("*").cast("double").alias("c"))
-        return counts.agg(F.sum(F.col("c") * (F.col("c") - 1) / 2)).first()[0] or 0.0
-
-    def _mean_cells(self, key: str) -> float:
-        row = self.tables["cells"].agg(F.count("*").alias("n"), F.count_distinct(key).alias("k")).first()
-        return row["n"] / max(row["k"], 1)
-
-    def predict(self, pairs: DataFrame) -> DataFrame:
-        """A rating that is known; else the weighted mean of the k nearest.
-
-        User-based: the user's mean plus the mean deviation of the item's k nearest raters, within 1..5; the user's mean
-        where there are under ``min_k`` of them or their similarities sum to zero. Item-based: the mean rating of the k
-        nearest of the user's items, within 1..5, or 0. A user without ratings gets 0.
-        """
-        users = self._option("user_based")
-        pairs = pairs.select(U, I).distinct()
-        cells = self.tables["cells"]
-        if users:
-            met = pairs.join(cells.select(F.col(U).alias("other"), I, F.col("value").alias("r")), I)
-            ends = [F.col(U).alias("a"), F.col("other").alias("b")]
-        else:
-            met = pairs.join(cells.select(U, F.col(I).alias("other"), F.col("value").alias("r")), U)
-            ends = [F.col(I).alias("a"), F.col("other").alias("b")]
-        met = met.where(F.col("other") != F.col(U if users else I))
-        sims = self.similarities(met.select(*ends))
-        near = met.join(sims.select(F.col("a").alias(U if users else I), F.col("b").alias("other"), "sim"), [U if users else I, "other"])
-        rank = F.row_number().over(Window.partitionBy(U, I).orderBy(F.desc(F.round("sim", 9)), "other"))
-        near = near.withColumn("n", rank).where(F.col("n") <= self._option("k"))
-        means = self._stats(U, True).select(F.col("id").alias(U), F.col("mean").alias("user_mean"))
-        if users:
-            others = self._stats(U, True).select(F.col("id").alias("other"), F.col("mean").alias("other_mean"))
-            near = near.join(others, "other").withColumn("r", F.col("r") - F.col("other_mean"))
-        pooled = near.groupBy(U, I).agg(F.count("*").alias("n"), F.sum("sim").alias("weight"), F.sum(F.col("sim") * F.col("r")).alias("total"))
-        placed = pairs.join(cells, [U, I], "left").join(pooled, [U, I], "left").join(means, U, "left")
-        enough = (F.col("n") >= self._option("min_k")) & (F.abs("weight") > 1e-12)
-        base = F.col("user_mean") if users else F.lit(0.0)
-        guess = F.when(enough, clipped(base + F.col("total") / F.col("weight"), 1.0, 5.0)).otherwise(base)
-        if not users:  # an item that nobody rated gets the user's mean
-            items = cells.select(I).distinct().withColumn("__known", F.lit(True))
-            placed = placed.join(items, I, "left")
-            guess = F.when(F.col("__known").isNull(), F.col("user_mean")).otherwise(guess)
-        score = F.when(F.col("value") > 0, F.col("value")).otherwise(guess)
-        return placed.select(U, I, F.coalesce(F.when(F.col("user_mean").isNotNull(), score), F.lit(0.0)).alias("score"))
-
-    def recommend(self, users: DataFrame, n: int = TOP_K, seen: DataFrame | None = None) -> DataFrame:
-        """The best of the items that users with an item in common have rated."""
-        ids, cells = users.select(U).distinct(), self.tables["cells"]
-        own = cells.join(ids, U, "left_semi").select(U, I)
-        met = own.join(cells.select(F.col(U).alias("other"), I), I).select(U, "other").distinct()
-        pairs = met.join(cells.select(F.col(U).alias("other"), I), "other").select(U, I).distinct()
-        return top_n(self.predict(unseen(pairs, seen)), n)
-
-
 class ContentRecommender(Recommender):
     """Items like those a user rated: w·S·S, S the cosines of item features without the diagonal, w the shares of ratings.
 
@@ -400,7 +213,7 @@ class ContentRecommender(Recommender):
         unit = self.tables["unit"]
         items, dim = self.tables["cells"], len(self.numbers["features"])
         ids = users.select(U).distinct()
-        asked = self.tables["queries"].join(ids, U, "left_semi").withColumn("at", F.sequence(F.lit(0), F.lit(max(dim - 1, 0)))).join(_seen_counts(users, seen), U)
+        asked = self.tables["queries"].join(ids, U, "left_semi").withColumn("at", F.sequence(F.lit(0), F.lit(max(dim - 1, 0)))).join(seen_counts(users, seen), U)
         own = self.tables["shares"].join(ids, U, "left_semi")
         if seen is None:
             # an item's own share adds to its score, so each user's own items are candidates with it
@@ -462,7 +275,7 @@ class FactorRecommender(Recommender):
 
     def recommend(self, users: DataFrame, n: int = TOP_K, seen: DataFrame | None = None) -> DataFrame:
         """Users who weren't in the training rows get no list."""
-        asked = self.tables["users"].join(_seen_counts(users, seen), U).select(U, F.concat("p", F.array(F.lit(1.0))).alias("vector"), "extra")
+        asked = self.tables["users"].join(seen_counts(users, seen), U).select(U, F.concat("p", F.array(F.lit(1.0))).alias("vector"), "extra")
         items = self.tables["items"].select(I, F.concat("q", F.array("bi")).alias("vector"))
         at = F.sequence(F.lit(0), F.size("vector") - 1)
         dim = self.options.get("n_factors", 50) + 1
@@ -510,16 +323,16 @@ class HybridRecommender(Recommender):
     def recommend_for_segments(self, users: DataFrame, segment_of: DataFrame, segment_weights: dict, n: int = TOP_K, seen: DataFrame | None = None) -> DataFrame:
         return fused_by_segment(self.lists(users, n, seen), segment_of, segment_weights, self.weights, n)
 
-    def save(self, path: str) -> None:
-        """Components go to folders of their own."""
+    def write(self, folder: str) -> None:
+        """Components go to folders of their own, within the same version."""
         for name, model in self.components.items():
-            model.save(f"{path}/components/{name}")
+            model.write(f"{folder}/components/{name}")
         self.numbers = {"weights": self.weights}
-        super().save(path)
+        super().write(folder)
 
-    def loaded(self, spark: SparkSession, path: str) -> None:
+    def loaded(self, spark: SparkSession, folder: str) -> None:
         self.weights = self.numbers["weights"]
-        self.components = {k: Recommender.load(spark, f"{path}/components/{k}") for k in self.weights}
+        self.components = {k: Recommender.read(spark, f"{folder}/components/{k}") for k in self.weights}
 
     @staticmethod
     def restore(spark: SparkSession, path: str) -> HybridRecommender:
@@ -602,17 +415,17 @@ class ColdStartRecommender(Recommender):
         self.by_segment = segment_popularity(interactions, self.segment_of).persist()
         return self
 
-    def save(self, path: str) -> None:
-        """The content and popularity models go to folders of their own."""
-        self.content.save(f"{path}/components/content")
-        self.popular.save(f"{path}/components/popular")
+    def write(self, folder: str) -> None:
+        """The content and popularity models go to folders of their own, within the same version."""
+        self.content.write(f"{folder}/components/content")
+        self.popular.write(f"{folder}/components/popular")
         self.tables = {"interactions": self.interactions, "segment_of": self.segment_of, "by_segment": self.by_segment, "profile_of": self.demographics.profile_of}
-        super().save(path)
+        super().write(folder)
 
-    def loaded(self, spark: SparkSession, path: str) -> None:
+    def loaded(self, spark: SparkSession, folder: str) -> None:
         self.interactions, self.segment_of, self.by_segment = (self.tables[t] for t in ("interactions", "segment_of", "by_segment"))
         self.demographics = Demographics.of_profiles(self.tables["profile_of"])
-        self.content, self.popular = (Recommender.load(spark, f"{path}/components/{k}") for k in ("content", "popular"))
+        self.content, self.popular = (Recommender.read(spark, f"{folder}/components/{k}") for k in ("content", "popular"))
 
     def release(self) -> None:
         super().release()
@@ -641,7 +454,7 @@ class ColdStartRecommender(Recommender):
     def recommend_segment(self, users: DataFrame, n: int, seen: DataFrame | None = None) -> DataFrame:
         """The most popular of the user's segment; the most popular of all without one."""
         placed = users.select(U).distinct().join(self.segment_of, U, "left")
-        wanted = _seen_counts(users, seen).join(self.segment_of, U)
+        wanted = seen_counts(users, seen).join(self.segment_of, U)
         most = wanted.agg(F.max("extra")).first()[0] or 0
         place = F.row_number().over(Window.partitionBy("segment").orderBy(F.desc(F.round("score", 9)), I))
         head = self.by_segment.withColumn("place", place).where(F.col("place") <= n + most)
@@ -668,9 +481,6 @@ class ColdStartRecommender(Recommender):
         return self.content.recommend(ids.join(self._warm(), U, "left_semi"), n, seen).unionByName(cold.where(F.col("rank") <= n))
 
 
-KINDS = {c.__name__: c for c in (RandomRecommender, PopularityRecommender, NeighbourhoodRecommender, ContentRecommender, FactorRecommender, HybridRecommender, ColdStartRecommender)}
-
-
 def all_lists(models: dict[str, Recommender], users: DataFrame, n: int, seen: DataFrame | None = None) -> DataFrame:
     """Every model's lists, with the model's name."""
     parts = [m.recommend(users, n, seen).withColumn("model", F.lit(name)) for name, m in models.items()]

@@ -13,7 +13,7 @@ from shelfrank.operators.ranking import diversified, top_n
 from shelfrank.plans.base import HALVES, INTER, I, U, halves, inter, region_customers, rounded, segments_of, sql_hash
 from shelfrank.sources.catalog import Orders
 
-N, K = 10, 30
+N, K, CLOSE = 10, 30, 0.15
 #: Content features: words of the description, categories, numbers.
 MAX_FEATURES, MIN_DF, MAX_DF = 100, 0.01, 0.95
 SEGMENT_WEIGHTS = {"BUILDING": {"popularity": 0.8, "content": 0.2}, "MACHINERY": {"popularity": 0.1, "content": 0.9}}
@@ -56,8 +56,7 @@ def segment_lists(spark, sf) -> DataFrame:
 def neighbours(user_based: bool, similarity: str = "cosine"):
     """The ten most similar of each user or item among those that share a cell."""
     def run(spark, sf):
-        sims = m.NeighbourhoodRecommender(user_based=user_based, similarity=similarity).fit(inter(spark, sf)).similarities()
-        return rounded(top_n(sims.select("a", F.col("b").alias(I), F.col("sim").alias("score")), N, "a").select("a", "rank", F.col(I).alias("b"), F.col("score").alias("sim")))
+        return rounded(m.NeighbourhoodRecommender(user_based=user_based, similarity=similarity, k=N).fit(inter(spark, sf)).index())
 
     return run
 
@@ -71,6 +70,20 @@ def predicted(user_based: bool):
     return run
 
 
+def neighbour_lists(user_based: bool):
+    """The ten best unseen items of every user, by the index of the k nearest."""
+    def run(spark, sf):
+        df = inter(spark, sf).persist()
+        return rounded(m.NeighbourhoodRecommender(user_based=user_based, k=K).fit(df).recommend(df, N, df))
+
+    return run
+
+
+def close_items(spark, sf) -> DataFrame:
+    """All pairs of items from a cosine on, pruned by bounds before they are summed."""
+    return rounded(m.NeighbourhoodRecommender(user_based=False, min_similarity=CLOSE).fit(inter(spark, sf)).ordered_similarities())
+
+
 def content_similar(spark, sf) -> DataFrame:
     model = content(spark, sf, inter(spark, sf))
     sims = model.item_similarities().select("a", F.col("b").alias(I), F.col("sim").alias("score"))
@@ -174,6 +187,9 @@ QUERIES = {
     "item_jaccard_neighbours": neighbours(False, "jaccard"),
     "knn_user_predict": predicted(True),
     "knn_item_predict": predicted(False),
+    "knn_item_topn": neighbour_lists(False),
+    "knn_user_topn": neighbour_lists(True),
+    "item_neighbours_above": close_items,
     "tfidf": lambda s, d: rounded(f.tf_idf(described(s, d), I, "product_description", MAX_FEATURES, MIN_DF, MAX_DF)),
     "item_features": lambda s, d: rounded(item_features(s, d)),
     "content_similarity": content_similar,
@@ -211,6 +227,9 @@ def popular(rows: str, n: int, seen: bool, name: str = "popular", users: str = "
     return f"pop AS MATERIALIZED (SELECT product_key, sum(rating) AS score FROM {rows} GROUP BY 1), {top(scored, n, name)}"
 
 
+SEEN = "NOT EXISTS (SELECT 1 FROM inter s WHERE s.customer_key = x.customer_key AND s.product_key = x.product_key)"
+
+
 STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 TFIDF = f"""texts AS (SELECT p_partkey AS product_key, coalesce(p_name, '') || ' ' || coalesce(p_type, '') || ' ' || coalesce(p_brand, '') AS t FROM part),
 tf AS (SELECT product_key, feature, count(*) AS tf FROM (SELECT product_key, unnest(regexp_extract_all(lower(t), '\\b\\w\\w+\\b')) AS feature FROM texts) WHERE feature NOT IN ({STOP}) GROUP BY 1, 2),
@@ -286,6 +305,23 @@ SELECT t.customer_key, t.product_key, round(coalesce({guess}, 0), 6) AS score
 FROM test t LEFT JOIN pooled USING (customer_key, product_key) LEFT JOIN umeans USING (customer_key)"""
 
 
+def _neighbour_lists(users: bool) -> str:
+    """Lists by each row's k nearest; a user's own items are seen."""
+    cells = "cells AS MATERIALIZED (SELECT customer_key, product_key, rating AS value FROM inter WHERE rating <> 0)"
+    index = f"near AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(sim, 9) DESC, b) AS r FROM sims) WHERE r <= {K})"
+    if users:
+        means = "umeans AS (SELECT customer_key, sum(value) / (SELECT count(DISTINCT product_key) FROM cells) AS m FROM cells GROUP BY 1)"
+        met = "met AS (SELECT n.a AS customer_key, c.product_key, sim, c.value - x.m AS r FROM near n JOIN cells c ON c.customer_key = n.b JOIN umeans x ON x.customer_key = n.b)"
+        score, join = "greatest(least(m + total / weight, 5), 1)", "JOIN umeans USING (customer_key)"
+    else:
+        means, met = "one AS (SELECT 1)", "met AS (SELECT c.customer_key, n.b AS product_key, sim, c.value AS r FROM cells c JOIN near n ON n.a = c.product_key)"
+        score, join = "greatest(least(total / weight, 5), 1)", ""
+    return f"""WITH {INTER}, {cells}, {means}, {similar(users, 'cosine')}, {index}, {met},
+pooled AS (SELECT customer_key, product_key, count(*) AS n, sum(sim) AS weight, sum(sim * r) AS total FROM met GROUP BY 1, 2),
+scored AS (SELECT customer_key, product_key, {score} AS score FROM pooled x {join} WHERE abs(weight) > 1e-12 AND {SEEN}),
+{top('scored', N)} {lists()}"""
+
+
 PROFILES = """people AS (SELECT c_custkey AS customer_key, r_name AS country, c_mktsegment AS segment FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
 kinds AS (SELECT DISTINCT country, segment FROM people),
 alike AS (SELECT a.country, a.segment, b.country AS country2, b.segment AS segment2, (CAST(a.country = b.country AS INT) + CAST(a.segment = b.segment AS INT)) / sqrt(2.0 * 2.0) AS sim FROM kinds a CROSS JOIN kinds b)"""
@@ -294,7 +330,6 @@ pairs AS (SELECT a.customer_key, b.customer_key AS other, sim, row_number() OVER
  FROM people a JOIN alike USING (country, segment) JOIN people b ON b.country = country2 AND b.segment = segment2 WHERE a.customer_key <> b.customer_key AND a.customer_key IN (SELECT customer_key FROM inter)),
 demo AS (SELECT p.customer_key, i.product_key, sum(sim) AS score FROM pairs p JOIN inter i ON i.customer_key = p.other WHERE r <= 49
  AND NOT EXISTS (SELECT 1 FROM inter s WHERE s.customer_key = p.customer_key AND s.product_key = i.product_key) GROUP BY 1, 2)"""
-SEEN = "NOT EXISTS (SELECT 1 FROM inter s WHERE s.customer_key = x.customer_key AND s.product_key = x.product_key)"
 
 
 def _profile(country: str, segment: str) -> str:
@@ -373,6 +408,10 @@ FROM (SELECT *, CAST(row_number() OVER (PARTITION BY segment ORDER BY round(scor
     "item_jaccard_neighbours": _neighbours(False, "jaccard"),
     "knn_user_predict": _predict(True),
     "knn_item_predict": _predict(False),
+    "knn_item_topn": _neighbour_lists(False),
+    "knn_user_topn": _neighbour_lists(True),
+    "item_neighbours_above": f"""WITH {INTER}, cells AS MATERIALIZED (SELECT customer_key, product_key, rating AS value FROM inter WHERE rating <> 0), {similar(False, 'cosine')}
+SELECT a, b, round(sim, 6) AS sim FROM sims WHERE a < b AND round(sim, 9) >= {CLOSE}""",
     "tfidf": f"WITH {TFIDF} SELECT product_key, feature, round(value, 6) AS value FROM tfidf",
     "item_features": f"WITH {FEATURES} SELECT product_key, feature, round(value, 6) AS value FROM feats",
     "content_similarity": f"""WITH {UNIT}, sims AS (SELECT a.product_key AS a, b.product_key AS b, sum(a.value * b.value) AS sim FROM unit a JOIN unit b USING (feature) WHERE a.product_key <> b.product_key GROUP BY 1, 2 HAVING abs(sum(a.value * b.value)) > 1e-12)

@@ -13,7 +13,8 @@ from shelfrank.operators import analytics as a
 from shelfrank.operators import features as f
 from shelfrank.operators import metrics as e
 from shelfrank.operators import models as m
-from shelfrank.operators import prepare, ranking, results, sampling, splits
+from shelfrank.operators import neighbourhood as nb
+from shelfrank.operators import prepare, ranking, recommender, results, sampling, splits
 from shelfrank.sources.catalog import Catalog
 from shelfrank.sources.config import Config
 
@@ -260,3 +261,121 @@ def test_catalog_from_csv_and_command_line(spark, tmp_path, capsys):
     assert cli.recommend(catalog, config, "content", 1, 3).count() == 3
     took = spark.createDataFrame([("popularity", "training_time", 1.0)], "model string, metric string, value double")
     assert "Best models" in results.report(found, took, ["ndcg@10", "mrr"])
+
+
+@pytest.mark.parametrize("users", [True, False])
+@pytest.mark.parametrize("kind", ["cosine", "pearson", "jaccard"])
+def test_similarities_equal_dense(spark, monkeypatch, users, kind):
+    """All pairs that share a cell, with heavy keys on a grid, with a floor, and the index of the nearest."""
+    monkeypatch.setattr(nb, "KEY_BLOCK", 3)
+    rows = some_ratings(14, 11, 5)
+    x = dense(rows, 14, 11)
+    x = x if users else x.T
+    shared = (x > 0).astype(float) @ (x > 0).T > 0
+    if users or kind == "pearson":
+        c = x - x.mean(1, keepdims=True)
+    else:
+        c = x
+    if kind == "jaccard":
+        b = (c > 0).astype(float)
+        both = b @ b.T
+        sim, shared = both / np.maximum(b.sum(1)[:, None] + b.sum(1)[None] - both, 1e-300), both > 0
+    else:
+        unit = c / np.linalg.norm(c, axis=1, keepdims=True)
+        sim = unit @ unit.T
+    want = {(a, b): sim[a, b] for a in range(len(x)) for b in range(len(x)) if a < b and shared[a, b]}
+    model = m.NeighbourhoodRecommender(user_based=users, similarity=kind, k=3).fit(ratings(spark, rows))
+    got = {(r["a"], r["b"]): r["sim"] for r in model.ordered_similarities().collect()}
+    assert got == {k: pytest.approx(v, abs=1e-9) for k, v in want.items()}
+    near = {}
+    for r in model.index().collect():
+        near.setdefault(r["a"], []).append((r["rank"], r["b"]))
+    ways = want | {(b, a): v for (a, b), v in want.items()}
+    assert {a: [b for _, b in sorted(v)] for a, v in near.items()} == {a: [b for _, b in sorted((-round(v, 9), b) for (p, b), v in ways.items() if p == a)[:3]] for a in {p for p, _ in ways}}
+    floor = float(np.median(list(want.values())))
+    least = m.NeighbourhoodRecommender(user_based=users, similarity=kind, min_similarity=floor).fit(ratings(spark, rows))
+    assert {(r["a"], r["b"]) for r in least.ordered_similarities().collect()} == {k for k, v in want.items() if round(v, 9) >= floor}
+
+
+def test_bounds_hold(spark):
+    """No pair that is left out by its bound could have reached the floor."""
+    rows = some_ratings(20, 15, 8) + [(99, i, 5.0) for i in range(15)] + [(u, 99, 1.0) for u in range(20)]
+    for users in (True, False):
+        model = m.NeighbourhoodRecommender(user_based=users, min_similarity=0.3).fit(ratings(spark, rows))
+        bounds = nb.shared_pairs(model._vectors()).select("a", "b", model._bound().alias("most")).distinct()
+        sims = m.NeighbourhoodRecommender(user_based=users).fit(ratings(spark, rows)).ordered_similarities()
+        assert sims.join(bounds, ["a", "b"]).where("most < sim").count() == 0 < bounds.where("most < 1").count()
+
+
+def test_heavy_keys_are_spread(spark):
+    """A user with a third of the catalogue: its pairs go to many places, none with over four times the median."""
+    light = spark.range(3000).select(F.col("id").alias("o"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(19)), lambda k: F.pmod(F.xxhash64("id", k), F.lit(2400)))).alias("id"), F.lit(1.0).alias("z"))
+    rows = light.distinct().unionByName(spark.range(800).select(F.lit(-1).cast("long").alias("o"), F.col("id"), F.lit(1.0).alias("z")))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    for k, v in zip(old, ("12", "false", "-1"), strict=True):
+        spark.conf.set(k, v)
+    try:
+        place = lambda df: sorted(r["count"] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect())
+        spread, whole = place(nb.shared_pairs(rows, 40)), place(nb.shared_pairs(rows, 10**9, False))
+        assert sum(spread) == sum(whole) and spread[-1] <= 4 * spread[len(spread) // 2] and whole[-1] > 4 * whole[len(whole) // 2]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("users", [True, False])
+def test_lists_by_index_equal_dense(spark, users):
+    rows = some_ratings(15, 12, 6)
+    x, k = dense(rows, 15, 12), 4
+    mean = x.sum(1) / 12
+    c = x - mean[:, None] if users else x.T
+    unit = c / np.linalg.norm(c, axis=1, keepdims=True)
+    sim, shared = unit @ unit.T, ((x > 0) @ (x > 0).T if users else (x > 0).T @ (x > 0))
+    near = {a: sorted((b for b in range(len(sim)) if b != a and shared[a, b]), key=lambda b, a=a: (-round(sim[a, b], 9), b))[:k] for a in range(len(sim))}
+    want = {}
+    for u in range(15):
+        met = {}
+        if users:
+            for v in near[u]:
+                for i in np.flatnonzero(x[v]):
+                    met.setdefault(int(i), []).append((sim[u, v], x[v, i] - mean[v]))
+        else:
+            for h in np.flatnonzero(x[u]):
+                for i in near[int(h)]:
+                    met.setdefault(i, []).append((sim[h, i], x[u, h]))
+        for i, parts in met.items():
+            if abs(weight := sum(s for s, _ in parts)) > 1e-12 and x[u, i] == 0:
+                want[u, i] = min(5, max(1, (mean[u] if users else 0) + sum(s * r for s, r in parts) / weight))
+    df = ratings(spark, rows)
+    model = m.NeighbourhoodRecommender(user_based=users, k=k).fit(df)
+    got = {(r[U], r[I]): r["score"] for r in model.recommend(df, 12, df).collect()}
+    assert got == {key: pytest.approx(v, abs=1e-9) for key, v in want.items()}
+    everything = {(r[U], r[I]): r["score"] for r in model.recommend(df, 12).collect()}
+    assert all(everything[u, i] == r for u, i, r in rows) and len(everything) == len(want) + len(rows)
+    strangers = spark.createDataFrame([(777,)], f"{U} long")
+    assert model.recommend(strangers, 3).count() == 0
+
+
+def test_models_are_saved_whole(spark, tmp_path, monkeypatch):
+    """A save that stops half-way leaves the version before; old versions go."""
+    path = str(tmp_path / "m")
+    with pytest.raises(FileNotFoundError):
+        m.Recommender.load(spark, path)
+    first, second = ratings(spark, [(1, 1, 4.0), (2, 1, 3.0)]), ratings(spark, [(1, 2, 5.0)])
+    m.PopularityRecommender().fit(first).save(path)
+    stop = lambda *a: (_ for _ in ()).throw(RuntimeError("stopped"))
+    hybrid = m.HybridRecommender(weights={"a": 1, "b": 1}).add("a", m.PopularityRecommender().fit(second)).add("b", m.PopularityRecommender().fit(second))
+    monkeypatch.setattr(hybrid.components["b"], "write", stop)
+    with pytest.raises(RuntimeError):
+        hybrid.save(path)
+    assert len(recommender.versions(spark, path, False)) == 2
+    back = m.Recommender.load(spark, path)
+    assert isinstance(back, m.PopularityRecommender) and [r["score"] for r in back.tables["popularity"].collect()] == [7.0]
+    for _ in range(3):
+        m.PopularityRecommender().fit(second).save(path)
+    assert len(recommender.versions(spark, path, False)) == 2
+    assert [tuple(r) for r in m.Recommender.load(spark, path).tables["popularity"].collect()] == [(2, 5.0)]
+    index = m.NeighbourhoodRecommender(user_based=False, k=2).fit(df := ratings(spark, some_ratings()))
+    want = sorted(map(tuple, index.recommend(df, 3, df).collect()))
+    index.save(path)
+    assert sorted(map(tuple, m.Recommender.load(spark, path).recommend(df, 3, df).collect())) == want
