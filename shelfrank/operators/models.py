@@ -2,85 +2,27 @@
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.recommendation import ALS
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfrank.functions.scalar import clipped, keyed_hash
+from shelfrank.functions.scalar import keyed_hash
+from shelfrank.operators.demographics import Demographics
+from shelfrank.operators.factors import FactorRecommender, SgdFactorRecommender
 from shelfrank.operators.features import unit_length
 from shelfrank.operators.neighbourhood import NeighbourhoodRecommender
+from shelfrank.operators.products import blocked_top, dense, dense_places
 from shelfrank.operators.ranking import by_maximum, diversified, fused, fused_by_segment, summed, top_n, unseen
 from shelfrank.operators.recommender import TOP_K, I, R, Recommender, U, seen_counts
-from shelfrank.operators.sampling import numbered
+from shelfrank.operators.sampling import numbered, ranked
 
-__all__ = ["NeighbourhoodRecommender", "Recommender"]  # and what is defined here
-#: Users or items in a block of dense vectors.
-BLOCK = 2048
-#: Bytes of a matrix of all items, or of features by features, that is sent to tasks; products that a task holds.
-BROADCAST_BYTES, PRODUCTS = 1 << 28, 1 << 23
-
-
-def _dense(at, values, dim: int) -> np.ndarray:
-    """A row for each list of places and values."""
-    out = np.zeros((len(at), dim))
-    rows = np.repeat(np.arange(len(at)), [len(x) for x in at])
-    if len(rows):
-        out[rows, np.concatenate(list(at)).astype(np.int64)] = np.concatenate(list(values))
-    return out
-
-
-def _best_of(keys, extras, products: np.ndarray, ids: np.ndarray, n: int) -> pd.DataFrame:
-    """n + extra items of each user; ties at the cut all go on, the final ranking settles them."""
-    user, item, score = [], [], []
-    for u, extra, scores in zip(keys, extras, products, strict=True):
-        k = n + int(extra)
-        best = np.flatnonzero(scores >= np.partition(scores, len(ids) - k)[len(ids) - k] - 1e-9) if k < len(ids) else np.arange(len(ids))
-        user.append(np.full(len(best), u)), item.append(ids[best]), score.append(scores[best])
-    return pd.DataFrame({U: np.concatenate(user), I: np.concatenate(item), "score": np.concatenate(score)})
-
-
-def blocked_top(users: DataFrame, items: DataFrame, n: int, dim: int) -> DataFrame:
-    """(customer_key, product_key, score): the largest inner products of each user with all items, n + extra for each.
-
-    ``users`` has (customer_key, at array<int>, vector array<double>, extra), ``items`` (product_key, at, vector): places
-    and values of vectors of length ``dim``. A catalogue whose dense matrix has up to ``BROADCAST_BYTES`` is sent to the
-    tasks once, and the users pass by it where they are. A larger one is dealt into blocks, as are the users then, and
-    every pair of blocks is one matrix product.
-    """
-    kept = F.col("vector").isNotNull()
-    users, items = users.where(kept).select(U, "at", "vector", "extra"), items.where(kept).select(I, "at", "vector")
-    schema = f"{U} long, {I} long, score double"
-    if items.count() * dim * 8 <= BROADCAST_BYTES:
-        found = items.toPandas()
-        ids = found[I].to_numpy()
-        sent = users.sparkSession.sparkContext.broadcast((ids, _dense(found["at"], found["vector"], dim)))
-
-        def past(frames):
-            ids, matrix = sent.value
-            step = max(1, PRODUCTS // max(len(ids), 1))
-            for frame in frames:
-                for i in range(0, len(frame) if len(ids) else 0, step):
-                    part = frame.iloc[i : i + step]
-                    yield _best_of(part[U], part["extra"], _dense(part["at"], part["vector"], dim) @ matrix.T, ids, n)
-
-        return users.mapInPandas(past, schema)
-
-    def blocks(df: DataFrame, key: str, rest: list[str], name: str) -> DataFrame:
-        count = df.agg(F.count("*").alias("__n"))
-        dealt = df.join(F.broadcast(count)).withColumn(name, F.pmod(F.xxhash64(key), F.ceil(F.col("__n") / BLOCK)))
-        return dealt.groupBy(name).agg(*[F.collect_list(c).alias(f"{name}_{c}") for c in [key, *rest]])
-
-    def run(frames):
-        for frame in frames:
-            for row in frame.itertuples(index=False):
-                products = _dense(row.a_at, row.a_vector, dim) @ _dense(row.b_at, row.b_vector, dim).T
-                yield _best_of(getattr(row, f"a_{U}"), row.a_extra, products, np.asarray(getattr(row, f"b_{I}")), n)
-
-    return blocks(users, U, ["at", "vector", "extra"], "a").crossJoin(blocks(items, I, ["at", "vector"], "b")).mapInPandas(run, schema)
+__all__ = ["Demographics", "FactorRecommender", "NeighbourhoodRecommender", "Recommender", "SgdFactorRecommender"]  # and what is defined here
+#: Bytes of a matrix of features by features that is sent to tasks.
+GRAM_BYTES = 1 << 28
 
 
 class RandomRecommender(Recommender):
@@ -128,8 +70,8 @@ class PopularityRecommender(Recommender):
         """A user's candidates are the first n plus as many as it has seen, so rows grow with interactions, not with users times items."""
         wanted = seen_counts(users, seen)
         most = wanted.agg(F.max("extra")).first()[0] or 0
-        head = self.tables["popularity"].orderBy(F.desc(F.round("score", 9)), I).limit(n + most)
-        head = head.withColumn("place", F.row_number().over(Window.orderBy(F.desc(F.round("score", 9)), I)))
+        places = self.scratch(self.tables["popularity"].select(I, "score", F.round("score", 9).alias("by")))
+        head = ranked(places, [F.desc("by"), F.asc(I)], "place", self.scratch).where(F.col("place") <= n + most).drop("by")
         walk = wanted.select(U, F.explode(F.sequence(F.lit(1), (F.col("extra") + n).cast("int"))).alias("place"))
         return top_n(unseen(walk.join(head, "place"), seen), n)
 
@@ -141,55 +83,78 @@ def segment_popularity(interactions: DataFrame, segment_of: DataFrame, rated: bo
 
 
 class ContentRecommender(Recommender):
-    """Items like those a user rated: w·S·S, S the cosines of item features without the diagonal, w the shares of ratings.
+    """Items like those a user rated: w·S·S, S the likeness of item features without its diagonal, w the shares of ratings.
 
-    With unit features f and G = Σ f fᵀ, the score of an item is p·(G − 2I)·f plus its own share w, where p = Σ w f: the
-    matrix of items by items is never built. G has the size of the features, which the vocabulary bounds.
+    ``similarity`` is ``cosine`` (features of unit length f) or ``linear`` (features f as they are); another name counts as
+    cosine, with a warning. With G = Σ f fᵀ, D = |f|², p = Σ w f and e = Σ w D f, the score of an item is
+    (p·G − e)·f − D (p·f) + w D²: the matrix of items by items is never built. For unit vectors D is 1 and that is
+    p·(G − 2I)·f + w; else users have the vector (p·G − e, p) and items (f, −D f), of twice the length. G has the size of
+    the features, which the vocabulary bounds.
     """
 
+    #: What marks the second half of the places of the linear kernel.
+    SECOND = "|"
+
+    def _linear(self) -> bool:
+        kind = self.options.get("similarity", "cosine")
+        if kind not in ("cosine", "linear"):
+            warnings.warn(f"similarity {kind!r} isn't known; cosine is used", stacklevel=3)
+        return kind == "linear"
+
     def fit(self, interactions: DataFrame, features: DataFrame | None = None) -> ContentRecommender:
         """``features`` has (product_key, feature, value)."""
-        features = features.persist()
-        unit = self.keep("unit", unit_length(features))
+        linear = self._linear()
+        features = self.scratch(features)
+        unit = self.keep("unit", features.select(I, "feature", "value").where(F.col("value") != 0) if linear else unit_length(features))
         catalogue = self.keep("catalogue", features.select(I).distinct())
+        sizes = unit.groupBy(I).agg(F.sum(F.col("value") * F.col("value")).alias("d"))
         pairs = interactions.groupBy(U, I).agg(F.sum(R).alias("r")).join(catalogue, I, "left_semi")
         totals = pairs.groupBy(U).agg(F.sum("r").alias("t"))
         shares = pairs.join(totals, U).select(U, I, F.when(F.col("t") > 0, F.col("r") / F.col("t")).otherwise(F.col("r")).alias("w"))
+        if linear:
+            shares = shares.join(sizes, I, "left").select(U, I, "w", (F.col("w") * F.coalesce("d", F.lit(0.0)) * F.coalesce("d", F.lit(0.0))).alias("own"))
+        else:
+            shares = shares.withColumn("own", F.col("w"))
         shares = self.keep("shares", shares)
-        p = shares.join(unit, I).groupBy(U, "feature").agg(F.sum(F.col("w") * F.col("value")).alias("value"))
         self.numbers["items"] = catalogue.count()
         names = sorted(r[0] for r in unit.select("feature").distinct().collect())  # the vocabulary, which max_features bounds
+        gram = self._gram(unit, names)
+        weighed = shares.join(unit, I)
+        p = weighed.groupBy(U, "feature").agg(F.sum(F.col("w") * F.col("value")).alias("value"))
+        cells = unit
+        if linear:
+            second = F.concat(F.lit(self.SECOND), "feature").alias("feature")
+            sized = unit.join(sizes, I)
+            e = shares.join(sized, I).groupBy(U, second).agg(F.sum(F.col("w") * F.col("d") * F.col("value")).alias("value"))
+            p, cells = p.unionByName(e), unit.unionByName(sized.select(I, second, (-F.col("d") * F.col("value")).alias("value")))
+            one = np.eye(len(names))
+            gram = np.block([[gram, one], [-one, np.zeros_like(one)]])
+            names = names + [self.SECOND + name for name in names]
+        else:
+            gram -= 2 * np.eye(len(names))
         self.numbers["features"] = names
-        self.keep("cells", self._cells(unit, I))
-        self.keep("queries", self._turned(self._cells(p, U), self._gram(unit)))
+        self.keep("cells", dense_places(cells, I, names))
+        self.keep("queries", self._turned(dense_places(p, U, names), gram))
         return self
 
-    def _cells(self, long: DataFrame, key: str) -> DataFrame:
-        """(key, at, vector): places and values of each row's features."""
-        names = self.numbers["features"]
-        places = long.sparkSession.createDataFrame([(f, i) for i, f in enumerate(names)], "feature string, place int")
-        placed = long.join(F.broadcast(places), "feature").groupBy(key).agg(F.collect_list(F.struct("place", "value")).alias("c"))
-        return placed.select(key, F.col("c.place").alias("at"), F.col("c.value").alias("vector"))
-
-    def _gram(self, unit: DataFrame) -> np.ndarray:
-        """G − 2I, from the items' features; it has the size of the vocabulary squared, which is checked."""
-        names = self.numbers["features"]
-        if len(names) ** 2 * 8 > BROADCAST_BYTES:
+    def _gram(self, unit: DataFrame, names: list[str]) -> np.ndarray:
+        """G, from the items' features; it has the size of the vocabulary squared, which is checked."""
+        if len(names) ** 2 * 8 > GRAM_BYTES:
             raise ValueError(f"{len(names)} features; give a smaller max_features")
         other = unit.select(I, F.col("feature").alias("g"), F.col("value").alias("y"))
         found = unit.join(other, I).groupBy("feature", "g").agg(F.sum(F.col("value") * F.col("y")).alias("m")).toPandas()
         at = {f: i for i, f in enumerate(names)}
-        out = -2 * np.eye(len(names))
-        out[found["feature"].map(at).to_numpy(int), found["g"].map(at).to_numpy(int)] += found["m"].to_numpy(float)
+        out = np.zeros((len(names), len(names)))
+        out[found["feature"].map(at).to_numpy(int), found["g"].map(at).to_numpy(int)] = found["m"].to_numpy(float)
         return out
 
     def _turned(self, profiles: DataFrame, gram: np.ndarray) -> DataFrame:
-        """(customer_key, vector): q = p·(G − 2I) of each user, all places of it."""
+        """(customer_key, vector): each user's places times the matrix, all places of it."""
         dim, sent = len(gram), profiles.sparkSession.sparkContext.broadcast(gram)
 
         def run(frames):
             for frame in frames:
-                yield pd.DataFrame({U: frame[U], "vector": list(_dense(frame["at"], frame["vector"], dim) @ sent.value)})
+                yield pd.DataFrame({U: frame[U], "vector": list(dense(frame["at"], frame["vector"], dim) @ sent.value)})
 
         return profiles.mapInPandas(run, f"{U} long, vector array<double>")
 
@@ -205,7 +170,7 @@ class ContentRecommender(Recommender):
         pairs = pairs.select(U, I).distinct()
         known = pairs.join(self.tables["catalogue"], I, "left_semi").join(self.tables["shares"].select(U).distinct(), U, "left_semi").withColumn("k", F.lit(True))
         placed = pairs.join(self._raw(pairs), [U, I], "left").join(self.tables["shares"], [U, I], "left").join(known, [U, I], "left")
-        s = F.coalesce("s", F.lit(0.0)) + F.coalesce("w", F.lit(0.0))
+        s = F.coalesce("s", F.lit(0.0)) + F.coalesce("own", F.lit(0.0))
         return placed.select(U, I, F.when(F.col("k"), F.least(F.lit(5.0), 1 + 4 * F.greatest(s, F.lit(0.0)))).otherwise(0.0).alias("score"))
 
     def recommend(self, users: DataFrame, n: int = TOP_K, seen: DataFrame | None = None) -> DataFrame:
@@ -218,16 +183,16 @@ class ContentRecommender(Recommender):
         if seen is None:
             # an item's own share adds to its score, so each user's own items are candidates with it
             found = unseen(blocked_top(asked.withColumn("extra", F.lit(0)), items, n, dim), None)
-            scored = own.join(self._raw(own), [U, I], "left").select(U, I, (F.col("w") + F.coalesce("s", F.lit(0.0))).alias("score"))
+            scored = own.join(self._raw(own), [U, I], "left").select(U, I, (F.col("own") + F.coalesce("s", F.lit(0.0))).alias("score"))
             best = top_n(unseen(found, own).unionByName(scored), n)
         else:
             left = own.join(seen.select(U, I).distinct(), [U, I], "left_anti")
-            scored = left.join(self._raw(left), [U, I], "left").select(U, I, (F.col("w") + F.coalesce("s", F.lit(0.0))).alias("score"))
+            scored = left.join(self._raw(left), [U, I], "left").select(U, I, (F.col("own") + F.coalesce("s", F.lit(0.0))).alias("score"))
             found = unseen(blocked_top(asked, items, n, dim), seen)
             best = top_n(unseen(found, left).unionByName(scored), n)
         strangers = ids.join(self.tables["shares"].select(U).distinct(), U, "left_anti")
         total = unit.groupBy("feature").agg(F.sum("value").alias("t"))
-        mean = unit.join(total, "feature").groupBy(I).agg(((F.sum(F.col("value") * F.col("t")) - 1) / float(self.numbers["items"])).alias("score"))
+        mean = unit.join(total, "feature").groupBy(I).agg((F.sum(F.col("value") * (F.col("t") - F.col("value"))) / float(self.numbers["items"])).alias("score"))
         head = mean.orderBy(F.desc(F.round("score", 9)), I).limit(n)  # n rows for all users without a profile
         return best.unionByName(top_n(strangers.crossJoin(F.broadcast(head)), n))
 
@@ -238,52 +203,6 @@ class ContentRecommender(Recommender):
         return joined.select(U, I, F.aggregate(products, F.lit(0.0), lambda s, x: s + x).alias("s"))
 
 
-class FactorRecommender(Recommender):
-    """Mean, user and item biases, and factors of what is left, by alternating least squares.
-
-    Biases are sums of deviations over counts plus a damping (10 for items, 15 for users). Keys of any size are numbered for
-    the factorisation, which takes numbers of 32 bits.
-    """
-
-    ITEM_DAMPING, USER_DAMPING = 10.0, 15.0
-
-    def fit(self, interactions: DataFrame) -> FactorRecommender:
-        cells = interactions.groupBy(U, I).agg(F.avg(R).alias("r")).persist()
-        row = cells.agg(F.avg("r").alias("mean"), F.min("r").alias("lo"), F.max("r").alias("hi")).first()
-        self.numbers = {"mean": row["mean"] or 0.0, "low": row["lo"] or 0.0, "high": row["hi"] or 0.0}
-        off = F.col("r") - self.numbers["mean"]
-        items = cells.groupBy(I).agg((F.sum(off) / (F.count("*") + self.ITEM_DAMPING)).alias("bi"))
-        placed = cells.join(items, I)
-        users = placed.groupBy(U).agg((F.sum(off - F.col("bi")) / (F.count("*") + self.USER_DAMPING)).alias("bu"))
-        rest = placed.join(users, U).select(U, I, (off - F.col("bi") - F.col("bu")).alias("rest"))
-        user_no, item_no = self.scratch(numbered(users.select(U), U, "u")), self.scratch(numbered(items.select(I), I, "i"))
-        rest = rest.join(user_no, U).join(item_no, I).select(F.col("u").cast("int"), F.col("i").cast("int"), "rest")
-        o = self.options
-        als = ALS(rank=o.get("n_factors", 50), maxIter=o.get("n_epochs", 20), regParam=o.get("reg", 0.02), seed=o.get("seed", 42), userCol="u", itemCol="i", ratingCol="rest")
-        model = als.fit(rest)
-        vector = F.transform("features", lambda x: x.cast("double"))
-        self.keep("users", users.join(user_no, U).join(model.userFactors.select(F.col("id").alias("u"), vector.alias("p")), "u").drop("u"))
-        self.keep("items", items.join(item_no, I).join(model.itemFactors.select(F.col("id").alias("i"), vector.alias("q")), "i").drop("i"))
-        return self
-
-    def predict(self, pairs: DataFrame) -> DataFrame:
-        """Within the ratings' bounds; the mean for an unknown user or item."""
-        placed = pairs.select(U, I).join(self.tables["users"], U, "left").join(self.tables["items"], I, "left")
-        dot = F.aggregate(F.zip_with("p", "q", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-        score = clipped(self.numbers["mean"] + F.col("bu") + F.col("bi") + dot, self.numbers["low"], self.numbers["high"])
-        return placed.select(U, I, F.coalesce(score, F.lit(self.numbers["mean"])).alias("score"))
-
-    def recommend(self, users: DataFrame, n: int = TOP_K, seen: DataFrame | None = None) -> DataFrame:
-        """Users who weren't in the training rows get no list."""
-        asked = self.tables["users"].join(seen_counts(users, seen), U).select(U, F.concat("p", F.array(F.lit(1.0))).alias("vector"), "extra")
-        items = self.tables["items"].select(I, F.concat("q", F.array("bi")).alias("vector"))
-        at = F.sequence(F.lit(0), F.size("vector") - 1)
-        dim = self.options.get("n_factors", 50) + 1
-        best = top_n(unseen(blocked_top(asked.withColumn("at", at), items.withColumn("at", at), n, dim), seen), n)
-        score = clipped(self.numbers["mean"] + F.col("bu") + F.col("score"), self.numbers["low"], self.numbers["high"])
-        return best.join(self.tables["users"].select(U, "bu"), U).select(U, "rank", I, score.alias("score"))
-
-
 class HybridRecommender(Recommender):
     """Weighted components. ``weights`` (by name) are scaled to a sum of one, and again whenever a weight is added."""
 
@@ -339,68 +258,6 @@ class HybridRecommender(Recommender):
         return Recommender.load(spark, path)
 
 
-class Demographics:
-    """Customers by profile: the values of a few categorical columns, compared by the cosine of their one-hot vectors.
-
-    Profiles are few (combinations of category values), so similarities are between profiles, never between customers.
-    """
-
-    #: The most profiles that are compared with each other.
-    MOST = 5000
-
-    def __init__(self, customers: DataFrame, fields: list[str]):
-        fields = [f for f in fields if f in customers.columns]
-        if not fields:
-            raise ValueError("no demographic field is in the table")
-        self.fields = fields
-        self.profile_of = customers.select(U, F.to_json(F.struct(*[F.col(f).cast("string").alias(f) for f in fields])).alias("profile"))
-
-    @classmethod
-    def of_profiles(cls, profile_of: DataFrame) -> Demographics:
-        """From a saved (customer_key, profile)."""
-        out = cls.__new__(cls)
-        out.profile_of = profile_of
-        return out
-
-    def similarities(self) -> DataFrame:
-        """(profile, other, sim), a profile's own similarity included; zero vectors are like nothing."""
-        kinds = self.profile_of.select("profile").distinct()
-        count = kinds.count()
-        if count > self.MOST:
-            raise ValueError(f"{count} profiles; name fields of fewer values")
-        parts = F.map_entries(F.from_json("profile", "map<string,string>"))
-        sets = kinds.select("profile", F.transform(F.filter(parts, lambda e: e.value.isNotNull()), lambda e: F.concat(e.key, F.lit("_"), e.value)).alias("set"))
-        other = sets.select(F.col("profile").alias("other"), F.col("set").alias("other_set"))
-        both = sets.crossJoin(F.broadcast(other))  # at most MOST rows
-        norm = F.sqrt(F.size("set") * F.size("other_set"))
-        return both.select("profile", "other", F.when(norm > 0, F.size(F.array_intersect("set", "other_set")) / norm).otherwise(0.0).alias("sim"))
-
-    def predict(self, pairs: DataFrame, interactions: DataFrame) -> DataFrame:
-        """Mean similarity of the user to the item's distinct buyers; 0 for unknown users or items."""
-        buyers = interactions.select(U, I).distinct().join(self.profile_of, U).groupBy(I, F.col("profile").alias("other")).agg(F.count("*").alias("c"))
-        asked = pairs.select(U, I).distinct()
-        by_profile = asked.join(self.profile_of, U).select("profile", I).distinct().join(buyers, I).join(self.similarities(), ["profile", "other"])
-        means = by_profile.groupBy("profile", I).agg((F.sum(F.col("sim") * F.col("c")) / F.sum("c")).alias("score"))
-        placed = asked.join(self.profile_of, U, "left").join(means, ["profile", I], "left")
-        return placed.select(U, I, F.coalesce("score", F.lit(0.0)).alias("score"))
-
-    def neighbours(self, users: DataFrame, k: int = 50) -> DataFrame:
-        """(customer_key, other, sim): the k - 1 customers most like each user (ties to the lower key)."""
-        members = self.profile_of.withColumn("m", F.row_number().over(Window.partitionBy("profile").orderBy(U))).where(F.col("m") <= k + 1)
-        members = members.select(F.col("profile").alias("other"), F.col(U).alias("v"))
-        best = Window.partitionBy("profile").orderBy(F.desc(F.round("sim", 9)), "v")
-        near = self.similarities().join(members, "other").withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1)
-        lists = users.select(U).distinct().join(self.profile_of, U).join(near, "profile").where(F.col("v") != F.col(U))
-        again = Window.partitionBy(U).orderBy("place")
-        return lists.withColumn("n", F.row_number().over(again)).where(F.col("n") <= k - 1).select(U, F.col("v").alias("other"), "sim")
-
-    def recommend(self, users: DataFrame, interactions: DataFrame, n: int = TOP_K, seen: DataFrame | None = None, k: int = 50) -> DataFrame:
-        """Items by the summed similarity of those of the nearest k customers who bought them."""
-        bought = interactions.select(F.col(U).alias("other"), I).distinct()
-        scores = self.neighbours(users, k).join(bought, "other").groupBy(U, I).agg(F.sum("sim").alias("score"))
-        return top_n(unseen(scores, seen), n)
-
-
 class ColdStartRecommender(Recommender):
     """Customers with few interactions: what similar customers and their segment buy, and item content."""
 
@@ -419,12 +276,12 @@ class ColdStartRecommender(Recommender):
         """The content and popularity models go to folders of their own, within the same version."""
         self.content.write(f"{folder}/components/content")
         self.popular.write(f"{folder}/components/popular")
-        self.tables = {"interactions": self.interactions, "segment_of": self.segment_of, "by_segment": self.by_segment, "profile_of": self.demographics.profile_of}
+        self.tables = {"interactions": self.interactions, "segment_of": self.segment_of, "by_segment": self.by_segment, "profile_of": self.demographics.profile_of, "traits": self.demographics.traits}
         super().write(folder)
 
     def loaded(self, spark: SparkSession, folder: str) -> None:
         self.interactions, self.segment_of, self.by_segment = (self.tables[t] for t in ("interactions", "segment_of", "by_segment"))
-        self.demographics = Demographics.of_profiles(self.tables["profile_of"])
+        self.demographics = Demographics.of_tables(self.tables["profile_of"], self.tables["traits"])
         self.content, self.popular = (Recommender.read(spark, f"{folder}/components/{k}") for k in ("content", "popular"))
 
     def release(self) -> None:

@@ -15,6 +15,20 @@ TOP_K = 10
 MARKER = "_COMMITTED"
 
 
+def durable(df: DataFrame) -> DataFrame:
+    """``df`` written to the folder that the session names in ``spark.checkpoint.dir``: its plan is cut, a lost executor costs nothing.
+
+    Only a session in one process may name none; it gets a folder in its warehouse.
+    """
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if not where and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(where or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+    return df.checkpoint(eager=True)
+
+
 def seen_counts(users: DataFrame, seen: DataFrame | None) -> DataFrame:
     """``users`` with ``extra``: how many items each has seen."""
     ids = users.select(U).distinct()

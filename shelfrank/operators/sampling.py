@@ -84,3 +84,17 @@ def numbered(df: DataFrame, key: str, name: str = "position") -> DataFrame:
     starts = counts.select("__b", F.coalesce(before, F.lit(0)).alias("__start"))  # 4096 rows at most
     within = F.row_number().over(Window.partitionBy("__b").orderBy("__h", key))
     return dealt.withColumn("__r", within).join(F.broadcast(starts), "__b").withColumn(name, F.col("__start") + F.col("__r") - 1).drop("__h", "__b", "__r", "__start")
+
+
+def ranked(df: DataFrame, order: list[Column], name: str, kept=DataFrame.persist) -> DataFrame:
+    """``df`` with a dense number from 1 in the order of ``order`` (which must be total), without a window over all rows.
+
+    Rows are dealt into ranges of the order and numbered within each; a range begins after the rows of those before it,
+    whose counts (one for each range) are all that meets in one place. ``kept`` holds the ranges between the two passes.
+    """
+    dealt = kept(df.repartitionByRange(*order).withColumn("__b", F.spark_partition_id()))
+    counts = {r["__b"]: r["count"] for r in dealt.groupBy("__b").count().collect()}
+    starts = [(b, sum(c for x, c in counts.items() if x < b)) for b in counts]
+    before = df.sparkSession.createDataFrame(starts, "__b int, __start long")
+    within = F.row_number().over(Window.partitionBy("__b").orderBy(*order))
+    return dealt.withColumn("__r", within).join(F.broadcast(before), "__b").withColumn(name, F.col("__start") + F.col("__r")).drop("__b", "__r", "__start")

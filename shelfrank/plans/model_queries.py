@@ -90,6 +90,25 @@ def content_similar(spark, sf) -> DataFrame:
     return rounded(top_n(sims, N, "a").select("a", "rank", F.col(I).alias("b"), F.col("score").alias("sim")))
 
 
+def linear(spark, sf, df) -> m.ContentRecommender:
+    return m.ContentRecommender(similarity="linear").fit(df, item_features(spark, sf))
+
+
+def linear_lists(spark, sf) -> DataFrame:
+    df = inter(spark, sf).persist()
+    return rounded(linear(spark, sf, df).recommend(df, N, df))
+
+
+def linear_similar(spark, sf) -> DataFrame:
+    sims = linear(spark, sf, inter(spark, sf)).item_similarities().select("a", F.col("b").alias(I), F.col("sim").alias("score"))
+    return rounded(top_n(sims, N, "a").select("a", "rank", F.col(I).alias("b"), F.col("score").alias("sim")))
+
+
+def linear_predicted(spark, sf) -> DataFrame:
+    train, test = halves(spark, sf)
+    return rounded(linear(spark, sf, train).predict(test))
+
+
 def content_predicted(spark, sf) -> DataFrame:
     train, test = halves(spark, sf)
     return rounded(content(spark, sf, train).predict(test))
@@ -105,6 +124,23 @@ def demographic_lists(spark, sf) -> DataFrame:
     return rounded(demographics(spark, sf).recommend(df, df, N, df))
 
 
+def numeric_demographics(spark, sf) -> m.Demographics:
+    """Country, segment and account balance."""
+    balance = Orders(spark, sf).table("customer").select(F.col("c_custkey").alias(U), F.col("c_acctbal").alias("balance"))
+    customers = region_customers(spark, sf).join(segments_of(spark, sf), U).join(balance, U)
+    return m.Demographics(customers, ["country", "segment", "balance"])
+
+
+def numeric_demographic_lists(spark, sf) -> DataFrame:
+    df = inter(spark, sf).persist()
+    return rounded(numeric_demographics(spark, sf).recommend(df, df, N, df))
+
+
+def numeric_demographic_predicted(spark, sf) -> DataFrame:
+    train, test = halves(spark, sf)
+    return rounded(numeric_demographics(spark, sf).predict(test, train))
+
+
 def demographic_predicted(spark, sf) -> DataFrame:
     train, test = halves(spark, sf)
     return rounded(demographics(spark, sf).predict(test, train))
@@ -164,6 +200,11 @@ def factors(spark, sf) -> DataFrame:
     return rounded(m.FactorRecommender(n_factors=20, n_epochs=10).fit(df).recommend(df, N, df))
 
 
+def descended(spark, sf) -> DataFrame:
+    df = inter(spark, sf).persist()
+    return rounded(m.SgdFactorRecommender(n_factors=8, n_epochs=2, lr=0.02).fit(df).recommend(df, N, df))
+
+
 def drawn(spark, sf) -> DataFrame:
     df = inter(spark, sf).persist()
     return rounded(m.RandomRecommender().fit(df).recommend(df, N, df))
@@ -197,6 +238,11 @@ QUERIES = {
     "content_predict": content_predicted,
     "demographic_similarity": lambda s, d: rounded(demographics(s, d).similarities()),
     "demographic_topn": demographic_lists,
+    "content_linear_similarity": linear_similar,
+    "content_linear_topn": linear_lists,
+    "content_linear_predict": linear_predicted,
+    "demographic_numeric_topn": numeric_demographic_lists,
+    "demographic_numeric_predict": numeric_demographic_predicted,
     "demographic_predict": demographic_predicted,
     "coldstart_combine": cold_combined,
     "coldstart_topn": cold_lists,
@@ -206,6 +252,7 @@ QUERIES = {
     "hybrid_fusion": hybrid,
     "hybrid_segment_fusion": hybrid_by_segment,
     "als_topn": factors,
+    "sgd_topn": descended,
     "random_topn": drawn,
     "mmr_rerank": reranked,
 }
@@ -244,9 +291,9 @@ feats AS (SELECT * FROM (SELECT product_key, 'product_description:' || feature A
 UNIT = f"{FEATURES}, unit AS MATERIALIZED (SELECT product_key, feature, value / sqrt(sum(value * value) OVER (PARTITION BY product_key)) AS value FROM feats)"
 
 
-def content_scores(rows: str) -> str:
+def content_scores(rows: str, unit: str = UNIT) -> str:
     """Scores of all users and items: shares times the squared similarities, which go through the features."""
-    return f"""{UNIT},
+    return f"""{unit},
 gram AS (SELECT a.feature AS f, b.feature AS g, sum(a.value * b.value) AS m FROM unit a JOIN unit b USING (product_key) GROUP BY 1, 2),
 turned AS (SELECT product_key, g, sum(value * m) AS t FROM unit JOIN gram ON feature = f GROUP BY 1, 2),
 lessened AS (SELECT product_key, g, sum(t) AS t FROM (SELECT product_key, g, t FROM turned UNION ALL SELECT product_key, feature, -2 * value FROM unit) GROUP BY 1, 2),
@@ -255,6 +302,23 @@ shares AS (SELECT customer_key, product_key, r / sum(r) OVER (PARTITION BY custo
 scores AS MATERIALIZED (SELECT customer_key, j AS product_key, sum(w * s2) AS score FROM shares JOIN square ON product_key = i GROUP BY 1, 2)"""
 
 
+#: The linear kernel: the same plan over features as they are.
+RAW = f"{FEATURES}, unit AS MATERIALIZED (SELECT product_key, feature, value FROM feats)"
+
+
+def linear_scores(rows: str) -> str:
+    """Scores by the linear kernel, worked out as shares times the likeness without its diagonal, twice."""
+    return f"""{RAW},
+shares AS (SELECT customer_key, product_key, r / sum(r) OVER (PARTITION BY customer_key) AS w FROM (SELECT customer_key, product_key, sum(rating) AS r FROM {rows} GROUP BY 1, 2) WHERE product_key IN (SELECT product_key FROM unit)),
+sizes AS (SELECT product_key, sum(value * value) AS d FROM unit GROUP BY 1),
+profile AS MATERIALIZED (SELECT customer_key, feature, sum(w * value) AS p FROM shares JOIN unit USING (product_key) GROUP BY 1, 2),
+once AS MATERIALIZED (SELECT customer_key, product_key, sum(p * value) AS s FROM profile JOIN unit USING (feature) GROUP BY 1, 2),
+half AS MATERIALIZED (SELECT customer_key, product_key, s - coalesce(w * d, 0) AS s FROM once LEFT JOIN shares USING (customer_key, product_key) JOIN sizes USING (product_key)),
+back AS MATERIALIZED (SELECT customer_key, feature, sum(s * value) AS p FROM half JOIN unit USING (product_key) GROUP BY 1, 2),
+twice AS MATERIALIZED (SELECT customer_key, product_key, sum(p * value) AS s FROM back JOIN unit USING (feature) GROUP BY 1, 2),
+scores AS MATERIALIZED (SELECT customer_key, product_key, t.s - h.s * d AS score FROM twice t JOIN half h USING (customer_key, product_key) JOIN sizes USING (product_key))"""
+
+
 def _stats(cells: str, users: bool, centre: bool) -> str:
     key = "customer_key" if users else "product_key"
     other = "product_key" if users else "customer_key"
@@ -332,6 +396,17 @@ demo AS (SELECT p.customer_key, i.product_key, sum(sim) AS score FROM pairs p JO
  AND NOT EXISTS (SELECT 1 FROM inter s WHERE s.customer_key = p.customer_key AND s.product_key = i.product_key) GROUP BY 1, 2)"""
 
 
+MIXED = """people AS (SELECT c_custkey AS customer_key, r_name AS country, c_mktsegment AS segment, (c_acctbal - min(c_acctbal) OVER ()) / (max(c_acctbal) OVER () - min(c_acctbal) OVER ()) AS x
+ FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+mixed AS MATERIALIZED (SELECT *, sqrt(2 + x * x) AS norm FROM people)"""
+MIXED_SIM = "(CAST(a.country = b.country AS INT) + CAST(a.segment = b.segment AS INT) + a.x * b.x) / (a.norm * b.norm)"
+NUMERIC = f"""{MIXED},
+pairs AS (SELECT a.customer_key, b.customer_key AS other, {MIXED_SIM} AS sim FROM mixed a JOIN mixed b ON a.customer_key <> b.customer_key WHERE a.customer_key IN (SELECT customer_key FROM inter)),
+near AS (SELECT *, row_number() OVER (PARTITION BY customer_key ORDER BY round(sim, 9) DESC, other) AS r FROM pairs),
+demo AS (SELECT p.customer_key, i.product_key, sum(sim) AS score FROM near p JOIN inter i ON i.customer_key = p.other WHERE r <= 49
+ AND NOT EXISTS (SELECT 1 FROM inter s WHERE s.customer_key = p.customer_key AND s.product_key = i.product_key) GROUP BY 1, 2)"""
+
+
 def _profile(country: str, segment: str) -> str:
     return f"'{{\"country\":\"' || {country} || '\",\"segment\":\"' || {segment} || '\"}}'"
 
@@ -416,6 +491,14 @@ SELECT a, b, round(sim, 6) AS sim FROM sims WHERE a < b AND round(sim, 9) >= {CL
     "item_features": f"WITH {FEATURES} SELECT product_key, feature, round(value, 6) AS value FROM feats",
     "content_similarity": f"""WITH {UNIT}, sims AS (SELECT a.product_key AS a, b.product_key AS b, sum(a.value * b.value) AS sim FROM unit a JOIN unit b USING (feature) WHERE a.product_key <> b.product_key GROUP BY 1, 2 HAVING abs(sum(a.value * b.value)) > 1e-12)
 SELECT a, rank, b, round(sim, 6) AS sim FROM (SELECT *, CAST(row_number() OVER (PARTITION BY a ORDER BY round(sim, 9) DESC, b) AS INT) AS rank FROM sims) WHERE rank <= {N}""",
+    "content_linear_similarity": f"""WITH {RAW}, sims AS (SELECT a.product_key AS a, b.product_key AS b, sum(a.value * b.value) AS sim FROM unit a JOIN unit b USING (feature) WHERE a.product_key <> b.product_key GROUP BY 1, 2 HAVING abs(sum(a.value * b.value)) > 1e-12)
+SELECT a, rank, b, round(sim, 6) AS sim FROM (SELECT *, CAST(row_number() OVER (PARTITION BY a ORDER BY round(sim, 9) DESC, b) AS INT) AS rank FROM sims) WHERE rank <= {N}""",
+    "content_linear_topn": f"WITH {INTER}, {linear_scores('inter')}, {top('scores x', N, where=f'WHERE {SEEN}')} {lists()}",
+    "content_linear_predict": f"WITH {HALVES}, {linear_scores('train')}, {CONTENT_GUESS} SELECT customer_key, product_key, round(score, 6) AS score FROM cguess",
+    "demographic_numeric_topn": f"WITH {INTER}, {NUMERIC}, {top('demo', N)} {lists()}",
+    "demographic_numeric_predict": f"""WITH {HALVES}, {MIXED}, nmean AS (SELECT t.customer_key, t.product_key, avg({MIXED_SIM}) AS score FROM test t JOIN (SELECT DISTINCT customer_key, product_key FROM train) i ON i.product_key = t.product_key
+ JOIN mixed a ON a.customer_key = t.customer_key JOIN mixed b ON b.customer_key = i.customer_key GROUP BY 1, 2)
+SELECT customer_key, product_key, round(coalesce(score, 0), 6) AS score FROM test LEFT JOIN nmean USING (customer_key, product_key)""",
     "content_topn": f"WITH {INTER}, {content_scores('inter')}, {top('scores x', N, where=f'WHERE {SEEN}')} {lists()}",
     "content_predict": f"WITH {HALVES}, {content_scores('train')}, {CONTENT_GUESS} SELECT customer_key, product_key, round(score, 6) AS score FROM cguess",
     "demographic_similarity": f"WITH {PROFILES} SELECT {_profile('country', 'segment')} AS profile, {_profile('country2', 'segment2')} AS other, round(sim, 6) AS sim FROM alike",

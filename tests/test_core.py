@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
 
@@ -14,7 +15,7 @@ from shelfrank.operators import features as f
 from shelfrank.operators import metrics as e
 from shelfrank.operators import models as m
 from shelfrank.operators import neighbourhood as nb
-from shelfrank.operators import prepare, ranking, recommender, results, sampling, splits
+from shelfrank.operators import prepare, products, ranking, recommender, results, sampling, splits
 from shelfrank.sources.catalog import Catalog
 from shelfrank.sources.config import Config
 
@@ -379,3 +380,158 @@ def test_models_are_saved_whole(spark, tmp_path, monkeypatch):
     want = sorted(map(tuple, index.recommend(df, 3, df).collect()))
     index.save(path)
     assert sorted(map(tuple, m.Recommender.load(spark, path).recommend(df, 3, df).collect())) == want
+
+
+def linear_features():
+    return [(i, name, v) for i in range(9) for name, v in (("a" if i % 2 else "b", 1.0), (f"c{i % 3}", 2.0), ("x", i / 9)) if v]
+
+
+def test_linear_content_equals_dense(spark):
+    rows, feats = some_ratings(), linear_features()
+    table = spark.createDataFrame(feats, f"{I} long, feature string, value double")
+    names = sorted({n for _, n, _ in feats})
+    x = np.zeros((9, len(names)))
+    for i, n, v in feats:
+        x[i, names.index(n)] = v
+    s = x @ x.T
+    np.fill_diagonal(s, 0)
+    w = dense(rows, 12, 9)
+    w = w / np.maximum(w.sum(1, keepdims=True), 1e-300)
+    scores = w @ s @ s
+    model = m.ContentRecommender(similarity="linear").fit(df := ratings(spark, rows), table)
+    users = spark.createDataFrame([(u,) for u in range(13)], f"{U} long")
+    got = {(r[U], r[I]): r["score"] for r in model.recommend(users, 9).collect()}
+    for u in {u for u, _, _ in rows}:
+        assert [got[u, i] for i in range(9)] == pytest.approx(scores[u].tolist(), abs=1e-9)
+    assert [got[12, i] for i in range(9)] == pytest.approx((s.sum(0) / 9).tolist(), abs=1e-9)
+    guess = {(r[U], r[I]): r["score"] for r in model.predict(df).collect()}
+    assert all(v == pytest.approx(min(5, 1 + 4 * max(0, scores[u, i])), abs=1e-9) for (u, i), v in guess.items())
+    with pytest.warns(UserWarning, match="cosine is used"):
+        other = m.ContentRecommender(similarity="euclid").fit(df, table)
+    want = m.ContentRecommender().fit(df, table).recommend(users, 3)
+    assert sorted(map(tuple, other.recommend(users, 3).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_tiles_change_nothing(spark, monkeypatch):
+    df = ratings(spark, some_ratings())
+    table = spark.createDataFrame(linear_features(), f"{I} long, feature string, value double")
+    models = [m.ContentRecommender().fit(df, table), m.FactorRecommender(n_factors=3, n_epochs=2).fit(df)]
+    whole = [sorted((r[U], r["rank"], r[I], round(r["score"], 9)) for r in x.recommend(df, 3, df).collect()) for x in models]
+    monkeypatch.setattr(products, "TILE_BYTES", 100)
+    assert [sorted((r[U], r["rank"], r[I], round(r["score"], 9)) for r in x.recommend(df, 3, df).collect()) for x in models] == whole
+    assert "CartesianProduct" not in models[0].recommend(df, 3, df)._jdf.queryExecution().toString()
+
+
+def test_ranks_by_ranges(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, float(s)) for i, s in enumerate(rng.integers(0, 20, 700))]
+    df = spark.createDataFrame(rows, "i long, s double").repartition(5)
+    got = sampling.ranked(df, [F.desc("s"), F.asc("i")], "place")
+    assert {r["i"]: r["place"] for r in got.collect()} == {i: p for p, (i, _) in enumerate(sorted(rows, key=lambda x: (-x[1], x[0])), 1)}
+    popular = m.PopularityRecommender().fit(df.select(F.col("i").alias(I), F.col("s").alias("rating"), F.lit(1).cast("long").alias(U)))
+    seen = df.where("i < 30").select(F.lit(7).cast("long").alias(U), F.col("i").alias(I))
+    lists = popular.recommend(seen, 5, seen)
+    assert "SinglePartition" not in lists._jdf.queryExecution().toString()
+    assert [r[I] for r in lists.orderBy("rank").collect()] == [i for i, _ in sorted(rows, key=lambda x: (-x[1], x[0])) if i >= 30][:5]
+
+
+def people(n=70):
+    rng = np.random.default_rng(9)
+    return [(u, ["A", "B", None][rng.integers(3)], ["x", "y"][rng.integers(2)], None if u % 9 == 0 else float(rng.integers(0, 40))) for u in range(n)] + [(500, None, None, None), (501, None, None, 0.0)]
+
+
+@pytest.mark.parametrize("fields", [["country", "kind"], ["country", "kind", "balance"], ["balance"]])
+def test_demographics_equal_brute_force(spark, fields):
+    """Mixed vectors of all customers against each other, for nearest customers, lists and scores."""
+    rows = people()
+    numbers = [r[3] for r in rows if r[3] is not None]
+    vectors = {}
+    for u, *values in rows:
+        own = dict(zip(("country", "kind", "balance"), values, strict=True))
+        v = {f"{f}_{own[f]}": 1.0 for f in fields if f != "balance" and own[f] is not None}
+        if "balance" in fields and own["balance"]:
+            v["balance"] = (own["balance"] - min(numbers)) / (max(numbers) - min(numbers))
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        vectors[u] = {k: x / norm for k, x in v.items()} if norm else {}
+    sim = lambda a, b: sum(x * vectors[b].get(k, 0.0) for k, x in vectors[a].items())
+    rng = np.random.default_rng(2)
+    bought = sorted({(int(rng.choice([r[0] for r in rows])), int(rng.integers(25))) for _ in range(350)})
+    table = spark.createDataFrame(rows, f"{U} long, country string, kind string, balance double")
+    df = ratings(spark, [(u, i, 3.0) for u, i in bought])
+    own = m.Demographics(table, fields)
+    k = 12
+    near = {u: sorted((v for v in vectors if v != u), key=lambda v, u=u: (-round(sim(u, v), 9), v))[: k - 1] for u in vectors}
+    got = {}
+    for r in own.neighbours(table, k).collect():
+        got.setdefault(r[U], {})[r["other"]] = r["sim"]
+    assert got == {u: {v: pytest.approx(sim(u, v), abs=1e-9) for v in near[u]} for u in vectors}
+    for seen in (None, df):
+        want = {}
+        for u in vectors:
+            scores = {}
+            for v in near[u]:
+                for w, i in bought:
+                    if w == v:
+                        scores[i] = scores.get(i, 0.0) + sim(u, v)
+            mine = {i for w, i in bought if w == u} if seen is not None else set()
+            ranked = sorted((-round(s, 9), i) for i, s in scores.items() if i not in mine)[:6]
+            want[u] = [i for _, i in ranked]
+        lists = {}
+        for r in own.recommend(table, df, 6, seen, k).collect():
+            lists.setdefault(r[U], []).append((r["rank"], r[I]))
+        assert {u: [i for _, i in sorted(v)] for u, v in lists.items()} == {u: v for u, v in want.items() if v}
+    pairs = [(u, i) for u in [*vectors, 999] for i in (0, 3, 24, 77)]
+    guess = {(r[U], r[I]): r["score"] for r in own.predict(spark.createDataFrame(pairs, f"{U} long, {I} long"), df).collect()}
+    for u, i in pairs:
+        buyers = [v for v, j in bought if j == i]
+        assert guess[u, i] == pytest.approx(sum(sim(u, v) for v in buyers) / len(buyers) if buyers and u in vectors else 0.0, abs=1e-9)
+
+
+@pytest.mark.parametrize("biased", [True, False])
+def test_descent_equals_one_process(spark, biased):
+    """The same schedule, one rating after another, in one process."""
+    rows = some_ratings(25, 18, 3)
+    df = ratings(spark, rows)
+    blocks, n, epochs, lr, reg, seed = 3, 4, 3, 0.05, 0.02, 42
+    model = m.SgdFactorRecommender(n_factors=n, n_epochs=epochs, lr=lr, reg=reg, blocks=blocks, biased=biased).fit(df)
+    hashed = lambda s, *k: int(hashlib.md5(",".join(map(str, (s, *k))).encode()).hexdigest()[:13], 16)
+    start = lambda kind, i: np.random.default_rng([seed, kind, i]).normal(0, 0.1, n)
+    p, q = {u: start(0, u) for u, _, _ in rows}, {i: start(1, i) for _, i, _ in rows}
+    bu, bi = dict.fromkeys(p, 0.0), dict.fromkeys(q, 0.0)
+    mean = float(np.mean([r for *_, r in rows])) if biased else 0.0
+    ub, ib = {u: hashed(seed + 1, u) % blocks for u in p}, {i: hashed(seed + 2, i) % blocks for i in q}
+    for _ in range(epochs):
+        for s in range(blocks):
+            for b in range(blocks):
+                own = sorted((x for x in rows if ub[x[0]] == b and ib[x[1]] == (b + s) % blocks), key=lambda x: hashed(seed, x[0], x[1]))
+                turn, free = {}, Counter()
+                for u, i, _ in own:
+                    turn[u, i] = max(free["u", u], free["i", i])
+                    free["u", u] = free["i", i] = turn[u, i] + 1
+                for u, i, r in sorted(own, key=lambda x: (turn[x[0], x[1]], x[0])):
+                    off = r - (mean + bu[u] + bi[i] + p[u] @ q[i])
+                    if biased:
+                        bu[u] += lr * (off - reg * bu[u])
+                        bi[i] += lr * (off - reg * bi[i])
+                    p[u], q[i] = p[u] + lr * (off * q[i] - reg * p[u]), q[i] + lr * (off * p[u] - reg * q[i])
+    for r in model.tables["users"].collect():
+        assert r["bu"] == pytest.approx(bu[r[U]], abs=1e-9) and r["p"] == pytest.approx(p[r[U]].tolist(), abs=1e-9)
+    for r in model.tables["items"].collect():
+        assert r["bi"] == pytest.approx(bi[r[I]], abs=1e-9) and r["q"] == pytest.approx(q[r[I]].tolist(), abs=1e-9)
+    low, high = min(r for *_, r in rows), max(r for *_, r in rows)
+    for r in model.predict(df).collect():
+        u, i = r[U], r[I]
+        assert r["score"] == pytest.approx(min(high, max(low, mean + bu[u] + bi[i] + p[u] @ q[i])), abs=1e-9)
+    best = model.recommend(df, 3, df).where(f"{U} = 4 AND rank = 1").first()
+    left = [i for i in q if (4, i) not in {(u, j) for u, j, _ in rows}]
+    assert best[I] == max(left, key=lambda i: (round(bi[i] + p[4] @ q[i], 9), -i))
+
+
+def test_descent_learns(spark):
+    rows = some_ratings(30, 20, 2)
+    df = ratings(spark, rows)
+    model = m.SgdFactorRecommender(n_factors=4, n_epochs=12, lr=0.05, blocks=2).fit(df)
+    error = math.sqrt(np.mean([(r["score"] - r["rating"]) ** 2 for r in model.predict(df).join(df, [U, I]).collect()]))
+    assert error < 0.9 * np.std([r for *_, r in rows])
+    unknown = model.predict(spark.createDataFrame([(999, 0)], f"{U} long, {I} long")).first()["score"]
+    assert unknown == pytest.approx(np.mean([r for *_, r in rows]))
