@@ -29,9 +29,11 @@ def fitted(name: str, catalog: Catalog, config: Config, train: DataFrame) -> mod
         return models.PopularityRecommender(**config.get("models.popularity", {})).fit(train)
     if name == "neighborhood":
         o = config.get("models.neighborhood", {})
-        return models.NeighbourhoodRecommender(**{k: o[k] for k in ("user_based", "k", "min_k", "similarity") if k in o}).fit(train)
+        return models.NeighbourhoodRecommender(**{k: o[k] for k in ("user_based", "k", "min_k", "similarity", "min_similarity") if k in o}).fit(train)
     if name == "matrix_factorization":
-        return models.FactorRecommender(**config.get("models.matrix_factorization", {})).fit(train)
+        o = dict(config.get("models.matrix_factorization", {}))
+        solver = o.pop("solver", "sgd" if {"lr", "biased"} & o.keys() else "als")
+        return (models.SgdFactorRecommender if solver == "sgd" else models.FactorRecommender)(**o).fit(train)
     if name not in MODELS:
         raise ValueError(f"no such model: {name}; there are {', '.join(MODELS)}")
     if name == "hybrid":
@@ -45,7 +47,7 @@ def fitted(name: str, catalog: Catalog, config: Config, train: DataFrame) -> mod
     words = {k: v for k, v in config.get("models.content_based", {}).items() if k in ("max_features", "min_df", "max_df")}
     table = features.item_features(catalog.products, texts, categorical, numeric, **words)
     if name == "content":
-        return models.ContentRecommender().fit(train, table)
+        return models.ContentRecommender(similarity=config.get("models.content_based.similarity", "cosine")).fit(train, table)
     o = config.get("models.cold_start", {})
     return models.ColdStartRecommender(**o).fit(train, table, catalog.user_features(), catalog.customer_segments())
 
@@ -75,11 +77,7 @@ def experiment(catalog: Catalog, config: Config, names: list[str], out: str) ->
     ks = tuple(config.get("evaluation.k_values"))
     lists, took = {}, None
     for name in names:
-        model = fitted(name, catalog, config, train)
-        made, own = results.measured(name, lambda model=model: model.recommend(test.select(U), max(ks)))
-        lists[name] = _written(made, f"{path}/lists/{name}")
-        made.unpersist()
-        model.release()
+        lists[name], own = results.measured(name, lambda name=name: fitted(name, catalog, config, train), test.select(U), max(ks), path)
         took = own if took is None else took.unionByName(own)
     sets = features.feature_sets(catalog.products, [c for c in ("category", "sub_category") if c in catalog.products.columns])
     options = {"ks": ks, "metrics": tuple(config.get("evaluation.metrics")), "threshold": config.get("evaluation.relevance_threshold")}
@@ -87,6 +85,7 @@ def experiment(catalog: Catalog, config: Config, names: list[str], out: str) ->
     found = metrics.compare(lists, test, sets=sets, segment_of=segment_of, **options)
     results.save_json(found, f"{path}/results")
     found = results.load_json(found.sparkSession, f"{path}/results")
+    results.save_resources(took, f"{path}/resources")
     results.save_csv(found, took, path)
     return found
 

@@ -39,8 +39,19 @@ class Demographics:
         traits = once.select("profile", F.explode(F.array(*parts)).alias("t")).select("profile", "t.feature", "t.value")
         traits = traits.where(F.col("feature").isNotNull() & F.col("value").isNotNull() & (F.col("value") != 0))
         norm = traits.groupBy("profile").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
-        self.traits = traits.join(norm, "profile").select("profile", "feature", (F.col("value") / norm_or_tiny(F.col("norm"))).alias("value"))
-        self.profile_of = self.profile_of.select(U, "profile")
+        self._kept: list[DataFrame] = []
+        self.traits = self.kept(traits.join(norm, "profile").select("profile", "feature", (F.col("value") / norm_or_tiny(F.col("norm"))).alias("value")))
+        self.profile_of = self.kept(self.profile_of.select(U, "profile"))
+
+    def kept(self, df: DataFrame) -> DataFrame:
+        """A table that is read more than once, kept until ``release``."""
+        self._kept.append(df.persist())
+        return df
+
+    def release(self) -> None:
+        for df in self._kept:
+            df.unpersist()
+        self._kept = []
 
     @staticmethod
     def _scaled(field: str) -> Column:
@@ -51,7 +62,7 @@ class Demographics:
     def of_tables(cls, profile_of: DataFrame, traits: DataFrame) -> Demographics:
         """From saved (customer_key, profile) and (profile, feature, value)."""
         out = cls.__new__(cls)
-        out.profile_of, out.traits = profile_of, traits
+        out._kept, out.profile_of, out.traits = [], profile_of, traits
         return out
 
     def _vectors(self) -> tuple[DataFrame, int]:
@@ -63,7 +74,7 @@ class Demographics:
         """(profile, other, sim) of all pairs, a profile's own similarity included; zero vectors are like nothing."""
         kinds = self.profile_of.select("profile").distinct()
         maps = self.traits.groupBy("profile").agg(F.map_from_entries(F.collect_list(F.struct("feature", "value"))).alias("has"))
-        kinds = kinds.join(maps, "profile", "left").persist()
+        kinds = self.kept(kinds.join(maps, "profile", "left"))
         other = kinds.select(F.col("profile").alias("other"), F.col("has").alias("theirs"))
         other = F.broadcast(other) if kinds.count() <= SENT_PROFILES else other
         shared = F.transform(F.map_keys("has"), lambda k: F.element_at("has", k) * F.coalesce(F.element_at("theirs", k), F.lit(0.0)))
@@ -118,17 +129,17 @@ class Demographics:
         reads n rows of a ranking, and one for each item that it bought or has seen.
         """
         bought = interactions.select(U, I).distinct()
-        near = self.nearest(k).persist()
+        near = self.kept(self.nearest(k))
         met = near.join(bought.withColumnRenamed(U, "other"), "other")
         inside = F.col("place") <= k - 1
-        sums = met.groupBy("profile", I).agg(
-            F.sum(F.when(inside, F.col("sim"))).alias("less"), F.sum("sim").alias("more"), F.count("*").alias("buyers")
-        ).persist()
+        sums = met.groupBy("profile", I).agg(F.sum(F.when(inside, F.col("sim"))).alias("less"), F.sum("sim").alias("more"), F.count("*").alias("buyers"))
+        sums = self.kept(sums)
         ids = users.select(U).distinct()
         own = near.where(inside).select(F.col("other").alias(U), "profile", "sim")
         asked = seen_counts(ids, seen).join(self.profile_of, U).join(own, [U, "profile"], "left").withColumn("kind", F.when(F.col("sim").isNull(), "less").otherwise("more"))
         counts = bought.groupBy(U).agg(F.count("*").alias("mine"))
-        asked = asked.join(counts, U, "left").withColumn("rows", F.col("extra") + n + F.when(F.col("kind") == "more", F.coalesce("mine", F.lit(0))).otherwise(0)).persist()
+        rows = F.col("extra") + n + F.when(F.col("kind") == "more", F.coalesce("mine", F.lit(0))).otherwise(0)
+        asked = self.kept(asked.join(counts, U, "left").withColumn("rows", rows))
         most = asked.agg(F.max("rows")).first()[0] or 0
         both = sums.select("profile", I, F.explode(F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("score")) for c in ("less", "more")])).alias("s"))
         both = both.select("profile", I, "s.*").where(F.col("score").isNotNull())

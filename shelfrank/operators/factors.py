@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from shelfrank.functions.scalar import clipped, keyed_hash
 from shelfrank.operators.products import blocked_top
 from shelfrank.operators.ranking import top_n, unseen
-from shelfrank.operators.recommender import TOP_K, I, R, Recommender, U, durable, seen_counts
+from shelfrank.operators.recommender import TOP_K, I, R, Recommender, U, seen_counts
 from shelfrank.operators.sampling import numbered
+from shelfrank.sources.shared import durable
 
 #: Ratings of a pair of blocks, which one task works through.
 BLOCK_RATINGS = 100_000

@@ -288,6 +288,7 @@ class ColdStartRecommender(Recommender):
         super().release()
         self.content.release()
         self.popular.release()
+        self.demographics.release()
         self.by_segment.unpersist()
 
     def _warm(self) -> DataFrame:

@@ -9,26 +9,14 @@ from typing import ClassVar
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfrank.sources.shared import files
+
 U, I, R = "customer_key", "product_key", "rating"
 TOP_K = 10
 #: Written last into a saved version; a version without it isn't read.
 MARKER = "_COMMITTED"
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder that the session names in ``spark.checkpoint.dir``: its plan is cut, a lost executor costs nothing.
-
-    Only a session in one process may name none; it gets a folder in its warehouse.
-    """
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        where = spark.conf.get("spark.checkpoint.dir", None)
-        if not where and not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(where or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
-    return df.checkpoint(eager=True)
-
-
 def seen_counts(users: DataFrame, seen: DataFrame | None) -> DataFrame:
     """``users`` with ``extra``: how many items each has seen."""
     ids = users.select(U).distinct()
@@ -38,19 +26,13 @@ def seen_counts(users: DataFrame, seen: DataFrame | None) -> DataFrame:
     return ids.join(counts, U, "left").withColumn("extra", F.coalesce("extra", F.lit(0)))
 
 
-def _files(spark: SparkSession, path: str):
-    """The Hadoop file system of a path, and the path."""
-    own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), own
-
-
 def versions(spark: SparkSession, path: str, committed: bool = True) -> list[str]:
     """Folders of the saved versions, the newest last; only those whose marker is there, unless all are asked for."""
-    fs, own = _files(spark, path)
+    fs, own = files(spark, path)
     if not fs.exists(own):
         return []
     found = sorted(s.getPath().getName() for s in fs.listStatus(own) if s.isDirectory() and s.getPath().getName().startswith("v"))
-    return [f"{path}/{v}" for v in found if not committed or fs.exists(_files(spark, f"{path}/{v}/{MARKER}")[1])]
+    return [f"{path}/{v}" for v in found if not committed or fs.exists(files(spark, f"{path}/{v}/{MARKER}")[1])]
 
 
 class Recommender:
@@ -104,12 +86,12 @@ class Recommender:
         last = max((int(v.rsplit("/v", 1)[1].split("-")[0]) for v in versions(spark, path, False)), default=0)
         folder = f"{path}/v{last + 1:08d}-{uuid.uuid4().hex[:8]}"
         self.write(folder)
-        fs, marker = _files(spark, f"{folder}/{MARKER}")
+        fs, marker = files(spark, f"{folder}/{MARKER}")
         fs.create(marker, False).close()
         stay = versions(spark, path)[-keep:]
         for old in versions(spark, path, False):
             if old not in stay and old < folder:
-                fs.delete(_files(spark, old)[1], True)
+                fs.delete(files(spark, old)[1], True)
         return folder
 
     def write(self, folder: str) -> None:

@@ -7,9 +7,12 @@ import time
 from collections.abc import Callable
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+from shelfrank.operators.recommender import Recommender
+from shelfrank.sources.shared import size_of
+
 RESOURCES = ("training_time", "memory_mb", "latency_ms", "model_size_mb", "throughput")
 
 
@@ -87,14 +90,50 @@ def metric_correlation(results: DataFrame, names: list[str]) -> DataFrame:
     return tall.select(F.split("pair", r"\|")[0].alias("a"), F.split("pair", r"\|")[1].alias("b"), "r")
 
 
-def measured(name: str, work: Callable[[], DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """The result of ``work``, written once to a cache, and (model, metric, value) rows of what it took."""
+def _last_stage(spark: SparkSession) -> int:
+    return max((s.stageId() for s in _stages(spark)), default=-1)
+
+
+def _stages(spark: SparkSession) -> list:
+    """What Spark's status store knows of the stages of this application."""
+    gateway, store = spark.sparkContext._gateway, spark.sparkContext._jsc.sc().statusStore()
+    found = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return [found.apply(i) for i in range(found.size())]
+
+
+def peak_memory(spark: SparkSession, after: int) -> float:
+    """MB: the largest execution memory that the tasks of one stage after the stage ``after`` held, and what caches hold now."""
+    used = max((s.peakExecutionMemory() for s in _stages(spark) if s.stageId() > after), default=0)
+    held = sum(x.memSize() for x in spark.sparkContext._jsc.sc().getRDDStorageInfo())
+    return (used + held) / 1e6
+
+
+def measured(name: str, fit: Callable[[], Recommender], users: DataFrame, n: int, path: str) -> tuple[DataFrame, DataFrame]:
+    """The lists of the model that ``fit`` returns, written under ``path``, and (model, metric, value) rows of what it took.
+
+    The model is saved under ``path``: ``training_time`` (seconds) ends when that is done, ``model_size_mb`` is the size
+    of its files. The lists are written then: ``throughput`` is rows a second, ``latency_ms`` the time for each user,
+    both of a batch. ``memory_mb`` is the execution memory of the largest stage of either, and what was cached.
+    """
+    spark = users.sparkSession
+    before, began = _last_stage(spark), time.monotonic()
+    model = fit()
+    folder = model.save(f"{path}/models/{name}")
+    trained = time.monotonic() - began
+    memory = peak_memory(spark, before)
+    rows = Observation()
+    lists = model.recommend(users, n)
     began = time.monotonic()
-    out = work().persist()
-    rows = out.count()
-    took = time.monotonic() - began
-    values = [(name, "training_time", took), (name, "throughput", rows / took if took else 0.0), (name, "latency_ms", 1000 * took / rows if rows else 0.0)]
-    return out, out.sparkSession.createDataFrame(values, "model string, metric string, value double")
+    lists.observe(rows, F.count("*").alias("rows"), F.approx_count_distinct("customer_key").alias("users")).write.parquet(to := f"{path}/lists/{name}")
+    took = max(time.monotonic() - began, 1e-9)
+    made = rows.get
+    memory = max(memory, peak_memory(spark, before))
+    model.release()
+    values = [
+        (name, "training_time", trained), (name, "memory_mb", memory), (name, "latency_ms", 1000 * took / max(made["users"], 1)),
+        (name, "model_size_mb", size_of(spark, folder) / 1e6), (name, "throughput", made["rows"] / took),
+    ]
+    return spark.read.schema(lists.schema).parquet(to), spark.createDataFrame(values, "model string, metric string, value double")
 
 
 def experiment_id(now: datetime.datetime | None = None) -> str:
@@ -121,6 +160,15 @@ def load_json(spark, path: str) -> DataFrame:
     return spark.read.schema("model string, segment string, metric string, k int, value double").json(path)
 
 
+def save_resources(resources: DataFrame, path: str) -> None:
+    resources.coalesce(1).write.mode("overwrite").json(path)
+
+
+def load_resources(spark: SparkSession, path: str) -> DataFrame:
+    """(model, metric, value) of a stored run."""
+    return spark.read.schema("model string, metric string, value double").json(path)
+
+
 def sheets(results: DataFrame, resources: DataFrame, names: list[str]) -> dict[str, DataFrame]:
     """The tables of a workbook, by sheet."""
     tall = named(results)

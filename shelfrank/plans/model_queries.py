@@ -12,6 +12,7 @@ from shelfrank.operators.features import STOP_WORDS
 from shelfrank.operators.ranking import diversified, top_n
 from shelfrank.plans.base import HALVES, INTER, I, U, halves, inter, region_customers, rounded, segments_of, sql_hash
 from shelfrank.sources.catalog import Orders
+from shelfrank.sources.shared import new_folder
 
 N, K, CLOSE = 10, 30, 0.15
 #: Content features: words of the description, categories, numbers.
@@ -114,6 +115,13 @@ def content_predicted(spark, sf) -> DataFrame:
     return rounded(content(spark, sf, train).predict(test))
 
 
+def loaded_predicted(spark, sf) -> DataFrame:
+    """Scores by a model that was saved and is read back."""
+    train, test = halves(spark, sf)
+    content(spark, sf, train).save(path := new_folder(spark, "model"))
+    return rounded(m.Recommender.load(spark, path).predict(test))
+
+
 def demographics(spark, sf) -> m.Demographics:
     customers = region_customers(spark, sf).join(segments_of(spark, sf), U)
     return m.Demographics(customers, ["country", "segment"])
@@ -236,6 +244,7 @@ QUERIES = {
     "content_similarity": content_similar,
     "content_topn": lambda s, d: rounded(content_lists(s, d)),
     "content_predict": content_predicted,
+    "loaded_predict": loaded_predicted,
     "demographic_similarity": lambda s, d: rounded(demographics(s, d).similarities()),
     "demographic_topn": demographic_lists,
     "content_linear_similarity": linear_similar,
@@ -519,3 +528,4 @@ SELECT customer_key, product_key, round({HYBRID['popularity']}::DOUBLE * coalesc
     "hybrid_fusion": _hybrid(_W.format(**HYBRID)),
     "hybrid_segment_fusion": _hybrid(_BY_SEGMENT, "JOIN customer ON customer_key = c_custkey"),
 }
+ORACLES["loaded_predict"] = ORACLES["content_predict"]

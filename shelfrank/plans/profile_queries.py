@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from shelfrank.operators import analytics as a
 from shelfrank.operators import prepare, sampling
 from shelfrank.plans.base import INTER, I, U, inter, region_customers, rounded, segments_of, sql_hash
-from shelfrank.sources.catalog import Orders
+from shelfrank.sources.catalog import DAMAGED, Orders, read_csv, write_csv
+from shelfrank.sources.shared import new_folder
 
 # Category values of the test tables' products.
 TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
@@ -63,7 +64,17 @@ def pivot(s, d):
     return rounded(a.pivoted(placed, U, "category", TYPES))
 
 
+def csv_round_trip(s, d):
+    """Customers as CSV files in another encoding, every 97th with a balance that is no number, read back by their schema."""
+    rows = Orders(s, d).table("customer")
+    broken = F.when(F.col("c_custkey") % 97 == 0, F.lit("not, a \"number\"")).otherwise(F.col("c_acctbal").cast("string"))
+    write_csv(rows.withColumn("c_acctbal", broken), path := new_folder(s, "csv"), "ISO-8859-1")
+    back = read_csv(s, path, "ISO-8859-1", rows.schema)
+    return back.select(*rows.columns, F.col(DAMAGED).isNotNull().alias("damaged"))
+
+
 QUERIES = {
+    "csv_round_trip": csv_round_trip,
     "interactions": lambda s, d: rounded(inter(s, d)),
     "product_prep": lambda s, d: rounded(prepare.products(Orders(s, d).raw_products())),
     "customer_prep": lambda s, d: prepare.customers(region_customers(s, d)),
@@ -120,6 +131,8 @@ RAW_SALES = "sold AS (SELECT o_custkey AS customer_key, l_partkey AS product_key
 LEVELS = "(VALUES (3), (4), (5)) AS levels(level)"
 
 ORACLES = {
+    "csv_round_trip": """SELECT c_custkey, c_name, c_nationkey, CASE WHEN c_custkey % 97 <> 0 THEN c_acctbal END AS c_acctbal, c_mktsegment,
+ c_custkey % 97 = 0 AS damaged FROM customer""",
     "interactions": f"WITH {INTER} SELECT customer_key, product_key, round(rating, 6) AS rating, timestamp FROM inter",
     "product_prep": f"""SELECT p_partkey AS product_key, p_name AS product_name, p_type AS category, p_brand AS sub_category,
  round(coalesce(p_retailprice, (SELECT median(p_retailprice) FROM part)), 6) AS cost, coalesce(p_name, '') || ' ' || coalesce(p_type, '') || ' ' || coalesce(p_brand, '') AS product_description,

@@ -22,15 +22,31 @@ TYPES = {
 }
 
 
+#: The column that a table read with a schema has for lines that don't fit it.
+DAMAGED = "damaged_line"
+#: What the parser gives for a field without text or quotes; quoted empty text stays empty text.
+NOTHING = "\x00"
+
+
 def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", schema: T.StructType | None = None) -> DataFrame:
-    """A CSV file with a header. Without a schema, known columns are cast and the rest of a report is inferred."""
-    reader = spark.read.option("header", True).option("encoding", encoding)
+    """A CSV file with a header.
+
+    With a schema one pass reads it: fields that don't fit their type are null, and ``damaged_line`` has the line they come
+    from (null for sound lines). Without one, known columns are cast and the rest of a report is inferred.
+    """
+    reader = spark.read.option("header", True).option("encoding", encoding).option("quote", '"').option("escape", '"')
     if schema is not None:
-        return reader.schema(schema).csv(path)
+        wide = T.StructType([*schema.fields, T.StructField(DAMAGED, T.StringType())])
+        return reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", DAMAGED).option("nullValue", NOTHING).schema(wide).csv(path)
     df = reader.option("inferSchema", True).csv(path)
     return df.select(*[F.try_to_timestamp(F.col(c).cast("string")).cast("timestamp_ntz").alias(c) if isinstance(TYPES.get(c), T.TimestampNTZType) else F.expr(f"try_cast(`{c}` AS {TYPES[c].simpleString()})").alias(c) if c in TYPES else F.col(c) for c in df.columns])
 
 
+def write_csv(df: DataFrame, path: str, encoding: str = "UTF-8") -> None:
+    """A folder of CSV files with headers, which ``read_csv`` reads back: quotes are doubled, empty text is quoted, null is not."""
+    df.write.option("header", True).option("encoding", encoding).option("quote", '"').option("escape", '"').option("emptyValue", '""').csv(path)
+
+
 def read_table(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame | None:
     """A CSV or Parquet table; None, with a warning, where there is none."""
     try:
@@ -55,7 +71,8 @@ class Catalog:
         """Reads and prepares the tables that the settings name; a sample of customers restricts what refers to them."""
         config = config or Config()
         base = config.get("data.dir").rstrip("/")
-        found = {name: read_table(spark, f"{base}/{config.get(f'data.{name}')}") for name in ("customers", "products", "sales", "customer_report", "product_report")}
+        encoding = config.get("data.encoding", "UTF-8")
+        found = {name: read_table(spark, f"{base}/{config.get(f'data.{name}')}", encoding) for name in ("customers", "products", "sales", "customer_report", "product_report")}
         return cls(**found).prepared(config.get("data.sample_size", 1.0))
 
     def prepared(self, sample_size: float = 1.0) -> Catalog:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import copy
 import json
+import warnings
 from dataclasses import dataclass
 from pathlib import Path
 from typing import Any
@@ -42,6 +43,51 @@ PRESETS: dict[str, dict[str, Any]] = {
 }
 
 
+# Other names of settings, as they are found in files, and their places here.
+ALIASES = {
+    "data.dataset_dir": "data.dir", "data.random_seed": "split.random_state",
+    **{f"data.paths.{name}": f"data.{name}" for name in ("customers", "products", "sales", "customer_report", "product_report")},
+    "models.content_based.tfidf.max_features": "models.content_based.max_features", "models.content_based.tfidf.min_df": "models.content_based.min_df",
+    "models.content_based.tfidf.max_df": "models.content_based.max_df", "models.content_based.similarity_metric": "models.content_based.similarity",
+    "models.collaborative.neighborhood.user_based": "models.neighborhood.user_based", "models.collaborative.neighborhood.k_neighbors": "models.neighborhood.k",
+    "models.collaborative.neighborhood.min_k": "models.neighborhood.min_k", "models.collaborative.neighborhood.sim_options.name": "models.neighborhood.similarity",
+    "models.collaborative.matrix_fact.n_factors": "models.matrix_factorization.n_factors", "models.collaborative.matrix_fact.n_epochs": "models.matrix_factorization.n_epochs",
+    "models.collaborative.matrix_fact.lr_all": "models.matrix_factorization.lr", "models.collaborative.matrix_fact.reg_all": "models.matrix_factorization.reg",
+    "models.collaborative.matrix_fact.biased": "models.matrix_factorization.biased", "models.cold_start.demographic_fields": "models.cold_start.fields",
+    "models.hybrid.weights.content_based": "models.hybrid.weights.content", "experiment.output_dir": "output.dir",
+}
+#: Settings that have no default but are read, and groups whose names are free.
+KNOWN = {"data.encoding", "models.matrix_factorization.solver", "models.matrix_factorization.lr", "models.matrix_factorization.biased", "models.matrix_factorization.blocks", "models.neighborhood.min_similarity"}
+FREE = ("models.hybrid.weights.",)
+
+
+def leaves(settings: dict, above: str = "") -> dict[str, Any]:
+    """Values by dotted path; an empty dictionary is a value."""
+    out: dict[str, Any] = {}
+    for key, value in settings.items():
+        path = f"{above}{key}"
+        out |= leaves(value, f"{path}.") if isinstance(value, dict) and value else {path: value}
+    return out
+
+
+def placed(values: dict) -> dict:
+    """Settings under the names used here; those that nothing reads are kept where they are, with a warning that names them."""
+    out: dict[str, Any] = {}
+    known, ignored = leaves(DEFAULTS), []
+    for path, value in leaves(values).items():
+        own = ALIASES.get(path, path)
+        if own not in known and own not in KNOWN and not own.startswith(FREE):
+            ignored.append(path)
+        *parents, last = own.split(".")
+        at = out
+        for part in parents:
+            at = at.setdefault(part, {})
+        at[last] = value
+    if ignored:
+        warnings.warn(f"settings that nothing reads: {', '.join(sorted(ignored))}", stacklevel=3)
+    return out
+
+
 def nested(settings: dict, path: str, default: Any = None) -> Any:
     """The value at a dotted path, or ``default``."""
     for part in path.split("."):
@@ -63,7 +109,7 @@ class Config:
     """Settings over ``DEFAULTS``."""
 
     def __init__(self, values: dict | None = None):
-        self.values = merged(DEFAULTS, values or {})
+        self.values = merged(DEFAULTS, placed(values or {}))
 
     @classmethod
     def load(cls, path: str) -> Config:

@@ -16,7 +16,7 @@ from shelfrank.operators import metrics as e
 from shelfrank.operators import models as m
 from shelfrank.operators import neighbourhood as nb
 from shelfrank.operators import prepare, products, ranking, recommender, results, sampling, splits
-from shelfrank.sources.catalog import Catalog
+from shelfrank.sources.catalog import Catalog, read_csv, write_csv
 from shelfrank.sources.config import Config
 
 U, I = "customer_key", "product_key"
@@ -260,6 +260,12 @@ def test_catalog_from_csv_and_command_line(spark, tmp_path, capsys):
     found = cli.experiment(catalog, config, ["popularity", "hybrid", "cold_start"], str(tmp_path / "out"))
     assert {r["model"] for r in found.select("model").distinct().collect()} == {"popularity", "hybrid", "cold_start"}
     assert cli.recommend(catalog, config, "content", 1, 3).count() == 3
+    run = next((tmp_path / "out").iterdir())
+    stored = results.load_resources(spark, str(run / "resources"))
+    assert {(r["model"], r["metric"]) for r in stored.collect() if r["value"] > 0} == {(x, y) for x in ("popularity", "hybrid", "cold_start") for y in results.RESOURCES}
+    summary = results.performance_summary(results.load_json(spark, str(run / "results")), stored, ["ndcg@10"]).collect()
+    assert len(summary) == 3 and not any(r[c] == "N/A" for r in summary for c in results.RESOURCES)
+    assert m.Recommender.load(spark, str(run / "models" / "hybrid")).weights
     took = spark.createDataFrame([("popularity", "training_time", 1.0)], "model string, metric string, value double")
     assert "Best models" in results.report(found, took, ["ndcg@10", "mrr"])
 
@@ -535,3 +541,22 @@ def test_descent_learns(spark):
     assert error < 0.9 * np.std([r for *_, r in rows])
     unknown = model.predict(spark.createDataFrame([(999, 0)], f"{U} long, {I} long")).first()["score"]
     assert unknown == pytest.approx(np.mean([r for *_, r in rows]))
+
+
+def test_settings_by_other_names():
+    with pytest.warns(UserWarning, match="nothing reads: experiment.verbose"):
+        config = Config({"data": {"paths": {"sales": "s.csv"}}, "models": {"collaborative": {"neighborhood": {"k_neighbors": 7}, "matrix_fact": {"lr_all": 0.1}}}, "experiment": {"verbose": True}})
+    assert (config.get("data.sales"), config.get("models.neighborhood.k"), config.get("models.matrix_factorization.lr")) == ("s.csv", 7, 0.1)
+
+
+def test_csv_keeps_what_it_can(spark, tmp_path):
+    """Quotes, empty and null text, line ends and other encodings come back; damaged lines are marked."""
+    rows = [(1, 'a "b", c', 1.5), (2, "", None), (3, None, 2.0), (4, "é ü", 0.0)]
+    df = spark.createDataFrame(rows, "id long, t string, x double")
+    for n, encoding in enumerate(("UTF-8", "ISO-8859-1")):
+        write_csv(df, str(tmp_path / f"c{n}"), encoding)
+        back = read_csv(spark, str(tmp_path / f"c{n}"), encoding, df.schema)
+        assert sorted(tuple(r) for r in back.collect()) == [(*r, None) for r in rows]
+    (tmp_path / "d.csv").write_text("id,t,x\n1,a,2.5\nx,b,3\n3,c\n4,d,1,9\n")
+    back = sorted((tuple(r) for r in read_csv(spark, str(tmp_path / "d.csv"), schema=df.schema).collect()), key=str)
+    assert back == sorted([(1, "a", 2.5, None), (None, "b", 3.0, "x,b,3"), (3, "c", None, "3,c"), (4, "d", 1.0, "4,d,1,9")], key=str)
