@@ -17,7 +17,7 @@ NEIGHBOURS, MEMBERS = 8, 32
 INTRODUCED = 3
 #: First graph: trees of random hyperplanes with leaves of about so many vectors, compared in blocks.
 TREES, LEAF, LEAF_BLOCK = 4, 48, 256
-#: Rounds before the first audit, and at most.
+#: Rounds before the first audit, and before a table that should have met its recall by then counts as failed.
 LEAST_ROUNDS, ROUNDS = 2, 10
 #: Audit: vectors compared with all others by brute force at first, and the mean recall of a vector's links that is asked for.
 AUDIT, RECALL = 1024, 0.99
@@ -27,8 +27,8 @@ AUDITED, AUDIT_BYTES = 200, 1 << 25
 TILE = 1 << 21
 #: Vectors of a block when all vectors of a group are compared: an eighth of the group, within these numbers and bytes.
 LEAST_BLOCK, MOST_BLOCK, BLOCK_BYTES = 512, 8192, 1 << 23
-#: Lengths that no more different vectors have are compared whole, without a neighbour graph.
-FEW = 2048
+#: Lengths that no more different vectors have are one leaf, whose vectors are compared with each other anyway.
+FEW = LEAF
 SEED = 3
 
 
@@ -189,7 +189,7 @@ def measured_recall(units: DataFrame, part: DataFrame, linked: list[int], thresh
 
 
 def near_components(
-    units: DataFrame, threshold: float = THRESHOLD, k: int = NEIGHBOURS, members: int = MEMBERS, rounds: int = ROUNDS,
+    units: DataFrame, threshold: float = THRESHOLD, k: int = NEIGHBOURS, members: int = MEMBERS, rounds: int | None = None,
     audit: int = AUDIT, recall: float = RECALL, seed: int = SEED,
 ) -> DataFrame:
     """(node, component, recall) of the vectors that are linked to another at cosine ``threshold`` or more.
@@ -199,7 +199,8 @@ def near_components(
     double with each round. After two rounds the links' components are audited: vectors drawn by hash, whatever has been
     found for them, are compared with all vectors. Rounds go on, each with fresh trees, until the mean over those with a
     true link of the share of their links within their component is ``recall``; if it isn't after ``rounds``, that is an
-    error. Where too few vectors with a link can be drawn, a pair at the threshold must also have met in a leaf with chance
+    error. Unless they are given, rounds are as many as trees need to bring a pair at the threshold into a leaf with chance
+    ``recall``, by the depth that the number of vectors asks for, and two more; ``ROUNDS`` at least. Where too few vectors with a link can be drawn, a pair at the threshold must also have met in a leaf with chance
     ``recall``. The result tells the measured recall in each row.
     """
     first = units.select("unit").limit(1).collect()
@@ -210,11 +211,14 @@ def near_components(
     graph = durable(_kept(edges, k, threshold, k))
     near = F.col("sim") >= threshold
     links = stored(edges.where(near & (F.col("u") < F.col("v"))).select("u", "v").distinct(), "links")
-    if not rounds:
+    if rounds == 0:
         return connected_components(links).withColumn("recall", F.lit(None).cast("double"))
     linked, enough = _drawn(units, count, dim, threshold, audit, seed)
     apart = 1 - (1 - np.arccos(min(threshold, 1.0)) / np.pi) ** _depth(count)  # chance that no leaf of a tree has a pair
     trees, got = TREES, 0.0
+    if rounds is None:
+        needed = np.log(max(1 - recall, 1e-9)) / np.log(apart) if 0 < apart < 1 else 0
+        rounds = max(ROUNDS, LEAST_ROUNDS + int(np.ceil(needed / TREES)) + 2)
     for r in range(rounds):
         found = descend(units, graph, members, seed + r)
         if r >= LEAST_ROUNDS:
@@ -222,7 +226,7 @@ def near_components(
             trees += TREES
         found = stored(found, "edges")
         new = found.where(near).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-        links = stored(links.unionByName(new).distinct(), "links")
+        links = links.unionByName(stored(new.distinct(), "links"))  # each round writes what it found
         if r + 1 >= LEAST_ROUNDS:
             part = durable(connected_components(links))
             got = measured_recall(units, part, linked, threshold)
@@ -300,7 +304,7 @@ def link(table: DataFrame, threshold: float = THRESHOLD, few: int = FEW, **optio
 
     Equal vectors are one class from the start, so copies form no pairs: a row's links are the other rows of its class
     and all rows of the classes that its class is linked to. Vectors of one length are compared with each other: by
-    NN-descent, with the recall that its audit measured, or whole where there are no more than ``few``. The links within
+    NN-descent, with the recall that its audit measured, or as one leaf where there are no more than ``few``. The links within
     each component are then counted exactly. Vectors that can't link (null, empty, zero, or with null or non-finite
     components) have no links and no recall. ``component_id`` is the smallest vec_id that can be reached, ``kept`` marks
     that row. Repeated rows count as rows. A row with a null vec_id counts as a link of others and has links itself, but is
