@@ -23,10 +23,14 @@ def _ratio(part: Column, whole: Column) -> Column:
 
 
 def relevance(test: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(customer_key, product_key, gain, relevant): the rating, and whether it reaches the threshold; all rows without ratings."""
+    """(customer_key, product_key, gain, relevant): the rating, and whether it reaches the threshold; all rows without ratings.
+
+    Of a pair that is repeated the last rating by ``timestamp`` counts (at equal times, and without that column, the greatest).
+    """
     if R not in test.columns:
         return test.select(U, I).distinct().withColumns({"gain": F.lit(1.0), "relevant": F.lit(True)})
-    return test.groupBy(U, I).agg(F.max(R).alias("gain")).withColumn("relevant", F.col("gain") >= threshold)
+    gain = F.max(F.struct("timestamp", R))[R] if "timestamp" in test.columns else F.max(R)
+    return test.groupBy(U, I).agg(gain.alias("gain")).withColumn("relevant", F.col("gain") >= threshold)
 
 
 def per_user(recs: DataFrame, rel: DataFrame, ks: tuple[int, ...] = K_VALUES) -> DataFrame:

@@ -560,3 +560,10 @@ def test_csv_keeps_what_it_can(spark, tmp_path):
     (tmp_path / "d.csv").write_text("id,t,x\n1,a,2.5\nx,b,3\n3,c\n4,d,1,9\n")
     back = sorted((tuple(r) for r in read_csv(spark, str(tmp_path / "d.csv"), schema=df.schema).collect()), key=str)
     assert back == sorted([(1, "a", 2.5, None), (None, "b", 3.0, "x,b,3"), (3, "c", None, "3,c"), (4, "d", 1.0, "4,d,1,9")], key=str)
+
+
+def test_last_of_repeated_ratings_counts(spark):
+    rows = [(1, 2, 5.0, 1), (1, 2, 2.0, 3), (1, 2, 4.0, 2), (1, 3, 1.0, 4), (1, 3, 3.0, 4), (1, 4, 4.5, None), (1, 4, 1.5, 1)]
+    test = spark.createDataFrame(rows, f"{U} long, {I} long, rating double, timestamp long")
+    assert {r[I]: (r["gain"], r["relevant"]) for r in e.relevance(test).collect()} == {2: (2.0, False), 3: (3.0, False), 4: (1.5, False)}
+    assert {r[I]: r["gain"] for r in e.relevance(test.drop("timestamp")).collect()} == {2: 5.0, 3: 3.0, 4: 4.5}
