@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from itertools import combinations
 
@@ -174,8 +175,11 @@ NEAR_WORDS, SIMILARITY, NEAR_RADIUS = 5, 0.8, 26
 #: Keys of a document and the least hashes that make each; a pair at 0.8 has none in common once in 37,000.
 KEYS, HASHES = 20, 4
 #: Larger buckets first compare their members with some of them, other ones for each key; members that this leaves in
-#: different components are then compared exactly, in pairs of blocks of about so many members and bytes of shingles.
+#: different components are then compared exactly where they share one of their rarest shingles. Shingles that so many have
+#: among their rarest tell too little: who holds them is compared in pairs of blocks of about so many members and bytes.
 PAIRED_BUCKET, REFERENCES = 64, 4
+#: Places of the table that counts shingles, of which one byte each goes to the driver and back (1 MB).
+PLACES = 1 << 20
 BLOCK_MEMBERS, BLOCK_BYTES, BLOCK_COLUMNS = 256, 2_000_000, 4096
 #: Row numbers up to this number are broadcast (31 MB at 77 bytes a row); more are joined by shuffling.
 BROADCAST_ROWS = 400_000
@@ -209,7 +213,8 @@ def near_copies(docs: DataFrame, width: int = NEAR_WORDS, similarity: float = SI
     instead; the pivot table discards those that are further apart than ``radius``, and the survivors' sets are compared
     exactly. Buckets with many members pair each with a few references, other ones for each of the keys, which joins a
     group of copies of one text without its pairs. Members of such a bucket that are in different components after that
-    are all compared with each other, in pairs of blocks.
+    are compared by their rarest shingles (see ``_rare_pairs``), so documents that share a long common passage and nothing
+    else never meet. No pair is lost by either step.
     """
     rows = numbered_texts(*with_row(docs.select("doc_id", "text")))
     first = _first_rows(rows, width, similarity, radius).withColumn("kept", F.lit(True))
@@ -240,11 +245,9 @@ def _first_rows(rows: DataFrame, width: int, similarity: float, radius: int) ->
     pairs = stored(_key_pairs(classes, radius), "near_pairs")
     links = durable(_similar(rows, pairs, width, similarity))
     part = connected_components(links)
-    crowded = stored(_crowded(classes, part), "crowded")
+    crowded = stored(_apart(_large(classes), part), "crowded")
     if not crowded.isEmpty():
-        sets = _sets(rows, crowded.select(F.col("id").alias("row")).distinct(), width)
-        more = _block_links(crowded, sets, similarity)
-        part = connected_components(part.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
+        part = _joined(rows, crowded, part, width, similarity)
     grouped = classes.join(part, classes["id"] == part["node"], "left").select(F.coalesce("component", "id").alias("group"), "first")
     return grouped.groupBy("group").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
 
@@ -273,20 +276,106 @@ def _key_pairs(classes: DataFrame, radius: int) -> DataFrame:
     return paired(small, small, False).unionByName(paired(large, chosen, True)).distinct()
 
 
-def _crowded(classes: DataFrame, part: DataFrame) -> DataFrame:
-    """(which, key, id, component, main) of the members of large buckets that lie in several components.
+def _large(classes: DataFrame) -> DataFrame:
+    """(which, key, id) of the members of large buckets."""
+    table = classes.select("id", F.posexplode("keys").alias("which", "key"))
+    large = table.groupBy("which", "key").agg(F.count("*").alias("n")).where(F.col("n") > PAIRED_BUCKET).select("which", "key")
+    return table.join(large, ["which", "key"]).select("which", "key", "id")
+
+
+def _apart(members: DataFrame, part: DataFrame) -> DataFrame:
+    """(which, key, id, component, main) of the members of buckets that lie in several components.
 
     ``main`` tells whether the member is in the bucket's largest component, whose members need no comparison among them.
     """
-    table = classes.select("id", F.posexplode("keys").alias("which", "key"))
-    large = table.groupBy("which", "key").agg(F.count("*").alias("n")).where(F.col("n") > PAIRED_BUCKET).select("which", "key")
-    members = table.join(large, ["which", "key"]).join(part.withColumnRenamed("node", "id"), "id", "left")
+    members = members.join(part.withColumnRenamed("node", "id"), "id", "left")
     members = members.select("which", "key", "id", F.coalesce("component", "id").alias("component"))
     held = members.groupBy("which", "key", "component").agg(F.count("*").alias("m"))
     held = held.groupBy("which", "key").agg(F.count("*").alias("parts"), F.max(F.struct("m", "component")).alias("most")).where("parts > 1")
     return members.join(held, ["which", "key"]).select("which", "key", "id", "component", (F.col("component") == F.col("most.component")).alias("main"))
 
 
+def _joined(rows: DataFrame, crowded: DataFrame, part: DataFrame, width: int, similarity: float) -> DataFrame:
+    """``part`` with the components joined that hold similar members of one large bucket."""
+    known = part.select(F.col("node").alias("u"), F.col("component").alias("v"))
+    ids = crowded.select(F.col("id").alias("row"), "component").distinct()
+    sets = _sets(rows, ids.select("row"), width)
+    rare = stored(_rare_shingles(sets.join(ids, "row"), _frequencies(sets), similarity), "rare")
+    lists = rare.groupBy("token").agg(
+        F.count_if("indexed").alias("held"), (F.min("component") < F.max("component")).alias("mixed")
+    ).where("mixed and held > 0")
+    lists = stored(lists.select("token", "held"), "lists")
+    pairs = stored(_rare_pairs(rare, lists.where(F.col("held") <= PAIRED_BUCKET), similarity), "rare_pairs")
+    part = connected_components(known.unionByName(_alike(pairs, sets, similarity)))
+    common = rare.join(lists.where(F.col("held") > PAIRED_BUCKET), "token", "left_semi").select("id").distinct()
+    left = stored(_apart(crowded.select("which", "key", "id").join(common, "id", "left_semi"), part), "crowded")
+    if left.isEmpty():
+        return part
+    known = part.select(F.col("node").alias("u"), F.col("component").alias("v"))
+    return connected_components(known.unionByName(_block_links(left, sets, similarity)))
+
+
+def _frequencies(sets: DataFrame) -> np.ndarray:
+    """Base-2 logarithms of how often shingles occur in ``sets``, by their place in a table of ``PLACES``.
+
+    Shingles of one place count together. They only order the shingles, and every order gives the same links.
+    """
+
+    def count(batches):
+        total = np.zeros(PLACES, np.int64)
+        for batch in batches:
+            for shingles in batch.column(0).to_pylist():
+                # shingles of a set are distinct, but several may have one place
+                np.add.at(total, np.frombuffer(shingles, np.uint64) & np.uint64(PLACES - 1), 1)
+        at = np.flatnonzero(total)
+        for i in range(0, len(at), 65536):
+            some = at[i : i + 65536]
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["place", "n"])
+
+    counts = sets.select("shingles").mapInArrow(count, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).where("n > 1")
+    found = counts.select("place", F.floor(F.log2("n")).cast("byte").alias("n")).toArrow()
+    out = np.zeros(PLACES, np.uint8)
+    out[found.column("place").to_numpy()] = found.column("n").to_numpy()
+    return out
+
+
+def _rare_shingles(members: DataFrame, often: np.ndarray, similarity: float) -> DataFrame:
+    """(id, component, size, token, indexed): the rarest shingles of each set, of which one is common to any similar pair.
+
+    In a fixed order of all shingles, a set of n that overlaps a set of no more than its size at similarity t has t n
+    shingles in common with it, so the first common one is among its first n - t n + 1. For the smaller of the two it is
+    among the first n - 2 t n / (1 + t) + 1, which are ``indexed`` (Xiao et al., 2008: prefix filtering).
+    """
+
+    def run(batches):
+        for batch in batches:
+            own = []
+            for row, component, raw in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                h = np.frombuffer(raw, np.uint64)
+                if not len(h):
+                    continue
+                # a small slack: rounding may make the prefixes longer, never shorter
+                first = len(h) - math.ceil(similarity * len(h) - 1e-6) + 1
+                held = len(h) - math.ceil(2 * similarity / (1 + similarity) * len(h) - 1e-6) + 1
+                order = h[np.lexsort((h, often[h & np.uint64(PLACES - 1)]))[:first]]
+                own.append((np.full(len(order), row), np.full(len(order), component), np.full(len(order), len(h)), order.view(np.int64), np.arange(len(order)) < held))
+            if own:
+                columns = [pa.array(np.concatenate(c)) for c in zip(*own, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "component", "size", "token", "indexed"])
+
+    return members.select("row", "component", "shingles").mapInArrow(run, "id long, component long, size long, token long, indexed boolean")
+
+
+def _rare_pairs(rare: DataFrame, lists: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (u, v) of sets in different components with a common rare shingle that few have indexed, of sizes that allow it."""
+    of = rare.join(lists.select("token"), "token")
+    a, b = of.where("indexed").drop("indexed").alias("a"), of.drop("indexed").alias("b")
+    smaller = (F.col("a.size") < F.col("b.size")) | ((F.col("a.size") == F.col("b.size")) & (F.col("a.id") < F.col("b.id")))
+    on = (F.col("a.token") == F.col("b.token")) & (F.col("a.component") != F.col("b.component")) & smaller
+    near = a.join(b, on & (F.col("a.size") >= similarity * F.col("b.size") - 1e-6))
+    return near.select(F.least("a.id", "b.id").alias("u"), F.greatest("a.id", "b.id").alias("v")).distinct()
+
+
 def _block_links(crowded: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Links (u, v) between members of a bucket in different components: all pairs, in pairs of blocks.
 
@@ -355,9 +444,14 @@ def _sets(rows: DataFrame, ids: DataFrame, width: int) -> DataFrame:
 
 def _similar(rows: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
     """The pairs whose sets of shingles are similar; only their members' texts are read for it."""
-    sets_ = _sets(rows, pairs.select(F.explode(F.array("u", "v")).alias("row")).distinct(), width)
-    with_u = pairs.join(sets_.select(F.col("row").alias("u"), F.col("shingles").alias("a")), "u")
-    both = with_u.join(sets_.select(F.col("row").alias("v"), F.col("shingles").alias("b")), "v").select("u", "v", "a", "b")
+    sets = _sets(rows, pairs.select(F.explode(F.array("u", "v")).alias("row")).distinct(), width)
+    return _alike(pairs, sets, similarity)
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose ``sets`` are similar."""
+    with_u = pairs.join(sets.select(F.col("row").alias("u"), F.col("shingles").alias("a")), "u")
+    both = with_u.join(sets.select(F.col("row").alias("v"), F.col("shingles").alias("b")), "v").select("u", "v", "a", "b")
 
     def compared(batches):
         for batch in batches:

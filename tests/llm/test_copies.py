@@ -104,6 +104,52 @@ def test_near_copies_inside_a_template_family(spark, tmp_path):
     assert sorted(r["doc_id"] for r in left.collect()) == list(range(0, 240, 2))
 
 
+def kept_by_all_pairs(rows, width=5, similarity=0.8):
+    """The smallest id of each group of near copies, by comparing all pairs."""
+    sets = [set(simhash.shingles(simhash.words_of(t), width)) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            common = len(sets[a] & sets[b])
+            if common >= similarity * (len(sets[a]) + len(sets[b]) - common):
+                root[find(a)] = find(b)
+    groups = {}
+    for i, (doc, _) in enumerate(rows):
+        groups.setdefault(find(i), []).append(doc)
+    return sorted(min(ids) for ids in groups.values())
+
+
+@pytest.mark.parametrize("edited", [False, True])
+def test_near_copies_in_large_buckets_by_all_pairs(spark, tmp_path, monkeypatch, edited):
+    """Pairs on either side of the bound: families around long passages, and edits of one text, which alone need pairs of blocks."""
+    monkeypatch.setattr(simhash, "PAIRED_BUCKET", 4)
+    rng, rows = np.random.default_rng(7), []
+    for family in range(3):
+        passage = words(700 + family, 120)
+        for i in range(24):
+            if edited:
+                text = passage.split(" ")
+                for at in rng.choice(len(text), int(rng.integers(1, 5)), replace=False):
+                    text[at] = f"e{len(rows)}x{at}"
+                rows.append((len(rows), " ".join(text)))
+            else:
+                unique = words(3000 + 100 * family + i - i % 3, int(rng.integers(20, 60)))
+                rows.append((len(rows), f"{passage} {unique} {words(9000 + len(rows), int(rng.integers(0, 24)))}"))
+    used = []
+    monkeypatch.setattr(simhash, "_block_links", lambda *a, f=simhash._block_links: (used.append(1), f(*a))[1])
+    compared = []
+    monkeypatch.setattr(simhash, "_rare_pairs", lambda *a, f=simhash._rare_pairs: (compared.append(1), f(*a))[1])
+    left = simhash.drop_near_copies(documents(spark, tmp_path / "d", rows))
+    assert sorted(r["doc_id"] for r in left.collect()) == kept_by_all_pairs(rows)
+    assert compared and bool(used) == edited
+
+
 def plain_repeats(rows, window):
     """(doc_id, removed, spans, digest of what stays) by a dictionary of all strings, rows by id (nulls first)."""
     order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0, i))
