@@ -331,3 +331,148 @@ def test_audit_sees_lost_pairs(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "first_graph", lambda *a, **b: whole(*a, **b).where("u < 120 and v < 120"))
     with pytest.raises(RuntimeError):
         neighbours.near_components(units, rounds=2)
+
+
+def test_langid_by_brute_force(spark):
+    """Predictions and scores equal those of plain loops over words, letters and languages; of two equal languages the first by name."""
+    rows = [(i, words(i, 40, LETTERS[(lang := sorted(LETTERS)[i % 3])]), lang) for i in range(90)]
+    rng = random.Random(7)
+    for i in range(200, 260):
+        parts = [words(1000 + 10 * i + j, rng.randint(1, 12), LETTERS[rng.choice(sorted(LETTERS))]) for j in range(rng.randint(2, 5))]
+        rows.append((i, " ".join(parts), None))
+    rows += [(300, "abcdefgh абвгдежз", None), (301, "абвгдежз abcdefgh", None)]
+    mix, mask = 0x9E3779B97F4A7C15, 2**64 - 1
+
+    def buckets(word):
+        codes = [1, *map(ord, word), 1]
+        for n in (2, 3, 4):
+            for i in range(len(codes) - n + 1):
+                key = codes[i] * mix & mask
+                for c in codes[i + 1 : i + n]:
+                    key = (key ^ c) * mix & mask
+                yield (key >> 40) % langid.BUCKETS
+
+    langs = sorted(LETTERS)
+    counts = {x: Counter() for x in langs}
+    for i, t, lang in rows:
+        if lang and zlib.crc32(str(i).encode()) % 4 != 2:
+            counts[lang].update(b for w in t.split(" ") for b in buckets(w))
+    total = {x: sum(counts[x].values()) + 0.5 * langid.BUCKETS for x in langs}
+
+    def score(word):
+        own = dict.fromkeys(langs, 0.0)
+        for b in buckets(word):
+            logs = {x: np.log((counts[x][b] + 0.5) / total[x]) for x in langs}
+            for x in langs:
+                own[x] += (logs[x] - sum(logs.values()) / len(langs)) / 3
+        cyrillic = word[0] in LETTERS["cc"]
+        return {x: v if (x == "cc") == cyrillic else -1e4 for x, v in own.items()}
+
+    expected = {}
+    for i, t, _ in rows:
+        paths = {x: (0.0, []) for x in langs}
+        for k, w in enumerate(t.split(" ")):
+            s = score(w)
+            best = {x: max(((v - langid.SWITCH * (k > 0 and y != x), path) for y, (v, path) in paths.items()), key=lambda p: p[0]) for x in langs}
+            paths = {x: (v + s[x], [*path, x]) for x, (v, path) in best.items()}
+        letters = Counter()
+        for w, x in zip(t.split(" "), max(paths.values(), key=lambda p: p[0])[1], strict=True):
+            letters[x] += len(w)
+        top = max(langs, key=lambda x: letters[x])
+        expected[i] = (top, letters[top] / sum(letters.values()))
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got == expected
+    assert got[300] == got[301] == ("aa", 0.5)
+    assert any(s < 1 for _, s in got.values())
+
+
+def crc(data, poly, width):
+    """A checksum bit by bit."""
+    value = 0
+    for byte in data:
+        for bit in range(8):
+            top = value >> (width - 1) ^ (byte >> (7 - bit) & 1)
+            value = (value << 1 & (1 << width) - 1) ^ (poly if top else 0)
+    return value
+
+
+def plain_frames(stream):
+    """Samples of a FLAC stream of blocks of 576 8-bit mono samples, read one bit after the other."""
+    at = 4
+    while True:
+        kind, at = stream[at], at + 4 + int.from_bytes(stream[at + 1 : at + 4], "big")
+        if kind & 128:
+            break
+    out, number = [], 0
+    while at < len(stream):
+        assert stream[at : at + 4] == b"\xff\xf8\x24\x02"
+        coded = chr(number).encode("utf-8", "surrogatepass")
+        head = 4 + len(coded)
+        assert stream[at + 4 : at + head] == coded and stream[at + head] == crc(stream[at : at + head], 0x07, 8)
+        bits = "".join(f"{b:08b}" for b in stream[at + head + 1 : at + head + 1 + 1200])
+        i = 0
+
+        def take(n, signed=False):
+            nonlocal i
+            value = int(bits[i : i + n] or "0", 2)
+            i += n
+            return value - (1 << n) if signed and value >> (n - 1) else value
+
+        kind, x = take(8) >> 1, []
+        if kind == 0:
+            x = [take(8, True)] * 576
+        elif kind == 1:
+            x = [take(8, True) for _ in range(576)]
+        else:
+            order = kind - 8 if kind < 32 else kind - 31
+            x = [take(8, True) for _ in range(order)]
+            shift, coef = 0, [[], [1], [2, -1], [3, -3, 1], [4, -6, 4, -1]][order if kind < 32 else 0]
+            if kind >= 32:
+                precision, shift = take(4) + 1, take(5, True)
+                coef = [take(precision, True) for _ in range(order)]
+            wide, parts = take(2), 1 << take(4)
+            for part in range(parts):
+                k = take(5 if wide else 4)
+                for _ in range(576 // parts - (0 if part else order)):
+                    stop = bits.index("1", i)
+                    q, i = stop - i, stop + 1
+                    u = q << k | (take(k) if k else 0)
+                    x.append((u >> 1 ^ -(u & 1)) + (sum(c * x[-1 - j] for j, c in enumerate(coef)) >> shift))
+        end = at + head + 1 + (i + 7) // 8
+        assert int.from_bytes(stream[end : end + 2], "big") == crc(stream[at:end], 0x8005, 16)
+        out, at, number = out + x, end + 2, number + 1
+    return out
+
+
+def test_media_by_a_plain_decoder(spark, tmp_path):
+    """Stored streams hold what a bit-by-bit decoder reads; sizes, digests and features equal plain formulas."""
+    sha = lambda raw: __import__("hashlib").sha256(raw).hexdigest()
+    rng = random.Random(3)
+    rows = [(i, t) for i, t in texts() if len(t or "") < 20_000] + [(20, words(9, 2500)), (21, "".join(chr(rng.randrange(1, 0x2000)) for _ in range(3000))), (22, "\x00" * 700)]
+    stored = media.to_flac(documents(spark, tmp_path / "d", rows))
+    streams = Counter((r["doc_id"], bytes(r["media"])) for r in stored.collect())
+    assert Counter(i for i, _ in streams.elements()) == Counter(i for i, _ in rows)
+    want = Counter()
+    payloads = defaultdict(set)
+    for i, t in rows:
+        payloads[i].add(media.padded(t))
+    for (i, stream), times in streams.items():
+        x = plain_frames(stream)
+        assert bytes(v + 128 for v in x) in payloads[i]
+        rms, mean = (sum(v * v for v in x) / len(x)) ** 0.5, sum(x) / len(x)
+        zcr = sum((a < 0) != (b < 0) for a, b in zip(x, x[1:], strict=False)) / len(x)
+        want[i, len(stream), sha(stream), f"rms={rms:.4f};mean={mean:.4f};peak={max(map(abs, x))};zcr={zcr:.6f}"] += times
+    assert Counter((r["doc_id"], r["media_bytes"], r["media_sha256"], r["feature"]) for r in media.describe(stored).collect()) == want
+
+
+def test_flac_stream_by_hand():
+    """One frame of padding, byte for byte: the stream of every null or empty text."""
+    frame = b"\xff\xf8\x24\x02\x00"
+    frame += bytes([crc(frame, 0x07, 8)]) + b"\x00\x7f"  # a constant subframe of 127
+    frame += crc(frame, 0x8005, 16).to_bytes(2, "big")
+    info = (576).to_bytes(2, "big") * 2 + len(frame).to_bytes(3, "big") * 2 + (8000 << 44 | 7 << 36 | 576).to_bytes(8, "big")
+    info += __import__("hashlib").md5(b"\x7f" * 576).digest()
+    seek = (0).to_bytes(16, "big") + (576).to_bytes(2, "big")
+    hand = b"fLaC\x00\x00\x00\x22" + info + b"\x83\x00\x00\x12" + seek + frame
+    assert flac.encode([media.padded(None)]) == [hand] == flac.encode([media.padded("")])
+    assert flac.decode([hand]) == [b"\xff" * 576] and plain_frames(hand) == [127] * 576
