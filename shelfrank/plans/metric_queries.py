@@ -29,7 +29,7 @@ def _sets(spark, sf):
 
 def _recs(spark, sf):
     train, test = halves(spark, sf)
-    return m.PopularityRecommender().fit(train).recommend(test, max(KS)).persist(), test
+    return m.PopularityRecommender().fit(train).recommend(test, max(KS)), test
 
 
 def _results(spark, sf):

@@ -15,7 +15,7 @@ HASH = sql_hash(42, U, I)
 def _rows(of) -> DataFrame:
     """Both halves, marked."""
     def run(spark, sf):
-        train, test = of(prepare.active(inter(spark, sf)).persist(), spark, sf)
+        train, test = of(prepare.active(inter(spark, sf)), spark, sf)
         return rounded(train.withColumn("half", F.lit("train")).unionByName(test.withColumn("half", F.lit("test"))))
 
     return run
