@@ -15,6 +15,7 @@ from shelfrank.operators import features as f
 from shelfrank.operators import metrics as e
 from shelfrank.operators import models as m
 from shelfrank.operators import neighbourhood as nb
+from shelfrank.operators import rows as by_rows
 from shelfrank.operators import prepare, products, ranking, recommender, results, sampling, splits
 from shelfrank.sources.catalog import Catalog, read_csv, write_csv
 from shelfrank.sources.config import Config
@@ -567,3 +568,64 @@ def test_last_of_repeated_ratings_counts(spark):
     test = spark.createDataFrame(rows, f"{U} long, {I} long, rating double, timestamp long")
     assert {r[I]: (r["gain"], r["relevant"]) for r in e.relevance(test).collect()} == {2: (2.0, False), 3: (3.0, False), 4: (1.5, False)}
     assert {r[I]: r["gain"] for r in e.relevance(test.drop("timestamp")).collect()} == {2: 5.0, 3: 3.0, 4: 4.5}
+
+
+@pytest.mark.parametrize("users", [True, False])
+def test_rows_by_ranges_equal_pairs(spark, monkeypatch, users):
+    """Many small ranges give what the grid of pairs gives: the nearest, pairs from a floor on, and scores of asked pairs."""
+    rows = some_ratings(16, 13, 6)
+    df, asked = ratings(spark, rows), spark.createDataFrame([(u, i) for u in range(17) for i in range(14)], f"{U} long, {I} long")
+
+    def found():
+        model = m.NeighbourhoodRecommender(user_based=users, k=3).fit(df)
+        near = sorted((r["a"], r["rank"], r["b"], round(r["sim"], 9)) for r in model.index().collect())
+        scores = sorted((r[U], r[I], round(r["score"], 9)) for r in model.predict(asked).collect())
+        above = m.NeighbourhoodRecommender(user_based=users, min_similarity=0.2).fit(df).ordered_similarities()
+        return near, scores, sorted((r["a"], r["b"], round(r["sim"], 9)) for r in above.collect())
+
+    monkeypatch.setattr(by_rows, "RANGE_PAIRS", 40)
+    monkeypatch.setattr(by_rows, "PAIRS_AT_ONCE", 16)
+    ranges = found()
+    monkeypatch.setattr(nb, "KEY_BLOCK", 1)
+    assert ranges == found()
+
+
+def test_tiles_give_no_seen_rows(spark, monkeypatch):
+    """Users who have seen much, items of equal vectors: n rows leave each tile, besides ties, and they are the right ones."""
+    rng = np.random.default_rng(5)
+    kinds = rng.normal(size=(12, 4)).round(2)
+    of = rng.integers(0, 12, 90)
+    asked = rng.normal(size=(7, 4))
+    seen = {(u, int(i)) for u in range(7) for i in rng.choice(90, 12 * u, replace=False)}
+    at = F.array(*[F.lit(i) for i in range(4)])
+    users = spark.createDataFrame([(u, v.tolist()) for u, v in enumerate(asked)], f"{U} long, vector array<double>").withColumn("at", at)
+    items = spark.createDataFrame([(i, kinds[k].tolist()) for i, k in enumerate(of)], f"{I} long, vector array<double>").withColumn("at", at)
+    monkeypatch.setattr(products, "ITEMS_AT_ONCE", 5)
+    for size in (1 << 26, 600):
+        monkeypatch.setattr(products, "TILE_BYTES", size)
+        rows = products.blocked_top(users, items, 4, 4, spark.createDataFrame(sorted(seen), f"{U} long, {I} long")).collect()
+        for u in range(7):
+            scores = kinds[of] @ asked[u]
+            want = sorted((i for i in range(90) if (u, i) not in seen), key=lambda i: (-round(scores[i], 9), i))[:4]
+            got = sorted((r for r in rows if r[U] == u), key=lambda r: (-round(r["score"], 9), r[I]))
+            assert [r[I] for r in got][:4] == want
+        assert size == 600 or len(rows) < 2 * 7 * 4  # with the seen ones these were 280
+
+
+def test_plans_stay_short(spark):
+    """Fitted tables are read from files: a plan doesn't hold the plans of all tables before it, each of them twice."""
+    df = ratings(spark, some_ratings())
+    table = spark.createDataFrame(linear_features(), f"{I} long, feature string, value double")
+    model = m.ContentRecommender().fit(df, table)
+    lists = model.recommend(df, 3, df)
+    assert "InMemoryRelation" not in lists._jdf.queryExecution().toString() and lists.count()
+    model.release()
+
+
+def test_sales_are_shuffled_once(spark):
+    """Repeated rows change nothing, and ends of sales that no latest row has still count."""
+    rows = [(1, 1, "2024-01-01", 9.0), (1, 1, "2024-02-01", 3.0), (1, 1, "2024-02-01", 3.0), (2, 1, "2024-01-01", None), (2, 1, "2023-01-01", 1.0)]
+    sold = spark.createDataFrame(rows, f"{U} long, {I} long, order_date string, sales double").withColumn("order_date", F.col("order_date").cast("timestamp_ntz"))
+    out = prepare.sales(sold)
+    assert {(r[U], r["rating"]) for r in out.collect()} == {(1, 2.0), (2, None)}
+    assert "Exchange" not in out._jdf.queryExecution().toString()
