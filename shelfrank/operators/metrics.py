@@ -9,13 +9,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfrank.sources.shared import stored
+
 U, I, R = "customer_key", "product_key", "rating"
 K_VALUES = (1, 5, 10, 20)
 METRICS = ("precision", "recall", "ndcg", "hit_rate", "map", "mrr")
 THRESHOLD = 3.5
+#: Recommended items whose values are sent to the tasks whole.
+SENT_ITEMS = 100_000
 
 
 def _ratio(part: Column, whole: Column) -> Column:
@@ -34,22 +41,26 @@ def relevance(test: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def per_user(recs: DataFrame, rel: DataFrame, ks: tuple[int, ...] = K_VALUES) -> DataFrame:
-    """(customer_key, k, precision, recall, ndcg, hit, ap, rr, n_relevant) of every user of ``rel``."""
-    by = Window.partitionBy(U).orderBy("rank")
-    placed = recs.where(F.col("rank") <= max(ks)).select(U, I, "rank").join(rel, [U, I], "left")
-    hit = F.coalesce(F.col("relevant"), F.lit(False)).cast("int")
-    placed = placed.withColumn("hit", hit).withColumn("hits", F.sum("hit").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    """(customer_key, k, precision, recall, ndcg, hit, ap, rr, n_relevant) of every user of ``rel``.
+
+    Lists and test rows of a user meet by one shuffle; within it, pairs, places and sums need no other.
+    """
+    lists = recs.where((F.col("rank") <= max(ks)) & F.col(U).isNotNull()).select(U, I, "rank", F.lit(None).cast("double").alias("gain"), F.lit(None).cast("boolean").alias("relevant"), F.lit(True).alias("listed"))
+    truth = rel.select(U, I, F.lit(None).cast("int").alias("rank"), "gain", "relevant", F.lit(False).alias("listed"))
+    both, pair = lists.unionByName(truth).repartition(U), Window.partitionBy(U, I)
+    both = both.withColumns({c: F.when(F.col(I).isNotNull() | ~F.col("listed"), F.max(c).over(pair)) for c in ("gain", "relevant")})
+    listed, asked = F.col("listed"), ~F.col("listed")
+    by = Window.partitionBy(U, "listed").orderBy("rank", F.desc("gain"), I)  # lists by rank, test rows (without one) by gain
+    hit = (listed & F.coalesce(F.col("relevant"), F.lit(False))).cast("int")
+    placed = both.withColumn("hit", hit).withColumns({"hits": F.sum("hit").over(by.rowsBetween(Window.unboundedPreceding, 0)), "place": F.row_number().over(by)})
     placed = placed.withColumn("dcg", F.coalesce("gain", F.lit(0.0)) / F.log2(F.col("rank") + 1.0)).withColumn("prec", F.col("hit") * F.col("hits") / F.col("rank"))
     upto = lambda k, name: F.sum(F.when(F.col("rank") <= k, F.col(name))).alias(f"{name}_{k}")
-    lists = placed.groupBy(U).agg(
-        F.count("*").alias("length"), F.min(F.when(F.col("hit") == 1, F.col("rank"))).alias("first"),
+    users = placed.groupBy(U).agg(
+        F.count_if(listed).alias("length"), F.min(F.when(F.col("hit") == 1, F.col("rank"))).alias("first"),
         *[upto(k, name) for k in ks for name in ("hit", "dcg", "prec")],
-    )
-    ideal = rel.withColumn("place", F.row_number().over(Window.partitionBy(U).orderBy(F.desc("gain"), I)))
-    users = ideal.groupBy(U).agg(
-        F.count_if("relevant").alias("n_relevant"),
-        *[F.sum(F.when(F.col("place") <= k, F.col("gain") / F.log2(F.col("place") + 1.0))).alias(f"ideal_{k}") for k in ks],
-    )
+        F.count_if(asked).alias("asked"), F.count_if(asked & F.col("relevant")).alias("n_relevant"),
+        *[F.sum(F.when(asked & (F.col("place") <= k), F.col("gain") / F.log2(F.col("place") + 1.0))).alias(f"ideal_{k}") for k in ks],
+    ).where(F.col("asked") > 0)
     some = F.col("n_relevant") > 0
 
     def at(k: int) -> Column:
@@ -60,7 +71,7 @@ def per_user(recs: DataFrame, rel: DataFrame, ks: tuple[int, ...] = K_VALUES) ->
             _ratio(F.col(f"prec_{k}"), F.col("n_relevant")).alias("ap"), F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("rr"), "n_relevant",
         )
 
-    return users.join(lists, U, "left").select(U, F.explode(F.array(*[at(k) for k in ks])).alias("m")).select(U, "m.*")
+    return users.select(U, F.explode(F.array(*[at(k) for k in ks])).alias("m")).select(U, "m.*")
 
 
 def averaged(users: DataFrame, ks: tuple[int, ...] = K_VALUES, metrics: tuple[str, ...] = METRICS, by: str | None = None) -> DataFrame:
@@ -78,18 +89,47 @@ def averaged(users: DataFrame, ks: tuple[int, ...] = K_VALUES, metrics: tuple[st
     return tall.select(*keys, "metric", F.when(F.col("metric") != "mrr", F.col("k")).alias("k"), "value")
 
 
+def _with_items(recs: DataFrame, values: DataFrame, ks: tuple[int, ...]) -> DataFrame:
+    """Lists with the columns that ``values`` has by item; only recommended items are sent, whole if they are few."""
+    used = recs.where(F.col("rank") <= max(ks))
+    own = stored(values.join(used.select(I).distinct(), I, "left_semi"), "items")
+    return used.join(F.broadcast(own) if own.count() <= SENT_ITEMS else own, I)
+
+
 def diversity(recs: DataFrame, sets: DataFrame, ks: tuple[int, ...] = K_VALUES) -> DataFrame:
     """(k, value): mean over users of the mean Jaccard distance of pairs of items that both have features.
 
-    ``sets`` has (product_key, features). A list's pairs are bounded by the largest k.
+    ``sets`` has (product_key, features). A list's pairs are bounded by the largest k; they are compared where the list is,
+    equal pairs of items once for a batch of users.
     """
-    used = recs.where(F.col("rank") <= max(ks)).join(sets.where(F.size("features") > 0).select(I, "features"), I)
-    a, b = used.select(U, F.col("rank").alias("ra"), F.col("features").alias("fa")), used.select(U, F.col("rank").alias("rb"), F.col("features").alias("fb"))
-    distance = 1.0 - F.size(F.array_intersect("fa", "fb")) / F.size(F.array_union("fa", "fb"))
-    pairs = a.join(b, U).where("ra < rb").select(U, F.col("rb").alias("last"), distance.alias("d"))
-    steps = F.broadcast(recs.sparkSession.createDataFrame([(k,) for k in ks], "k int"))
-    own = pairs.crossJoin(steps).where(F.col("last") <= F.col("k")).groupBy(U, "k").agg(F.avg("d").alias("d"))
-    return own.groupBy("k").agg(F.avg("d").alias("value"))
+    used = _with_items(recs, sets.where(F.size("features") > 0).select(I, F.array_distinct("features").alias("features")), ks)
+    lists = used.groupBy(U).agg(F.collect_list(F.struct("rank", I, "features")).alias("l")).select(*[F.col(f"l.{c}").alias(c) for c in ("rank", I, "features")])
+    depths = np.array(ks)
+
+    def run(batches):
+        for batch in batches:
+            user = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch.column("rank")).to_numpy(zero_copy_only=False))
+            rank, item = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("rank", I))
+            order = np.lexsort((rank, user))
+            user, rank, item = user[order], rank[order], item[order]
+            items, first, code = np.unique(item, return_index=True, return_inverse=True)
+            features = [frozenset(x) for x in batch.column("features").flatten().take(pa.array(order[first])).to_pylist()]
+            # each row meets those that come after it in its list, with a later rank
+            size = np.searchsorted(user, user, "right") - np.arange(len(user)) - 1
+            a = np.repeat(np.arange(len(user)), size)
+            b = np.arange(len(a)) - np.repeat(np.cumsum(size) - size, size) + a + 1
+            later = rank[a] < rank[b]
+            a, b = a[later], b[later]
+            pairs, at = np.unique(np.minimum(code[a], code[b]) * len(items) + np.maximum(code[a], code[b]), return_inverse=True)
+            apart = np.array([1.0 - len(features[x] & features[y]) / len(features[x] | features[y]) for x, y in zip(*(p.tolist() for p in np.divmod(pairs, max(len(items), 1))), strict=True)])
+            for k in depths:
+                inside = rank[b] <= k
+                n = np.bincount(user[a[inside]], minlength=batch.num_rows)
+                total = np.bincount(user[a[inside]], apart[at[inside]] if len(pairs) else None, minlength=batch.num_rows)
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([(total[n > 0] / n[n > 0]).sum()]), pa.array([(n > 0).sum()])], names=["k", "s", "n"])
+
+    sums = lists.mapInArrow(run, "k int, s double, n long").groupBy("k").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    return sums.where("n > 0").select("k", (F.col("s") / F.col("n")).alias("value"))
 
 
 def novelty(recs: DataFrame, counts: DataFrame, ks: tuple[int, ...] = K_VALUES) -> DataFrame:
@@ -99,9 +139,9 @@ def novelty(recs: DataFrame, counts: DataFrame, ks: tuple[int, ...] = K_VALUES)
     """
     total = counts.agg(F.sum("n").alias("total"))
     shares = counts.where("n > 0").join(F.broadcast(total)).select(I, (-F.log2(F.col("n") / F.col("total"))).alias("surprise"))
-    steps = F.broadcast(recs.sparkSession.createDataFrame([(k,) for k in ks], "k int"))
-    used = recs.where(F.col("rank") <= max(ks)).join(shares, I).crossJoin(steps).where(F.col("rank") <= F.col("k"))
-    return used.groupBy(U, "k").agg(F.avg("surprise").alias("s")).groupBy("k").agg(F.avg("s").alias("value"))
+    means = _with_items(recs, shares, ks).groupBy(U).agg(*[F.avg(F.when(F.col("rank") <= k, F.col("surprise"))).alias(str(k)) for k in ks])
+    row = means.agg(*[F.avg(F.col(f"`{k}`")).alias(str(k)) for k in ks])
+    return row.unpivot([], [F.col(f"`{k}`") for k in ks], "k", "value").where(F.col("value").isNotNull()).select(F.col("k").cast("int").alias("k"), "value")
 
 
 def coverage(recs: DataFrame, items: DataFrame, ks: tuple[int, ...] = K_VALUES) -> DataFrame:
@@ -125,10 +165,9 @@ def evaluate(
 
     Lists of users without test rows don't count. Unknown metric names are ignored.
     """
-    rel = relevance(test, threshold)
-    recs = recs.join(rel.select(U).distinct(), U, "left_semi").where(F.col("rank") <= max(ks)).persist()  # each metric reads the lists
-    users = per_user(recs, rel, ks)
-    users = users if segment_of is None else users.persist()
+    rel = stored(relevance(test, threshold), "relevance")
+    recs = stored(recs.join(rel.select(U).distinct(), U, "left_semi").where(F.col("rank") <= max(ks)).select(U, "rank", I), "lists")  # each metric reads the lists
+    users = stored(per_user(recs, rel, ks), "users")
     parts = [averaged(users, ks, metrics)]
     tall = lambda df, name: df.select(F.lit(name).alias("metric"), "k", "value")
     if "diversity" in metrics and sets is not None:

@@ -23,6 +23,8 @@ from shelfrank.operators.sampling import numbered, ranked
 __all__ = ["Demographics", "FactorRecommender", "NeighbourhoodRecommender", "Recommender", "SgdFactorRecommender"]  # and what is defined here
 #: Bytes of a matrix of features by features that is sent to tasks.
 GRAM_BYTES = 1 << 28
+#: Places of a ranking that are sent to the tasks whole; a place is a key of as many rows as there are users.
+SENT_PLACES = 100_000
 
 
 class RandomRecommender(Recommender):
@@ -73,6 +75,7 @@ class PopularityRecommender(Recommender):
         places = self.scratch(self.tables["popularity"].select(I, "score", F.round("score", 9).alias("by")))
         head = ranked(places, [F.desc("by"), F.asc(I)], "place", self.scratch).where(F.col("place") <= n + most).drop("by")
         walk = wanted.select(U, F.explode(F.sequence(F.lit(1), (F.col("extra") + n).cast("int"))).alias("place"))
+        head = F.broadcast(head) if n + most <= SENT_PLACES else head
         return top_n(unseen(walk.join(head, "place"), seen), n)
 
 

@@ -10,6 +10,7 @@ from shelfrank.operators import models as m
 from shelfrank.operators import results as r
 from shelfrank.plans.base import HALVES, I, U, halves, rounded, segments_of
 from shelfrank.plans.model_queries import content, content_scores, described, popular, top
+from shelfrank.sources.shared import stored
 
 KS = (1, 5, 10, 20)
 NAMES = ["ndcg@10", "precision@10", "recall@10", "hit_rate@10", "mrr"]
@@ -36,7 +37,7 @@ def _results(spark, sf):
     """Two models: popularity by ratings and by rows."""
     train, test = halves(spark, sf)
     lists = {name: m.PopularityRecommender(consider_ratings=rated).fit(train).recommend(test, max(KS)) for name, rated in (("by_rating", True), ("by_count", False))}
-    return e.compare(lists, test, ks=KS, metrics=ALL, sets=_sets(spark, sf), segment_of=segments_of(spark, sf)).persist()
+    return stored(e.compare(lists, test, ks=KS, metrics=ALL, sets=_sets(spark, sf), segment_of=segments_of(spark, sf)), "results")
 
 
 def _took(spark):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 from collections import Counter
 
 import numpy as np
@@ -61,6 +62,29 @@ def test_diversity_novelty_coverage(spark):
     assert e.coverage(recs, ratings(spark, [(1, 7, 1.0)]), (1, 2)).orderBy("k").collect()[1]["value"] == 2.0
 
 
+def test_metrics_shuffle_lists_once(spark):
+    rng = random.Random(5)
+    recs = lists(spark, {u: rng.sample(range(30), 6) for u in range(40)})
+    test = ratings(spark, [(u, i, float(rng.randint(1, 5))) for u in range(5, 50) for i in rng.sample(range(30), 4)])
+    plan = e.per_user(recs, e.relevance(test).localCheckpoint(), (1, 5))._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan
+    physical = e.per_user(recs, e.relevance(test).localCheckpoint(), (1, 5))._jdf.queryExecution().executedPlan().toString()
+    assert physical.count("Exchange hashpartitioning") == 1
+    held = spark.sparkContext._jsc.getPersistentRDDs().size()
+    assert e.evaluate(recs, test, (1, 5), (*e.METRICS, "novelty", "coverage")).count()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == held  # nothing stays in caches
+    sets = spark.createDataFrame([(i, rng.sample("abcde", rng.randint(0, 3))) for i in range(30)], f"{I} long, features array<string>")
+    kinds = {r[0]: set(r[1]) for r in sets.collect() if r[1]}
+    apart = lambda a, b: 1 - len(kinds[a] & kinds[b]) / len(kinds[a] | kinds[b])
+    by_user = {}
+    for r in recs.orderBy("rank").collect():
+        by_user.setdefault(r[U], []).append(r[I])
+    for k in (2, 5):
+        means = [[apart(a, b) for n, a in enumerate(x[:k]) for b in x[n + 1 : k] if a in kinds and b in kinds] for x in by_user.values()]
+        means = [sum(m) / len(m) for m in means if m]
+        assert {r["k"]: r["value"] for r in e.diversity(recs, sets, (2, 5)).collect()}[k] == pytest.approx(sum(means) / len(means))
+
+
 def test_ratings_from_sales(spark):
     sold = spark.createDataFrame([(1, 1, 100.0), (1, 2, 300.0), (2, 1, 500.0)], f"{U} long, {I} long, sales double")
     assert sorted(r["rating"] for r in prepare.sales(sold).collect()) == [1.0, 3.0, 5.0]
