@@ -281,12 +281,20 @@ class ColdStartRecommender(Recommender):
 
     def fit(self, interactions: DataFrame, features: DataFrame | None = None, customers: DataFrame | None = None, segment_of: DataFrame | None = None) -> ColdStartRecommender:
         self.interactions, self.segment_of = interactions, self.scratch(segment_of.groupBy(U).agg(F.min("segment").alias("segment")))
-        self.content = ContentRecommender().fit(interactions, features)
         self.popular = PopularityRecommender().fit(interactions)
-        self.demographics = Demographics(customers, self.options.get("fields", ["age_group", "country", "gender"]))
+        self._parts = {"content": lambda: ContentRecommender().fit(interactions, features), "demographics": lambda: Demographics(customers, self.options.get("fields", ["age_group", "country", "gender"]))}
         self.by_segment = self.scratch(segment_popularity(interactions, self.segment_of))
         return self
 
+    def _part(self, name: str):
+        """The content model or the demographic profiles, fitted when they are first asked: segments alone need neither."""
+        if callable(self._parts[name]):
+            self._parts[name] = self._parts[name]()
+        return self._parts[name]
+
+    content = property(lambda self: self._part("content"))
+    demographics = property(lambda self: self._part("demographics"))
+
     def write(self, folder: str) -> None:
         """The content and popularity models go to folders of their own, within the same version."""
         self.content.write(f"{folder}/components/content")
@@ -296,14 +304,13 @@ class ColdStartRecommender(Recommender):
 
     def loaded(self, spark: SparkSession, folder: str) -> None:
         self.interactions, self.segment_of, self.by_segment = (self.tables[t] for t in ("interactions", "segment_of", "by_segment"))
-        self.demographics = Demographics.of_tables(self.tables["profile_of"], self.tables["traits"])
-        self.content, self.popular = (Recommender.read(spark, f"{folder}/components/{k}") for k in ("content", "popular"))
+        content, self.popular = (Recommender.read(spark, f"{folder}/components/{k}") for k in ("content", "popular"))
+        self._parts = {"content": content, "demographics": Demographics.of_tables(self.tables["profile_of"], self.tables["traits"])}
 
     def release(self) -> None:
         super().release()
-        self.content.release()
-        self.popular.release()
-        self.demographics.release()
+        for part in (self.popular, *(p for p in self._parts.values() if not callable(p))):
+            part.release()
 
     def _warm(self) -> DataFrame:
         least = self.options.get("min_interactions", 5)
@@ -329,7 +336,8 @@ class ColdStartRecommender(Recommender):
         wanted = seen_counts(users, seen).join(self.segment_of, U)
         most = wanted.agg(F.max("extra")).first()[0] or 0
         place = F.row_number().over(Window.partitionBy("segment").orderBy(F.desc(F.round("score", 9)), I))
-        head = self.by_segment.withColumn("place", place).where(F.col("place") <= n + most)
+        head = self.scratch(self.by_segment.withColumn("place", place).where(F.col("place") <= n + most))
+        head = F.broadcast(head) if head.count() <= SENT_PLACES else head
         walk = wanted.select(U, "segment", F.explode(F.sequence(F.lit(1), (F.col("extra") + n).cast("int"))).alias("place"))
         own = top_n(unseen(walk.join(head, ["segment", "place"]), seen), n)
         return own.unionByName(self.popular.recommend(placed.where(F.col("segment").isNull()), n, seen))

@@ -85,6 +85,19 @@ def test_metrics_shuffle_lists_once(spark):
         assert {r["k"]: r["value"] for r in e.diversity(recs, sets, (2, 5)).collect()}[k] == pytest.approx(sum(means) / len(means))
 
 
+def test_segments_alone_fit_no_content(spark):
+    inter = ratings(spark, [(1, 1, 4.0), (2, 1, 2.0), (2, 2, 5.0)])
+    features = spark.createDataFrame([(1, "x", 1.0), (2, "x", 1.0), (2, "y", 1.0)], f"{I} long, feature string, value double")
+    customers = spark.createDataFrame([(1, "DE"), (2, "DE")], f"{U} long, country string")
+    segment_of = spark.createDataFrame([(1, "a"), (2, "a")], f"{U} long, segment string")
+    model = m.ColdStartRecommender(fields=["country"]).fit(inter, features, customers, segment_of)
+    got = {(r[U], r[I]): r["score"] for r in model.predict_segment(inter).collect()}
+    assert got == {(1, 1): 1.0, (2, 1): 1.0, (2, 2): pytest.approx(5 / 6)}
+    assert all(callable(p) for p in model._parts.values())  # nothing was fitted that wasn't asked
+    assert model.content.tables and not callable(model._parts["content"])
+    model.release()
+
+
 def test_ratings_from_sales(spark):
     sold = spark.createDataFrame([(1, 1, 100.0), (1, 2, 300.0), (2, 1, 500.0)], f"{U} long, {I} long, sales double")
     assert sorted(r["rating"] for r in prepare.sales(sold).collect()) == [1.0, 3.0, 5.0]
