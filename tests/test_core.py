@@ -98,6 +98,25 @@ def test_segments_alone_fit_no_content(spark):
     model.release()
 
 
+def test_demographic_rankings_are_cut_where_they_are_summed(spark):
+    customers = spark.createDataFrame([(u, "abc"[u % 3]) for u in range(30)], f"{U} long, country string")
+    inter = ratings(spark, [(u, (u * 7 + j) % 40, 1.0) for u in range(30) for j in range(10)])
+    model, bought = m.Demographics(customers, ["country"]), inter.select(U, I)
+    near = model.nearest(8)
+    asked = spark.createDataFrame([(0, '{"country":"a"}', "more", 4), (27, '{"country":"a"}', "less", 3)], f"{U} long, profile string, kind string, rows int")
+    rows = model._summed(near, bought, asked, 8).collect()
+    assert Counter(r["kind"] for r in rows if r["kind"]) == {"more": 4, "less": 3}  # not a row for each item that a neighbour bought
+    assert {r[U] for r in rows if not r["kind"]} <= {0}
+    got = {(r[U], r["rank"]): (r[I], r["score"]) for r in model.recommend(inter, inter, 3, inter, 8).collect()}
+    has = {u: {(u * 7 + j) % 40 for j in range(10)} for u in range(30)}
+    for u in range(30):
+        others = [v for v in sorted(has, key=lambda v: (v % 3 != u % 3, v)) if v != u][:7]
+        score = Counter(i for v in others if v % 3 == u % 3 for i in has[v]) | Counter()
+        best = sorted(((-score[i], i) for v in others for i in has[v] if i not in has[u]))
+        best = list(dict.fromkeys(best))[:3]
+        assert [got.get((u, n)) for n in range(1, len(best) + 1)] == [(i, pytest.approx(-s)) for s, i in best]
+
+
 def test_ratings_from_sales(spark):
     sold = spark.createDataFrame([(1, 1, 100.0), (1, 2, 300.0), (2, 1, 500.0)], f"{U} long, {I} long, sales double")
     assert sorted(r["rating"] for r in prepare.sales(sold).collect()) == [1.0, 3.0, 5.0]
