@@ -685,3 +685,22 @@ def test_sales_are_shuffled_once(spark):
     out = prepare.sales(sold)
     assert {(r[U], r["rating"]) for r in out.collect()} == {(1, 2.0), (2, None)}
     assert "Exchange" not in out._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("users", [True, False])
+def test_proposals_meet_users_as_lists(spark, monkeypatch, users):
+    """No proposal is a row of its own; many blocks give what rows give, with seen items, without, and for other ones than the rated."""
+    df = ratings(spark, some_ratings(16, 13, 7))
+    some = df.where(F.col(I) % 3 != 0).unionByName(ratings(spark, [(1, 99, 1.0), (55, 1, 1.0)]))
+    model = m.NeighbourhoodRecommender(user_based=users, k=3, min_k=2).fit(df)
+    model.index()
+
+    def found():
+        return [sorted((r[U], r["rank"], r[I], round(r["score"], 9)) for r in model.recommend(df.where(F.col(U) != 4), 4, seen).collect()) for seen in (df, None, some)]
+
+    monkeypatch.setattr(nb, "RANGE_PAIRS", 20)
+    assert "FlatMapGroupsInArrow" in model.recommend(df, 4, df)._jdf.queryExecution().toString()
+    by_blocks = found()
+    monkeypatch.setattr(nb, "ID_PAIRS", 0)
+    assert "FlatMapGroupsInArrow" not in model.recommend(df, 4, df)._jdf.queryExecution().toString()
+    assert by_blocks == found() and all(by_blocks)
