@@ -6,16 +6,16 @@ import warnings
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfrank.functions.scalar import keyed_hash
 from shelfrank.operators.demographics import Demographics
 from shelfrank.operators.factors import FactorRecommender, SgdFactorRecommender
-from shelfrank.operators.features import squares, unit_length
+from shelfrank.operators.features import unit_length
 from shelfrank.operators.neighbourhood import NeighbourhoodRecommender
-from shelfrank.operators.products import blocked_top, dense, dense_places
+from shelfrank.operators.products import blocked_top, dense_places
 from shelfrank.operators.ranking import by_maximum, diversified, fused, fused_by_segment, summed, top_n, unseen
 from shelfrank.operators.recommender import TOP_K, I, R, Recommender, U, seen_counts
 from shelfrank.operators.sampling import numbered, ranked
@@ -25,6 +25,8 @@ __all__ = ["Demographics", "FactorRecommender", "NeighbourhoodRecommender", "Rec
 GRAM_BYTES = 1 << 28
 #: Places of a ranking that are sent to the tasks whole; a place is a key of as many rows as there are users.
 SENT_PLACES = 100_000
+#: Rows (shares and asked pairs) of the users that a task scores together, and values of their vectors at most.
+BLOCK_ROWS, BLOCK_VALUES = 1 << 17, 1 << 24
 
 
 class RandomRecommender(Recommender):
@@ -85,6 +87,48 @@ def segment_popularity(interactions: DataFrame, segment_of: DataFrame, rated: bo
     return placed.groupBy("segment", I).agg((F.sum(R) if rated else F.count("*").cast("double")).alias("score"))
 
 
+class _Users:
+    """Users of one block: their query vectors from their shares and items' places, and the scores that are asked of them."""
+
+    def __init__(self, table: pa.Table, gram: np.ndarray, linear: bool):
+        self.linear, dim = linear, len(gram)
+        self.users, self.items = (table.column(c).combine_chunks().dictionary_encode() for c in (U, I))
+        self.user, self.item = (x.indices.to_numpy().astype(np.int64) for x in (self.users, self.items))
+        self.share, self.w = ~table.column("asked").to_numpy(), table.column("w").fill_null(0.0).to_numpy()
+        at, values = table.column("at").combine_chunks(), table.column("vector").combine_chunks()
+        self.known = at.is_valid().to_numpy(zero_copy_only=False)
+        self.row = np.repeat(np.arange(len(self.user)), at.value_lengths().fill_null(0).to_numpy())
+        self.at, self.values = at.flatten().to_numpy().astype(np.int64), values.flatten().to_numpy()
+        self.d = np.bincount(self.row, self.values * self.values, len(self.user))
+        place, w = self.user[self.row] * dim + self.at, self.w[self.row] * self.values
+        size = len(self.users.dictionary) * dim
+        p = np.bincount(place, w, size).reshape(-1, dim)
+        if linear:
+            e = np.bincount(place, w * self.d[self.row], size).reshape(-1, dim)
+            self.query = np.hstack([p @ gram - e, p])
+        else:
+            self.query = p @ gram - 2 * p
+
+    def scores(self) -> pa.Table:
+        """(customer_key, product_key, score) of each asked pair, once."""
+        key = self.user * len(self.items.dictionary) + self.item
+        s = np.bincount(self.row, self.query[self.user[self.row], self.at] * self.values, len(key))
+        if self.linear:
+            second = np.bincount(self.row, self.query[self.user[self.row], self.at + self.query.shape[1] // 2] * self.values, len(key))
+            s = s - self.d * second
+        mine = np.flatnonzero(self.share)
+        mine = mine[np.argsort(key[mine])]
+        rows = np.flatnonzero(~self.share)
+        rows = rows[np.unique(key[rows], return_index=True)[1]]
+        if len(mine) and len(rows):
+            spot = mine[np.minimum(np.searchsorted(key[mine], key[rows]), len(mine) - 1)]
+            own = np.where(key[spot] == key[rows], self.w[spot], 0.0)
+            s[rows] += own * self.d[rows] ** 2 if self.linear else own
+        known = self.known & (np.bincount(self.user, self.share, len(self.users.dictionary)) > 0)[self.user]
+        score = np.where(known, np.minimum(5.0, 1 + 4 * np.maximum(s, 0.0)), 0.0)
+        return pa.table([self.users.take(pa.array(rows)).dictionary_decode(), self.items.take(pa.array(rows)).dictionary_decode(), score[rows]], names=[U, I, "score"])
+
+
 class ContentRecommender(Recommender):
     """Items like those a user rated: w·S·S, S the likeness of item features without its diagonal, w the shares of ratings.
 
@@ -95,9 +139,6 @@ class ContentRecommender(Recommender):
     the features, which the vocabulary bounds.
     """
 
-    #: What marks the second half of the places of the linear kernel.
-    SECOND = "|"
-
     def _linear(self) -> bool:
         kind = self.options.get("similarity", "cosine")
         if kind not in ("cosine", "linear"):
@@ -110,56 +151,83 @@ class ContentRecommender(Recommender):
         features = self.scratch(features)
         unit = self.keep("unit", features.select(I, "feature", "value").where(F.col("value") != 0) if linear else unit_length(features))
         catalogue = self.keep("catalogue", features.select(I).distinct())
-        sizes = unit.groupBy(I).agg(squares().alias("d"))
-        pairs = interactions.groupBy(U, I).agg(F.sum(R).alias("r")).join(catalogue, I, "left_semi")
-        totals = pairs.groupBy(U).agg(F.sum("r").alias("t"))
-        shares = pairs.join(totals, U).select(U, I, F.when(F.col("t") > 0, F.col("r") / F.col("t")).otherwise(F.col("r")).alias("w"))
-        if linear:
-            shares = shares.join(sizes, I, "left").select(U, I, "w", (F.col("w") * F.coalesce("d", F.lit(0.0)) * F.coalesce("d", F.lit(0.0))).alias("own"))
-        else:
-            shares = shares.withColumn("own", F.col("w"))
-        shares = self.keep("shares", shares)
-        self.numbers["items"] = catalogue.count()
         names = sorted(r[0] for r in unit.select("feature").distinct().collect())  # the vocabulary, which max_features bounds
-        gram = self._gram(unit, names)
-        weighed = shares.join(unit, I)
-        p = weighed.groupBy(U, "feature").agg(F.sum(F.col("w") * F.col("value")).alias("value"))
-        cells = unit
-        if linear:
-            second = F.concat(F.lit(self.SECOND), "feature").alias("feature")
-            sized = unit.join(sizes, I)
-            e = shares.join(sized, I).groupBy(U, second).agg(F.sum(F.col("w") * F.col("d") * F.col("value")).alias("value"))
-            p, cells = p.unionByName(e), unit.unionByName(sized.select(I, second, (-F.col("d") * F.col("value")).alias("value")))
-            one = np.eye(len(names))
-            gram = np.block([[gram, one], [-one, np.zeros_like(one)]])
-            names = names + [self.SECOND + name for name in names]
-        else:
-            gram -= 2 * np.eye(len(names))
-        self.numbers["features"] = names
-        self.keep("cells", dense_places(cells, I, names))
-        self.keep("queries", self._turned(dense_places(p, U, names), gram))
-        return self
-
-    def _gram(self, unit: DataFrame, names: list[str]) -> np.ndarray:
-        """G, from the items' features; it has the size of the vocabulary squared, which is checked."""
         if len(names) ** 2 * 8 > GRAM_BYTES:
             raise ValueError(f"{len(names)} features; give a smaller max_features")
-        other = unit.select(I, F.col("feature").alias("g"), F.col("value").alias("y"))
-        found = unit.join(other, I).groupBy("feature", "g").agg(F.sum(F.col("value") * F.col("y")).alias("m")).toPandas()
-        at = {f: i for i, f in enumerate(names)}
-        out = np.zeros((len(names), len(names)))
-        out[found["feature"].map(at).to_numpy(int), found["g"].map(at).to_numpy(int)] = found["m"].to_numpy(float)
-        return out
+        self.numbers |= {"items": catalogue.count(), "features": names, "linear": linear}
+        none = [F.array().cast(f"array<{t}>") for t in ("int", "double")]
+        vectors = catalogue.join(dense_places(unit, I, names), I, "left").select(I, *[F.coalesce(c, e).alias(c) for c, e in zip(("at", "vector"), none, strict=True)])
+        vectors = self.keep("vectors", vectors)
+        d = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
+        # all rows of a user are in one place, where they are summed and shared out
+        rated = interactions.select(U, I, R).join(vectors.select(I, d.alias("d")) if linear else catalogue, I)
+        pairs = rated.repartition(U).groupBy(U, I).agg(F.sum(R).alias("r"), *([F.max("d").alias("d")] if linear else []))
+        total = F.sum("r").over(Window.partitionBy(U))
+        shares = pairs.where(F.col(U).isNotNull()).withColumn("w", F.when(total > 0, F.col("r") / total).otherwise(F.col("r")))
+        self.keep("shares", shares.select(U, I, "w", *([(F.col("w") * F.col("d") * F.col("d")).alias("own")] if linear else [])))
+        self.keep("gram", self._gram(vectors, len(names)))
+        return self
 
-    def _turned(self, profiles: DataFrame, gram: np.ndarray) -> DataFrame:
-        """(customer_key, vector): each user's places times the matrix, all places of it."""
-        dim, sent = len(gram), profiles.sparkSession.sparkContext.broadcast(gram)
+    @property
+    def _shares(self) -> DataFrame:
+        """(customer_key, product_key, w, own): own is what an item's share adds to its own score."""
+        shares = self.tables["shares"]
+        return shares if "own" in shares.columns else shares.withColumn("own", F.col("w"))
 
-        def run(frames):
-            for frame in frames:
-                yield pd.DataFrame({U: frame[U], "vector": list(dense(frame["at"], frame["vector"], dim) @ sent.value)})
+    @staticmethod
+    def _gram(vectors: DataFrame, dim: int) -> DataFrame:
+        """(place, row) of G, from the items' features, of which each row has its own products."""
+        one = vectors.select(F.posexplode("at").alias("n", "a"), "at", "vector").select("a", F.get("vector", F.col("n")).alias("x"), F.explode(F.arrays_zip("at", "vector")).alias("o"))
+        found = one.groupBy("a", F.col("o.at").alias("b")).agg(F.sum(F.col("x") * F.col("o.vector")).alias("m"))
+        cells = found.groupBy("a").agg(F.map_from_entries(F.collect_list(F.struct("b", "m"))).alias("has"))
+        row = F.transform(F.sequence(F.lit(0), F.lit(max(dim - 1, 0))), lambda i: F.coalesce(F.element_at("has", i), F.lit(0.0)))
+        return cells.select(F.col("a").alias("place"), row.alias("row"))
+
+    def _matrix(self) -> np.ndarray:
+        """G, whose size the vocabulary bounds."""
+        dim = len(self.numbers["features"])
+        table, out = self.tables["gram"].toArrow(), np.zeros((dim, dim))
+        if table.num_rows:
+            out[table.column("place").to_numpy()] = table.column("row").combine_chunks().flatten().to_numpy().reshape(-1, dim)
+        return out
 
-        return profiles.mapInPandas(run, f"{U} long, vector array<double>")
+    def _met(self, pairs: DataFrame | None = None) -> DataFrame:
+        """(block, customer_key, product_key, w, asked, at, vector): each user's shares, and what is asked of it, with items' places.
+
+        All rows of a user are in one block. Items that aren't in the catalogue have no places.
+        """
+        rows, n = self.tables["shares"].select(U, I, "w", F.lit(False).alias("asked")), self.tables["shares"].count()
+        if pairs is not None:
+            rows, n = rows.unionByName(pairs.select(U, I, F.lit(None).cast("double").alias("w"), F.lit(True).alias("asked"))), n + pairs.count()
+        size = max(1, min(BLOCK_ROWS, BLOCK_VALUES // max(len(self.numbers["features"]), 1)))
+        return rows.join(self.tables["vectors"], I, "left").withColumn("block", F.pmod(F.xxhash64(U), F.lit(-(-n // size) or 1)))
+
+    @property
+    def _queries(self) -> DataFrame:
+        """(customer_key, vector): each user's places times the matrix, all places of it; stored when lists first ask for it."""
+        if "queries" not in self.tables:
+            sent, linear = self.tables["shares"].sparkSession.sparkContext.broadcast(self._matrix()), self.numbers["linear"]
+
+            def run(table: pa.Table) -> pa.Table:
+                own = _Users(table, sent.value, linear)
+                ids = own.users.dictionary
+                return pa.table([ids, pa.ListArray.from_arrays(np.arange(len(ids) + 1, dtype=np.int32) * own.query.shape[1], own.query.ravel())], names=[U, "vector"])
+
+            self.keep("queries", self._met().groupBy("block").applyInArrow(run, f"{U} {self._kind(U)}, vector array<double>"))
+        return self.tables["queries"]
+
+    def _kind(self, column: str) -> str:
+        return self.tables["shares"].schema[column].dataType.simpleString()
+
+    @property
+    def _cells(self) -> DataFrame:
+        """(product_key, at, vector) of items whose products with queries are their scores, besides users' own items."""
+        vectors = self.tables["vectors"].where(F.size("at") > 0)
+        if not self.numbers["linear"]:
+            return vectors
+        dim, d = len(self.numbers["features"]), F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
+        sized = vectors.withColumn("d", d)
+        return sized.select(I, F.concat("at", F.transform("at", lambda i: i + dim)).alias("at"), F.concat("vector", F.transform("vector", lambda x: -F.col("d") * x)).alias("vector"))
 
     def item_similarities(self, least: float = 1e-12) -> DataFrame:
         """(a, b, sim) of items that share a feature."""
@@ -172,29 +240,32 @@ class ContentRecommender(Recommender):
         """(a, rank, b, sim): the n items most like each, of those that share a feature."""
         unit = self.tables["unit"]
         if unit.where(F.col("value") < 0).isEmpty():  # likeness is nowhere under that of items that share nothing
-            names = [f for f in self.numbers["features"] if not f.startswith(self.SECOND)] if self._linear() else self.numbers["features"]
-            vectors = dense_places(unit, I, names)
-            own = unit.select(F.col(I).alias(U), I).distinct()
-            sims = blocked_top(vectors.withColumnRenamed(I, U), vectors, n, len(names), own).where(F.col("score") > least)
+            vectors = self.tables["vectors"].where(F.size("at") > 0)
+            own = vectors.select(F.col(I).alias(U), I)
+            sims = blocked_top(vectors.withColumnRenamed(I, U), vectors, n, len(self.numbers["features"]), own).where(F.col("score") > least)
         else:
             sims = self.item_similarities(least).select(F.col("a").alias(U), F.col("b").alias(I), F.col("sim").alias("score"))
         return top_n(sims, n).select(F.col(U).alias("a"), "rank", F.col(I).alias("b"), F.col("score").alias("sim"))
 
     def predict(self, pairs: DataFrame) -> DataFrame:
         """1 + 4 times the score, at most 5 and from a score of 0; 0 for an unknown user or item."""
-        pairs = pairs.select(U, I).distinct()
-        known = pairs.join(self.tables["catalogue"], I, "left_semi").join(self.tables["shares"].select(U).distinct(), U, "left_semi").withColumn("k", F.lit(True))
-        placed = pairs.join(self._raw(pairs), [U, I], "left").join(self.tables["shares"], [U, I], "left").join(known, [U, I], "left")
-        s = F.coalesce("s", F.lit(0.0)) + F.coalesce("own", F.lit(0.0))
-        return placed.select(U, I, F.when(F.col("k"), F.least(F.lit(5.0), 1 + 4 * F.greatest(s, F.lit(0.0)))).otherwise(0.0).alias("score"))
+        sent, linear = pairs.sparkSession.sparkContext.broadcast(self._matrix()), self.numbers["linear"]
+
+        def run(table: pa.Table) -> pa.Table:
+            return _Users(table, sent.value, linear).scores()
+
+        blank = F.col(U).isNull() | F.col(I).isNull()
+        pairs = pairs.select(U, I)
+        found = self._met(pairs.where(~blank)).groupBy("block").applyInArrow(run, f"{U} {self._kind(U)}, {I} {self._kind(I)}, score double")
+        return found.unionByName(pairs.where(blank).distinct().withColumn("score", F.lit(0.0)))
 
     def recommend(self, users: DataFrame, n: int = TOP_K, seen: DataFrame | None = None) -> DataFrame:
         """The n best of the catalogue; users without a profile get the items most like all others, seen ones included."""
         unit = self.tables["unit"]
-        items, dim = self.tables["cells"], len(self.numbers["features"])
+        items, dim = self._cells, len(self.numbers["features"]) * (2 if self.numbers["linear"] else 1)
         ids = users.select(U).distinct()
-        asked = self.tables["queries"].join(ids, U, "left_semi").withColumn("at", F.sequence(F.lit(0), F.lit(max(dim - 1, 0))))
-        own = self.tables["shares"].join(ids, U, "left_semi")
+        asked = self._queries.join(ids, U, "left_semi").withColumn("at", F.sequence(F.lit(0), F.lit(max(dim - 1, 0))))
+        own = self._shares.join(ids, U, "left_semi")
         if seen is None:
             # an item's own share adds to its score, so each user's own items are candidates with it
             found = blocked_top(asked, items, n, dim)
@@ -213,7 +284,7 @@ class ContentRecommender(Recommender):
 
     def _raw(self, pairs: DataFrame) -> DataFrame:
         """(customer_key, product_key, s): the inner product of a user's query and an item's features."""
-        joined = pairs.select(U, I).join(self.tables["cells"], I).join(self.tables["queries"].select(U, F.col("vector").alias("query")), U)
+        joined = pairs.select(U, I).join(self._cells, I).join(self._queries.select(U, F.col("vector").alias("query")), U)
         products = F.zip_with("at", "vector", lambda i, x: x * F.get("query", i))
         return joined.select(U, I, F.aggregate(products, F.lit(0.0), lambda s, x: s + x).alias("s"))
 

@@ -704,3 +704,26 @@ def test_proposals_meet_users_as_lists(spark, monkeypatch, users):
     monkeypatch.setattr(nb, "ID_PAIRS", 0)
     assert "FlatMapGroupsInArrow" not in model.recommend(df, 4, df)._jdf.queryExecution().toString()
     assert by_blocks == found() and all(by_blocks)
+
+
+@pytest.mark.parametrize("kind", ["cosine", "linear"])
+def test_content_scores_where_shares_and_pairs_meet(spark, monkeypatch, tmp_path, kind):
+    """No query vector goes to a pair, many blocks change nothing, and a model that is read back scores alike."""
+    rows = [*some_ratings(), (3, 77, 2.0)]  # an item without features
+    table = spark.createDataFrame(linear_features(), f"{I} long, feature string, value double")
+    model = m.ContentRecommender(similarity=kind).fit(df := ratings(spark, rows), table)
+    pairs = spark.createDataFrame([(u, i) for u in range(14) for i in (*range(10), 77, None)] + [(1, 2), (None, 3), (None, None)], f"{U} long, {I} long")
+    raw = {(r[U], r[I]): r["s"] for r in model._raw(pairs).collect()}
+    own = {(r[U], r[I]): r["own"] for r in model._shares.collect()}
+    items, users = {r[I] for r in model.tables["catalogue"].collect()}, {u for u, i, _ in rows if i != 77}
+    want = {(u, i): min(5.0, 1 + 4 * max(raw.get((u, i), 0.0) + own.get((u, i), 0.0), 0.0)) if u in users and i in items else 0.0 for u, i in map(tuple, pairs.collect())}
+    monkeypatch.setattr(m, "BLOCK_ROWS", 5)
+    found = model.predict(pairs)
+    got = {(r[U], r[I]): r["score"] for r in found.collect()}
+    assert got == {key: pytest.approx(v, abs=1e-9) for key, v in want.items()} and found.count() == len(want)
+    assert max(got.values()) > 1 and "query" not in found._jdf.queryExecution().toString()
+    model.save(path := str(tmp_path / "content"))
+    back = recommender.Recommender.load(spark, path)
+    assert {(r[U], r[I]): r["score"] for r in back.predict(pairs).collect()} == {key: pytest.approx(v, abs=1e-9) for key, v in want.items()}
+    lists_of = [{(r[U], r["rank"]): (r[I], round(r["score"], 9)) for r in x.recommend(df, 3, df).collect()} for x in (back, model)]
+    assert lists_of[0] == lists_of[1]
