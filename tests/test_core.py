@@ -740,3 +740,13 @@ def test_purchases_carry_no_profiles(spark):
     # 2 is (1, 1) / root 2; 1 is (1, 0), 3 is zero, 4 is (0, 1, 0.5) / root 1.25
     want = (1 / math.sqrt(2) + 0 + 0.5 / math.sqrt(2.5)) / 3
     assert sorted((r[U] or 0, r[I] or 0, round(r["score"], 9)) for r in found.collect()) == [(0, 7, 0.0), (2, 0, 0.0), (2, 7, round(want, 9)), (2, 8, 0.0), (2, 99, 0.0), (3, 7, 0.0), (9, 7, 0.0)]
+
+
+def test_ranges_get_no_ids_under_their_own(spark):
+    """Of pairs a < b the lower id's range alone needs the list, from its own ids on; what has no pair isn't sent."""
+    lists = {1: [2, 5, 11, 14, 25], 2: [3, 21], 3: [12], 4: [22, 23]}
+    cells = spark.createDataFrame([(i, o, i / 10, 0.0, 0.0) for o, ids in lists.items() for i in ids], "id long, o long, z double, c double, r double")
+    rows = by_rows.in_ranges(cells, np.array([10, 20]), above=True).collect()
+    got = {(r["block"], r["o"]): sorted(r["id"]) for r in rows}
+    assert got == {(0, 1): [2, 5, 11, 14, 25], (1, 1): [11, 14, 25], (0, 2): [3, 21], (2, 4): [22, 23]} and len(rows) == 4
+    assert all(z == i / 10 for r in rows for i, z in zip(r["id"], r["z"], strict=True))
