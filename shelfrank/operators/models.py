@@ -396,10 +396,12 @@ class ColdStartRecommender(Recommender):
 
     def predict(self, pairs: DataFrame) -> DataFrame:
         """The content score of users with enough interactions; else the mean of the three scores."""
-        warm = pairs.join(self._warm(), U, "left_semi")
         cold = pairs.join(self._warm(), U, "left_anti")
-        parts = [self.demographics.predict(cold, self.interactions), self.predict_segment(cold), self.content.predict(cold)]
-        return self.content.predict(warm).unionByName(summed(parts).withColumn("score", F.col("score") / 3))
+        # content scores are worked out once for all pairs; those that stand alone count three times
+        content = self.content.predict(pairs).join(self._warm().withColumn("__warm", F.lit(3.0)), U, "left")
+        content = content.withColumn("score", F.col("score") * F.coalesce("__warm", F.lit(1.0)))
+        parts = [self.demographics.predict(cold, self.interactions), self.predict_segment(cold), content]
+        return summed(parts).withColumn("score", F.col("score") / 3)
 
     def recommend_segment(self, users: DataFrame, n: int, seen: DataFrame | None = None) -> DataFrame:
         """The most popular of the user's segment; the most popular of all without one."""

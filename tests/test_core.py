@@ -750,3 +750,15 @@ def test_ranges_get_no_ids_under_their_own(spark):
     got = {(r["block"], r["o"]): sorted(r["id"]) for r in rows}
     assert got == {(0, 1): [2, 5, 11, 14, 25], (1, 1): [11, 14, 25], (0, 2): [3, 21], (2, 4): [22, 23]} and len(rows) == 4
     assert all(z == i / 10 for r in rows for i, z in zip(r["id"], r["z"], strict=True))
+
+
+def test_cold_scores_ask_content_once(spark, monkeypatch):
+    """Shares meet items once for warm and cold users together."""
+    df, calls = ratings(spark, some_ratings()), []
+    table = spark.createDataFrame(linear_features(), f"{I} long, feature string, value double")
+    people_ = spark.createDataFrame([(u, "ab"[u % 2]) for u in range(12)], f"{U} long, country string")
+    model = m.ColdStartRecommender(fields=["country"], min_interactions=4).fit(df, table, people_, people_.withColumnRenamed("country", "segment"))
+    whole = m.ContentRecommender.predict
+    monkeypatch.setattr(m.ContentRecommender, "predict", lambda self, pairs: calls.append(1) or whole(self, pairs))
+    got = model.predict(df)
+    assert len(calls) == 1 and got.count() == df.count()
