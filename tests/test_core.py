@@ -8,6 +8,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -762,3 +763,30 @@ def test_cold_scores_ask_content_once(spark, monkeypatch):
     monkeypatch.setattr(m.ContentRecommender, "predict", lambda self, pairs: calls.append(1) or whole(self, pairs))
     got = model.predict(df)
     assert len(calls) == 1 and got.count() == df.count()
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e18])
+def test_leaves_that_cannot_reach_a_list_are_left_out(monkeypatch, scale):
+    """Alike items lie together and most leaves' bounds keep them out; what is found is what all products give."""
+    rng = np.random.default_rng(8)
+    kinds = np.eye(40)[rng.integers(0, 20, 3000)] + np.eye(40)[20 + rng.integers(0, 5, 3000)]
+    kinds[:, 39] = rng.random(3000)
+    items, asked = kinds / np.sqrt((kinds**2).sum(1))[:, None], rng.normal(size=(50, 40)) * scale
+    monkeypatch.setattr(products, "CROWD", 1 << 9)
+    monkeypatch.setattr(products, "ITEMS_AT_ONCE", 16)
+    places = [np.flatnonzero(x) for x in items]
+    columns = {"at": [p.astype(np.int32) for p in places], "vector": [x[p] for x, p in zip(items, places, strict=True)], "ids": [[i] for i in range(len(items))]}
+    kept = {"at": pa.int32(), "vector": pa.float64(), "ids": pa.int64()}
+    tile = products._Tile(products._in_leaves(40)(pa.table({n: pa.array(c, pa.list_(kept[n])) for n, c in columns.items()})), 40)
+    scores = asked @ items.T
+    tenth = np.sort(scores, 1)[:, -10]
+    bound = tile.bounds(asked, np.sqrt((asked**2).sum(1)), scale == 1.0)
+    own = np.stack([scores[:, tile.ids[a:b]].max(1) for a, b in zip(tile.edges, tile.edges[1:], strict=False)], 1)
+    assert (bound >= own).all() and (bound >= tenth[:, None]).mean() < 0.2
+    seen = np.tile(np.arange(0, 3000, 7), 50)
+    x, ids, score = tile.best(asked, np.full(50, len(seen) // 50), seen, 10)
+    scores[:, ::7] = -np.inf
+    for u in range(50):
+        best = np.argsort(-scores[u])[:10]
+        assert ids[x == u][:10].tolist() == best.tolist()
+        assert score[x == u][:10] == pytest.approx(scores[u, best])
