@@ -790,3 +790,25 @@ def test_leaves_that_cannot_reach_a_list_are_left_out(monkeypatch, scale):
         best = np.argsort(-scores[u])[:10]
         assert ids[x == u][:10].tolist() == best.tolist()
         assert score[x == u][:10] == pytest.approx(scores[u, best])
+
+
+def test_profiles_meet_by_number(spark, monkeypatch):
+    """Lists and nearest customers carry a number for each profile, no text; places that nobody like a profile fills go by key."""
+    rows = [(5, "a", 1.0), (2, "a", 3.0), (3, None, None), (4, "b", 2.0), (9, "a", 1.0), (7, None, None)]
+    model = m.Demographics(spark.createDataFrame(rows, f"{U} long, country string, balance double"), ["country", "balance"])
+    df = ratings(spark, [(u, u * 10, 3.0) for u, *_ in rows])
+    with_limit = m.Demographics.recommend.__globals__["SENT_PLACES"]
+    monkeypatch.setitem(m.Demographics.recommend.__globals__, "SENT_PLACES", 0)
+    sent = model.recommend(df, df, 3, df, 4)._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin [profile" not in sent and "SortMergeJoin [profile" in sent  # rows of a ranking for each user aren't sent whole
+    monkeypatch.setitem(m.Demographics.recommend.__globals__, "SENT_PLACES", with_limit)
+    lists = model.recommend(df, df, 3, df, 4)
+    plan = lists._jdf.queryExecution().optimizedPlan().toString()
+    assert "country" not in plan and not [c for c in plan.split("StringType")[1:] if c.startswith("profile")]
+    assert all(dict(t.dtypes)["profile"] == "bigint" for t in model._kept if "other" in t.columns)
+    got = {}
+    for r in model.neighbours(df, 4).collect():
+        got.setdefault(r[U], []).append((r["other"], round(r["sim"], 6)))
+    # 5 and 9 are (1, 0), 2 is (1, 1) / root 2, 4 is (1, 0.5) / root 1.25 of another country, 3 and 7 are zero
+    assert got[5] == [(9, 1.0), (2, round(1 / math.sqrt(2), 6)), (3, 0.0)]
+    assert got[3] == [(2, 0.0), (4, 0.0), (5, 0.0)] and {r["profile"][:2] for r in model.nearest(4).collect()} == {'{"', "{}"}
