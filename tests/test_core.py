@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfrank.operators import analytics as a
+from shelfrank.operators import factors
 from shelfrank.operators import features as f
 from shelfrank.operators import metrics as e
 from shelfrank.operators import models as m
@@ -20,6 +21,7 @@ from shelfrank.operators import neighbourhood as nb
 from shelfrank.operators import rows as by_rows
 from shelfrank.operators import prepare, products, ranking, recommender, results, sampling, splits
 from shelfrank.sources.catalog import Catalog, read_csv, write_csv
+from shelfrank.sources import shared
 from shelfrank.sources.config import Config
 
 U, I = "customer_key", "product_key"
@@ -812,3 +814,18 @@ def test_profiles_meet_by_number(spark, monkeypatch):
     # 5 and 9 are (1, 0), 2 is (1, 1) / root 2, 4 is (1, 0.5) / root 1.25 of another country, 3 and 7 are zero
     assert got[5] == [(9, 1.0), (2, round(1 / math.sqrt(2), 6)), (3, 0.0)]
     assert got[3] == [(2, 0.0), (4, 0.0), (5, 0.0)] and {r["profile"][:2] for r in model.nearest(4).collect()} == {'{"', "{}"}
+
+
+def test_strata_read_their_own_ratings(spark, monkeypatch):
+    """Each stratum's part of the ratings is a folder that the scan alone opens, and they go when the model is fitted."""
+    made, taken = [], []
+    keep, drop = factors.stored, factors.remove
+    monkeypatch.setattr(factors, "stored", lambda df, *a: made.append(keep(df, *a)) or made[-1], raising=False)
+    monkeypatch.setattr(factors, "remove", lambda df: taken.append((df.inputFiles()[0], drop(df))), raising=False)
+    model = m.SgdFactorRecommender(n_factors=2, n_epochs=1, blocks=3)
+    model.fit(ratings(spark, some_ratings()))
+    assert len(made) == len(taken) == 1 and "stratum" in made[0].columns
+    folder = taken[0][0].split("/stratum=")[0]
+    assert folder != taken[0][0]
+    fs, own = shared.files(spark, folder)
+    assert not fs.exists(own)
